@@ -17,6 +17,7 @@ from almanac.operators import features as fe
 from almanac.operators import prepare as pr
 from almanac.operators.transforms import SeriesTransformer
 from almanac.sources import io
+from almanac.plans.ordered import join_on_keys
 from almanac.sources import series as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -696,3 +697,728 @@ def q_inverse_seasonal_diff_panel(spark, sf):
     t = SeriesTransformer(keys=["o_orderpriority"], order=["date"])
     d = t.fit_transform(_diff_df(spark, sf, True), ["revenue"], ["log", "seasonal_diff"])
     return rounded(t.inverse_transform(d), 2)
+
+
+# =============================================================== statistics, correlation, reduction (AGG6-7, DIM*)
+from almanac.operators import diagnostics as dg  # noqa: E402
+from almanac.operators import forecast as fc  # noqa: E402
+from almanac.operators import model as md  # noqa: E402
+from almanac.operators import reduce as rd  # noqa: E402
+from almanac.operators import split as sp  # noqa: E402
+from almanac.operators import stats as st  # noqa: E402
+
+F7_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "dup", "net", "const", "target"]
+F7_FEATS = F7_COLS[:-1]
+F7_SQL = S.LINEITEM_WIDE_SQL
+
+
+def _nn(e: str) -> str:
+    return f"(CASE WHEN isnan({e}) THEN NULL ELSE {e} END)"
+
+
+@query("q_corr_matrix", f"WITH d AS ({F7_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, {r(_nn(f'corr({a}, {b})'), 6)} AS r FROM d"
+    for i, a in enumerate(F7_COLS) for b in F7_COLS[i + 1:]))
+def q_corr_matrix(spark, sf):
+    return rounded(st.corr_pairs(S.lineitem_wide(spark, sf), F7_COLS), 6)
+
+
+@query("q_corr_matrix_panel", f"WITH d AS ({F7_SQL}) " + " UNION ALL ".join(
+    f"SELECT l_returnflag, '{a}' AS a, '{b}' AS b, {r(_nn(f'corr({a}, {b})'), 6)} AS r FROM d JOIN "
+    f"(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem) USING "
+    f"(l_orderkey, l_linenumber, l_partkey, l_suppkey) GROUP BY l_returnflag"
+    for i, a in enumerate(F7_COLS[:4]) for b in F7_COLS[i + 1:4]))
+def q_corr_matrix_panel(spark, sf):
+    li = S.table(spark, sf, "lineitem")
+    return rounded(st.corr_pairs(li, F7_COLS[:4], keys=["l_returnflag"]), 6)
+
+
+def _corr_filter_sql() -> str:
+    parts = [f"SELECT '{F7_FEATS[0]}' AS feature, 0 AS position, CAST(NULL AS DOUBLE) AS max_abs_corr, TRUE AS kept"]
+    for j, b in enumerate(F7_FEATS[1:], start=1):
+        rs = [_nn(f"abs(corr({a}, {b}))") for a in F7_FEATS[:j]]
+        m = f"greatest({', '.join(rs)})" if len(rs) > 1 else rs[0]
+        parts.append(f"SELECT '{b}', {j}, {r(m, 6)}, COALESCE(NOT ({m} > 0.95), TRUE) FROM d")
+    return f"WITH d AS ({F7_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("q_corr_filter", _corr_filter_sql())
+def q_corr_filter(spark, sf):
+    return rounded(rd.correlation_filter(S.lineitem_wide(spark, sf), F7_FEATS), 6)
+
+
+@query("q_f_regression", f"""
+WITH d AS ({F7_SQL}),
+s AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {i} AS position, {_nn(f'corr({c}, target)')} AS r, COUNT(*) AS n FROM d"
+                          for i, c in enumerate(F7_FEATS))}),
+f AS (SELECT feature, position, r, CASE WHEN abs(r) = 1 THEN 'inf'::DOUBLE ELSE r * r / (1.0 - r * r) * (n - 2) END AS f FROM s)
+SELECT feature, position, {r('r', 6)} AS r, {r('f', 2)} AS f_score,
+       CAST(row_number() OVER (ORDER BY f DESC NULLS LAST, position) AS INTEGER) AS rank FROM f
+""")
+def q_f_regression(spark, sf):
+    out = rd.f_regression_scores(S.lineitem_wide(spark, sf), "target", F7_FEATS)
+    return rounded(out, {"r": 6, "f_score": 2})
+
+
+def _mi_sql(feats, target, bins=10) -> str:
+    long = " UNION ALL ".join(f"SELECT {target} AS y, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM d" for c in feats)
+    vals = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM d" for c in [*feats, target])
+    pos = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS position" for i, c in enumerate(feats))
+    return f"""
+WITH d AS ({F7_SQL}),
+lng AS ({long}),
+vals AS ({vals}),
+rk AS (SELECT feature, v, rank() OVER (PARTITION BY feature ORDER BY v) - 1 AS r0,
+              COUNT(*) OVER (PARTITION BY feature) AS n FROM vals),
+vb AS (SELECT DISTINCT feature, v, CAST(floor(r0 * {bins} / n) AS INTEGER) AS bin FROM rk),
+xb AS (SELECT lng.feature, lng.y, vb.bin FROM lng JOIN vb ON lng.feature = vb.feature AND lng.v = vb.v),
+yb AS (SELECT v AS y, bin AS ybin FROM vb WHERE feature = '{target}'),
+j AS (SELECT xb.feature, xb.bin, yb.ybin FROM xb JOIN yb ON xb.y = yb.y),
+jt AS (SELECT feature, bin, ybin, COUNT(*) AS nxy FROM j GROUP BY ALL),
+px AS (SELECT feature, bin, SUM(nxy) AS nx FROM jt GROUP BY ALL),
+py AS (SELECT feature, ybin, SUM(nxy) AS ny FROM jt GROUP BY ALL),
+tt AS (SELECT feature, SUM(nxy) AS nt FROM jt GROUP BY ALL),
+mi AS (SELECT jt.feature, SUM(CAST(nxy AS DOUBLE) / nt * ln(CAST(nxy AS DOUBLE) * nt / (nx * ny))) AS mi
+       FROM jt JOIN px USING (feature, bin) JOIN py USING (feature, ybin) JOIN tt USING (feature) GROUP BY jt.feature),
+ps AS ({pos})
+SELECT ps.feature, ps.position, {r('mi', 6)} AS mi,
+       CAST(row_number() OVER (ORDER BY mi DESC NULLS LAST, ps.position) AS INTEGER) AS rank
+FROM ps LEFT JOIN mi ON ps.feature = mi.feature
+"""
+
+
+@query("q_mutual_info", _mi_sql(F7_FEATS, "target"))
+def q_mutual_info(spark, sf):
+    return rounded(rd.mutual_info_scores(S.lineitem_wide(spark, sf), "target", F7_FEATS), 6)
+
+
+def _embedding_cols(spark, sf, dims=64):
+    e = S.table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
+
+
+@query("q_pca_variance")
+def q_pca_variance(spark, sf):
+    df = _embedding_cols(spark, sf)
+    pca = rd.fit_pca(df, [f"e{i}" for i in range(64)])
+    return rounded(rd.variance_table(spark, pca, 20), 6)
+
+
+@query("q_pca_loadings")
+def q_pca_loadings(spark, sf):
+    df = _embedding_cols(spark, sf)
+    pca = rd.fit_pca(df, [f"e{i}" for i in range(64)])
+    return rounded(rd.loading_table(spark, pca), 6)
+
+
+@query("q_pca_scores")
+def q_pca_scores(spark, sf):
+    df = _embedding_cols(spark, sf)
+    cols = [f"e{i}" for i in range(64)]
+    pca = rd.fit_pca(df, cols)
+    k = rd.components_for_threshold(pca.explained_ratio, 0.95)
+    return rounded(pca.scores(df, k).select("vec_id", "label", *[f"PC{i + 1}" for i in range(k)]), 6)
+
+
+@query("q_pca_wide_rows")
+def q_pca_wide_rows(spark, sf):
+    df = S.lineitem_wide(spark, sf)
+    pca = rd.fit_pca(df, F7_FEATS)
+    return rounded(rd.variance_table(spark, pca), 6)
+
+
+@query("q_lasso_select")
+def q_lasso_select(spark, sf):
+    return rounded(rd.lasso_selection(S.lineitem_wide(spark, sf), "target", F7_FEATS[:4] + ["net"], 0.01), 6)
+
+
+@query("q_reduce_dimensions")
+def q_reduce_dimensions(spark, sf):
+    feats = fe.engineer_features(f1(spark, sf), "revenue", "date", max_lag=3)
+    out, meta = rd.reduce_dimensions(feats, "revenue", date_col="date", use_pca=True,
+                                     feature_selection_method="f_regression", top_n_features=5)
+    return rounded(out, 6)
+
+
+@query("q_reduce_dimensions_mi")
+def q_reduce_dimensions_mi(spark, sf):
+    feats = fe.engineer_features(f1(spark, sf), "revenue", "date", max_lag=3)
+    out, meta = rd.reduce_dimensions(feats, "revenue", date_col="date", use_pca=False,
+                                     feature_selection_method="mutual_info", top_n_features=5)
+    sel = meta["selected_features"]
+    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(sel)], "rank int, feature string")
+
+
+# =============================================================== splits and folds (SPL1-SPL4)
+def _split_sql(rule: str, keys: bool) -> str:
+    src = F2_SQL if keys else F1_SQL
+    part = "PARTITION BY o_orderpriority " if keys else ""
+    kc = "o_orderpriority, " if keys else ""
+    if rule == "three_way":
+        case = ("CASE WHEN idx < floor(n * (1.0::DOUBLE - 0.2::DOUBLE - 0.1::DOUBLE)) THEN 'train' "
+                "WHEN idx < floor(n * (1.0::DOUBLE - 0.2::DOUBLE)) THEN 'validation' ELSE 'test' END")
+    elif rule == "train_test":
+        case = "CASE WHEN idx < n - floor(n * 0.2::DOUBLE) THEN 'train' ELSE 'test' END"
+    else:
+        case = "CASE WHEN idx < floor(n * (1.0::DOUBLE - 0.2::DOUBLE)) THEN 'train' ELSE 'test' END"
+    return f"""
+WITH s AS (SELECT {kc}date, row_number() OVER ({part}ORDER BY date) - 1 AS idx, COUNT(*) OVER ({part.strip()}) AS n
+           FROM ({src}))
+SELECT {kc}date, CAST(idx AS BIGINT) AS idx, {case} AS part FROM s
+"""
+
+
+def _split(spark, sf, rule, keys):
+    df = (f2(spark, sf) if keys else f1(spark, sf))
+    k = ["o_orderpriority"] if keys else []
+    out = sp.split_labels(df, k, ["date"], rule, 0.2, 0.1)
+    return out.select(*k, "date", "idx", "part")
+
+
+@query("q_split_three_way", _split_sql("three_way", False))
+def q_split_three_way(spark, sf):
+    return _split(spark, sf, "three_way", False)
+
+
+@query("q_split_three_way_panel", _split_sql("three_way", True))
+def q_split_three_way_panel(spark, sf):
+    return _split(spark, sf, "three_way", True)
+
+
+@query("q_split_train_test", _split_sql("train_test", False))
+def q_split_train_test(spark, sf):
+    return _split(spark, sf, "train_test", False)
+
+
+@query("q_split_forecast", _split_sql("forecast", False))
+def q_split_forecast(spark, sf):
+    return _split(spark, sf, "forecast", False)
+
+
+def _folds_sql(keys: bool) -> str:
+    src = F2_SQL if keys else F1_SQL
+    kc = "o_orderpriority, " if keys else ""
+    grp = "GROUP BY o_orderpriority" if keys else ""
+    return f"""
+WITH c AS (SELECT {kc}COUNT(*) AS n FROM ({src}) {grp}),
+f AS (SELECT {kc}n, n // 6 AS sz, unnest(generate_series(0, 4)) AS fold FROM c)
+SELECT {kc}CAST(fold AS INTEGER) AS fold, CAST(n - (5 - fold) * sz AS BIGINT) AS train_end,
+       CAST(n - (5 - fold) * sz AS BIGINT) AS test_start, CAST(n - (5 - fold) * sz + sz AS BIGINT) AS test_end,
+       (n - (5 - fold) * sz) >= floor(n * 0.7::DOUBLE) AS kept
+FROM f
+"""
+
+
+@query("q_cv_folds", _folds_sql(False))
+def q_cv_folds(spark, sf):
+    return sp.cv_folds(f1(spark, sf), [], 5)
+
+
+@query("q_cv_folds_panel", _folds_sql(True))
+def q_cv_folds_panel(spark, sf):
+    return sp.cv_folds(f2(spark, sf), ["o_orderpriority"], 5)
+
+
+# =============================================================== models (MDL1-MDL11, AGG8, AGG10)
+@query("q_linear_fit", f"""
+SELECT {r('regr_intercept(revenue, n)', 4)} AS intercept, {r('regr_slope(revenue, n)', 6)} AS n FROM ({F1_SQL})
+""")
+def q_linear_fit(spark, sf):
+    return rounded(md.fit_linear_per_series(f1(spark, sf), [], ["n"], "revenue"), {"intercept": 4, "n": 6})
+
+
+@query("q_linear_fit_panel", f"""
+SELECT o_orderpriority, {r('regr_intercept(revenue, n)', 4)} AS intercept, {r('regr_slope(revenue, n)', 6)} AS n
+FROM ({F2_SQL}) GROUP BY o_orderpriority
+""")
+def q_linear_fit_panel(spark, sf):
+    out = md.fit_linear_per_series(f2(spark, sf), ["o_orderpriority"], ["n"], "revenue")
+    return rounded(out, {"intercept": 4, "n": 6})
+
+
+@query("q_ridge_fit_panel", f"""
+WITH s AS (SELECT o_orderpriority, regr_sxy(revenue, n) AS sxy, regr_sxx(revenue, n) AS sxx, AVG(revenue) AS my,
+           AVG(n) AS mx FROM ({F2_SQL}) GROUP BY o_orderpriority)
+SELECT o_orderpriority, {r('my - sxy / (sxx + 1000.0) * mx', 4)} AS intercept, {r('sxy / (sxx + 1000.0)', 6)} AS n FROM s
+""")
+def q_ridge_fit_panel(spark, sf):
+    out = md.fit_linear_per_series(f2(spark, sf), ["o_orderpriority"], ["n"], "revenue", alpha=1000.0)
+    return rounded(out, {"intercept": 4, "n": 6})
+
+
+def _mllib_coefs(spark, sf, model_type, params=None):
+    df = S.lineitem_wide(spark, sf)
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    m = md.train_model(df, feats, "target", model_type, params)
+    return rounded(md.importances(m, feats, spark), 6)
+
+
+@query("q_linear_mllib")
+def q_linear_mllib(spark, sf):
+    return _mllib_coefs(spark, sf, "linear")
+
+
+@query("q_ridge")
+def q_ridge(spark, sf):
+    return _mllib_coefs(spark, sf, "ridge", {"alpha": 1.0})
+
+
+@query("q_lasso")
+def q_lasso(spark, sf):
+    return _mllib_coefs(spark, sf, "lasso", {"alpha": 0.01})
+
+
+@query("q_elasticnet")
+def q_elasticnet(spark, sf):
+    return _mllib_coefs(spark, sf, "elasticnet", {"alpha": 0.01, "l1_ratio": 0.5})
+
+
+def _tree_eval(spark, sf, model_type, params=None):
+    df = S.lineitem_wide(spark, sf)
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    lab = sp.split_labels(df, [], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "train_test", 0.2)
+    m = md.train_model(lab.where("part = 'train'"), feats, "target", model_type, params)
+    _, met = md.evaluate_model(m, lab.where("part = 'test'"), feats, "target")
+    return met, m, feats
+
+
+@query("q_random_forest")
+def q_random_forest(spark, sf):
+    met, _, _ = _tree_eval(spark, sf, "randomforest", {"n_estimators": 100, "max_depth": 10})
+    return met
+
+
+@query("q_gbt")
+def q_gbt(spark, sf):
+    met, _, _ = _tree_eval(spark, sf, "gbm", {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3})
+    return met
+
+
+@query("q_importances")
+def q_importances(spark, sf):
+    _, m, feats = _tree_eval(spark, sf, "gbm", {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3})
+    return rounded(md.importances(m, feats, spark), 6)
+
+
+_TREND_SQL = f"""
+WITH s AS (SELECT *, CAST(row_number() OVER (ORDER BY date) - 1 AS DOUBLE) AS idx FROM ({F1_SQL})),
+c AS (SELECT regr_intercept(revenue, idx) AS b, regr_slope(revenue, idx) AS w FROM s),
+p AS (SELECT s.date, s.idx, s.revenue, c.b + c.w * s.idx AS prediction FROM s, c)
+"""
+
+
+def _trend(spark, sf):
+    """F1 with a fitted linear time trend as prediction (normal equations by aggregation)."""
+    d = fe.row_index(f1(spark, sf), [], ["date"]).withColumn("idx", F.col("idx").cast("double"))
+    coefs = md.fit_linear_per_series(d, [], ["idx"], "revenue")
+    return md.predict_linear(d, coefs, [], ["idx"])
+
+
+_MET_DIG = {"mse": 0, "rmse": 4, "mae": 4, "mape": 6, "r2": 6}
+
+
+@query("q_metrics", _TREND_SQL + f"""
+, m AS (SELECT AVG(revenue) AS ybar FROM p)
+SELECT CAST(COUNT(*) AS BIGINT) AS n, {r('SQRT(AVG((revenue - prediction) * (revenue - prediction)))', 4)} AS rmse,
+  {r('AVG(abs(revenue - prediction))', 4)} AS mae,
+  {r('AVG(CASE WHEN revenue != 0 THEN abs((revenue - prediction) / revenue) END) * 100', 6)} AS mape,
+  {r('1 - SUM((revenue - prediction) * (revenue - prediction)) / SUM((revenue - ybar) * (revenue - ybar))', 6)} AS r2
+FROM p, m
+""")
+def q_metrics(spark, sf):
+    met = st.regression_metrics(_trend(spark, sf), "revenue", "prediction")
+    return rounded(met.drop("mse"), _MET_DIG)
+
+
+def _cv_sql(keys: bool) -> str:
+    src = F2_SQL if keys else F1_SQL
+    part = "PARTITION BY o_orderpriority " if keys else ""
+    kc = "o_orderpriority, " if keys else ""
+    kj = "s.o_orderpriority = f.o_orderpriority" if keys else "TRUE"
+    grp = "o_orderpriority, " if keys else ""
+    return f"""
+WITH s AS (SELECT {kc}date, revenue, n AS cnt, CAST(row_number() OVER ({part}ORDER BY date) - 1 AS BIGINT) AS idx
+           FROM ({src})),
+c AS (SELECT {kc}COUNT(*) AS n FROM s {'GROUP BY o_orderpriority' if keys else ''}),
+f0 AS (SELECT {kc}n, n // 6 AS sz, unnest(generate_series(0, 4)) AS fold FROM c),
+f AS (SELECT {kc}fold, n - (5 - fold) * sz AS ts, n - (5 - fold) * sz + sz AS te FROM f0
+      WHERE n - (5 - fold) * sz >= floor(n * 0.7::DOUBLE)),
+tr AS (SELECT {'f.o_orderpriority, ' if keys else ''}f.fold, regr_intercept(s.revenue, s.cnt) AS b,
+              regr_slope(s.revenue, s.cnt) AS w FROM s JOIN f ON {kj} AND s.idx < f.ts
+       GROUP BY {'f.o_orderpriority, ' if keys else ''}f.fold),
+te AS (SELECT {'f.o_orderpriority, ' if keys else ''}f.fold, s.revenue, s.cnt FROM s JOIN f ON {kj}
+       AND s.idx >= f.ts AND s.idx < f.te),
+p AS (SELECT te.*, tr.b + tr.w * te.cnt AS prediction FROM te JOIN tr USING ({grp}fold)),
+yb AS (SELECT {grp}fold, AVG(revenue) AS ybar FROM p GROUP BY ALL)
+SELECT {grp}CAST(fold AS INTEGER) AS fold, CAST(COUNT(*) AS BIGINT) AS n,
+  {r('SQRT(AVG((revenue - prediction) * (revenue - prediction)))', 4)} AS rmse,
+  {r('AVG(abs(revenue - prediction))', 4)} AS mae,
+  {r('AVG(CASE WHEN revenue != 0 THEN abs((revenue - prediction) / revenue) END) * 100', 6)} AS mape,
+  {r('1 - SUM((revenue - prediction) * (revenue - prediction)) / SUM((revenue - ybar) * (revenue - ybar))', 6)} AS r2
+FROM p JOIN yb USING ({grp}fold) GROUP BY {grp}fold
+"""
+
+
+@query("q_cv_scores", _cv_sql(False))
+def q_cv_scores(spark, sf):
+    per_fold, _, _ = md.cv_linear(f1(spark, sf), ["n"], "revenue", [], 5, order=["date"])
+    return rounded(per_fold.drop("mse"), _MET_DIG)
+
+
+@query("q_cv_scores_panel", _cv_sql(True))
+def q_cv_scores_panel(spark, sf):
+    per_fold, _, _ = md.cv_linear(f2(spark, sf), ["n"], "revenue", ["o_orderpriority"], 5, order=["date"])
+    return rounded(per_fold.drop("mse"), _MET_DIG)
+
+
+@query("q_cv_summary")
+def q_cv_summary(spark, sf):
+    _, summary, _ = md.cv_linear(f2(spark, sf), ["n"], "revenue", ["o_orderpriority"], 3, order=["date"])
+    return rounded(summary, 6)
+
+
+@query("q_cv_mllib")
+def q_cv_mllib(spark, sf):
+    per_fold, summary = md.time_series_cv(f1(spark, sf), ["n", "avg_price"], "revenue", "linear", n_splits=5,
+                                          order=["date"])
+    return rounded(per_fold, 6)
+
+
+@query("q_train_and_evaluate")
+def q_train_and_evaluate(spark, sf):
+    res = md.train_and_evaluate(f1(spark, sf), "revenue", ["n", "avg_price"], "date", "linear", use_cv=True)
+    return rounded(res.metrics, 6)
+
+
+# =============================================================== residual diagnostics (MDL12, WIN10-WIN15, AGG9-AGG14)
+@query("q_residual_stats", _TREND_SQL + f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS n, {r('AVG(revenue - prediction)', 4)} AS mean,
+  {r('stddev_pop(revenue - prediction)', 4)} AS std, {r('MIN(revenue - prediction)', 4)} AS min,
+  {r('MAX(revenue - prediction)', 4)} AS max FROM p
+""")
+def q_residual_stats(spark, sf):
+    out = dg.residual_tests(_trend(spark, sf), "revenue", "prediction", order=["date"])
+    return rounded(out.select("n", "mean", "std", "min", "max"), 4)
+
+
+_RESID_LAG_SQL = _TREND_SQL + """
+, e AS (SELECT date, revenue - prediction AS e FROM p),
+m AS (SELECT AVG(e) AS mu FROM e),
+l AS (SELECT e.e, e.e - m.mu AS c, lag(e.e) OVER (ORDER BY date) AS e1, lag(e.e - m.mu) OVER (ORDER BY date) AS c1 FROM e, m)
+"""
+
+
+@query("q_durbin_watson", _RESID_LAG_SQL + f"""
+, d AS (SELECT SUM((e - e1) * (e - e1)) / SUM(e * e) AS dw FROM l)
+SELECT {r('dw', 6)} AS durbin_watson, CASE WHEN dw < 1.5 THEN 'Positive autocorrelation'
+  WHEN dw > 2.5 THEN 'Negative autocorrelation' ELSE 'No significant autocorrelation' END AS durbin_watson_interpretation
+FROM d
+""")
+def q_durbin_watson(spark, sf):
+    out = dg.residual_tests(_trend(spark, sf), "revenue", "prediction", order=["date"])
+    return rounded(out.select("durbin_watson", "durbin_watson_interpretation"), 6)
+
+
+@query("q_ljung_box", _RESID_LAG_SQL + f"""
+, q AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, SUM(c * c1) / SUM(c * c) AS rho FROM l)
+SELECT {r('n * (n + 2) * rho * rho / (n - 1)', 6)} AS ljung_box_stat FROM q
+""")
+def q_ljung_box(spark, sf):
+    out = dg.residual_tests(_trend(spark, sf), "revenue", "prediction", order=["date"])
+    return rounded(out.select("ljung_box_stat"), 6)
+
+
+@query("q_residual_tests_panel")
+def q_residual_tests_panel(spark, sf):
+    d = fe.row_index(f2(spark, sf), ["o_orderpriority"], ["date"]).withColumn("idx", F.col("idx").cast("double"))
+    coefs = md.fit_linear_per_series(d, ["o_orderpriority"], ["idx"], "revenue")
+    pred = md.predict_linear(d, coefs, ["o_orderpriority"], ["idx"])
+    return rounded(dg.residual_tests(pred, "revenue", "prediction", ["o_orderpriority"], ["date"]), 6)
+
+
+def _acf_sql(nlags: int = 20) -> str:
+    lags = ", ".join(f"lag(c, {k}) OVER (ORDER BY date) AS l{k}" for k in range(1, nlags + 1))
+    sums = ", ".join(f"SUM(c * l{k}) AS s{k}" for k in range(1, nlags + 1))
+    rows = " UNION ALL ".join(f"SELECT {k} AS lag, {'s0' if k == 0 else f's{k}'} / s0 AS acf, n FROM sm"
+                              for k in range(0, nlags + 1))
+    return f"""
+WITH s AS ({F1_SQL}), m AS (SELECT AVG(revenue) AS mu FROM s),
+c AS (SELECT date, revenue - mu AS c FROM s, m),
+l AS (SELECT c, {lags} FROM c),
+sm AS (SELECT COUNT(*) AS n, SUM(c * c) AS s0, {sums} FROM l),
+a AS ({rows}),
+v AS (SELECT lag, acf, n, COALESCE(SUM(CASE WHEN lag >= 1 THEN acf * acf ELSE 0 END)
+        OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM a),
+se AS (SELECT lag, acf, sqrt(CASE WHEN lag = 0 THEN 0.0 WHEN lag = 1 THEN 1.0 / n ELSE (1.0 + 2.0 * cum) / n END) AS se FROM v)
+SELECT CAST(lag AS INTEGER) AS lag, {r('acf', 6)} AS acf, {r(f'acf - {dg.Z95!r} * se', 6)} AS conf_lo,
+       {r(f'acf + {dg.Z95!r} * se', 6)} AS conf_hi FROM se
+"""
+
+
+@query("q_acf", _acf_sql())
+def q_acf(spark, sf):
+    return rounded(dg.acf(f1(spark, sf), "revenue", 20, order=["date"]), 6)
+
+
+@query("q_acf_panel")
+def q_acf_panel(spark, sf):
+    return rounded(dg.acf(S.events_with_gaps(spark, sf), "value", 10, keys=["user_id"], order=["ts", "event_id"]), 6)
+
+
+@query("q_qq")
+def q_qq(spark, sf):
+    pts, line = dg.qq_table(_trend(spark, sf).withColumn("e", F.col("revenue") - F.col("prediction")), "e")
+    return rounded(pts, 6)
+
+
+@query("q_qq_line")
+def q_qq_line(spark, sf):
+    pts, line = dg.qq_table(S.events_with_gaps(spark, sf), "value", keys=["event_type"])
+    return rounded(line, 6)
+
+
+@query("q_error_hist", _TREND_SQL + f"""
+, e AS (SELECT revenue - prediction AS v FROM p), b AS (SELECT MIN(v) AS lo, MAX(v) AS hi FROM e),
+h AS (SELECT CASE WHEN hi = lo THEN 1 ELSE least(floor((v - lo) / (hi - lo) * 20) + 1, 20) END AS bin, lo, hi FROM e, b)
+SELECT CAST(bin AS INTEGER) AS bin, {r('lo + (hi - lo) / 20 * (bin - 1)', 4)} AS lo,
+       {r('CASE WHEN hi = lo THEN hi ELSE lo + (hi - lo) / 20 * bin END', 4)} AS hi, CAST(COUNT(*) AS BIGINT) AS count
+FROM h GROUP BY bin, lo, hi
+""")
+def q_error_hist(spark, sf):
+    t = _trend(spark, sf).withColumn("e", F.col("revenue") - F.col("prediction"))
+    return rounded(st.histogram(t, "e", 20), 4)
+
+
+@query("q_histogram_panel", f"""
+WITH e AS (SELECT event_type, value AS v FROM ({F6_SQL}) WHERE value IS NOT NULL),
+b AS (SELECT event_type, MIN(v) AS lo, MAX(v) AS hi FROM e GROUP BY 1),
+h AS (SELECT e.event_type, CASE WHEN hi = lo THEN 1 ELSE least(floor((v - lo) / (hi - lo) * 10) + 1, 10) END AS bin, lo, hi
+      FROM e JOIN b USING (event_type))
+SELECT event_type, CAST(bin AS INTEGER) AS bin, {r('lo + (hi - lo) / 10 * (bin - 1)', 6)} AS lo,
+       {r('CASE WHEN hi = lo THEN hi ELSE lo + (hi - lo) / 10 * bin END', 6)} AS hi, CAST(COUNT(*) AS BIGINT) AS count
+FROM h GROUP BY ALL
+""")
+def q_histogram_panel(spark, sf):
+    return rounded(st.histogram(S.events_with_gaps(spark, sf), "value", 10, keys=["event_type"]), 6)
+
+
+@query("q_mean_error", _TREND_SQL + f"SELECT {r('AVG(revenue - prediction)', 4)} AS mean_error FROM p")
+def q_mean_error(spark, sf):
+    return rounded(st.mean_error(_trend(spark, sf), "revenue", "prediction"), 4)
+
+
+def _box_sql(part: str) -> str:
+    return f"""
+WITH v AS (SELECT CAST({part}(l_shipdate) AS INTEGER) AS g, l_extendedprice AS x FROM lineitem),
+q AS (SELECT g, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY g),
+j AS (SELECT v.g, v.x, q.q1, q.med, q.q3, v.x BETWEEN q.q1 - 1.5 * (q.q3 - q.q1) AND q.q3 + 1.5 * (q.q3 - q.q1) AS inside
+      FROM v JOIN q USING (g))
+SELECT g AS {part}, {r('FIRST(q1)', 4)} AS q1, {r('FIRST(med)', 4)} AS median, {r('FIRST(q3)', 4)} AS q3,
+  {r('MIN(CASE WHEN inside THEN x END)', 4)} AS whisker_lo, {r('MAX(CASE WHEN inside THEN x END)', 4)} AS whisker_hi,
+  CAST(COUNT(CASE WHEN NOT inside THEN 1 END) AS BIGINT) AS outliers, CAST(COUNT(*) AS BIGINT) AS n
+FROM j GROUP BY g
+"""
+
+
+def _box(spark, sf, part):
+    li = S.table(spark, sf, "lineitem")
+    fn = F.year if part == "year" else F.month
+    v = li.select(fn("l_shipdate").alias(part), "l_extendedprice")
+    return rounded(st.boxplot_stats(v, "l_extendedprice", [part]), 4)
+
+
+@query("q_boxplot_year", _box_sql("year"))
+def q_boxplot_year(spark, sf):
+    return _box(spark, sf, "year")
+
+
+@query("q_boxplot_month", _box_sql("month"))
+def q_boxplot_month(spark, sf):
+    return _box(spark, sf, "month")
+
+
+@query("q_kde", f"""
+WITH v AS (SELECT l_extendedprice AS x FROM lineitem),
+s AS (SELECT COUNT(x) AS n, stddev_samp(x) AS sd, MIN(x) AS lo, MAX(x) AS hi FROM v),
+g AS (SELECT i, lo + (hi - lo) * i / 99 AS gx, sd * pow(n, -0.2) AS h, n FROM s, (SELECT unnest(generate_series(0, 99)) AS i))
+SELECT {r('gx', 4)} AS x, {r('SUM(exp(-0.5 * pow((gx - x) / h, 2))) * (1.0 / (n * h * sqrt(2 * pi())))', 10)} AS density
+FROM g, v GROUP BY i, gx, h, n
+""")
+def q_kde(spark, sf):
+    li = S.table(spark, sf, "lineitem")
+    return rounded(st.kde(li, "l_extendedprice", 100), {"x": 4, "density": 10})
+
+
+def _decomp_sql(model: str, p: int = 12) -> str:
+    h = p // 2
+    det = "observed - trend" if model == "additive" else "observed / trend"
+    cen = "pm - pc" if model == "additive" else "pm / pc"
+    res = "observed - trend - seasonal" if model == "additive" else "observed / (trend * seasonal)"
+    return f"""
+WITH s AS (SELECT date, revenue AS observed, row_number() OVER (ORDER BY date) - 1 AS idx FROM ({F1_SQL})),
+t AS (SELECT *, CASE WHEN COUNT(observed) OVER (ORDER BY idx ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) = {p + 1}
+        THEN (SUM(observed) OVER (ORDER BY idx ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)
+              - 0.5 * lag(observed, {h}) OVER (ORDER BY idx) - 0.5 * lead(observed, {h}) OVER (ORDER BY idx)) / {p}
+        END AS trend FROM s),
+d AS (SELECT *, idx % {p} AS phase, {det} AS det FROM t),
+ph AS (SELECT phase, AVG(det) AS pm FROM d GROUP BY phase),
+pc AS (SELECT AVG(pm) AS pc FROM ph),
+sea AS (SELECT phase, {cen} AS seasonal FROM ph, pc)
+SELECT date, CAST(idx AS BIGINT) AS idx, {r('observed', 2)} AS observed, {r('trend', 4)} AS trend,
+       {r('seasonal', 6)} AS seasonal, {r(res, 6)} AS resid
+FROM d JOIN sea USING (phase)
+"""
+
+
+def _decomp(spark, sf, model):
+    out = dg.decompose(f1(spark, sf), "revenue", 12, model, order=["date"])
+    return rounded(out, {"observed": 2, "trend": 4, "seasonal": 6, "resid": 6})
+
+
+@query("q_decompose_additive", _decomp_sql("additive"))
+def q_decompose_additive(spark, sf):
+    return _decomp(spark, sf, "additive")
+
+
+@query("q_decompose_multiplicative", _decomp_sql("multiplicative"))
+def q_decompose_multiplicative(spark, sf):
+    return _decomp(spark, sf, "multiplicative")
+
+
+@query("q_decompose_panel")
+def q_decompose_panel(spark, sf):
+    s = pr.interpolate_linear(S.events_with_gaps(spark, sf), ["value"], ["user_id"], ["ts", "event_id"])
+    out = dg.decompose(s, "value", 7, "additive", keys=["user_id"], order=["ts", "event_id"])
+    return rounded(out.select("user_id", "event_id", "trend", "seasonal", "resid"), 6)
+
+
+_RO_W, _RO_STEP = 12, 6
+
+
+@query("q_rolling_origin", f"""
+WITH s AS (SELECT date, revenue, row_number() OVER (ORDER BY date) - 1 AS idx,
+             AVG(revenue) OVER (ORDER BY date ROWS BETWEEN {_RO_W - 1} PRECEDING AND CURRENT ROW) AS m12,
+             COUNT(*) OVER () AS n FROM ({F1_SQL})),
+w AS (SELECT (idx + 1) // {_RO_STEP} AS window_id, m12 AS yhat FROM s
+      WHERE (idx + 1) % {_RO_STEP} = 0 AND idx + 1 >= {_RO_W} AND idx + 1 + {_RO_W} <= n),
+p AS (SELECT window_id, unnest(generate_series(0, {_RO_W - 1})) AS pos, yhat FROM w)
+SELECT CAST(p.window_id AS BIGINT) AS window_id, CAST(p.pos AS INTEGER) AS pos, {r('p.yhat', 2)} AS yhat,
+       CAST(p.window_id * {_RO_STEP} + p.pos AS BIGINT) AS idx, {r('s.revenue', 2)} AS actual
+FROM p LEFT JOIN s ON s.idx = p.window_id * {_RO_STEP} + p.pos
+""")
+def q_rolling_origin(spark, sf):
+    d = fe.create_rolling_features(f1(spark, sf), ["revenue"], [_RO_W], ["mean"], order=["date"])
+    d = fe.row_index(d, [], ["date"])
+    d = join_on_keys(d, d.agg(F.count(F.lit(1)).alias("__n")), [], "inner")
+    e = d.where(((F.col("idx") + 1) % _RO_STEP == 0) & (F.col("idx") + 1 >= _RO_W) & (F.col("idx") + 1 + _RO_W <= F.col("__n")))
+    preds = e.select(((F.col("idx") + 1) / _RO_STEP).cast("long").alias("window_id"),
+                     F.explode(F.sequence(F.lit(0), F.lit(_RO_W - 1))).alias("pos"),
+                     F.col(f"revenue_roll_{_RO_W}_mean").alias("yhat"))
+    out = dg.rolling_origin_table(d.select("idx", F.col("revenue").alias("y")), preds, _RO_STEP)
+    return rounded(out.select("window_id", "pos", "yhat", "idx", "actual"), 2)
+
+
+# =============================================================== forecasting (FC1-FC7, JN4, FRQ6)
+def _forecaster(spark, sf, keys=(), regressors=(), holidays=None, seasonalities=None):
+    cfg = fc.ForecastConfig(yearly_seasonality=True, regressors=list(regressors),
+                            seasonalities=list(seasonalities or []))
+    src = f2(spark, sf) if keys else f1(spark, sf)
+    return fc.AdditiveForecaster(cfg, keys=list(keys), ds="date", y="revenue", holidays=holidays), src
+
+
+@query("q_forecast")
+def q_forecast(spark, sf):
+    m, src = _forecaster(spark, sf)
+    lab = sp.split_labels(src, [], ["date"], "forecast", 0.2)
+    m.fit(lab.where("part = 'train'"))
+    pred = m.predict(lab)
+    test = pred.where("part = 'test'")
+    return rounded(st.regression_metrics(test, "revenue", "yhat"), 6)
+
+
+@query("q_forecast_panel")
+def q_forecast_panel(spark, sf):
+    m, src = _forecaster(spark, sf, keys=["o_orderpriority"], regressors=["n"])
+    lab = sp.split_labels(src, ["o_orderpriority"], ["date"], "forecast", 0.2)
+    m.fit(lab.where("part = 'train'"))
+    pred = m.predict(lab)
+    return rounded(st.regression_metrics(pred.where("part = 'test'"), "revenue", "yhat", ["o_orderpriority"]), 6)
+
+
+@query("q_forecast_components")
+def q_forecast_components(spark, sf):
+    m, src = _forecaster(spark, sf, seasonalities=[{"name": "quarterly", "period": 91.25, "fourier_order": 3}])
+    m.fit(src)
+    fut = m.make_future(src, 12)
+    return rounded(m.predict(fut), 4)
+
+
+def _holidays(spark, sf):
+    """Holiday table derived from the orders calendar: every year start present in the data."""
+    o = S.table(spark, sf, "orders")
+    return o.select(F.trunc(F.to_date("o_orderdate"), "year").alias("ds"), F.lit("new_year").alias("holiday")).distinct()
+
+
+@query("q_holiday_features", f"""
+WITH h AS (SELECT DISTINCT CAST(date_trunc('year', o_orderdate) AS DATE) AS ds FROM orders)
+SELECT s.date, CAST(CASE WHEN h.ds IS NULL THEN 0 ELSE 1 END AS INTEGER) AS holiday_new_year
+FROM ({F1_SQL}) s LEFT JOIN h ON s.date = h.ds
+""")
+def q_holiday_features(spark, sf):
+    out = fc.holiday_features(f1(spark, sf), _holidays(spark, sf), "date")
+    return out.select("date", "holiday_new_year")
+
+
+@query("q_forecast_holidays")
+def q_forecast_holidays(spark, sf):
+    m, src = _forecaster(spark, sf, holidays=_holidays(spark, sf))
+    m.fit(src)
+    return rounded(m.predict(src).select("date", "revenue", "yhat", "holidays"), 4)
+
+
+@query("q_regressor_future", f"""
+WITH s AS ({F2_SQL}),
+last AS (SELECT o_orderpriority, MAX(date) AS mx, AVG(n) AS mn FROM s GROUP BY 1),
+fut AS (SELECT o_orderpriority, date FROM s UNION
+        SELECT o_orderpriority, CAST(unnest(generate_series(mx + INTERVAL 1 MONTH, mx + INTERVAL 6 MONTH, INTERVAL 1 MONTH))
+               AS DATE) FROM last)
+SELECT fut.o_orderpriority, fut.date, {r('COALESCE(CAST(s.n AS DOUBLE), last.mn)', 6)} AS n
+FROM fut LEFT JOIN s ON fut.o_orderpriority = s.o_orderpriority AND fut.date = s.date
+JOIN last ON fut.o_orderpriority = last.o_orderpriority
+""")
+def q_regressor_future(spark, sf):
+    src = f2(spark, sf).withColumn("n", F.col("n").cast("double"))
+    fut = pr.future_frame(src, "date", 6, ["o_orderpriority"])
+    out = fc.regressor_future(fut, src, ["n"], ["o_orderpriority"], "date", "actual")
+    return rounded(out.select("o_orderpriority", "date", "n"), 6)
+
+
+@query("q_custom_seasonality", f"""
+SELECT date, {', '.join(f"{r(f'sin({2 * math.pi * h / 91.25!r} * CAST(date - DATE {chr(39)}1970-01-01{chr(39)} AS DOUBLE))', 6)} AS quarterly_s{h}, "
+                        f"{r(f'cos({2 * math.pi * h / 91.25!r} * CAST(date - DATE {chr(39)}1970-01-01{chr(39)} AS DOUBLE))', 6)} AS quarterly_c{h}"
+                        for h in (1, 2, 3))}
+FROM ({F1_SQL})
+""")
+def q_custom_seasonality(spark, sf):
+    out = fc.seasonality_features(f1(spark, sf), "date", "quarterly", 91.25, 3)
+    return rounded(out.select("date", *[f"quarterly_{t}{h}" for h in (1, 2, 3) for t in ("s", "c")]), 6)
+
+
+# =============================================================== sinks and the end-to-end job (SNK*, SRC1, SRC3, PIP*)
+@query("q_csv_roundtrip", f"SELECT date, {r('revenue', 2)} AS revenue, n, {r('avg_price', 4)} AS avg_price FROM ({F1_SQL})")
+def q_csv_roundtrip(spark, sf):
+    import uuid
+    from almanac.session import scratch_path
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    io.write_table(f1(spark, sf), path, fmt="csv")
+    back = io.load_data(spark, path, date_col="date", fmt="csv",
+                        schema="date STRING, revenue DOUBLE, n BIGINT, avg_price DOUBLE")
+    return rounded(back, {"revenue": 2, "avg_price": 4})
+
+
+@query("q_pipeline_summary")
+def q_pipeline_summary(spark, sf):
+    from almanac.plans.pipeline import PipelineConfig, run_pipeline
+    cfg = PipelineConfig(target_col="revenue", date_col="date", model_type="linear", max_lag=3, use_pca=False,
+                         feature_selection_method="f_regression", top_n_features=5)
+    return run_pipeline(spark, f1(spark, sf), cfg).summary

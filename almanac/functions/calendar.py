@@ -14,7 +14,7 @@ DEFAULT_DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "yyyy/MM/dd", "d.M.yyyy", "yyy
 def parse_date(c: Column | str, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
     """First format that parses wins; unparsable text gives NULL (DT1)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(*[F.try_to_date(c, F.lit(f)) if hasattr(F, "try_to_date") else F.to_date(c, f) for f in formats])
+    return F.coalesce(*[F.try_to_date(c, f) for f in formats])
 
 
 def quarter_end(d: Column) -> Column:

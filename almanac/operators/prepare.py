@@ -238,6 +238,7 @@ def handle_missing_values(df: DataFrame, method: str = "mean", fill_groups: Sequ
             groups = []
         out = df
         if groups:
+            cols = [c for c in cols if c not in groups]
             stage1 = _group_stats(df, keys + groups, cols, method)
             stage1 = stage1.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in groups]))
             s1 = stage1.select(*keys, *groups, *[F.col(c).alias(f"__g_{c}") for c in cols])

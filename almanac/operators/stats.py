@@ -19,6 +19,16 @@ from almanac.plans.ordered import IDX, join_on_keys, series_plan
 CORR_CHUNK = 500
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate that is NULL (not an error under ANSI mode) when
+    either side is constant: covar_pop / (sd_pop(a) * sd_pop(b)), both over the rows where
+    a and b are present."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    den = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(den > 0, F.covar_pop(x, y) / den)
+
+
 def exact_quantiles(df: DataFrame, group: Sequence[str], col: str, probs: Sequence[float],
                     names: Sequence[str] | None = None, block_rows: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group (numpy / pandas default), exact."""
@@ -71,8 +81,7 @@ def corr_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
         chunk = pairs[s:s + CORR_CHUNK]
         aggs = []
         for a, b in chunk:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            r = F.corr(F.when(both, F.col(a)), F.when(both, F.col(b)))
+            r = pearson(F.col(a), F.col(b))
             aggs.append((F.abs(r) if absolute else r).alias(f"{a}\u0001{b}"))
         wide = df.groupBy(*keys).agg(*aggs)
         body = ", ".join(f"'{a}', '{b}', `{a}\u0001{b}`" for a, b in chunk)
@@ -117,18 +126,18 @@ def residual_summary(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) ->
 
 def histogram(df: DataFrame, col: str, bins: int = 20, keys: Sequence[str] = ()) -> DataFrame:
     """Equal-width histogram between min and max; the maximum belongs to the last bin; a
-    constant column is one bin (AGG12). Columns: keys..., bin (1..n), lo, hi, count."""
+    constant column is one bin (AGG12). Columns: keys..., bin (1..n), lo, hi, count.
+    bin = least(floor((x - min) / (max - min) * n) + 1, n)."""
     keys = list(keys)
     v = df.select(*keys, F.col(col).alias("__v")).where(F.col("__v").isNotNull())
     fit = Fitted.fit(v, keys, {"__lo": F.min("__v"), "__hi": F.max("__v")})
     based, p, drop = fit.attach(v)
     lo, hi = p["__lo"], p["__hi"]
-    b = F.when(hi == lo, F.lit(1)).otherwise(F.least(F.width_bucket("__v", lo, hi, F.lit(bins)), F.lit(bins)))
-    width = (hi - lo) / F.lit(bins)
+    raw = F.floor((F.col("__v") - lo) / (hi - lo) * F.lit(bins)) + 1
+    b = F.when(hi == lo, F.lit(1)).otherwise(F.least(raw, F.lit(bins)))
     out = based.withColumn("bin", b.cast("int")).groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).cast("long").alias("count"), F.first(lo).alias("__lo"), F.first(hi).alias("__hi"))
     w2 = (F.col("__hi") - F.col("__lo")) / F.lit(bins)
-    del width
     return out.select(*keys, "bin", (F.col("__lo") + w2 * (F.col("bin") - 1)).alias("lo"),
                       F.when(F.col("__hi") == F.col("__lo"), F.col("__hi")).otherwise(
                           F.col("__lo") + w2 * F.col("bin")).alias("hi"), "count")

@@ -1,0 +1,9 @@
+"""Streaming.
+
+The engine this package rebuilds has no streaming input: every job reads a complete table.
+All operators here are batch DataFrame operators. The stateless ones (calendar columns,
+closed-form transformations with fitted state, predictions of a fitted model) are plain
+column expressions plus joins against small state tables, so they can be applied to a
+Structured Streaming DataFrame unchanged (stream-static joins); order-based operators need
+the whole series and are not offered on streams.
+"""
