@@ -43,7 +43,6 @@ MAX_BUCKETS = 65_536
 BLOCK_ROWS_CONF = "almanac.blockRows"
 
 UNB_PRE = Window.unboundedPreceding
-UNB_FOL = Window.unboundedFollowing
 
 
 def order_as_double(df: DataFrame, name: str) -> Column:
@@ -173,15 +172,18 @@ class SeriesPlan:
         to the row) or ``first`` (first non-null value from the row on)."""
         extra = list(extra)
         if not self.blocked:
-            w = Window.partitionBy(*self.keys, *extra).orderBy(*self.order)
-            cols = [self._scan_expr(kind, e, w).alias(n) for n, kind, e in items]
+            part = [*self.keys, *extra]
+            w = Window.partitionBy(*part).orderBy(*self.order)
+            wr = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in self.order])
+            cols = [self._scan_expr(kind, e, w, wr).alias(n) for n, kind, e in items]
             return df.select("*", *cols)
 
         B = self.block_rows
         part = [*self.keys, *extra, "_blk"]
         base = df.withColumn("_blk", F.floor(F.col(IDX) / F.lit(B)).cast("long"))
         w_in = Window.partitionBy(*part).orderBy(IDX)
-        inner = [self._scan_expr(kind, e, w_in).alias(f"_in_{n}") for n, kind, e in items]
+        w_in_rev = Window.partitionBy(*part).orderBy(F.col(IDX).desc())
+        inner = [self._scan_expr(kind, e, w_in, w_in_rev).alias(f"_in_{n}") for n, kind, e in items]
         base = base.select("*", *inner)
 
         summaries = []
@@ -196,6 +198,7 @@ class SeriesPlan:
                 raise ValueError(f"unknown scan kind {kind!r}")
         blocks = df.withColumn("_blk", F.floor(F.col(IDX) / F.lit(B)).cast("long")).groupBy(*part).agg(*summaries)
         wb = Window.partitionBy(*self.keys, *extra).orderBy("_blk")
+        wb_rev = Window.partitionBy(*self.keys, *extra).orderBy(F.col("_blk").desc())
         carried = []
         for n, kind, _ in items:
             s = F.col(f"_bs_{n}")
@@ -204,7 +207,7 @@ class SeriesPlan:
             elif kind == "last":
                 c = F.last(s, True).over(wb.rowsBetween(UNB_PRE, -1))
             else:
-                c = F.first(s, True).over(wb.rowsBetween(1, UNB_FOL))
+                c = F.last(s, True).over(wb_rev.rowsBetween(UNB_PRE, -1))
             carried.append(c.alias(f"_cr_{n}"))
         blocks = blocks.select(*part, *carried)
         out = join_on_keys(base, blocks, part, "left")
@@ -222,13 +225,16 @@ class SeriesPlan:
         return out.select("*", *final).drop(*drop)
 
     @staticmethod
-    def _scan_expr(kind: str, e: Column, w: Window) -> Column:
+    def _scan_expr(kind: str, e: Column, w: Window, w_rev: Window) -> Column:
+        """Running frames only: a frame ending at UNBOUNDED FOLLOWING is recomputed for every
+        row (quadratic in the partition size), so look-ahead scans run over the reversed
+        order with a running frame instead."""
         if kind == "sum":
             return F.sum(e).over(w.rowsBetween(UNB_PRE, 0))
         if kind == "last":
             return F.last(e, True).over(w.rowsBetween(UNB_PRE, 0))
         if kind == "first":
-            return F.first(e, True).over(w.rowsBetween(0, UNB_FOL))
+            return F.last(e, True).over(w_rev.rowsBetween(UNB_PRE, 0))
         raise ValueError(f"unknown scan kind {kind!r}")
 
     # ------------------------------------------------------------------ per-series stats
