@@ -782,7 +782,7 @@ mi AS (SELECT jt.feature, SUM(CAST(nxy AS DOUBLE) / nt * ln(CAST(nxy AS DOUBLE)
        FROM jt JOIN px USING (feature, bin) JOIN py USING (feature, ybin) JOIN tt USING (feature) GROUP BY jt.feature),
 ps AS ({pos})
 SELECT ps.feature, ps.position, {r('mi', 6)} AS mi,
-       CAST(row_number() OVER (ORDER BY mi DESC NULLS LAST, ps.position) AS INTEGER) AS rank
+       CAST(row_number() OVER (ORDER BY floor(mi * 1e10 + 0.5) DESC NULLS LAST, ps.position) AS INTEGER) AS rank
 FROM ps LEFT JOIN mi ON ps.feature = mi.feature
 """
 

@@ -105,7 +105,7 @@ def qq_table(df: DataFrame, col: str, keys: Sequence[str] = (), block_rows: int
     keys = list(keys)
     v = df.select(*keys, F.col(col).alias("ordered")).where(F.col("ordered").isNotNull())
     plan = series_plan(v, keys, ["ordered"], block_rows)  # tied values give identical output rows
-    r = plan.with_stats(plan.index(v), {"__n": F.count(F.lit(1))})
+    r = plan.with_count(plan.index(v))
     n = F.col("__n").cast("double")
     i = F.col(IDX).cast("double") + 1
     last = F.pow(F.lit(0.5), F.lit(1.0) / n)

@@ -202,7 +202,7 @@ def exact_median(df: DataFrame, group: Sequence[str], cols: Sequence[str], block
             v = v.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group]))
         plan = series_plan(v, group, ["__v"], block_rows)
         r = plan.index(v)
-        r = plan.with_stats(r, {"__n": F.count(F.lit(1))})
+        r = plan.with_count(r)
         lo = F.floor((F.col("__n") - 1) / 2)
         hi = F.ceil((F.col("__n") - 1) / 2)
         m = r.where((F.col(IDX) == lo) | (F.col(IDX) == hi)).groupBy(*group).agg(F.avg("__v").alias(c))

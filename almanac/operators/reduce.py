@@ -75,48 +75,48 @@ def f_regression_scores(df: DataFrame, target: str, features: Sequence[str]) ->
 
 
 # ------------------------------------------------------------------ DIM5
-def equal_frequency_bins(df: DataFrame, columns: Sequence[str], bins: int = 10,
-                         block_rows: int | None = None) -> DataFrame:
-    """Bin of every distinct value of each column: (feature, v, bin) with
-    bin = floor((rank - 1) * bins / n), rank the minimum rank among equal values (ties share a
-    bin). One distributed index job over the unpivoted values of all columns."""
-    body = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    long = df.select(F.expr(f"stack({len(columns)}, {body}) as (feature, v)")).where(F.col("v").isNotNull())
-    plan = series_plan(long, ["feature"], ["v"], block_rows)
-    r = plan.index(long)
-    first = r.groupBy("feature", "v").agg(F.min(IDX).alias("__r0"))
-    cnt = r.groupBy("feature").agg(F.count(F.lit(1)).alias("__n"))
-    b = F.floor(F.col("__r0") * bins / F.col("__n")).cast("int")
-    return first.join(cnt, "feature").select("feature", "v", b.alias("bin"))
+def equal_frequency_bin(df: DataFrame, keys: Sequence[str], value: str, bins: int = 10, out: str = "bin",
+                        block_rows: int | None = None) -> DataFrame:
+    """Add ``out`` = floor(r0 * bins / n) per series (``keys``), r0 the number of smaller
+    values (equal values share a bin), n the number of non-null values. Rows with a NULL
+    value are dropped. One sort (distributed min-rank index) plus a per-series count."""
+    keys = list(keys)
+    d = df.where(F.col(value).isNotNull())
+    plan = series_plan(d, keys, [value], block_rows)
+    r = plan.with_count(plan.index(d, "__r0", ties="min"))
+    return r.withColumn(out, F.floor(F.col("__r0") * bins / F.col("__n")).cast("int")).drop("__r0", "__n")
 
 
 def mutual_info_scores(df: DataFrame, target: str, features: Sequence[str], bins: int = 10,
                        block_rows: int | None = None) -> DataFrame:
     """Binned mutual information (nats) between each feature and the target, equal-frequency
     bins; ranked descending. Columns: feature, position, mi, rank. Re-aimed from a
-    nearest-neighbour estimator: deterministic and a plain group aggregate. Bins are looked
-    up by value, so no row identifier is needed."""
+    nearest-neighbour estimator: deterministic and a plain group aggregate.
+
+    The target's bin is computed on the row first and carried through the unpivot, so the
+    features' bins need no join back to the rows: two sorts and one aggregate in all."""
     feats = list(features)
     d = df.select(*[F.col(c).cast("double").alias(c) for c in feats], F.col(target).cast("double").alias("__y"))
-    d = d.where(F.col("__y").isNotNull())
-    vb = equal_frequency_bins(d.withColumnRenamed("__y", target), [*feats, target], bins, block_rows)
+    d = equal_frequency_bin(d, [], "__y", bins, "ybin", block_rows)
     body = ", ".join(f"'{c}', `{c}`" for c in feats)
-    long = d.select("__y", F.expr(f"stack({len(feats)}, {body}) as (feature, v)")).where(F.col("v").isNotNull())
-    xb = long.join(vb, ["feature", "v"])
-    yb = vb.where(F.col("feature") == target).select(F.col("v").alias("__y"), F.col("bin").alias("ybin"))
-    j = xb.join(yb, "__y")
-    joint = j.groupBy("feature", "bin", "ybin").agg(F.count(F.lit(1)).alias("nxy"))
-    px = joint.groupBy("feature", "bin").agg(F.sum("nxy").alias("nx"))
-    py = joint.groupBy("feature", "ybin").agg(F.sum("nxy").alias("ny"))
-    tot = joint.groupBy("feature").agg(F.sum("nxy").alias("nt"))
-    t = joint.join(px, ["feature", "bin"]).join(py, ["feature", "ybin"]).join(tot, "feature")
+    long = d.select("ybin", F.expr(f"stack({len(feats)}, {body}) as (feature, v)"))
+    long = equal_frequency_bin(long, ["feature"], "v", bins, "bin", block_rows)
+    joint = long.groupBy("feature", "bin", "ybin").agg(F.count(F.lit(1)).alias("nxy"))
+    wx = Window.partitionBy("feature", "bin")      # joint table: at most bins^2 rows per feature
+    wy = Window.partitionBy("feature", "ybin")
+    wt = Window.partitionBy("feature")
+    t = joint.select("feature", "nxy", F.sum("nxy").over(wx).alias("nx"), F.sum("nxy").over(wy).alias("ny"),
+                     F.sum("nxy").over(wt).alias("nt"))
     pxy = F.col("nxy") / F.col("nt")
     term = pxy * F.log(F.col("nxy") * F.col("nt") / (F.col("nx") * F.col("ny")))
     mi = t.groupBy("feature").agg(F.sum(term).alias("mi"))
     spark = df.sparkSession
     pos = spark.createDataFrame([(c, i) for i, c in enumerate(feats)], "feature string, position int")
     out = pos.join(mi, "feature", "left")
-    w = Window.orderBy(F.desc_nulls_last("mi"), "position")  # p rows
+    # rank on mi rounded to 1e-10: equal scores (e.g. monotone copies of a feature) differ
+    # only in summation order, and then the earlier feature wins
+    key = F.floor(F.col("mi") * 1e10 + 0.5)
+    w = Window.orderBy(F.desc_nulls_last(key), "position")  # p rows
     return out.withColumn("rank", F.row_number().over(w))
 
 

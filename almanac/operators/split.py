@@ -28,7 +28,7 @@ def split_labels(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] =
     keys = list(keys)
     plan = series_plan(df, keys, list(order), block_rows)
     d = df if IDX in df.columns else plan.index(df)
-    d = plan.with_stats(d, {"__n": F.count(F.lit(1))})
+    d = plan.with_count(d)
     n = F.col("__n").cast("double")
     one, ts, vs = F.lit(1.0), F.lit(float(test_size)), F.lit(float(validation_size))
     i = F.col(IDX)

@@ -36,7 +36,7 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], col: str, probs: Sequen
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     v = df.select(*group, F.col(col).alias("__v")).where(F.col("__v").isNotNull())
     plan = series_plan(v, group, ["__v"], block_rows)
-    r = plan.with_stats(plan.index(v), {"__n": F.count(F.lit(1))})
+    r = plan.with_count(plan.index(v))
     pos = [F.lit(p) * (F.col("__n") - 1) for p in probs]
     near = reduce(lambda a, b: a | b, [(F.col(IDX) == F.floor(x)) | (F.col(IDX) == F.ceil(x)) for x in pos])
     r = r.where(near)

@@ -61,14 +61,21 @@ def order_as_double(df: DataFrame, name: str) -> Column:
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` that also matches NULL keys (a NULL key is a series too).
 
-    With no keys the right side must hold one row; it is joined on a constant so that the
-    plan stays a (broadcast) equi-join rather than a cartesian product.
+    With no keys the right side is a one-row statistic: it is brought to the driver and its
+    values are added as literals (no join, no nested loop), which also lets Catalyst fold
+    them into the expressions that use them.
     """
     keys = list(keys)
     if not keys:
-        lk = left.withColumn("__one", F.lit(1))
-        rk = F.broadcast(right.withColumn("__one", F.lit(1)))
-        return lk.join(rk, "__one", how).drop("__one")
+        rows = right.limit(2).collect()
+        if len(rows) > 1:
+            raise ValueError("a keyless join needs a one-row right side")
+        if not rows:
+            return left.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]) \
+                if how == "inner" else left.select("*", *[F.lit(None).cast(f.dataType).alias(f.name)
+                                                          for f in right.schema.fields])
+        row = rows[0]
+        return left.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in right.schema.fields])
     renamed = right
     for i, k in enumerate(keys):
         renamed = renamed.withColumnRenamed(k, f"__rk{i}")
@@ -98,10 +105,15 @@ class SeriesPlan:
         return Window.partitionBy(*self.keys, *extra, "_blk").orderBy(IDX)
 
     # ------------------------------------------------------------------ index
-    def index(self, df: DataFrame, name: str = IDX) -> DataFrame:
-        """Add the 0-based position of each row inside its series as ``name`` (bigint)."""
+    def index(self, df: DataFrame, name: str = IDX, ties: str = "row") -> DataFrame:
+        """Add the 0-based position of each row inside its series as ``name`` (bigint).
+
+        ``ties='min'`` gives equal order values the smallest position among them (the
+        minimum rank - 1). Buckets are cut on the order value, so equal values never span
+        two buckets and the bucket offset plus the in-bucket rank is the global rank."""
+        rank_fn = F.row_number if ties == "row" else F.rank
         if not self.blocked:
-            return df.withColumn(name, (F.row_number().over(self.window()) - 1).cast("long"))
+            return df.withColumn(name, (rank_fn().over(self.window()) - 1).cast("long"))
 
         spark = df.sparkSession
         base = df.withColumn("_x", F.coalesce(order_as_double(df, self.order[0]), F.lit(float("-inf"))))
@@ -127,7 +139,7 @@ class SeriesPlan:
         offsets = counts.select(*self.keys, "_bk", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
         joined = join_on_keys(base, offsets, [*self.keys, "_bk"], "inner")
         w = Window.partitionBy(*self.keys, "_bk").orderBy(*self.order)
-        out = joined.withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
+        out = joined.withColumn(name, (F.col("_off") + rank_fn().over(w) - 1).cast("long"))
         return out.drop("_bk", "_off")
 
     # ------------------------------------------------------------------ bounded frames
@@ -238,6 +250,14 @@ class SeriesPlan:
         raise ValueError(f"unknown scan kind {kind!r}")
 
     # ------------------------------------------------------------------ per-series stats
+    def with_count(self, df: DataFrame, name: str = "__n") -> DataFrame:
+        """Rows per series on every row. Plain plan: a window count over the series
+        partition, which shares the exchange of the ordering window. Blocked: aggregate +
+        join (the series are too big for one task)."""
+        if not self.blocked:
+            return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*self.keys)))
+        return self.with_stats(df, {name: F.count(F.lit(1))})
+
     def with_stats(self, df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
         """Attach per-series aggregates to every row: group aggregate + join on the keys
         (no keys: one row, joined on a constant and broadcast)."""
