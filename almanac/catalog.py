@@ -2,7 +2,9 @@
 
 Every query reads the benchmark tables (or series Spark derives from them, see
 :mod:`almanac.sources.series`) in full. Doubles are rounded the same way on both sides,
-``floor(x * 10^d + 0.5) / 10^d``, which is the same IEEE arithmetic in Spark and DuckDB."""
+``floor(x * 10^d + 0.5001) / 10^d``, which is the same IEEE arithmetic in Spark and DuckDB; the
+small bias settles values that lie exactly on a rounding tie (means of decimal data) the same
+way in both engines even when their summation orders differ in the last bit."""
 
 from __future__ import annotations
 
@@ -35,11 +37,11 @@ def query(name: str, sql: str | None = None):
 
 def R(c, d: int = 4):
     c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * (10 ** d) + 0.5) / (10 ** d)
+    return F.floor(c * (10 ** d) + 0.5001) / (10 ** d)
 
 
 def r(e: str, d: int = 4) -> str:
-    return f"(floor(({e}) * {10 ** d} + 0.5) / {10 ** d})"
+    return f"(floor(({e}) * {10 ** d} + 0.5001::DOUBLE) / {10 ** d})"
 
 
 def rounded(df: DataFrame, digits: dict[str, int] | int = 4) -> DataFrame:
@@ -1422,3 +1424,56 @@ def q_pipeline_summary(spark, sf):
     cfg = PipelineConfig(target_col="revenue", date_col="date", model_type="linear", max_lag=3, use_pca=False,
                          feature_selection_method="f_regression", top_n_features=5)
     return run_pipeline(spark, f1(spark, sf), cfg).summary
+
+
+# =============================================================== more sources and statistics (SRC3, AGG2, AGG5, MLE lambdas)
+@query("q_read_datasets", f"""
+SELECT 'orders' AS dataset, date, {r('revenue', 2)} AS value FROM ({F1_SQL})
+UNION ALL
+SELECT 'shipments' AS dataset, d AS date, {r('qty', 2)} AS value FROM ({S.shipments_sql('quarter')})
+""")
+def q_read_datasets(spark, sf):
+    import uuid
+    from almanac.session import scratch_path
+    root = scratch_path(spark, f"datasets-{uuid.uuid4().hex}")
+    io.write_table(f1(spark, sf).select("date", F.col("revenue").alias("value")), f"{root}/orders", fmt="csv")
+    io.write_table(S.shipments(spark, sf, "quarter").select(F.col("d").alias("date"), F.col("qty").alias("value")),
+                   f"{root}/shipments", fmt="csv")
+    out = io.read_datasets(spark, root, "*.csv", schema="date DATE, value DOUBLE")
+    return rounded(out.select("dataset", "date", "value"), 2)
+
+
+@query("q_column_stats", f"WITH d AS ({F7_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, {r(f'AVG({c})', 6)} AS mean, {r(f'MIN({c})', 6)} AS min, {r(f'MAX({c})', 6)} AS max, "
+    f"{r(_nn(f'stddev_samp({c})'), 6)} AS sd FROM d" for c in F7_COLS))
+def q_column_stats(spark, sf):
+    return rounded(st.column_stats(S.lineitem_wide(spark, sf), F7_COLS, ["mean", "min", "max", "sd"]), 6)
+
+
+@query("q_distinct_values", "SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem")
+def q_distinct_values(spark, sf):
+    return st.distinct_values(S.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year")), "year")
+
+
+def _mle(spark, sf, kind, keys):
+    df = S.balances(spark, sf).select("c_mktsegment", F.col("c_acctbal").alias("x"))
+    t = SeriesTransformer(keys=keys)
+    t.fit_transform(df, ["x"], [kind])
+    st_ = t.steps[0].fitted
+    tab = st_.as_table(spark)
+    return rounded(tab.select(*keys, F.col("x__lam").alias("lambda")), 4)
+
+
+@query("q_box_cox_mle")
+def q_box_cox_mle(spark, sf):
+    return _mle(spark, sf, "box_cox", [])
+
+
+@query("q_yeo_johnson_mle")
+def q_yeo_johnson_mle(spark, sf):
+    return _mle(spark, sf, "yeo_johnson", [])
+
+
+@query("q_yeo_johnson_mle_panel")
+def q_yeo_johnson_mle_panel(spark, sf):
+    return _mle(spark, sf, "yeo_johnson", ["c_mktsegment"])

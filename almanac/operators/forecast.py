@@ -66,6 +66,12 @@ def _days(c: Column, dtype: T.DataType) -> Column:
     return F.unix_micros(c.cast("timestamp")).cast("double") / F.lit(86_400_000_000.0)
 
 
+def to_forecast_frame(df: DataFrame, date_col: str, target_col: str, regressors: Sequence[str] = (),
+                      keys: Sequence[str] = ()) -> DataFrame:
+    """keys, ``ds``, ``y`` and the regressors (PRJ5)."""
+    return df.select(*keys, F.col(date_col).alias("ds"), F.col(target_col).alias("y"), *regressors)
+
+
 def seasonality_features(df: DataFrame, ds: str, name: str, period: float, fourier_order: int) -> DataFrame:
     """Custom seasonality columns ``{name}_s{h}`` / ``{name}_c{h}`` = sin/cos(2*pi*h*days/period),
     days counted from 1970-01-01 (FC2)."""
