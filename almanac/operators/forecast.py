@@ -132,35 +132,36 @@ class AdditiveForecaster:
 
     # ------------------------------------------------------------ design matrix
     def _design(self, df: DataFrame) -> DataFrame:
+        """Design columns as one SQL expression each (one planner call per column)."""
         cfg, ds = self.cfg, self.ds
         dtype = df.schema[ds].dataType
-        based, p, drop = self.state.attach(df)
-        day = _days(F.col(ds), dtype)
-        t = (day - p["t0"]) / p["tspan"]
-        cols: dict[str, Column] = {"__t": t}
+        based, p, drop = self.state.attach_sql(df)
+        if isinstance(dtype, T.DateType):
+            day = f"CAST(unix_date(`{ds}`) AS DOUBLE)"
+        else:
+            day = f"(CAST(unix_micros(CAST(`{ds}` AS TIMESTAMP)) AS DOUBLE) / 86400000000.0D)"
+        t = f"(({day} - {p['t0']}) / {p['tspan']})"
+        cols: dict[str, str] = {"__t": t}
         groups: dict[str, list[str]] = {"trend": ["__t"]}
-        cp = []
         for j in range(cfg.n_changepoints):
-            name = f"__cp{j}"
-            cols[name] = F.greatest(t - F.element_at(p["cps"], j + 1), F.lit(0.0))
-            cp.append(name)
-        groups["trend"] += cp
+            cols[f"__cp{j}"] = f"greatest({t} - element_at({p['cps']}, {j + 1}), 0.0D)"
+            groups["trend"].append(f"__cp{j}")
         for sname, period, order in cfg.season_terms():
             names = []
             for h in range(1, order + 1):
-                ang = F.lit(2 * math.pi * h / period) * day
-                cols[f"__{sname}_s{h}"] = F.sin(ang)
-                cols[f"__{sname}_c{h}"] = F.cos(ang)
+                ang = f"({2 * math.pi * h / period!r}D * {day})"
+                cols[f"__{sname}_s{h}"] = f"sin({ang})"
+                cols[f"__{sname}_c{h}"] = f"cos({ang})"
                 names += [f"__{sname}_s{h}", f"__{sname}_c{h}"]
             groups[sname] = names
         for r in cfg.regressors:
-            cols[f"__r_{r}"] = (F.col(r) - p[f"__rm_{r}"]) / p[f"__rs_{r}"]
+            cols[f"__r_{r}"] = f"((CAST(`{r}` AS DOUBLE) - {p['__rm_' + r]}) / {p['__rs_' + r]})"
             groups[r] = [f"__r_{r}"]
         for hname in self.holiday_names:
-            cols[f"__h_{hname}"] = F.col(f"holiday_{hname}").cast("double")
+            cols[f"__h_{hname}"] = f"CAST(`holiday_{hname}` AS DOUBLE)"
             groups.setdefault("holidays", []).append(f"__h_{hname}")
         cols["__ys"] = p["yscale"]
-        out = based.withColumns(cols).drop(*drop)
+        out = based.select("*", *[F.expr(e).alias(n) for n, e in cols.items()]).drop(*drop)
         self.groups = groups
         return out
 
@@ -238,22 +239,17 @@ class AdditiveForecaster:
         return self
 
     def _apply(self, des: DataFrame) -> DataFrame:
+        """Fitted value and one column per component group, one SQL expression each."""
         keys = self.keys
-        c = self.coefs.select(*keys, F.col("intercept").alias("__b0"), *[F.col(n).alias(f"__w{n}") for n in self.columns])
-        j = join_on_keys(des, c, keys, "left")
+        coef = Fitted.from_table(keys, self.coefs) if keys else Fitted(keys, row=self.coefs.first().asDict())
+        j, w, drop = coef.attach_sql(des)
         comp = {}
         for g, names in self.groups.items():
-            e = None
-            for n in names:
-                t = F.coalesce(F.col(f"__w{n}") * F.col(n), F.lit(0.0))
-                e = t if e is None else e + t
-            comp[g] = e
-        comp["trend"] = comp["trend"] + F.col("__b0")
-        total = None
-        for e in comp.values():
-            total = e if total is None else total + e
-        out = j.withColumns({f"__g_{g}": e for g, e in comp.items()}).withColumn("__fit", total)
-        return out.drop("__b0", *[f"__w{n}" for n in self.columns])
+            comp[g] = " + ".join(f"coalesce({w[n]} * `{n}`, 0.0D)" for n in names)
+        comp["trend"] = f"{comp['trend']} + {w['intercept']}"
+        total = " + ".join(f"`__g_{g}`" for g in comp)
+        out = j.select("*", *[F.expr(e).alias(f"__g_{g}") for g, e in comp.items()])
+        return out.select("*", F.expr(total).alias("__fit")).drop(*drop)
 
     # ------------------------------------------------------------ predict
     def make_future(self, df: DataFrame, periods: int, freq: str = "MS", include_history: bool = True,

@@ -107,34 +107,55 @@ def importances(model, features: Sequence[str], spark) -> DataFrame:
 
 
 # ------------------------------------------------------------------ normal equations per series
-def gram_table(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str) -> tuple[DataFrame, list[str]]:
-    """Per-series centred cross-products: n, means, X'X (upper triangle), X'y, y'y.
-    Two passes: means first (joined back), then sums of centred products."""
+def gram_table(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str) -> tuple[DataFrame, Fitted]:
+    """Per-series centred cross-products of (features..., label), long: keys..., ``__i``
+    (index into the upper triangle of the (p+1) x (p+1) matrix) and ``__s`` (the sum).
+
+    Two passes: the means are one aggregate (literals for one series, a joined table for
+    many); the centred products are summed with NumPy inside each task (``mapInPandas``:
+    one partial matrix per partition and series, a BLAS product instead of (p+1)(p+2)/2
+    aggregate expressions), and the partials are added up by a Spark group aggregate. A hot
+    series is spread over every partition, only its small partial matrices meet."""
     keys, feats = list(keys), list(features)
     cols = feats + [label]
-    fit = Fitted.fit(df.where(F.col(label).isNotNull()), keys, {f"__m{i}": F.avg(c) for i, c in enumerate(cols)})
-    based, p, drop = fit.attach(df.where(F.col(label).isNotNull()))
-    cen = [F.col(c) - p[f"__m{i}"] for i, c in enumerate(cols)]
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.first(p[f"__m{i}"]).alias(f"m{i}") for i in range(len(cols))]
-    k = len(feats)
-    for i in range(k + 1):
-        for j in range(i, k + 1):
-            aggs.append(F.sum(cen[i] * cen[j]).alias(f"s{i}_{j}"))
-    return based.groupBy(*keys).agg(*aggs), cols
-
-
-def _solve(row: dict, k: int, penalties: Sequence[float], fit_intercept: bool = True) -> tuple[np.ndarray, float]:
-    xtx = np.zeros((k, k))
-    xty = np.zeros(k)
-    for i in range(k):
-        for j in range(i, k):
-            xtx[i, j] = xtx[j, i] = row[f"s{i}_{j}"]
-        xty[i] = row[f"s{i}_{k}"]
-    a = xtx + np.diag(np.asarray(penalties, dtype=float))
-    w = np.linalg.lstsq(a, xty, rcond=None)[0]
-    means = np.array([row[f"m{i}"] for i in range(k)])
-    b = float(row[f"m{k}"] - means @ w) if fit_intercept else 0.0
+    q = len(cols)
+    d = df.where(F.col(label).isNotNull())
+    means = Fitted.fit(d, keys, {**{f"m{i}": F.avg(c) for i, c in enumerate(cols)}, "__n": F.count(F.lit(1))})
+    based, p, drop = means.attach(d)
+    cen = based.select(*keys, *[(F.col(c).cast("double") - p[f"m{i}"]).alias(f"c{i}") for i, c in enumerate(cols)])
+    iu = np.triu_indices(q)
+    key_fields = [df.schema[k] for k in keys]
+    schema = T.StructType(key_fields + [T.StructField("__i", T.IntegerType()), T.StructField("__s", T.DoubleType())])
+    ccols = [f"c{i}" for i in range(q)]
+
+    def partial(batches):
+        acc: dict = {}
+        for pdf in batches:
+            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
+            for k, g in groups:
+                x = np.nan_to_num(g[ccols].to_numpy(dtype=float))
+                m = x.T @ x
+                kk = k if isinstance(k, tuple) else (k,)
+                acc[kk] = acc[kk] + m if kk in acc else m
+        for kk, m in acc.items():
+            vals = m[iu]
+            out = {k: [kk[j]] * len(vals) for j, k in enumerate(keys)}
+            out["__i"] = np.arange(len(vals), dtype=np.int32)
+            out["__s"] = vals
+            yield pd.DataFrame(out)
+
+    sums = cen.mapInPandas(partial, schema).groupBy(*keys, "__i").agg(F.sum("__s").alias("__s"))
+    return sums, means
+
+
+def _solve(mat_upper: np.ndarray, q: int, means: np.ndarray, penalties: Sequence[float]) -> tuple[np.ndarray, float]:
+    full = np.zeros((q, q))
+    full[np.triu_indices(q)] = mat_upper
+    full = full + np.triu(full, 1).T
+    k = q - 1
+    a = full[:k, :k] + np.diag(np.asarray(penalties, dtype=float))
+    w = np.linalg.lstsq(a, full[:k, k], rcond=None)[0]
+    b = float(means[k] - means[:k] @ w)
     return w, b
 
 
@@ -144,24 +165,32 @@ def fit_linear_per_series(df: DataFrame, keys: Sequence[str], features: Sequence
     penalised) per series. Returns keys..., intercept, one coefficient column per feature."""
     keys, feats = list(keys), list(features)
     k = len(feats)
+    q = k + 1
     pen = [float(alpha)] * k if np.isscalar(alpha) else [float(a) for a in alpha]
-    gram, _ = gram_table(df, keys, feats, label)
+    sums, means = gram_table(df, keys, feats, label)
     schema = T.StructType([df.schema[c] for c in keys] + [T.StructField("intercept", T.DoubleType())] +
                           [T.StructField(f, T.DoubleType()) for f in feats])
     if not keys:
-        row = gram.first().asDict()
-        w, b = _solve(row, k, pen)
+        vec = np.zeros(q * (q + 1) // 2)
+        for r in sums.collect():  # (p+1)(p+2)/2 numbers, independent of the row count
+            vec[r["__i"]] = r["__s"]
+        mu = np.array([means.row[f"m{i}"] for i in range(q)], dtype=float)
+        w, b = _solve(vec, q, mu, pen)
         return df.sparkSession.createDataFrame([(b, *map(float, w))], schema)
 
+    mt = means.table.select(*keys, F.array(*[F.col(f"m{i}") for i in range(q)]).alias("__mu"))
+    joined = sums.join(mt, keys, "inner") if not any(df.schema[c].nullable for c in keys) else \
+        join_on_keys(sums, mt, keys, "inner")
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for rec in pdf.to_dict("records"):
-            w, b = _solve(rec, k, pen)
-            out.append([rec[c] for c in keys] + [b, *w.tolist()])
-        return pd.DataFrame(out, columns=[*keys, "intercept", *feats])
-
-    # one row per series: the grouped map only ever sees p x p sums
-    return gram.groupBy(*keys).applyInPandas(solve, schema)
+        vec = np.zeros(q * (q + 1) // 2)
+        vec[pdf["__i"].to_numpy()] = pdf["__s"].to_numpy()
+        mu = np.asarray(pdf["__mu"].iloc[0], dtype=float)
+        w, b = _solve(vec, q, mu, pen)
+        return pd.DataFrame([[pdf[c].iloc[0] for c in keys] + [b, *w.tolist()]], columns=[*keys, "intercept", *feats])
+
+    # one group per series holding (p+1)(p+2)/2 sums: the grouped map never sees data rows
+    return joined.groupBy(*keys).applyInPandas(solve, schema)
 
 
 def predict_linear(df: DataFrame, coefs: DataFrame, keys: Sequence[str], features: Sequence[str],

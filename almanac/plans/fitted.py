@@ -9,6 +9,7 @@ small."""
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,28 @@ from almanac.plans.ordered import join_on_keys
 _ids = itertools.count()
 
 
+def sql_literal(v) -> str:
+    """Exact SQL text of a Python value (doubles with the D suffix, never DECIMAL)."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "CAST('NaN' AS DOUBLE)"
+        if math.isinf(v):
+            return "CAST('Infinity' AS DOUBLE)" if v > 0 else "CAST('-Infinity' AS DOUBLE)"
+        return f"{v!r}D"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(sql_literal(float(x) if isinstance(x, (int, float)) and not isinstance(x, bool)
+                                                else x) for x in v) + ")"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"'{v}'"
+
+
 class Fitted:
     def __init__(self, keys: Sequence[str], row: dict | None = None, table: DataFrame | None = None):
         self.keys = list(keys)
@@ -60,6 +83,15 @@ class Fitted:
         out = join_on_keys(df, t, self.keys, "left")
         return out, {n: F.col(tag + n) for n in self.names()}, [tag + n for n in self.names()]
 
+    def attach_sql(self, df: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
+        """Like :meth:`attach`, but parameters come back as SQL text (exact double literals
+        for one series, column references for many), for building wide projections with one
+        expression string per column."""
+        if self.row is not None:
+            return df, {n: sql_literal(v) for n, v in self.row.items()}, []
+        out, cols, drop = self.attach(df)
+        return out, {n: f"`{drop[i]}`" for i, n in enumerate(cols)}, drop
+
     def as_table(self, spark) -> DataFrame:
         if self.table is not None:
             return self.table
