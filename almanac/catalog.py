@@ -1477,3 +1477,79 @@ def q_yeo_johnson_mle(spark, sf):
 @query("q_yeo_johnson_mle_panel")
 def q_yeo_johnson_mle_panel(spark, sf):
     return _mle(spark, sf, "yeo_johnson", ["c_mktsegment"])
+
+
+# =============================================================== blocked plans on real data
+# The same operators with a small block size, so the scalable path (bucketed index, halos,
+# carried scans, ranked quantiles) is checked against the same oracle SQL as the plain path.
+from almanac.plans.ordered import block_rows  # noqa: E402
+
+_SMALL_BLOCK = 997
+
+
+def _blocked(name: str, base: str, rows: int = _SMALL_BLOCK):
+    fn = QUERIES[base]
+
+    def run(spark, sf):
+        with block_rows(spark, rows):
+            return fn(spark, sf)
+    run.__name__ = name
+    QUERIES[name] = run
+    if base in SQL:
+        SQL[name] = SQL[base]
+
+
+for _b in ("q_lags_global", "q_rolling_global", "q_ffill_global", "q_bfill_global", "q_interpolate_global",
+           "q_row_index_global", "q_boxplot_year", "q_mutual_info"):
+    _blocked(f"{_b}_blocked", _b)
+# short series (80 monthly rows, 49-86 events per user): blocks of 37 rows, still wider than
+# every frame these operators use (20 lags at most)
+for _b in ("q_fill_median", "q_fill_group_median", "q_split_three_way", "q_frequency_detect_events", "q_acf",
+           "q_decompose_additive", "q_inverse_diff", "q_lags", "q_ffill", "q_fourier", "q_engineer_features",
+           "q_seasonal_diff_panel", "q_cv_scores_panel", "q_rolling_origin"):
+    _blocked(f"{_b}_blocked", _b, 37)
+
+
+def _hot_events(spark, sf):
+    """Events with a hot key: users below 50 share key 0 (about a third of all rows)."""
+    ev = S.events_with_gaps(spark, sf)
+    return ev.withColumn("k", F.when(F.col("user_id") < 50, F.lit(0)).otherwise(F.col("user_id")))
+
+
+_HOT_SQL = f"SELECT *, CASE WHEN user_id < 50 THEN 0 ELSE user_id END AS k FROM ({F6_SQL})"
+
+
+@query("q_lags_hot_key", f"""
+SELECT event_id, {r('lag(value, 1) OVER (PARTITION BY k ORDER BY ts, event_id)')} AS value_lag_1,
+       {r('lag(value, 5) OVER (PARTITION BY k ORDER BY ts, event_id)')} AS value_lag_5,
+       {r('AVG(value) OVER (PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)')}
+         AS value_roll_6_mean
+FROM ({_HOT_SQL})
+""")
+def q_lags_hot_key(spark, sf):
+    with block_rows(spark, _SMALL_BLOCK):
+        d = fe.create_lagged_features(_hot_events(spark, sf), ["value"], [1, 5], keys=["k"], order=["ts", "event_id"])
+        d = fe.create_rolling_features(d, ["value"], [6], ["mean"], keys=["k"], order=["ts", "event_id"])
+    return rounded(d.select("event_id", "value_lag_1", "value_lag_5", "value_roll_6_mean"))
+
+
+@query("q_ffill_hot_key", f"""
+SELECT event_id, {r("COALESCE(value, last_value(value IGNORE NULLS) OVER (PARTITION BY k ORDER BY ts, event_id "
+                    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(value IGNORE NULLS) OVER "
+                    "(PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")} AS value
+FROM ({_HOT_SQL})
+""")
+def q_ffill_hot_key(spark, sf):
+    with block_rows(spark, _SMALL_BLOCK):
+        out = pr.handle_missing_values(_hot_events(spark, sf), "forward", keys=["k"], order=["ts", "event_id"],
+                                       columns=["value"])
+    return rounded(out.select("event_id", "value"))
+
+
+@query("q_median_hot_key", f"""
+SELECT k, {r('median(value)')} AS value FROM ({_HOT_SQL}) WHERE value IS NOT NULL GROUP BY k
+""")
+def q_median_hot_key(spark, sf):
+    with block_rows(spark, _SMALL_BLOCK):
+        out = pr.exact_median(_hot_events(spark, sf), ["k"], ["value"])
+    return rounded(out)

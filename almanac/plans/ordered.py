@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
@@ -265,6 +266,21 @@ class SeriesPlan:
         return join_on_keys(df, stats, self.keys, "left")
 
 
+@contextmanager
+def block_rows(spark, rows: int):
+    """Temporarily set the block size used by plans built inside the block (plans read it
+    when they are built, so the DataFrames keep it after the block ends)."""
+    old = spark.conf.get(BLOCK_ROWS_CONF, None)
+    spark.conf.set(BLOCK_ROWS_CONF, str(int(rows)))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(BLOCK_ROWS_CONF)
+        else:
+            spark.conf.set(BLOCK_ROWS_CONF, old)
+
+
 def series_plan(
     df: DataFrame,
     keys: Sequence[str] | None,

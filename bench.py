@@ -27,6 +27,8 @@ HEADLINE = [
     # models and diagnostics
     "q_metrics", "q_cv_scores_panel", "q_linear_fit_panel", "q_decompose_additive", "q_acf_panel",
     "q_residual_tests_panel", "q_forecast",
+    # the scalable plans forced on (small blocks / a hot key holding a third of the rows)
+    "q_lags_global_blocked", "q_ffill_global_blocked", "q_lags_hot_key",
 ]
 
 
