@@ -113,16 +113,26 @@ def merge_datasets(datasets: dict[str, DataFrame], date_col: str = "date", align
     overall date range, add calendar columns and left-join each dataset on the date.
     Value columns are named ``{dataset}_{column}``."""
     aligned: dict[str, DataFrame] = {}
+    dated = {}
     for name, df in datasets.items():
         if date_col not in df.columns:
             log.warning("dataset %r has no date column, skipped", name)
             continue
-        if df.isEmpty():
+        dated[name] = df
+    # frequency of every dataset in one keyed job over the union of (dataset, date)
+    freqs: dict[str, str] = {}
+    if dated:
+        dates = reduce(lambda a, b: a.unionByName(b), [
+            df.select(F.lit(name).alias("__ds"), F.to_date(date_col).alias(date_col)) for name, df in dated.items()])
+        freqs = {r["__ds"]: r["frequency"] for r in detect_frequency(dates, date_col, keys=["__ds"]).collect()}
+    for name, df in dated.items():
+        if name not in freqs:  # no dated rows at all
             log.warning("dataset %r is empty, skipped", name)
             continue
-        freq = frequency_of(df, date_col)
+        freq = freqs[name]
         if freq not in (align_frequency, "unknown"):
-            aligned[name] = align_to_monthly(df, freq, date_col) if align_frequency == "monthly" else df
+            aligned[name] = align_to_monthly(df, freq, date_col, check_empty=False) \
+                if align_frequency == "monthly" else df
         else:
             aligned[name] = df
     if not aligned:
