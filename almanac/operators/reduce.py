@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from almanac.functions import formulas as fx
 from almanac.functions.schema import CALENDAR_COLUMNS, numeric_columns
 from almanac.operators.stats import corr_pairs, pearson
-from almanac.plans.fitted import Fitted
+from almanac.plans.fitted import Fitted, sql_literal
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
 
 log = logging.getLogger(__name__)
@@ -144,19 +145,24 @@ class PcaResult:
     explained_ratio: list[float]
     means: dict = field(default_factory=dict)
     scales: dict = field(default_factory=dict)
+    model: object = None            # fitted MLlib PCAModel (unsigned components)
+    signs: list[float] = field(default_factory=list)
+
+    def standardized_vector(self, df: DataFrame, out: str = "__v") -> DataFrame:
+        z = [F.expr(f"(coalesce(CAST(`{c}` AS DOUBLE), {sql_literal(self.means[c])}) - {sql_literal(self.means[c])}) "
+                    f"/ {sql_literal(self.scales[c])}").alias(f"__z{i}") for i, c in enumerate(self.features)]
+        zed = df.select("*", *z)
+        vec = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(self.features))], outputCol=out).transform(zed)
+        return vec.drop(*[f"__z{i}" for i in range(len(self.features))])
 
     def scores(self, df: DataFrame, k: int | None = None, prefix: str = "PC") -> DataFrame:
-        """Add PC1..PCk as plain column expressions (no vector UDF)."""
+        """Add PC1..PCk: the fitted model projects the centred (and scaled) vector in the JVM,
+        then each component gets its sign (largest absolute loading positive)."""
         k = self.components.shape[1] if k is None else k
-        z = {c: (F.col(c).cast("double") - F.lit(self.means[c])) / F.lit(self.scales[c]) for c in self.features}
-        new = {}
-        for j in range(k):
-            e = None
-            for i, c in enumerate(self.features):
-                t = F.coalesce(z[c], F.lit(0.0)) * F.lit(float(self.components[i, j]))
-                e = t if e is None else e + t
-            new[f"{prefix}{j + 1}"] = e
-        return df.withColumns(new)
+        vec = self.standardized_vector(df)
+        proj = self.model.transform(vec).withColumn("__a", vector_to_array("__pc"))
+        cols = [(F.col("__a")[j] * F.lit(self.signs[j])).alias(f"{prefix}{j + 1}") for j in range(k)]
+        return proj.select(*df.columns, *cols)
 
 
 def fit_pca(df: DataFrame, columns: Sequence[str], standardize: bool = True, n_components: int | None = None) -> PcaResult:
@@ -170,16 +176,19 @@ def fit_pca(df: DataFrame, columns: Sequence[str], standardize: bool = True, n_c
     scales = {c: (float(st[f"s_{c}"]) if standardize and st[f"s_{c}"] else 1.0) for c in cols}
     n = int(st["__n"])
     k = min(n, len(cols)) if n_components is None else int(n_components)
-    z = df.select(*[((F.coalesce(F.col(c).cast("double"), F.lit(means[c])) - F.lit(means[c])) / F.lit(scales[c])).alias(c)
-                    for c in cols])
-    vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(z)
+    res = PcaResult(cols, np.zeros((len(cols), k)), [], means, scales)
+    vec = res.standardized_vector(df.select(*cols))
     model = PCA(k=k, inputCol="__v", outputCol="__pc").fit(vec)
     comps = model.pc.toArray().copy()
+    signs = []
     for j in range(comps.shape[1]):
         i = int(np.argmax(np.abs(comps[:, j])))
-        if comps[i, j] < 0:
-            comps[:, j] = -comps[:, j]
-    return PcaResult(cols, comps, [float(x) for x in model.explainedVariance.toArray()], means, scales)
+        sgn = -1.0 if comps[i, j] < 0 else 1.0
+        comps[:, j] *= sgn
+        signs.append(sgn)
+    res.components, res.model, res.signs = comps, model, signs
+    res.explained_ratio = [float(x) for x in model.explainedVariance.toArray()]
+    return res
 
 
 def components_for_threshold(ratios: Sequence[float], threshold: float) -> int:

@@ -10,8 +10,12 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
@@ -71,27 +75,70 @@ def group_stat(df: DataFrame, group: Sequence[str], columns: Sequence[str], stat
 
 def corr_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), absolute: bool = False,
                upper_only: bool = True) -> DataFrame:
-    """Pearson correlation of every column pair, pairwise-complete, in one aggregate per
-    chunk of pairs. Long output (keys..., a, b, r) with a before b in column order (AGG6, AGG7)."""
+    """Pearson correlation of every column pair, pairwise-complete (a pair uses the rows where
+    both are present), long output (keys..., a, b, r) with a before b in column order; NULL
+    when either side is constant on those rows (AGG6, AGG7).
+
+    Values are centred by the column means (one aggregate), then every task computes its
+    partial pair statistics with five p x p matrix products in NumPy (counts, masked sums,
+    masked squares, cross-products); a Spark group aggregate adds the partials, so p(p-1)/2
+    pairs never become p^2 aggregate expressions and no group meets in one task."""
     keys = list(keys)
     cols = list(columns)
-    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    out = None
-    for s in range(0, len(pairs), CORR_CHUNK):
-        chunk = pairs[s:s + CORR_CHUNK]
-        aggs = []
-        for a, b in chunk:
-            r = pearson(F.col(a), F.col(b))
-            aggs.append((F.abs(r) if absolute else r).alias(f"{a}\u0001{b}"))
-        wide = df.groupBy(*keys).agg(*aggs)
-        body = ", ".join(f"'{a}', '{b}', `{a}\u0001{b}`" for a, b in chunk)
-        long = wide.select(*keys, F.expr(f"stack({len(chunk)}, {body}) as (a, b, r)"))
-        out = long if out is None else out.unionByName(long)
-    if not upper_only and out is not None:
+    p = len(cols)
+    means = Fitted.fit(df, keys, {f"__m{i}": F.avg(c) for i, c in enumerate(cols)})
+    based, prm, drop = means.attach(df)
+    cen = based.select(*keys, *[(F.col(c).cast("double") - prm[f"__m{i}"]).alias(f"__c{i}") for i, c in enumerate(cols)])
+    ccols = [f"__c{i}" for i in range(p)]
+    iu, ju = np.triu_indices(p, 1)
+    key_fields = [df.schema[k] for k in keys]
+    schema = T.StructType(key_fields + [T.StructField(n, t) for n, t in (
+        ("i", T.IntegerType()), ("j", T.IntegerType()), ("n", T.DoubleType()), ("sa", T.DoubleType()),
+        ("sb", T.DoubleType()), ("qa", T.DoubleType()), ("qb", T.DoubleType()), ("sab", T.DoubleType()))])
+
+    def partial(batches):
+        acc: dict = {}
+        for pdf in batches:
+            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
+            for k, g in groups:
+                x = g[ccols].to_numpy(dtype=float)
+                m = (~np.isnan(x)).astype(float)
+                x0 = np.nan_to_num(x)
+                mats = (m.T @ m, x0.T @ m, (x0 * x0).T @ m, x0.T @ x0)
+                kk = k if isinstance(k, tuple) else (k,)
+                acc[kk] = [a + b for a, b in zip(acc[kk], mats)] if kk in acc else list(mats)
+        for kk, (nn, sx, sq, sxy) in acc.items():
+            out = {c: [kk[t]] * len(iu) for t, c in enumerate(keys)}
+            out.update(i=iu.astype(np.int32), j=ju.astype(np.int32), n=nn[iu, ju], sa=sx[iu, ju], sb=sx[ju, iu],
+                       qa=sq[iu, ju], qb=sq[ju, iu], sab=sxy[iu, ju])
+            yield pd.DataFrame(out)
+
+    sums = cen.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "sab")])
+    n = F.col("n")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
+    va = F.col("qa") - F.col("sa") * F.col("sa") / n
+    vb = F.col("qb") - F.col("sb") * F.col("sb") / n
+    # a column constant on the pair's rows has a variance of exactly 0 up to rounding noise
+    tiny = F.lit(1e-12)
+    ok = (n > 0) & (va > tiny * F.col("qa")) & (vb > tiny * F.col("qb"))
+    r = F.when(ok, cov / F.sqrt(va * vb))
+    names = F.array(*[F.lit(c) for c in cols])
+    out = sums.select(*keys, F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"),
+                      (F.abs(r) if absolute else r).alias("r"))
+    if not upper_only:
         out = out.unionByName(out.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "r"))
     return out
 
 
+def pearson_sql(a: str, b: str) -> str:
+    """SQL text of :func:`pearson` (one planner call per pair instead of a dozen)."""
+    both = f"(`{a}` IS NOT NULL AND `{b}` IS NOT NULL)"
+    x, y = f"CASE WHEN {both} THEN CAST(`{a}` AS DOUBLE) END", f"CASE WHEN {both} THEN CAST(`{b}` AS DOUBLE) END"
+    den = f"(stddev_pop({x}) * stddev_pop({y}))"
+    return f"CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END"
+
+
 def regression_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """mse, rmse, mae, mape (rows with y = 0 skipped; NULL if none left) and r2 (AGG8).
 
