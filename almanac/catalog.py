@@ -1553,3 +1553,26 @@ def q_median_hot_key(spark, sf):
     with block_rows(spark, _SMALL_BLOCK):
         out = pr.exact_median(_hot_events(spark, sf), ["k"], ["value"])
     return rounded(out)
+
+
+@query("q_linear_fit_hot_key", f"""
+SELECT k, {r('regr_intercept(value, CAST(event_id AS DOUBLE))', 6)} AS intercept,
+       {r('regr_slope(value, CAST(event_id AS DOUBLE))', 9)} AS event_id
+FROM ({_HOT_SQL}) WHERE value IS NOT NULL GROUP BY k
+""")
+def q_linear_fit_hot_key(spark, sf):
+    ev = _hot_events(spark, sf).withColumn("event_id", F.col("event_id").cast("double"))
+    with block_rows(spark, _SMALL_BLOCK):
+        out = md.fit_linear_per_series(ev, ["k"], ["event_id"], "value")
+    return rounded(out, {"intercept": 6, "event_id": 9})
+
+
+@query("q_corr_hot_key", f"""
+SELECT k, 'value' AS a, 'x' AS b, {r(_nn('corr(value, x)'), 6)} AS r
+FROM (SELECT k, value, CAST(event_id % 97 AS DOUBLE) AS x FROM ({_HOT_SQL})) GROUP BY k
+""")
+def q_corr_hot_key(spark, sf):
+    ev = _hot_events(spark, sf).withColumn("x", (F.col("event_id") % 97).cast("double"))
+    with block_rows(spark, _SMALL_BLOCK):
+        out = st.corr_pairs(ev, ["value", "x"], keys=["k"])
+    return rounded(out, 6)

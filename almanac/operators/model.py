@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from almanac.operators.split import cv_folds, split_labels
 from almanac.operators.stats import regression_metrics
 from almanac.plans.fitted import Fitted
-from almanac.plans.ordered import IDX, join_on_keys
+from almanac.plans.ordered import IDX, colocate_series, join_on_keys
 
 log = logging.getLogger(__name__)
 
@@ -123,6 +123,7 @@ def gram_table(df: DataFrame, keys: Sequence[str], features: Sequence[str], labe
     means = Fitted.fit(d, keys, {**{f"m{i}": F.avg(c) for i, c in enumerate(cols)}, "__n": F.count(F.lit(1))})
     based, p, drop = means.attach(d)
     cen = based.select(*keys, *[(F.col(c).cast("double") - p[f"m{i}"]).alias(f"c{i}") for i, c in enumerate(cols)])
+    cen = colocate_series(cen, keys)
     iu = np.triu_indices(q)
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType(key_fields + [T.StructField("__i", T.IntegerType()), T.StructField("__s", T.DoubleType())])

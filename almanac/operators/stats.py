@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.plans.fitted import Fitted
-from almanac.plans.ordered import IDX, join_on_keys, series_plan
+from almanac.plans.ordered import IDX, colocate_series, join_on_keys, series_plan
 
 CORR_CHUNK = 500
 
@@ -89,6 +89,7 @@ def corr_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
     means = Fitted.fit(df, keys, {f"__m{i}": F.avg(c) for i, c in enumerate(cols)})
     based, prm, drop = means.attach(df)
     cen = based.select(*keys, *[(F.col(c).cast("double") - prm[f"__m{i}"]).alias(f"__c{i}") for i, c in enumerate(cols)])
+    cen = colocate_series(cen, keys)
     ccols = [f"__c{i}" for i in range(p)]
     iu, ju = np.triu_indices(p, 1)
     key_fields = [df.schema[k] for k in keys]

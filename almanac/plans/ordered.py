@@ -266,6 +266,26 @@ class SeriesPlan:
         return join_on_keys(df, stats, self.keys, "left")
 
 
+def colocate_series(df: DataFrame, keys: Sequence[str], block_rows: int | None = None, salts: int = 64) -> DataFrame:
+    """Hash-partition rows by series so each task sees whole series — except hot series
+    (more than ``block_rows`` rows), whose rows are spread over ``salts`` sub-partitions by
+    a deterministic row hash. Used before per-task partial sums (Gram and pair statistics)
+    so a task holds one partial per series it owns, while no hot series lands in one task.
+    The hot-key list is at most rows / block_rows entries."""
+    keys = list(keys)
+    if not keys:
+        return df
+    if block_rows is None:
+        block_rows = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(DEFAULT_BLOCK_ROWS)))
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).select(*keys).collect()
+    if not hot:
+        return df.repartition(*keys)
+    hot_df = df.sparkSession.createDataFrame([tuple(r) for r in hot], T.StructType([df.schema[k] for k in keys]))
+    flagged = join_on_keys(df, F.broadcast(hot_df.withColumn("_hot", F.lit(True))), keys, "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(F.lit(0))
+    return flagged.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_hot", "_salt")
+
+
 @contextmanager
 def block_rows(spark, rows: int):
     """Temporarily set the block size used by plans built inside the block (plans read it
