@@ -201,23 +201,21 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None, keys: Se
 
 # ------------------------------------------------------------------ exact median
 def exact_median(df: DataFrame, group: Sequence[str], cols: Sequence[str], block_rows: int | None = None) -> DataFrame:
-    """Exact (interpolated) median per group without holding a group in memory: rank the
-    non-null values of each column with the distributed row index and average the one or
-    two middle ranks. Returns (group..., {c}) for every column."""
+    """Exact (interpolated) median per group without holding a group in memory: the columns
+    are unpivoted, the non-null values of each (group, column) are ranked with the
+    distributed row index (one sort for all columns) and the one or two middle ranks are
+    averaged. Rows with a NULL group key belong to no group. Returns (group..., {c})."""
     group = list(group)
-    out = None
-    for c in cols:
-        v = df.select(*group, F.col(c).alias("__v")).where(F.col("__v").isNotNull())
-        if group:
-            v = v.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group]))
-        plan = series_plan(v, group, ["__v"], block_rows)
-        r = plan.index(v)
-        r = plan.with_count(r)
-        lo = F.floor((F.col("__n") - 1) / 2)
-        hi = F.ceil((F.col("__n") - 1) / 2)
-        m = r.where((F.col(IDX) == lo) | (F.col(IDX) == hi)).groupBy(*group).agg(F.avg("__v").alias(c))
-        out = m if out is None else join_on_keys(out, m, group, "full")
-    return out
+    body = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = df.select(*group, F.expr(f"stack({len(cols)}, {body}) as (__col, __v)")).where(F.col("__v").isNotNull())
+    if group:
+        long = long.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group]))
+    plan = series_plan(long, [*group, "__col"], ["__v"], block_rows)
+    r = plan.with_count(plan.index(long))
+    lo = F.floor((F.col("__n") - 1) / 2)
+    hi = F.ceil((F.col("__n") - 1) / 2)
+    m = r.where((F.col(IDX) == lo) | (F.col(IDX) == hi)).groupBy(*group, "__col").agg(F.avg("__v").alias("__med"))
+    return m.groupBy(*group).agg(*[F.max(F.when(F.col("__col") == c, F.col("__med"))).alias(c) for c in cols])
 
 
 def _group_stats(df: DataFrame, group: Sequence[str], cols: Sequence[str], stat: str) -> DataFrame:
