@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
@@ -301,15 +302,36 @@ def block_rows(spark, rows: int):
             spark.conf.set(BLOCK_ROWS_CONF, old)
 
 
+_HINTS: ContextVar[dict] = ContextVar("almanac_series_hints", default={})
+
+
+@contextmanager
+def series_hint(plan: SeriesPlan):
+    """Reuse a measured plan decision for every operator that works on series with the same
+    keys inside the block: steps that keep the rows of each series (features, fills,
+    transforms) then skip the sizing action. The pipeline measures once per series set."""
+    hints = dict(_HINTS.get())
+    hints[tuple(plan.keys)] = plan
+    token = _HINTS.set(hints)
+    try:
+        yield plan
+    finally:
+        _HINTS.reset(token)
+
+
 def series_plan(
     df: DataFrame,
     keys: Sequence[str] | None,
     order: Sequence[str] | str,
     block_rows: int | None = None,
 ) -> SeriesPlan:
-    """Look at the series sizes once and choose the plain or the blocked plan."""
+    """Look at the series sizes once and choose the plain or the blocked plan (or take the
+    decision from an enclosing :func:`series_hint` for the same keys)."""
     keys = list(keys or [])
     order = [order] if isinstance(order, str) else list(order)
+    hint = _HINTS.get().get(tuple(keys))
+    if hint is not None and block_rows is None:
+        return SeriesPlan(keys, order, hint.block_rows, hint.blocked, list(hint.hot_keys), hint.hot_rows)
     if block_rows is None:
         block_rows = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(DEFAULT_BLOCK_ROWS)))
     if not keys:

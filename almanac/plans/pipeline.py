@@ -19,6 +19,7 @@ from almanac.operators.features import engineer_features
 from almanac.operators.model import TrainResult, train_and_evaluate
 from almanac.operators.prepare import frequency_of, handle_missing_values, trim_to_common_date_range
 from almanac.operators.reduce import reduce_dimensions
+from almanac.plans.ordered import series_hint, series_plan
 from almanac.session import scratch_path
 from almanac.sources.io import run_id, run_summary, write_table
 
@@ -83,10 +84,12 @@ def run_pipeline(spark: SparkSession, df: DataFrame, cfg: PipelineConfig) -> Run
     run_dir = os.path.join(cfg.output_dir, rid) if cfg.output_dir else scratch_path(spark, os.path.join("runs", rid))
     prepared, freq = load_and_prepare(df, cfg)
     prepared = spark.read.parquet(write_table(prepared, os.path.join(run_dir, "prepared_data")))
-    feats = engineer_features(prepared, cfg.target_col, cfg.date_col, create_lags=cfg.create_lags,
-                              create_fourier=cfg.create_fourier, create_rolling=cfg.create_rolling,
-                              log_transform=cfg.log_transform, max_lag=cfg.max_lag, periods=cfg.fourier_periods,
-                              harmonics=cfg.fourier_harmonics)
+    # size the series once; feature steps keep every row, so they reuse the decision
+    with series_hint(series_plan(prepared, [], [cfg.date_col])):
+        feats = engineer_features(prepared, cfg.target_col, cfg.date_col, create_lags=cfg.create_lags,
+                                  create_fourier=cfg.create_fourier, create_rolling=cfg.create_rolling,
+                                  log_transform=cfg.log_transform, max_lag=cfg.max_lag, periods=cfg.fourier_periods,
+                                  harmonics=cfg.fourier_harmonics)
     feats = spark.read.parquet(write_table(feats, os.path.join(run_dir, "engineered_features")))
     feats = handle_missing_values(feats, cfg.fill_method, fill_groups=_fill_groups(freq), date_col=cfg.date_col)
     reduced, meta = reduce_dimensions(feats, cfg.target_col, date_col=cfg.date_col, use_pca=cfg.use_pca,

@@ -63,3 +63,13 @@ def test_bounded_rejects_frame_wider_than_block(spark):
     p = series_plan(ev, [], ["ts", "event_id"], block_rows=5)
     with pytest.raises(ValueError):
         p.bounded(p.index(ev), lambda w: {"x": F.lag("value", 6).over(w)}, back=6)
+
+
+def test_series_hint_reuses_decision(spark):
+    from almanac.plans.ordered import series_hint
+    ev = S.events_with_gaps(spark, SF01)
+    measured = series_plan(ev, ["user_id"], ["ts", "event_id"], block_rows=53)
+    with series_hint(measured):
+        p = series_plan(ev.withColumn("x", F.lit(1)), ["user_id"], ["ts"])
+    assert p.blocked and p.hot_keys == measured.hot_keys and p.block_rows == 53 and p.order == ["ts"]
+    assert not series_plan(ev, ["user_id"], ["ts"], block_rows=10 ** 9).blocked
