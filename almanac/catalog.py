@@ -755,7 +755,8 @@ s AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {i} AS position, {_nn(f'cor
                           for i, c in enumerate(F7_FEATS))}),
 f AS (SELECT feature, position, r, CASE WHEN abs(r) = 1 THEN 'inf'::DOUBLE ELSE r * r / (1.0 - r * r) * (n - 2) END AS f FROM s)
 SELECT feature, position, {r('r', 6)} AS r, {r('f', 2)} AS f_score,
-       CAST(row_number() OVER (ORDER BY f DESC NULLS LAST, position) AS INTEGER) AS rank FROM f
+       CAST(row_number() OVER (ORDER BY CASE WHEN f > 1e12 THEN f ELSE floor(f * 1e6 + 0.5) END DESC NULLS LAST,
+                               position) AS INTEGER) AS rank FROM f
 """)
 def q_f_regression(spark, sf):
     out = rd.f_regression_scores(S.lineitem_wide(spark, sf), "target", F7_FEATS)

@@ -71,7 +71,11 @@ def f_regression_scores(df: DataFrame, target: str, features: Sequence[str]) ->
     r = F.nanvl(F.col("r"), F.lit(None).cast("double"))
     f = F.when(F.abs(r) == 1, F.lit(float("inf"))).otherwise(r * r / (F.lit(1.0) - r * r) * (F.col("n") - 2))
     long = long.select("feature", F.col("position").cast("int").alias("position"), r.alias("r"), f.alias("f_score"))
-    w = Window.orderBy(F.desc_nulls_last("f_score"), "position")  # p rows, not data rows
+    # rank on F rounded to 1e-6 (monotone copies of a feature tie exactly in theory and only
+    # differ by summation order); very large or infinite scores rank as they are
+    fs = F.col("f_score")
+    key = F.when(fs > 1e12, fs).otherwise(F.floor(fs * 1e6 + 0.5).cast("double"))
+    w = Window.orderBy(F.desc_nulls_last(key), "position")  # p rows, not data rows
     return long.withColumn("rank", F.row_number().over(w))
 
 
