@@ -33,10 +33,6 @@ def _day_number(df: DataFrame, c: str) -> Column:
     return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(86_400_000_000)).cast("long")
 
 
-def _date_sort_key(df: DataFrame, c: str) -> list[str]:
-    return [c]
-
-
 # ------------------------------------------------------------------ FRQ1
 def detect_frequency(df: DataFrame, date_col: str = "date", keys: Sequence[str] = (),
                      block_rows: int | None = None) -> DataFrame:

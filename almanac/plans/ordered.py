@@ -103,9 +103,6 @@ class SeriesPlan:
         """Plain window over one whole series (only valid when not blocked)."""
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
-    def _block_window(self, extra: Sequence[str] = ()) -> Window:
-        return Window.partitionBy(*self.keys, *extra, "_blk").orderBy(IDX)
-
     # ------------------------------------------------------------------ index
     def index(self, df: DataFrame, name: str = IDX, ties: str = "row") -> DataFrame:
         """Add the 0-based position of each row inside its series as ``name`` (bigint).
