@@ -43,6 +43,7 @@ IDX = "idx"
 DEFAULT_BLOCK_ROWS = 1_000_000
 MAX_BUCKETS = 65_536
 BLOCK_ROWS_CONF = "almanac.blockRows"
+OFFSETS_BROADCAST_ROWS = 200_000
 
 UNB_PRE = Window.unboundedPreceding
 
@@ -131,14 +132,19 @@ class SeriesPlan:
         splits = [float("-inf")] + sorted({c for c in cuts if math.isfinite(c)}) + [float("inf")]
         base = Bucketizer(splits=splits, inputCol="_x", outputCol="_bkd", handleInvalid="keep").transform(base)
         base = base.withColumn("_bk", F.when(hot_flag, F.col("_bkd").cast("int")).otherwise(F.lit(0)))
-        base = base.drop("_x", "_bkd", "_hot")
+        base = base.drop("_x", "_bkd")
 
-        counts = base.groupBy(*self.keys, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+        # offsets only for the buckets of hot series (every other series is one bucket at 0):
+        # at most (hot series) x (buckets) rows, counted before it is broadcast
+        hot_rows = base.where(F.col("_hot").isNotNull()) if self.keys else base
+        counts = hot_rows.groupBy(*self.keys, "_bk").agg(F.count(F.lit(1)).alias("_n"))
         wo = Window.partitionBy(*self.keys).orderBy("_bk").rowsBetween(UNB_PRE, -1)
         offsets = counts.select(*self.keys, "_bk", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-        joined = join_on_keys(base, offsets, [*self.keys, "_bk"], "inner")
+        if offsets.count() <= OFFSETS_BROADCAST_ROWS:
+            offsets = F.broadcast(offsets)
+        joined = join_on_keys(base.drop("_hot"), offsets, [*self.keys, "_bk"], "left")
         w = Window.partitionBy(*self.keys, "_bk").orderBy(*self.order)
-        out = joined.withColumn(name, (F.col("_off") + rank_fn().over(w) - 1).cast("long"))
+        out = joined.withColumn(name, (F.coalesce(F.col("_off"), F.lit(0)) + rank_fn().over(w) - 1).cast("long"))
         return out.drop("_bk", "_off")
 
     # ------------------------------------------------------------------ bounded frames
