@@ -1483,7 +1483,7 @@ def q_yeo_johnson_mle_panel(spark, sf):
 # =============================================================== blocked plans on real data
 # The same operators with a small block size, so the scalable path (bucketed index, halos,
 # carried scans, ranked quantiles) is checked against the same oracle SQL as the plain path.
-from almanac.plans.ordered import block_rows  # noqa: E402
+from almanac.plans.ordered import block_rows, series_hint, series_plan  # noqa: E402
 
 _SMALL_BLOCK = 997
 
@@ -1528,9 +1528,12 @@ SELECT event_id, {r('lag(value, 1) OVER (PARTITION BY k ORDER BY ts, event_id)')
 FROM ({_HOT_SQL})
 """)
 def q_lags_hot_key(spark, sf):
+    ev = _hot_events(spark, sf)
     with block_rows(spark, _SMALL_BLOCK):
-        d = fe.create_lagged_features(_hot_events(spark, sf), ["value"], [1, 5], keys=["k"], order=["ts", "event_id"])
-        d = fe.create_rolling_features(d, ["value"], [6], ["mean"], keys=["k"], order=["ts", "event_id"])
+        # size once, index once: the rolling step reuses the decision and the row positions
+        with series_hint(series_plan(ev, ["k"], ["ts", "event_id"])):
+            d = fe.create_lagged_features(ev, ["value"], [1, 5], keys=["k"], order=["ts", "event_id"], keep_index=True)
+            d = fe.create_rolling_features(d, ["value"], [6], ["mean"], keys=["k"], order=["ts", "event_id"])
     return rounded(d.select("event_id", "value_lag_1", "value_lag_5", "value_roll_6_mean"))
 
 

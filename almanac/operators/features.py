@@ -111,25 +111,28 @@ def create_fourier_terms(df: DataFrame, periods: Sequence[float] = (12,), harmon
 
 
 def create_lagged_features(df: DataFrame, columns: Sequence[str], lags: Sequence[int], keys: Sequence[str] = (),
-                           order: Sequence[str] = ("date",), block_rows: int | None = None) -> DataFrame:
-    """``{c}_lag_{k}``; missing values count as rows (WIN1)."""
+                           order: Sequence[str] = ("date",), block_rows: int | None = None,
+                           keep_index: bool = False) -> DataFrame:
+    """``{c}_lag_{k}``; missing values count as rows (WIN1). ``keep_index`` keeps the row
+    position ``idx`` so a following order-based call reuses it instead of re-indexing."""
     spec = FeatureSpec()
     for c in existing(df, columns):
         for k in lags:
             spec.lag(c, k)
-    return spec.apply(df, keys, order, block_rows)
+    return spec.apply(df, keys, order, block_rows, keep_idx=keep_index)
 
 
 def create_rolling_features(df: DataFrame, columns: Sequence[str], windows: Sequence[int] = (3, 6, 12),
                             functions: Sequence[str] = ROLL_FUNCS, keys: Sequence[str] = (),
-                            order: Sequence[str] = ("date",), block_rows: int | None = None) -> DataFrame:
+                            order: Sequence[str] = ("date",), block_rows: int | None = None,
+                            keep_index: bool = False) -> DataFrame:
     """``{c}_roll_{w}_{f}`` over the trailing ``w`` rows, at least one value (WIN2)."""
     spec = FeatureSpec()
     for c in existing(df, columns):
         for w in windows:
             for f in functions:
                 spec.rolling(c, w, f)
-    return spec.apply(df, keys, order, block_rows)
+    return spec.apply(df, keys, order, block_rows, keep_idx=keep_index)
 
 
 def row_index(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("date",),
