@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import bpe, exact_dedup, mixing, sharding, simhash, topk, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,19 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file of the installed public tokenizers; any path of a like file does."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op1_bpe")
+def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    out = bpe.transcode(table(spark, sf, "documents"), tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("op2_exact_dedup", """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
                   AS text_sha256 FROM documents)
@@ -37,6 +51,26 @@ def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents"), shards=16)
 
 
+@query("op5_topk", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op5_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                                              F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 @query("op9_mixing", r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -78,3 +112,9 @@ LEFT JOIN fill f ON b.source IS NOT DISTINCT FROM f.source""")
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return (mixing.mix(table(spark, sf, "documents"), total_share=1.5, max_copies=2.0, weights=(3, 1, 2))
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, max_bits=3, seed=42)
+    return out.select("doc_id", "fingerprint", "component_id")
