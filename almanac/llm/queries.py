@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, sharding, simhash, topk, toxicity
+from . import bpe, exact_dedup, mixing, sharding, simhash, substring_dedup, topk, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,9 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, max_bits=3, seed=42)
     return out.select("doc_id", "fingerprint", "component_id")
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
