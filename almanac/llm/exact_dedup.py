@@ -51,8 +51,11 @@ class DigestIndex:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and the SHA-256 of its text with A-Z lower-cased."""
-    text = ascii_lower(text_or_empty(text_col)).cast("binary")
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _digest(text_col).alias("digest"))
+
+
+def _digest(text_col: str):
+    return F.unhex(F.sha2(ascii_lower(text_or_empty(text_col)).cast("binary"), 256))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id",
@@ -72,3 +75,19 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     return (d.join(known, "digest")
             .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))
+
+
+def survivors(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns; rows that repeat an id and text stay once."""
+    kept = stored(deduplicate(docs, index, id_col, text_col).filter("kept")
+                  .groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.count(F.lit(1)).alias("times")), "dedup-kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), _digest(text_col).alias("sha"))
+
+    def of(times: str) -> DataFrame:
+        k = kept.filter(times)
+        return rows.join(k, (rows["sha"] == k["digest"]) & rows["id"].eqNullSafe(k["doc_id"]), "left_semi")
+
+    out = of("times = 1").select("row.*")
+    if kept.filter("times > 1").limit(1).count():
+        out = out.unionAll(of("times > 1").dropDuplicates(["id", "sha"]).select("row.*"))
+    return out

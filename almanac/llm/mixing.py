@@ -29,14 +29,12 @@ from .common import WORD, stored, text_or_empty
 KEY_BITS, STEP_BITS = 48, 12
 
 
-def sized(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text",
-          source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+def _columns(seed: str, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> dict:
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12),
                16, 10).cast("bigint")
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"),
-                       F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint").alias("size"),
-                       u.alias("key"),
-                       (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("weight"))
+    return {"doc_id": F.col(id_col).cast("bigint"), "source": F.col(source_col),
+            "size": F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint"), "key": u,
+            "weight": F.col(weight_col).cast("double") if weight_col else F.lit(1.0)}
 
 
 def source_targets(base: DataFrame, total_share: float, max_copies: float, weights: Sequence[float]) -> DataFrame:
@@ -63,10 +61,10 @@ def source_targets(base: DataFrame, total_share: float, max_copies: float, weigh
             .select("source", "source_size", "target"))
 
 
-def _cut(lots: DataFrame, known: list[str], shift: int) -> DataFrame:
+def _cut(lots: DataFrame, shift: int) -> DataFrame:
     """Per source the key range of width 2**shift in which the running size first exceeds the need;
     ``before`` is the size ahead of it."""
-    bins = (lots.groupBy("source", *known, "need", "before", F.shiftright("key", shift).alias("bin"))
+    bins = (lots.groupBy("source", "need", "before", F.shiftright("key", shift).alias("bin"))
             .agg(F.sum("size").alias("n")))
     run = F.sum("n").over(Window.partitionBy("source").orderBy("bin"))
     return (bins.withColumn("upto", F.col("before") + run).filter(F.col("upto") > F.col("need"))
@@ -74,40 +72,45 @@ def _cut(lots: DataFrame, known: list[str], shift: int) -> DataFrame:
             .select("source", F.col("c.bin").alias("bin"), F.col("c.before").alias("before")))
 
 
-def mix(docs: DataFrame, total_share: float = 1.5, max_copies: float = 2.0, weights: Sequence[float] = (3, 1, 2),
-        seed: str = "mix", weight_col: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target (both of its source), copies, taken."""
-    base = stored(sized(docs, seed, id_col, text_col, source_col, weight_col), "mix-base")
+def _by_source(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The per-source side is a stored table, so its size is known: Spark broadcasts it while it is below
+    its threshold and otherwise merges, splitting a skewed source."""
+    return left.join(right.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+
+def _rank(key, p, weight, mean_weight):
+    """The key of a document whose inclusion odds follow its weight: odds(U) / odds(l) x odds(p), mapped
+    back to (0, 1); U itself where l = p."""
+    limit = lambda x: F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), x))
+    odds = lambda x: x / (1 - x)
+    q = odds((key + 0.5) / float(2 ** KEY_BITS)) / odds(limit(p * weight / mean_weight)) * odds(limit(p))
+    return F.when(q.isNull(), key).otherwise(F.floor(q / (1 + q) * float(2 ** KEY_BITS)).cast("bigint"))
+
+
+def plan(docs: DataFrame, total_share: float = 1.5, max_copies: float = 2.0, weights: Sequence[float] = (3, 1, 2),
+         seed: str = "mix", weight_col: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+         source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, source, size, key, weight; sources: source, source_size, target, certain, p,
+    mean_weight, cut_key, fill_key). A document is sampled if its key is at most cut_key or equals fill_key."""
+    base = stored(docs.select(*(c.alias(n) for n, c in _columns(seed, id_col, text_col, source_col, weight_col).items())), "mix-base")
     t = source_targets(base, total_share, max_copies, weights)
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     t = t.withColumn("certain", F.floor(r)).withColumn("p", r - F.floor(r))
-    t = stored(t.withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("certain") * F.col("source_size"))),
-               "mix-targets")
-
-    def by_source(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Both stored tables have known sizes; Spark broadcasts the per-source side while it is below
-        its own threshold and otherwise merges, splitting a skewed source."""
-        right = right.withColumnRenamed("source", "_s")
-        return left.join(right, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-
-    rows = by_source(base, t)
+    t = t.withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("certain") * F.col("source_size")))
+    rows = base
     if weight_col:
-        # odds(U) / odds(l_i) x odds(p), mapped back to (0, 1): equal to U where l_i = p
-        mean = by_source(base, stored(base.groupBy("source").agg(
-            (F.sum(F.col("weight") * F.col("size")) / F.sum("size")).alias("mean_weight")), "mix-mean"))
-        rows = by_source(mean, t)
-        u = (F.col("key") + 0.5) / float(2 ** KEY_BITS)
-        limit = lambda x: F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), x))
-        odds = lambda x: x / (1 - x)
-        q = odds(u) / odds(limit(F.col("p") * F.col("weight") / F.col("mean_weight"))) * odds(limit(F.col("p")))
-        key = F.when(q.isNull(), F.col("key")).otherwise(F.floor(q / (1 + q) * float(2 ** KEY_BITS)).cast("bigint"))
-        rows = stored(rows.withColumn("key", key).drop("mean_weight"), "mix-rows")
-
-    lots = rows.filter(F.col("size") > 0).select("source", "key", "size", "need").withColumn("before", F.lit(0).cast("bigint"))
+        mean = base.groupBy("source").agg((F.sum(F.col("weight") * F.col("size")) / F.sum("size")).alias("mean_weight"))
+        t = stored(_by_source(t, stored(mean, "mix-mean")), "mix-targets")
+        rows = _by_source(base, t.select("source", "p", "mean_weight")).withColumn("key", _rank(F.col("key"), F.col("p"), F.col("weight"), F.col("mean_weight")))
+        rows = base = stored(rows.select(*base.columns), "mix-base")
+    else:
+        t = stored(t.withColumn("mean_weight", F.lit(1.0)), "mix-targets")
+
+    rows = _by_source(rows.filter(F.col("size") > 0), t.select("source", "need"))
+    lots = rows.select("source", "key", "size", "need").withColumn("before", F.lit(0).cast("bigint"))
     for shift in (KEY_BITS - STEP_BITS, KEY_BITS - 2 * STEP_BITS):
-        c = stored(_cut(lots, [], shift), "mix-cut")
-        lots = by_source(lots.drop("before"), c).filter(F.shiftright("key", shift) == F.col("bin")).drop("bin")
+        c = stored(_cut(lots, shift), "mix-cut")
+        lots = _by_source(lots.drop("before"), c).filter(F.shiftright("key", shift) == F.col("bin")).drop("bin")
     by_key = lots.groupBy("source", "key", "need", "before").agg(F.sum("size").alias("n"))
     run = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("key"))
     last = by_key.withColumn("upto", run).groupBy("source").agg(
@@ -117,13 +120,36 @@ def mix(docs: DataFrame, total_share: float = 1.5, max_copies: float = 2.0, weig
     # keys up to cut_key are in; gap is what is still missing
     cut = stored(last.select("source", F.coalesce("last_key", F.col("first_key") - 1).alias("cut_key"),
                              (F.col("need") - F.coalesce("upto", "before")).alias("gap")), "mix-last")
-    rows = by_source(rows, cut)
-    fill = (rows.filter((F.col("key") > F.col("cut_key")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+    fill = (_by_source(rows, cut).filter((F.col("key") > F.col("cut_key")) & (F.col("size") < 2 * F.col("gap")))
             .groupBy("source", "key", "gap").agg(F.sum("size").alias("n"))
             .filter(F.col("n") < 2 * F.col("gap"))
             .groupBy("source").agg(F.min_by("key", F.struct(F.abs(F.col("gap") - F.col("n")), "key")).alias("fill_key")))
-    rows = by_source(rows, stored(fill, "mix-fill"))
+    sources = _by_source(_by_source(t.drop("need"), cut.drop("gap")), stored(fill, "mix-fill"))
+    return base, stored(sources, "mix-sources")
+
+
+def _copies():
     sampled = (F.col("size") > 0) & ((F.col("key") <= F.col("cut_key")) | (F.col("key") == F.col("fill_key")))
-    copies = (F.col("certain") + F.when(sampled, 1).otherwise(0)).cast("bigint")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-                       (copies * F.col("size")).alias("taken"))
+    return (F.col("certain") + F.when(sampled, 1).otherwise(0)).cast("bigint")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target (both of its source), copies, taken. Options
+    as in :func:`plan`."""
+    base, sources = plan(docs, **options)
+    rows = _by_source(base, sources).withColumn("copies", _copies())
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: str = "mix", weight_col: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with its columns. Only the per-source
+    table meets the rows; no text is shuffled."""
+    names = dict(seed=seed, weight_col=weight_col, id_col=id_col, text_col=text_col, source_col=source_col)
+    _, sources = plan(docs, **names, **options)
+    rows = docs.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in _columns(**names).items()))
+    rows = _by_source(rows, sources)
+    if weight_col:
+        rows = rows.withColumn("key", _rank(F.col("key"), F.col("p"), F.col("weight"), F.col("mean_weight")))
+    rows = rows.select("row", _copies().cast("int").alias("copies")).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

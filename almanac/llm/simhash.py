@@ -207,3 +207,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed:
           .select("fp", F.coalesce("component", "rep").alias("component_id")))
     return (fps.join(stored(of, "simhash-of"), "fp")
             .select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def survivors(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed: int = 42, list_rows: int = 4096,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that another document of their group stands for (the one with the
+    smallest id); rows with null ids stay."""
+    found = near_duplicates(docs, shingle, max_bits, seed, list_rows, id_col, text_col)
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "simhash-gone").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"))
+    return rows.join(gone, rows["id"] == gone["gone"], "left_anti").select("row.*")
