@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, sharding, simhash, substring_dedup, topk, toxicity
+from . import bpe, exact_dedup, mixing, pii, sharding, simhash, substring_dedup, token_counts, topk, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,21 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of every whole text, and after three edits of it: a passage written over with capitals, a cut,
+    an insertion; all placed by the document's id."""
+    n, at = F.length(F.coalesce("text", F.lit(""))), F.pmod(F.xxhash64("doc_id"), F.lit(1000)) / 1000
+    place = lambda x: F.floor(n * x).cast("bigint")
+    edit = lambda start, length, new: F.struct(start.alias("start"), F.lit(length).cast("bigint").alias("length"), new.alias("replacement"))
+    first = place(at)
+    edits = F.array(edit(first, 20, F.upper(F.substring("text", first.cast("int") + 1, F.lit(20)))),
+                    edit(place(1 - at), 9, F.lit("")), edit(place(at / 2), 0, F.lit(" it's edited\n\n ")))
+    return token_counts.counts(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), edits)
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf, "documents"), key=b"almanac surrogate key")
