@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-CHUNK = 8 << 20  # bytes of text that a task settles at once
-BLOCK = 1 << 20
+CHUNK = 2 << 20  # bytes of text that a task settles at once
+BLOCK = 1 << 19
 U = np.uint64
 ODD = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))  # odd multipliers, for bytes and for words
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 POSTED = "bucket int, key binary, reach binary, doc binary, text binary, pos binary"
-VERDICT = "doc_id bigint, th bigint, whole binary, ends binary"
+VERDICT = "doc_id bigint, th bigint, pos int, whole boolean"
 
 
 class Powers:
@@ -161,32 +161,23 @@ class Rows:
         return r, r.cols[2] > smallest, np.cumsum(_new(r.cols[0])) - 1
 
 
-def _verdicts(rows: Rows, whole: np.ndarray, ends: np.ndarray) -> tuple[list, list, list, list]:
-    """Per document the places of both kinds."""
+def _verdicts(rows: Rows, whole: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """doc, text, pos, whole of the postings with a verdict: a whole match or the end of one."""
     some = whole | ends
-    r, whole, ends = rows.take(some), whole[some], ends[some]
-    order = np.lexsort((r.cols[3], r.cols[2]))
-    r, whole, ends = r.take(order), whole[order], ends[order]
-    cut = np.flatnonzero(_new(r.cols[2], r.cols[3]))
-    out = ([], [], [], [])
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
-        pos = r.cols[4][a:b]
-        for put, x in zip(out, (int(r.cols[2][a]), int(r.cols[3][a]), pos[whole[a:b]].tobytes(), pos[ends[a:b]].tobytes())):
-            put.append(x)
-    return out
+    return [*(c[some] for c in rows.cols[2:]), whole[some]]
 
 
 def _outgoing(rows: Rows, buckets: int, reaches: int) -> Iterator[tuple]:
-    """What a task can't settle by itself, by bucket; and its own verdicts in bucket -1 (key: places of
-    whole matches, reach: places of ends)."""
+    """What a task can't settle by itself, by bucket; and its own verdicts in bucket -1 (key: whether whole)."""
     r, later, number = rows.settled()
     first, ends = ~later, np.zeros(len(later), bool)
     if reaches and len(number):
         many = np.bincount(number[first], minlength=number[-1] + 1) > reaches
         ends = first & many[number]
         first &= ~ends
-    for doc, text, whole, end in zip(*_verdicts(r, later, ends)):
-        yield -1, whole, end, np.int64(doc).tobytes(), np.int64(text).tobytes(), b""
+    doc, text, pos, whole = _verdicts(r, later, ends)
+    if len(doc):
+        yield -1, whole.tobytes(), b"", doc.tobytes(), text.tobytes(), pos.tobytes()
     left = r.take(first)
     if ends.any():
         marks = r.take(np.flatnonzero(ends)[_new(r.cols[0][ends])])
@@ -201,7 +192,7 @@ def _outgoing(rows: Rows, buckets: int, reaches: int) -> Iterator[tuple]:
         yield int(bucket[a]), *(c[a:b].tobytes() for c in left.cols)
 
 
-def _met(rows: Rows, steps: bool) -> tuple[list, list, list, list]:
+def _met(rows: Rows, steps: bool) -> list[np.ndarray]:
     """Verdicts of one bucket. steps: whether keys with several reaches need the second step."""
     mark = rows.cols[4] < 0
     marked = np.unique(rows.cols[0][mark])
@@ -222,19 +213,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 P_SCHEMA = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("key", "reach", "doc", "text", "pos"))])
-V_SCHEMA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("whole", pa.binary()), ("ends", pa.binary())])
+V_SCHEMA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("whole", pa.bool_())])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows with a text (second column, as bytes) in lists of about CHUNK bytes."""
     rows, size = [], 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() if not pa.types.is_string(c.type) else c.cast(pa.binary()).to_pylist() for c in batch.columns)):
-            rows.append(row)
-            size += len(row[1] or b"")
-            if size >= CHUNK:
-                yield rows
-                rows, size = [], 0
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            for row in zip(*(c.to_pylist() if not pa.types.is_string(c.type) else c.cast(pa.binary()).to_pylist() for c in part.columns)):
+                rows.append(row)
+                size += len(row[1] or b"")
+                if size >= CHUNK:
+                    yield rows
+                    rows, size = [], 0
     if rows:
         yield rows
 
@@ -245,25 +238,23 @@ def _meeting(posted: DataFrame, buckets: int, steps: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
 
+        def verdicts(out: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], schema=V_SCHEMA)
+
         def settle() -> Iterator[pa.RecordBatch]:
             if held:
                 rows = Rows(*(np.concatenate([np.frombuffer(h[i], t) for h in held]) for i, (_, t) in enumerate(Rows.COLS)))
-                out = _met(rows, steps)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, V_SCHEMA.types)], schema=V_SCHEMA)
+                yield verdicts(_met(rows, steps))
 
         for batch in batches:
-            own = []
             for bucket, *cols in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket < 0:
-                    own.append((int.from_bytes(cols[2], "little", signed=True), int.from_bytes(cols[3], "little", signed=True), cols[0], cols[1]))
+                    yield verdicts([*(np.frombuffer(c, t) for c, (_, t) in zip(cols[2:], Rows.COLS[2:])), np.frombuffer(cols[0], bool)])
                     continue
                 if bucket != at:
                     yield from settle()
                     held, at = [], bucket
                 held.append(cols)
-            if own:
-                yield _batch(own, V_SCHEMA)
         yield from settle()
 
     # a task's own verdicts (bucket -1) may go anywhere
@@ -273,15 +264,15 @@ def _meeting(posted: DataFrame, buckets: int, steps: bool) -> DataFrame:
 
 
 def _gathered(verdicts: DataFrame, *kinds: str) -> DataFrame:
-    """One row per document and text, with the lists of its verdicts."""
-    return verdicts.groupBy("doc_id", "th").agg(*(F.collect_list(k).alias(k) for k in kinds))
+    """One row per document and text, with the places of each kind (a document's own, so bounded by it)."""
+    return verdicts.groupBy("doc_id", "th").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("pos"))).alias(k) for k in kinds))
 
 
-def _places(parts: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or ()), np.int32).astype(np.int64)
+def _places(pos: list[int] | None) -> np.ndarray:
+    return np.array(pos or (), np.int64)
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, k: int = 5, bucket_rows: int = 500_000, reaches: int = 64,
+def remove_repeats(docs: DataFrame, window: int = 13, k: int = 5, bucket_rows: int = 300_000, reaches: int = 32,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (the words left, joined by a space)."""
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -315,10 +306,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, k: int = 5, bucket_rows: i
             if out:
                 yield _batch(out, P_SCHEMA)
 
-    ends = _gathered(v.filter(F.length("ends") > 0), "ends")
-    steps = known.join(ends, ["doc_id", "th"]).select("doc_id", "text", "th", "ends").mapInArrow(windows, POSTED)
-    w = _meeting(steps, buckets, False).select("doc_id", "th", F.lit(None).cast("binary").alias("whole"), F.col("whole").alias("steps"))
-    every = _gathered(v.filter(F.length("whole") > 0).select("doc_id", "th", "whole", F.lit(None).cast("binary").alias("steps")).union(w), "whole", "steps")
+    v = v.withColumn("kind", F.when(F.col("whole"), "whole").otherwise("ends"))
+    ends = _gathered(v.filter("kind = 'ends'"), "ends")
+    step = known.join(ends, ["doc_id", "th"]).select("doc_id", "text", "th", "ends").mapInArrow(windows, POSTED)
+    w = _meeting(step, buckets, False).withColumn("kind", F.lit("steps"))
+    every = _gathered(v.filter("kind = 'whole'").union(w), "whole", "steps")
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
