@@ -145,9 +145,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str
             .orderBy(F.xxhash64("id"), "id").limit(max_rows))
     rows = stored(rows, "toxic-sample")  # at most max_rows pairs of numbers: bounded, so sent to every task
     found = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return (found.join(F.broadcast(rows), "id").filter("text IS NOT NULL")
-            .groupBy(F.md5("text").alias("digest")).agg(F.min("id").alias("id"), F.max("y").alias("y"))
-            .join(found, "id").select("id", "text", "y"))
+    one = stored(found.join(F.broadcast(rows), "id").filter("text IS NOT NULL")
+                 .groupBy(F.md5("text").alias("digest")).agg(F.min("id").alias("id"), F.max("y").alias("y")), "toxic-distinct")
+    return found.join(F.broadcast(one), ["id"]).select("id", "text", "y")
 
 
 def held_out(id_col: str):
@@ -194,7 +194,7 @@ def _learn_stems(sample: DataFrame, support: int, candidates: int) -> list[tuple
             hits = [sorted(s for s in stems_of(t) if s in top) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.string()))], names=["stems"])
 
-    rows = sample.filter("y = 1").select("id", "text", "y").mapInArrow(found, "stems array<string>").orderBy("stems").collect()
+    rows = sample.filter("y = 1").select("id", "text", "y").mapInArrow(found, "stems array<string>").collect()
     left, chosen = [set(r["stems"]) for r in rows if r["stems"]], []  # at most max_rows short lists
     while left:  # the stem that explains most of the toxic texts not yet explained, less the others it stands in
         gain: dict[str, int] = {}
@@ -241,7 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, support: int
             x = [evidence(t, model, matcher) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = sample.select("id", "text", "y").mapInArrow(features, "y int, x array<double>").orderBy("y", "x").collect()  # at most max_rows short rows
+    rows = sample.select("id", "text", "y").mapInArrow(features, "y int, x array<double>").collect()  # at most max_rows short rows
+    rows.sort(key=lambda r: (r["y"], r["x"]))  # sums in one order: reruns agree
     y = np.array([r["y"] for r in rows], float)
     if len(rows) and 0 < y.sum() < len(y):
         weights, bias = _fit(np.array([r["x"] for r in rows]), y)
