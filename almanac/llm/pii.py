@@ -172,12 +172,12 @@ def _originals(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, kind string, normal string")
 
 
-def tries(originals: DataFrame, key: bytes, rounds: int = 32) -> DataFrame:
+def tries(originals: DataFrame, key: bytes, rounds: int = 32, make: type[Maker] = Maker) -> DataFrame:
     """kind, normal, n for distinct originals: the try at which no two surrogates of a kind meet and none is
     an original. Kinds of names are compared without their gender."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Maker(key)
+        maker = make(key)
         for batch in batches:
             kinds, normals, ns = (c.to_pylist() for c in batch.columns)
             new = [maker.normal(k, o, n) for k, o, n in zip(kinds, normals, ns)]

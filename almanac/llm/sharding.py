@@ -33,15 +33,16 @@ def described(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: st
 def _propagate(cells: DataFrame, shards: int, cap: int, rounds: int) -> DataFrame:
     """cells: link, first, part, n (rows of the cell), total (rows of the group). Adds ``shard``."""
     cells = stored(cells.withColumn("shard", F.col("first")), "shard-cells")
+    full = max(1, cap // 50)  # so little room counts as none: acceptance by hash rarely fills a shard to the last row
     for turn in range(rounds):
         load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         free = [max(0, cap - load.get(j, 0)) for j in range(shards)]
         room = F.element_at(F.array(*[F.lit(x) for x in free]), F.col("shard") + 1)
         frag = cells.groupBy("link", "total", "shard").agg(F.sum("n").alias("n"))
         # a shard with no room to speak of is no goal, and a group too large for one shard keeps what it has there
-        usable = frag.filter(room > cap // 100)
+        usable = frag.filter(room > full)
         goal = usable.groupBy("link").agg(F.max_by("shard", F.struct("n", F.xxhash64("link", "shard"))).alias("goal"))
-        stays = (F.col("total") > cap) & (room <= cap // 100)
+        stays = (F.col("total") > cap) & (room <= full)
         moves = (frag.join(goal, "link").filter((F.col("shard") != F.col("goal")) & ~stays)
                  .select("link", "shard", "goal", "n"))
         moves = stored(moves, "shard-moves")
@@ -59,7 +60,7 @@ def _propagate(cells: DataFrame, shards: int, cap: int, rounds: int) -> DataFram
     return cells
 
 
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 12, bucket_rows: int = 10_000, id_col: str = "doc_id",
+def shard(docs: DataFrame, shards: int = 16, rounds: int = 40, bucket_rows: int = 10_000, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """Per document: doc_id, size, text_crc32, law ('rows': shard counts differ by one at most), shard, slot,
     grown_shard (null under this law)."""
