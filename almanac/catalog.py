@@ -1033,7 +1033,7 @@ def q_metrics(spark, sf):
     return rounded(met.drop("mse"), _MET_DIG)
 
 
-def _cv_sql(keys: bool) -> str:
+def _cv_sql(keys: bool, splits: int = 5) -> str:
     src = F2_SQL if keys else F1_SQL
     part = "PARTITION BY o_orderpriority " if keys else ""
     kc = "o_orderpriority, " if keys else ""
@@ -1043,9 +1043,9 @@ def _cv_sql(keys: bool) -> str:
 WITH s AS (SELECT {kc}date, revenue, n AS cnt, CAST(row_number() OVER ({part}ORDER BY date) - 1 AS BIGINT) AS idx
            FROM ({src})),
 c AS (SELECT {kc}COUNT(*) AS n FROM s {'GROUP BY o_orderpriority' if keys else ''}),
-f0 AS (SELECT {kc}n, n // 6 AS sz, unnest(generate_series(0, 4)) AS fold FROM c),
-f AS (SELECT {kc}fold, n - (5 - fold) * sz AS ts, n - (5 - fold) * sz + sz AS te FROM f0
-      WHERE n - (5 - fold) * sz >= floor(n * 0.7::DOUBLE)),
+f0 AS (SELECT {kc}n, n // {splits + 1} AS sz, unnest(generate_series(0, {splits - 1})) AS fold FROM c),
+f AS (SELECT {kc}fold, n - ({splits} - fold) * sz AS ts, n - ({splits} - fold) * sz + sz AS te FROM f0
+      WHERE n - ({splits} - fold) * sz >= floor(n * 0.7::DOUBLE)),
 tr AS (SELECT {'f.o_orderpriority, ' if keys else ''}f.fold, regr_intercept(s.revenue, s.cnt) AS b,
               regr_slope(s.revenue, s.cnt) AS w FROM s JOIN f ON {kj} AND s.idx < f.ts
        GROUP BY {'f.o_orderpriority, ' if keys else ''}f.fold),
@@ -1183,9 +1183,10 @@ def q_qq_line(spark, sf):
 @query("q_error_hist", _TREND_SQL + f"""
 , e AS (SELECT revenue - prediction AS v FROM p), b AS (SELECT MIN(v) AS lo, MAX(v) AS hi FROM e),
 h AS (SELECT CASE WHEN hi = lo THEN 1 ELSE least(floor((v - lo) / (hi - lo) * 20) + 1, 20) END AS bin, lo, hi FROM e, b)
-SELECT CAST(bin AS INTEGER) AS bin, {r('lo + (hi - lo) / 20 * (bin - 1)', 4)} AS lo,
-       {r('CASE WHEN hi = lo THEN hi ELSE lo + (hi - lo) / 20 * bin END', 4)} AS hi, CAST(COUNT(*) AS BIGINT) AS count
-FROM h GROUP BY bin, lo, hi
+SELECT CAST(g.bin AS INTEGER) AS bin, {r('b.lo + (b.hi - b.lo) / 20 * (g.bin - 1)', 4)} AS lo,
+       {r('CASE WHEN b.hi = b.lo THEN b.hi ELSE b.lo + (b.hi - b.lo) / 20 * g.bin END', 4)} AS hi,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM h WHERE h.bin = g.bin) AS count
+FROM b JOIN (SELECT unnest(range(1, 21)) AS bin) g ON g.bin <= CASE WHEN b.hi = b.lo THEN 1 ELSE 20 END
 """)
 def q_error_hist(spark, sf):
     t = _trend(spark, sf).withColumn("e", F.col("revenue") - F.col("prediction"))
@@ -1197,9 +1198,10 @@ WITH e AS (SELECT event_type, value AS v FROM ({F6_SQL}) WHERE value IS NOT NULL
 b AS (SELECT event_type, MIN(v) AS lo, MAX(v) AS hi FROM e GROUP BY 1),
 h AS (SELECT e.event_type, CASE WHEN hi = lo THEN 1 ELSE least(floor((v - lo) / (hi - lo) * 10) + 1, 10) END AS bin, lo, hi
       FROM e JOIN b USING (event_type))
-SELECT event_type, CAST(bin AS INTEGER) AS bin, {r('lo + (hi - lo) / 10 * (bin - 1)', 6)} AS lo,
-       {r('CASE WHEN hi = lo THEN hi ELSE lo + (hi - lo) / 10 * bin END', 6)} AS hi, CAST(COUNT(*) AS BIGINT) AS count
-FROM h GROUP BY ALL
+SELECT b.event_type, CAST(g.bin AS INTEGER) AS bin, {r('b.lo + (b.hi - b.lo) / 10 * (g.bin - 1)', 6)} AS lo,
+       {r('CASE WHEN b.hi = b.lo THEN b.hi ELSE b.lo + (b.hi - b.lo) / 10 * g.bin END', 6)} AS hi,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM h WHERE h.event_type = b.event_type AND h.bin = g.bin) AS count
+FROM b JOIN (SELECT unnest(range(1, 11)) AS bin) g ON g.bin <= CASE WHEN b.hi = b.lo THEN 1 ELSE 10 END
 """)
 def q_histogram_panel(spark, sf):
     return rounded(st.histogram(S.events_with_gaps(spark, sf), "value", 10, keys=["event_type"]), 6)
@@ -1580,3 +1582,120 @@ def q_corr_hot_key(spark, sf):
     with block_rows(spark, _SMALL_BLOCK):
         out = st.corr_pairs(ev, ["value", "x"], keys=["k"])
     return rounded(out, 6)
+
+
+# =============================================================== inputs outside the usual fixtures
+@query("q_interpolate_user_idx", _interp_sql(True))
+def q_interpolate_user_idx(spark, sf):
+    own = S.events_with_gaps(spark, sf).withColumn("idx", -F.col("event_id"))
+    out = pr.interpolate_linear(own, ["value"], keys=["user_id"], order=["ts", "event_id"])
+    return rounded(out.select("event_id", "value"))
+
+
+@query("q_split_user_idx", f"SELECT date, part FROM ({_split_sql('train_test', False)})")
+def q_split_user_idx(spark, sf):
+    out = sp.split_labels(f1(spark, sf).withColumn("idx", F.lit(7)), [], ["date"], "train_test", 0.2)
+    return out.where("idx = 7").select("date", "part")
+
+
+@query("q_inverse_diff_user_idx", f"SELECT date, {r('revenue', 2)} AS revenue FROM ({F1_SQL})")
+def q_inverse_diff_user_idx(spark, sf):
+    t = SeriesTransformer(order=["date"])
+    d = t.fit_transform(_diff_df(spark, sf, False).withColumn("idx", F.lit(1)), ["revenue"], ["diff"], {"diff_lag": 3})
+    return rounded(t.inverse_transform(d).drop("idx"), 2)
+
+
+@query("q_cv_scores_six_splits", _cv_sql(False, 6))
+def q_cv_scores_six_splits(spark, sf):
+    per_fold, _, _ = md.cv_linear(f1(spark, sf), ["n"], "revenue", [], 6, order=["date"])
+    return rounded(per_fold.drop("mse"), _MET_DIG)
+
+
+@query("q_metrics_null_predictions", _TREND_SQL + f"""
+, complete AS (SELECT * FROM p WHERE CAST(idx AS INTEGER) % 3 <> 0), m AS (SELECT AVG(revenue) AS ybar FROM complete)
+SELECT CAST(COUNT(*) AS BIGINT) AS n, {r('SQRT(AVG((revenue - prediction) * (revenue - prediction)))', 4)} AS rmse,
+  {r('AVG(abs(revenue - prediction))', 4)} AS mae,
+  {r('AVG(CASE WHEN revenue != 0 THEN abs((revenue - prediction) / revenue) END) * 100', 6)} AS mape,
+  {r('1 - SUM((revenue - prediction) * (revenue - prediction)) / SUM((revenue - ybar) * (revenue - ybar))', 6)} AS r2
+FROM complete, m
+""")
+def q_metrics_null_predictions(spark, sf):
+    t = _trend(spark, sf).withColumn("prediction", F.when(F.col("idx") % 3 != 0, F.col("prediction")))
+    return rounded(st.regression_metrics(t, "revenue", "prediction").drop("mse"), _MET_DIG)
+
+
+@query("q_fill_median_null_key", f"""
+WITH e AS (SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN user_id END AS k, value FROM ({F6_SQL})),
+m AS (SELECT k, median(value) AS med FROM e GROUP BY k)
+SELECT e.event_id, {r('COALESCE(e.value, m.med)')} AS value FROM e JOIN m ON e.k IS NOT DISTINCT FROM m.k
+""")
+def q_fill_median_null_key(spark, sf):
+    e = S.events_with_gaps(spark, sf).select("event_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("k"), "value")
+    return rounded(pr.handle_missing_values(e, "median", keys=["k"], columns=["value"]).select("event_id", "value"))
+
+
+_FUTURE_SQL = {
+    "daily": ("D", "CAST(MAX(date) AS DATE) + CAST(i AS INTEGER)"),
+    "weekly": ("W", "CAST(MAX(date) AS DATE) + CAST(7 - isodow(MAX(date)) % 7 + 7 * (i - 1) AS INTEGER)"),
+    "month_end": ("M", "last_day(CAST(date_trunc('month', MAX(date)) + to_months(CAST(i - CASE WHEN MAX(date) < last_day(MAX(date)) THEN 1 ELSE 0 END AS INTEGER)) AS DATE))"),
+    "quarter_start": ("QS", "CAST(date_trunc('quarter', MAX(date)) + to_months(CAST(3 * i AS INTEGER)) AS DATE)"),
+    "year_start": ("YS", "CAST(date_trunc('year', MAX(date)) + to_months(CAST(12 * i AS INTEGER)) AS DATE)"),
+}
+
+
+def _future_query(name: str, freq: str, expr: str) -> None:
+    @query(f"q_future_frame_{name}", f"SELECT {expr} AS date FROM ({F1_SQL}), range(1, 9) t(i) GROUP BY i")
+    def run(spark, sf):
+        return pr.future_frame(f1(spark, sf), "date", 8, freq=freq, include_history=False)
+
+
+for _name, (_freq, _expr) in _FUTURE_SQL.items():
+    _future_query(_name, _freq, _expr)
+
+
+@query("q_lag_longer_than_block", f"""
+SELECT event_id, {r('lag(value, 100) OVER (ORDER BY ts, event_id)')} AS value_lag_100 FROM ({F6_SQL})""")
+def q_lag_longer_than_block(spark, sf):
+    out = fe.create_lagged_features(S.events_with_gaps(spark, sf), ["value"], [100], order=["ts", "event_id"], block_rows=37)
+    return rounded(out.select("event_id", "value_lag_100"))
+
+
+@query("q_lags_text_order", f"SELECT event_id, {r('lag(value, 2) OVER (ORDER BY event_type, event_id)')} AS value_lag_2 FROM events")
+def q_lags_text_order(spark, sf):
+    out = fe.create_lagged_features(S.table(spark, sf, "events"), ["value"], [2], order=["event_type", "event_id"], block_rows=997)
+    return rounded(out.select("event_id", "value_lag_2"))
+
+
+@query("q_row_index_heavy_ties", """
+SELECT event_id, CAST(row_number() OVER (ORDER BY date_trunc('month', ts), event_id) - 1 AS BIGINT) AS pos FROM events""")
+def q_row_index_heavy_ties(spark, sf):
+    ev = S.table(spark, sf, "events").select("event_id", F.to_date(F.date_trunc("month", "ts")).alias("m"))
+    return fe.row_index(ev, [], ["m", "event_id"], block_rows=97, name="pos").select("event_id", "pos")
+
+
+@query("q_boxplot_outliers", f"""
+WITH v AS (SELECT event_type, value FROM ({F6_SQL}) WHERE value IS NOT NULL),
+q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM v GROUP BY 1)
+SELECT v.event_type, {r('v.value')} AS value FROM v JOIN q ON v.event_type IS NOT DISTINCT FROM q.event_type
+WHERE NOT v.value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""")
+def q_boxplot_outliers(spark, sf):
+    return rounded(st.boxplot_outliers(S.events_with_gaps(spark, sf), "value", ["event_type"]))
+
+
+@query("q_pipeline_forecast")
+def q_pipeline_forecast(spark, sf):
+    from almanac.plans.pipeline import PipelineConfig, run_pipeline
+    cfg = PipelineConfig(target_col="revenue", date_col="date", model_type="prophet", use_pca=False, feature_selection_method="f_regression",
+                         top_n_features=3, forecast_periods=6)
+    return run_pipeline(spark, f1(spark, sf), cfg).forecast.select("ds", "yhat", "yhat_lower", "yhat_upper", "actual")
+
+
+@query("q_direct_preset")
+def q_direct_preset(spark, sf):
+    """The direct job: target carried, preset configuration, forecast over the history and a year."""
+    from almanac.operators.forecast import AdditiveForecaster, direct_preset, forecast_with_actuals
+    d = f1(spark, sf).select(F.col("date").alias("ds"), F.col("revenue").alias("y"), F.col("n").cast("double").alias("n"))
+    conf = direct_preset(["n"])
+    conf.carry_target = True
+    model = AdditiveForecaster(conf).fit(d.withColumn("y", F.when(F.month("ds") != 5, F.col("y"))))
+    return forecast_with_actuals(model.predict(model.make_future(d, 12)), d, [], "ds", "y").select("ds", "yhat", "actual")

@@ -25,8 +25,8 @@ TRIM_CALENDAR_COLUMNS = (
 )
 # Calendar columns the merge step treats as generated (not dataset values).
 MERGE_CALENDAR_COLUMNS = (
-    "year", "month", "month_name", "month_end", "quarter", "quarter_end",
-    "Q1", "Q2", "Q3", "Q4", "period",
+    "year", "month", "quarter", "month_name", "period",
+    "month_end", "quarter_end", "Q1", "Q2", "Q3", "Q4",
 )
 # Substrings that mark a "key indicator" (gets lags and rolling means).
 KEY_INDICATOR_WORDS = ("sales", "rate", "price", "index", "gdp", "orders", "production")

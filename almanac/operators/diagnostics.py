@@ -155,7 +155,7 @@ def decompose(df: DataFrame, col: str, period: int = 12, model: str = "additive"
     out = join_on_keys(d, ph, [*keys, "__phase"], "left")
     resid = (F.col("observed") - F.col("trend") - F.col("seasonal")) if model == "additive" else (
         F.try_divide(F.col("observed"), F.col("trend") * F.col("seasonal")))
-    return out.withColumn("resid", resid).drop("__phase", "__det")
+    return out.withColumn("resid", resid).drop("__phase", "__det").withColumnRenamed(IDX, "idx")
 
 
 def rolling_origin_table(actual: DataFrame, predictions: DataFrame, step: int, keys: Sequence[str] = (),
@@ -164,5 +164,5 @@ def rolling_origin_table(actual: DataFrame, predictions: DataFrame, step: int, k
     ``(keys, window_id, pos, yhat)`` are placed on ``idx = window_id*step + pos`` and joined to
     the actual values ``(keys, idx, y)``."""
     keys = list(keys)
-    p = predictions.withColumn(IDX, (F.col("window_id") * step + F.col("pos")).cast("long"))
-    return join_on_keys(p, actual.select(*keys, IDX, F.col(y).alias("actual")), [*keys, IDX], "left")
+    p = predictions.withColumn("idx", (F.col("window_id") * step + F.col("pos")).cast("long"))
+    return join_on_keys(p, actual.select(*keys, "idx", F.col(y).alias("actual")), [*keys, "idx"], "left")

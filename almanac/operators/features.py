@@ -114,7 +114,7 @@ def create_lagged_features(df: DataFrame, columns: Sequence[str], lags: Sequence
                            order: Sequence[str] = ("date",), block_rows: int | None = None,
                            keep_index: bool = False) -> DataFrame:
     """``{c}_lag_{k}``; missing values count as rows (WIN1). ``keep_index`` keeps the row
-    position ``idx`` so a following order-based call reuses it instead of re-indexing."""
+    private position so a following order-based call reuses it instead of re-indexing."""
     spec = FeatureSpec()
     for c in existing(df, columns):
         for k in lags:
@@ -136,7 +136,7 @@ def create_rolling_features(df: DataFrame, columns: Sequence[str], windows: Sequ
 
 
 def row_index(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("date",),
-              block_rows: int | None = None, name: str = IDX) -> DataFrame:
+              block_rows: int | None = None, name: str = "idx") -> DataFrame:
     """0-based position within each series (WIN7)."""
     plan = series_plan(df, keys, order, block_rows)
     return plan.index(df, name)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.operators.model import fit_linear_per_series
-from almanac.operators.prepare import future_frame
+from almanac.operators.prepare import future_frame, handle_missing_values
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
 
@@ -45,6 +45,7 @@ class ForecastConfig:
     regressors: list[str] = field(default_factory=list)
     interval_width: float = 0.8
     noise_scale: float = 0.05
+    carry_target: bool = False  # fill a missing target from the row before, then from the row after
 
     def season_terms(self) -> list[tuple[str, float, int]]:
         terms = []
@@ -66,6 +67,18 @@ def _days(c: Column, dtype: T.DataType) -> Column:
     return F.unix_micros(c.cast("timestamp")).cast("double") / F.lit(86_400_000_000.0)
 
 
+def carry_target(df: DataFrame, y: str, keys: Sequence[str] = (), ds: str = "ds", block_rows: int | None = None) -> DataFrame:
+    """A missing target takes the last value before it, at the start the first one after (IMP8)."""
+    return handle_missing_values(df, "forward", date_col=ds, keys=keys, order=[ds], columns=[y], block_rows=block_rows)
+
+
+def direct_preset(regressors: Sequence[str]) -> ForecastConfig:
+    """Configuration of the direct job (FC6): a stiff trend, wide seasonal and regressor priors and a
+    quarterly seasonality."""
+    return ForecastConfig(changepoint_prior_scale=0.01, seasonality_prior_scale=5.0, regressor_prior_scale=5.0,
+                          seasonalities=[{"name": "quarterly", "period": 91.25, "fourier_order": 3}], regressors=list(regressors))
+
+
 def to_forecast_frame(df: DataFrame, date_col: str, target_col: str, regressors: Sequence[str] = (),
                       keys: Sequence[str] = ()) -> DataFrame:
     """keys, ``ds``, ``y`` and the regressors (PRJ5)."""
@@ -89,7 +102,7 @@ def holiday_features(df: DataFrame, holidays: DataFrame, ds: str = "ds", names:
     it is broadcast only when its row count is below a fixed bound, else joined by shuffle."""
     h = holidays.select(F.to_date("ds").alias("__hd"), F.col("holiday"))
     if names is None:
-        names = sorted(r["holiday"] for r in h.select("holiday").distinct().limit(10_000).collect())
+        names = sorted(r["holiday"] for r in h.where(F.col("holiday").isNotNull()).select("holiday").distinct().collect())
     wide = h.groupBy("__hd").agg(*[F.max(F.when(F.col("holiday") == n, 1).otherwise(0)).alias(f"holiday_{n}") for n in names])
     small = holidays.count() <= HOLIDAY_BROADCAST_ROWS
     right = F.broadcast(wide) if small else wide
@@ -191,7 +204,8 @@ class AdditiveForecaster:
                 raise ValueError(f"regressor {r!r} missing from the data")
         if y not in df.columns:
             raise ValueError(f"target {y!r} missing from the data")
-        d = df.where(F.col(y).isNotNull())
+        d = carry_target(df, y, keys, ds, self.block_rows) if cfg.carry_target else df
+        d = d.where(F.col(y).isNotNull())
         if self.holidays is not None:
             self.holiday_names = sorted(r["holiday"] for r in self.holidays.select("holiday").distinct().collect())
             d = holiday_features(d, self.holidays, ds, self.holiday_names)
@@ -263,7 +277,8 @@ class AdditiveForecaster:
         return fut
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """keys, ds, yhat, yhat_lower, yhat_upper and one column per component (FC7)."""
+        """keys, ds, yhat, yhat_lower, yhat_upper and one column per component (FC7), named ``{regressor}_effect``
+        where the input holds a column of the component's name."""
         d = df
         if self.holiday_names:
             d = holiday_features(d, self.holidays, self.ds, self.holiday_names)
@@ -277,7 +292,7 @@ class AdditiveForecaster:
         comps = {g: F.col(f"__g_{g}") * ys for g in self.groups}
         keep = [c for c in df.columns]
         res = based.select(*keep, yhat.alias("yhat"), (yhat - half).alias("yhat_lower"), (yhat + half).alias("yhat_upper"),
-                           *[e.alias(g) for g, e in comps.items()])
+                           *[e.alias(f"{g}_effect" if g in keep else g) for g, e in comps.items()])
         return res
 
 

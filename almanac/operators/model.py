@@ -26,12 +26,13 @@ from pyspark.sql import types as T
 from almanac.operators.split import cv_folds, split_labels
 from almanac.operators.stats import regression_metrics
 from almanac.plans.fitted import Fitted
-from almanac.plans.ordered import IDX, colocate_series, join_on_keys
+from almanac.plans.ordered import IDX, colocate_series, join_on_keys, series_plan
 
 log = logging.getLogger(__name__)
 
 MODEL_TYPES = ("linear", "ridge", "lasso", "elasticnet", "randomforest", "gbm")
 FEATURES = "features"
+MAX_DEPTH = 30  # of MLlib's trees
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = FEATURES) -> DataFrame:
@@ -56,11 +57,11 @@ def make_estimator(model_type: str = "linear", params: dict | None = None, label
         return LinearRegression(solver="normal", elasticNetParam=0.0, regParam=alpha * label_sd / n,
                                 standardization=False, **common)
     if model_type == "lasso":
-        alpha = float(params.get("alpha", 0.01))
+        alpha = float(params.get("alpha", 1.0))
         return LinearRegression(elasticNetParam=1.0, regParam=alpha, standardization=False, maxIter=1000,
                                 tol=1e-10, **common)
     if model_type == "elasticnet":
-        alpha = float(params.get("alpha", 0.01))
+        alpha = float(params.get("alpha", 1.0))
         l1 = float(params.get("l1_ratio", 0.5))
         if label_sd is None:
             raise ValueError("elastic net needs the label sd")
@@ -68,9 +69,13 @@ def make_estimator(model_type: str = "linear", params: dict | None = None, label
         return LinearRegression(elasticNetParam=(alpha * l1 / lam) if lam else 0.0, regParam=lam,
                                 standardization=False, maxIter=1000, tol=1e-10, **common)
     if model_type == "randomforest":
-        depth = params.get("max_depth", 10)
+        depth = params.get("max_depth")
+        if depth is not None and int(depth) > MAX_DEPTH:
+            raise ValueError(f"max_depth {depth} is beyond the {MAX_DEPTH} levels that MLlib trees have")
+        if depth is None:
+            log.info("no max_depth: MLlib's deepest trees, %d levels", MAX_DEPTH)
         return RandomForestRegressor(numTrees=int(params.get("n_estimators", 100)),
-                                     maxDepth=min(int(depth) if depth is not None else 30, 30),
+                                     maxDepth=MAX_DEPTH if depth is None else int(depth),
                                      featureSubsetStrategy="all", seed=int(params.get("random_state", 42)), **common)
     if model_type == "gbm":
         return GBTRegressor(maxIter=int(params.get("n_estimators", 100)), stepSize=float(params.get("learning_rate", 0.1)),
@@ -211,7 +216,6 @@ def time_series_cv(df: DataFrame, features: Sequence[str], label: str, model_typ
                    order: Sequence[str] = ("date",)) -> tuple[DataFrame, DataFrame]:
     """Expanding-window CV of one model. Returns (per-fold metrics, mean/std summary).
     Folds are a small table; each kept fold is one fit on ``idx < train_end``."""
-    from almanac.plans.ordered import series_plan
     spark = df.sparkSession
     plan = series_plan(df, [], list(order))
     d = df if IDX in df.columns else plan.index(df)
@@ -241,13 +245,14 @@ def cv_linear(df: DataFrame, features: Sequence[str], label: str, keys: Sequence
     is copied into the train sets it belongs to (at most ``n_splits`` copies), all folds of
     all series are fitted in one aggregate, test rows are scored with a join.
     Returns (per-fold metrics, mean/std per series, fold table)."""
-    from almanac.plans.ordered import series_plan
     keys = list(keys)
     plan = series_plan(df, keys, list(order), block_rows)
     d = df if IDX in df.columns else plan.index(df)
     folds = cv_folds(d, keys, n_splits, initial_train_size).where("kept")
     fk = [*keys, "fold"]
-    member = join_on_keys(d, folds.select(*keys, "fold", "train_end", "test_start", "test_end"), keys, "inner")
+    # one row per series with its folds (at most n_splits), so a series without keys joins like any other
+    of = folds.groupBy(*keys).agg(F.collect_list(F.struct("fold", "train_end", "test_start", "test_end")).alias("__folds"))
+    member = join_on_keys(d, of, keys, "inner").withColumn("__f", F.explode("__folds")).select(*d.columns, "__f.*")
     train = member.where(F.col(IDX) < F.col("train_end"))
     test = member.where((F.col(IDX) >= F.col("test_start")) & (F.col(IDX) < F.col("test_end")))
     coefs = fit_linear_per_series(train, fk, features, label, alpha)
@@ -282,8 +287,11 @@ def train_and_evaluate(df: DataFrame, target_col: str, feature_cols: Sequence[st
             log.warning("feature %r not found", c)
     if model_type not in MODEL_TYPES:
         raise ValueError(f"unknown model type {model_type!r}")
-    d = df.select(date_col, target_col, *[c for c in feats if c != target_col])
-    d = handle_missing_values(d, "mean", fill_groups=fill_groups, date_col=date_col, columns=[target_col, *feats])
+    feats = [c for c in feats if c != target_col]
+    groups = [g for g in fill_groups or [] if g in df.columns and g not in (date_col, target_col, *feats)]
+    d = df.select(date_col, target_col, *feats, *groups)
+    d = handle_missing_values(d, "mean", fill_groups=fill_groups, date_col=date_col, columns=[target_col, *feats]).drop(*groups)
+    d = series_plan(d, [], [date_col]).index(d)
     lab = split_labels(d, [], [date_col], "train_test", test_size).cache()
     train = lab.where(F.col("part") == "train")
     test = lab.where(F.col("part") == "test")
@@ -296,6 +304,6 @@ def train_and_evaluate(df: DataFrame, target_col: str, feature_cols: Sequence[st
                                     order=[date_col])
     res = residual_tests(pred, target_col, "prediction", order=[IDX])
     imp = importances(model, feats, df.sparkSession)
-    return TrainResult(model, metrics, allpred.select(date_col, IDX, "part", F.col(target_col).alias("actual"),
+    return TrainResult(model, metrics, allpred.select(date_col, F.col(IDX).alias("idx"), "part", F.col(target_col).alias("actual"),
                                                       F.col("prediction").alias("predicted")),
                        cv_f, cv_s, res, imp)

@@ -149,17 +149,35 @@ def merge_datasets(datasets: dict[str, DataFrame], date_col: str = "date", align
 
 
 # ------------------------------------------------------------------ FRQ6
+FUTURE_FREQS = ("MS", "QS", "YS", "M", "W", "D", "h")
+
+
 def future_frame(df: DataFrame, date_col: str, periods: int, keys: Sequence[str] = (), freq: str = "MS",
                  include_history: bool = True) -> DataFrame:
-    """History dates plus ``periods`` period starts after the last date of each series."""
+    """History dates plus ``periods`` periods after the last date of each series: starts of months (MS),
+    quarters (QS) or years (YS), ends of months (M), days (D), weeks (W, Sundays) or hours (h, timestamps)."""
     keys = list(keys)
-    months = {"MS": 1, "QS": 3, "YS": 12}[freq]
-    last = df.groupBy(*keys).agg(F.max(F.to_date(date_col)).alias("__last"))
+    if freq not in FUTURE_FREQS:
+        raise ValueError(f"unknown frequency {freq!r}; one of {', '.join(FUTURE_FREQS)}")
+    when = F.col(date_col).cast("timestamp") if freq == "h" else F.to_date(date_col)
+    last = df.groupBy(*keys).agg(F.max(when).alias("__last"))
     fut = last.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("__i"), "__last")
-    fut = fut.select(*keys, F.add_months(F.trunc("__last", "month"), F.col("__i") * months).alias(date_col))
+    i, end = F.col("__i"), F.col("__last")
+    if freq == "h":
+        at = F.timestamp_micros((F.floor(F.unix_micros(end) / 3_600_000_000) + i) * 3_600_000_000)
+    elif freq == "D":
+        at = F.date_add(end, i)
+    elif freq == "W":
+        at = F.date_add(F.next_day(end, "Sun"), (i - 1) * 7)
+    elif freq == "M":  # a last date inside a month has that month's end ahead of it
+        at = F.last_day(F.add_months(F.trunc(end, "month"), i - F.when(end < F.last_day(end), 1).otherwise(0)))
+    else:
+        unit, months = {"MS": ("month", 1), "QS": ("quarter", 3), "YS": ("year", 12)}[freq]
+        at = F.add_months(F.trunc(end, unit), i * months)
+    fut = fut.select(*keys, at.alias(date_col))
     if not include_history:
         return fut
-    hist = df.select(*keys, F.to_date(date_col).alias(date_col)).distinct()
+    hist = df.select(*keys, when.alias(date_col)).distinct()
     return hist.unionByName(fut)
 
 
@@ -200,12 +218,10 @@ def exact_median(df: DataFrame, group: Sequence[str], cols: Sequence[str], block
     """Exact (interpolated) median per group without holding a group in memory: the columns
     are unpivoted, the non-null values of each (group, column) are ranked with the
     distributed row index (one sort for all columns) and the one or two middle ranks are
-    averaged. Rows with a NULL group key belong to no group. Returns (group..., {c})."""
+    averaged. A NULL group key is a group like any other. Returns (group..., {c})."""
     group = list(group)
     body = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.select(*group, F.expr(f"stack({len(cols)}, {body}) as (__col, __v)")).where(F.col("__v").isNotNull())
-    if group:
-        long = long.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group]))
     plan = series_plan(long, [*group, "__col"], ["__v"], block_rows)
     r = plan.with_count(plan.index(long))
     lo = F.floor((F.col("__n") - 1) / 2)

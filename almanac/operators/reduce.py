@@ -101,7 +101,8 @@ def mutual_info_scores(df: DataFrame, target: str, features: Sequence[str], bins
     The target's bin is computed on the row first and carried through the unpivot, so the
     features' bins need no join back to the rows: two sorts and one aggregate in all."""
     feats = list(features)
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in feats], F.col(target).cast("double").alias("__y"))
+    d = mean_impute(df, [*feats, target])
+    d = d.select(*[F.col(c).cast("double").alias(c) for c in feats], F.col(target).cast("double").alias("__y"))
     d = equal_frequency_bin(d, [], "__y", bins, "ybin", block_rows)
     body = ", ".join(f"'{c}', `{c}`" for c in feats)
     long = d.select("ybin", F.expr(f"stack({len(feats)}, {body}) as (feature, v)"))
@@ -130,6 +131,7 @@ def lasso_selection(df: DataFrame, target: str, features: Sequence[str], alpha:
     """Non-zero lasso coefficients (|w| > 1e-8) on z-scored features (population sd).
     Columns: feature, coefficient, selected."""
     feats = list(features)
+    df = mean_impute(df, [*feats, target])
     fit = Fitted.fit(df, [], {**{f"m_{c}": F.avg(c) for c in feats}, **{f"s_{c}": F.stddev_pop(c) for c in feats}})
     z = df.select(F.col(target).cast("double").alias("__y"),
                   *[fx.standardize(F.col(c), fit.row[f"m_{c}"], fit.row[f"s_{c}"]).alias(c) for c in feats])
@@ -246,27 +248,27 @@ def reduce_dimensions(df: DataFrame, target_col: str, feature_cols: Sequence[str
                     pca_explained_variance=pca.explained_ratio[:k], n_components_used=k, pca=pca)
         avail = meta["pca_components"]
     else:
-        result = data.select(*base_cols, *kept)
+        result = df.select(*base_cols, *[c for c in kept if c not in base_cols])  # as they came, not imputed
         avail = kept
-    selected: list[str] = []
-    if avail:
-        if feature_selection_method == "mutual_info":
-            sc = mutual_info_scores(result, target_col, avail)
-            selected = [r["feature"] for r in sc.where(F.col("rank") <= top_n_features).orderBy("rank").collect()]
-        elif feature_selection_method == "f_regression":
-            sc = f_regression_scores(result, target_col, avail)
-            selected = [r["feature"] for r in sc.where(F.col("rank") <= top_n_features).orderBy("rank").collect()]
-        elif feature_selection_method == "lasso":
-            sc = lasso_selection(result, target_col, avail, lasso_alpha)
-            selected = [r["feature"] for r in sc.where("selected").collect()]
-        else:
-            log.warning("unknown feature selection method %r", feature_selection_method)
-    if not selected and meta.get("pca_components"):
-        selected = meta["pca_components"][:top_n_features]
-    if not selected:
-        selected = feats[:top_n_features]
-        extra = [c for c in selected if c not in result.columns]
-        if extra:
-            result = join_on_keys(result, df.select(*base_cols, *extra), base_cols, "left")
+    ranked = _selection(result, target_col, avail, feature_selection_method, top_n_features, lasso_alpha) if avail else []
+    # nothing chosen: leading components, or without them the features as given
+    selected = ranked or (meta.get("pca_components") or feats)[:top_n_features]
+    if missing := [c for c in selected if c not in result.columns]:
+        result = join_on_keys(result, df.select(*base_cols, *missing), base_cols, "left")
     meta["selected_features"] = selected
     return result, meta
+
+
+#: Score table and the condition on it that selects, by method.
+SELECTORS = {
+    "mutual_info": lambda df, y, x, top, alpha: mutual_info_scores(df, y, x).where(F.col("rank") <= top).orderBy("rank"),
+    "f_regression": lambda df, y, x, top, alpha: f_regression_scores(df, y, x).where(F.col("rank") <= top).orderBy("rank"),
+    "lasso": lambda df, y, x, top, alpha: lasso_selection(df, y, x, alpha).where("selected"),
+}
+
+
+def _selection(df: DataFrame, target: str, features: Sequence[str], method: str, top: int, alpha: float) -> list[str]:
+    if method not in SELECTORS:
+        log.warning("unknown feature selection method %r", method)
+        return []
+    return [r["feature"] for r in SELECTORS[method](df, target, features, top, alpha).collect()]

@@ -17,8 +17,9 @@ RULES = ("three_way", "train_test", "forecast")
 
 def split_labels(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("date",), rule: str = "three_way",
                  test_size: float = 0.2, validation_size: float = 0.1, block_rows: int | None = None,
-                 part_col: str = "part") -> DataFrame:
-    """Add ``idx`` and ``part`` (train / validation / test) to every row.
+                 part_col: str = "part", index_col: str = "idx") -> DataFrame:
+    """Add the position ``index_col`` (unless the input owns that name) and ``part`` (train / validation /
+    test) to every row.
 
     * ``three_way`` — train below int(n*(1-test-val)), validation below int(n*(1-test)) (SPL1);
     * ``train_test`` — test = int(n*test), train = n - test (SPL2);
@@ -27,7 +28,8 @@ def split_labels(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] =
         raise ValueError(f"unknown split rule {rule!r}")
     keys = list(keys)
     plan = series_plan(df, keys, list(order), block_rows)
-    d = df if IDX in df.columns else plan.index(df)
+    had = IDX in df.columns
+    d = df if had else plan.index(df)
     d = plan.with_count(d)
     n = F.col("__n").cast("double")
     one, ts, vs = F.lit(1.0), F.lit(float(test_size)), F.lit(float(validation_size))
@@ -41,7 +43,10 @@ def split_labels(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] =
         part = F.when(i < train_n, "train").otherwise("test")
     else:
         part = F.when(i < F.floor(n * (one - ts)), "train").otherwise("test")
-    return d.withColumn(part_col, part).drop("__n")
+    d = d.withColumn(part_col, part).drop("__n")
+    if had:
+        return d
+    return d.drop(IDX) if index_col in df.columns else d.withColumnRenamed(IDX, index_col)
 
 
 def split_data(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("date",), test_size: float = 0.2,

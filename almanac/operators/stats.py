@@ -65,14 +65,6 @@ def column_stats(df: DataFrame, columns: Sequence[str], stats: Sequence[str] = (
     return wide.select(*keys, F.expr(f"stack({len(columns)}, {parts}) as ({names})"))
 
 
-def group_stat(df: DataFrame, group: Sequence[str], columns: Sequence[str], stat: str = "mean") -> DataFrame:
-    """Group mean or exact median (AGG1)."""
-    if stat == "mean":
-        return df.groupBy(*group).agg(*[F.avg(c).alias(c) for c in columns])
-    from almanac.operators.prepare import exact_median
-    return exact_median(df, group, columns)
-
-
 def corr_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), absolute: bool = False,
                upper_only: bool = True) -> DataFrame:
     """Pearson correlation of every column pair, pairwise-complete (a pair uses the rows where
@@ -132,21 +124,14 @@ def corr_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
     return out
 
 
-def pearson_sql(a: str, b: str) -> str:
-    """SQL text of :func:`pearson` (one planner call per pair instead of a dozen)."""
-    both = f"(`{a}` IS NOT NULL AND `{b}` IS NOT NULL)"
-    x, y = f"CASE WHEN {both} THEN CAST(`{a}` AS DOUBLE) END", f"CASE WHEN {both} THEN CAST(`{b}` AS DOUBLE) END"
-    den = f"(stddev_pop({x}) * stddev_pop({y}))"
-    return f"CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) / {den} END"
-
-
 def regression_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """mse, rmse, mae, mape (rows with y = 0 skipped; NULL if none left) and r2 (AGG8).
 
     r2 follows the usual convention for a constant target: 1 for a perfect fit, else 0.
     The mean of y is found in a first aggregate, so the total sum of squares is the
-    two-pass (stable) form."""
+    two-pass (stable) form. All of it, ``n`` included, is over the rows with target and prediction."""
     keys = list(keys)
+    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     fit = Fitted.fit(df, keys, {"__ybar": F.avg(y)})
     based, prm, drop = fit.attach(df)
     e = F.col(y) - F.col(p)
@@ -173,8 +158,8 @@ def residual_summary(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) ->
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20, keys: Sequence[str] = ()) -> DataFrame:
-    """Equal-width histogram between min and max; the maximum belongs to the last bin; a
-    constant column is one bin (AGG12). Columns: keys..., bin (1..n), lo, hi, count.
+    """Equal-width histogram between min and max, empty bins included; the maximum belongs to the last bin;
+    a constant column is one bin (AGG12). Columns: keys..., bin (1..n), lo, hi, count.
     bin = least(floor((x - min) / (max - min) * n) + 1, n)."""
     keys = list(keys)
     v = df.select(*keys, F.col(col).alias("__v")).where(F.col("__v").isNotNull())
@@ -183,12 +168,18 @@ def histogram(df: DataFrame, col: str, bins: int = 20, keys: Sequence[str] = ())
     lo, hi = p["__lo"], p["__hi"]
     raw = F.floor((F.col("__v") - lo) / (hi - lo) * F.lit(bins)) + 1
     b = F.when(hi == lo, F.lit(1)).otherwise(F.least(raw, F.lit(bins)))
-    out = based.withColumn("bin", b.cast("int")).groupBy(*keys, "bin").agg(
-        F.count(F.lit(1)).cast("long").alias("count"), F.first(lo).alias("__lo"), F.first(hi).alias("__hi"))
+    full = based.withColumn("bin", b.cast("int")).groupBy(*keys, "bin").agg(
+        F.count(F.lit(1)).cast("long").alias("__n"), F.first(lo).alias("__lo"), F.first(hi).alias("__hi"))
+    # the counts of a series are at most ``bins`` entries: spread them over all its bins
+    per = full.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "__n"))).alias("__at"),
+                                  F.first("__lo").alias("__lo"), F.first("__hi").alias("__hi")).where(F.col("__lo").isNotNull())
+    last = F.when(F.col("__hi") == F.col("__lo"), F.lit(1)).otherwise(F.lit(bins))
+    out = per.select("*", F.explode(F.sequence(F.lit(1), last)).alias("bin"))
     w2 = (F.col("__hi") - F.col("__lo")) / F.lit(bins)
     return out.select(*keys, "bin", (F.col("__lo") + w2 * (F.col("bin") - 1)).alias("lo"),
                       F.when(F.col("__hi") == F.col("__lo"), F.col("__hi")).otherwise(
-                          F.col("__lo") + w2 * F.col("bin")).alias("hi"), "count")
+                          F.col("__lo") + w2 * F.col("bin")).alias("hi"),
+                      F.coalesce(F.try_element_at("__at", F.col("bin")), F.lit(0)).cast("long").alias("count"))
 
 
 def kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
@@ -211,6 +202,16 @@ def kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
     return row.select(F.expr(f"stack({points}, {body}) as (x, density)"))
 
 
+def boxplot_outliers(df: DataFrame, col: str, group: Sequence[str], block_rows: int | None = None) -> DataFrame:
+    """The rows outside the 1.5 IQR fences of their group: group..., value (AGG11)."""
+    group = list(group)
+    q = exact_quantiles(df, group, col, [0.25, 0.75], ["q1", "q3"], block_rows)
+    v = df.select(*group, F.col(col).alias("value")).where(F.col("value").isNotNull())
+    iqr = F.col("q3") - F.col("q1")
+    inside = F.col("value").between(F.col("q1") - F.lit(1.5) * iqr, F.col("q3") + F.lit(1.5) * iqr)
+    return join_on_keys(v, q, group, "inner").where(~inside).select(*group, "value")
+
+
 def boxplot_stats(df: DataFrame, col: str, group: Sequence[str], block_rows: int | None = None) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme values inside the fences) and outlier count
     per group (AGG11)."""

@@ -9,6 +9,7 @@ refined around the best point, all columns in the same aggregate)."""
 from __future__ import annotations
 
 import logging
+from functools import reduce
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -21,6 +22,8 @@ from almanac.plans.ordered import IDX, join_on_keys, series_plan
 
 log = logging.getLogger(__name__)
 
+MAX_HALF_WIDTH = 640.0  # a likelihood still rising there has no maximum to speak of
+
 KINDS = ("log", "sqrt", "diff", "seasonal_diff", "standardize", "normalize", "box_cox", "yeo_johnson")
 
 
@@ -29,10 +32,22 @@ def fit_lambda(df: DataFrame, keys: Sequence[str], xs: dict[str, Column], kind:
                passes: int = 5, points: int = 20, half_width: float = 5.0) -> Fitted:
     """Lambda maximising the Box-Cox or Yeo-Johnson profile log-likelihood per series and
     column. ``xs`` maps a column name to the (already offset) values. Returns a Fitted
-    holding ``{name}__lam``."""
+    holding ``{name}__lam``. The first grid is widened until no best value lies on its edge."""
     keys = list(keys)
+    while half_width < MAX_HALF_WIDTH and _at_edge(_search(df, keys, xs, kind, 1, points, half_width), keys, xs, half_width):
+        half_width *= 2
+    return _search(df, keys, xs, kind, passes, points, half_width)
+
+
+def _at_edge(found: Fitted, keys: list[str], xs: dict[str, Column], half_width: float) -> bool:
+    if not keys:
+        return any(found.row[f"{n}__lam"] is not None and abs(found.row[f"{n}__lam"]) >= half_width * (1 - 1e-9) for n in xs)
+    far = reduce(lambda a, b: a | b, [F.abs(f"{n}__lam") >= half_width * (1 - 1e-9) for n in xs])
+    return found.table.where(far).limit(1).count() > 0
+
+
+def _search(df: DataFrame, keys: list[str], xs: dict[str, Column], kind: str, passes: int, points: int, half: float) -> Fitted:
     centers: Fitted | None = None
-    half = half_width
     for _ in range(passes):
         step = half / points
         if centers is None:

@@ -11,10 +11,11 @@ one task, which is wrong at scale in two cases: no keys at all (one global serie
 through the driver) and picks:
 
 * **plain** — when every series has at most ``block_rows`` rows (a proven bound on what a
-  single task sorts);
+  single task sorts; a series without keys at most ``UNKEYED_PLAIN_ROWS``);
 * **blocked** — otherwise. Rows of the large series are cut into buckets of their order
-  value (approximate quantiles, applied with a binary-search ``Bucketizer``), a dense
-  row index ``idx`` is built from per-bucket counts plus a running offset, and every
+  value (approximate quantiles, applied with a binary-search ``Bucketizer``; a value that
+  fills a bucket is cut further by the tie-breaker or a hash), a dense
+  row index is built from per-bucket counts plus a running offset, and every
   operator then runs on blocks of ``block_rows`` consecutive rows:
 
   - bounded frames (lag, rolling, difference, centred averages) copy the last/first
@@ -35,15 +36,16 @@ from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-IDX = "idx"
+#: Private name of the row position: no input column is ever taken for it.
+IDX = "__row_position"
 DEFAULT_BLOCK_ROWS = 1_000_000
-MAX_BUCKETS = 65_536
+#: One series without keys is one task in the plain plan, so it is cut much earlier than one of many.
+UNKEYED_PLAIN_ROWS = 10_000
 BLOCK_ROWS_CONF = "almanac.blockRows"
-OFFSETS_BROADCAST_ROWS = 200_000
 
 UNB_PRE = Window.unboundedPreceding
 
@@ -56,11 +58,23 @@ def order_as_double(df: DataFrame, name: str) -> Column:
         return F.unix_date(c).cast("double")
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dt, T.NumericType):
+    if isinstance(dt, (T.NumericType, T.BooleanType)):
         return c.cast("double")
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        # the first six bytes as a number; longer common beginnings share a bucket
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
     raise TypeError(f"order column {name!r} of type {dt.simpleString()} cannot be bucketed")
 
 
+def _literal(v) -> Column:
+    """A literal of a collected value; lists may hold rows."""
+    if isinstance(v, Row):
+        return F.struct(*[_literal(x).alias(n) for n, x in v.asDict(recursive=False).items()])
+    if isinstance(v, list) and v and isinstance(v[0], Row):
+        return F.array(*[_literal(x) for x in v])
+    return F.lit(v)
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` that also matches NULL keys (a NULL key is a series too).
 
@@ -78,7 +92,7 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
                 if how == "inner" else left.select("*", *[F.lit(None).cast(f.dataType).alias(f.name)
                                                           for f in right.schema.fields])
         row = rows[0]
-        return left.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in right.schema.fields])
+        return left.select("*", *[_literal(row[f.name]).cast(f.dataType).alias(f.name) for f in right.schema.fields])
     renamed = right
     for i, k in enumerate(keys):
         renamed = renamed.withColumnRenamed(k, f"__rk{i}")
@@ -126,26 +140,50 @@ class SeriesPlan:
         else:
             hot_flag = F.lit(True)
 
-        nb = int(min(MAX_BUCKETS, max(2, math.ceil(2 * self.hot_rows / self.block_rows))))
+        nb = max(2, math.ceil(2 * self.hot_rows / self.block_rows))
         probs = [i / nb for i in range(1, nb)]
         cuts = base.where(hot_flag).approxQuantile("_x", probs, 1.0 / (4 * nb))
-        splits = [float("-inf")] + sorted({c for c in cuts if math.isfinite(c)}) + [float("inf")]
+        cuts = [c for c in cuts if math.isfinite(c)]
+        # a value that fills whole buckets gets one of its own, which is split further below
+        heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b and self._exact(df) and abs(a) < 2.0 ** 53})
+        splits = sorted({float("-inf"), *cuts, *(math.nextafter(v, math.inf) for v in heavy), float("inf")})
         base = Bucketizer(splits=splits, inputCol="_x", outputCol="_bkd", handleInvalid="keep").transform(base)
         base = base.withColumn("_bk", F.when(hot_flag, F.col("_bkd").cast("int")).otherwise(F.lit(0)))
-        base = base.drop("_x", "_bkd")
+        base = base.withColumn("_sub", self._tied(base, hot_flag, heavy, nb, ties)).drop("_x", "_bkd", "_x2")
 
         # offsets only for the buckets of hot series (every other series is one bucket at 0):
         # at most (hot series) x (buckets) rows, counted before it is broadcast
         hot_rows = base.where(F.col("_hot").isNotNull()) if self.keys else base
-        counts = hot_rows.groupBy(*self.keys, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-        wo = Window.partitionBy(*self.keys).orderBy("_bk").rowsBetween(UNB_PRE, -1)
-        offsets = counts.select(*self.keys, "_bk", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-        if offsets.count() <= OFFSETS_BROADCAST_ROWS:
-            offsets = F.broadcast(offsets)
-        joined = join_on_keys(base.drop("_hot"), offsets, [*self.keys, "_bk"], "left")
-        w = Window.partitionBy(*self.keys, "_bk").orderBy(*self.order)
+        counts = hot_rows.groupBy(*self.keys, "_bk", "_sub").agg(F.count(F.lit(1)).alias("_n"))
+        wo = Window.partitionBy(*self.keys).orderBy("_bk", "_sub").rowsBetween(UNB_PRE, -1)
+        offsets = counts.select(*self.keys, "_bk", "_sub", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
+        if ties == "min":  # the parts of a tied value all rank where the value begins
+            first = Window.partitionBy(*self.keys, "_bk")
+            offsets = offsets.withColumn("_off", F.min("_off").over(first))
+        joined = join_on_keys(base.drop("_hot"), offsets, [*self.keys, "_bk", "_sub"], "left")
+        w = Window.partitionBy(*self.keys, "_bk", "_sub").orderBy(*self.order)
         out = joined.withColumn(name, (F.coalesce(F.col("_off"), F.lit(0)) + rank_fn().over(w) - 1).cast("long"))
-        return out.drop("_bk", "_off")
+        return out.drop("_bk", "_sub", "_off")
+
+    def _exact(self, df: DataFrame) -> bool:
+        """Whether equal doubles of the order column are equal values."""
+        return isinstance(df.schema[self.order[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.IntegerType, T.LongType,
+                                                              T.ShortType, T.ByteType, T.FloatType, T.DoubleType, T.BooleanType))
+
+    def _tied(self, base: DataFrame, hot_flag: Column, heavy: list[float], nb: int, ties: str) -> Column:
+        """Part of a row inside the bucket of a tied value: a range of the tie-breaker, or where nothing
+        orders the rows further a hash of them; 0 in all other buckets."""
+        if not heavy:
+            return F.lit(0)
+        tied = hot_flag & F.col("_x").isin(heavy)
+        if ties == "min" or len(self.order) == 1:
+            own = [c for c in base.columns if not c.startswith("_")]
+            return F.when(tied, F.pmod(F.xxhash64(*own), F.lit(nb)).cast("int")).otherwise(0)
+        second = F.coalesce(order_as_double(base, self.order[1]), F.lit(float("-inf")))
+        cuts = base.where(tied).select(second.alias("_x2")).approxQuantile("_x2", [i / nb for i in range(1, nb)], 1.0 / (4 * nb))
+        cuts = sorted({c for c in cuts if math.isfinite(c)})
+        part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= second)) if cuts else F.lit(0)
+        return F.when(tied, part).otherwise(0)
 
     # ------------------------------------------------------------------ bounded frames
     def bounded(
@@ -158,21 +196,19 @@ class SeriesPlan:
         """Add columns computed by window functions whose frame reaches at most ``back``
         rows behind and ``fwd`` rows ahead. ``build(w)`` returns ``{name: expr}`` where
         ``w`` is the window to use (frames are set by the caller via ``rowsBetween``).
-        Requires the ``idx`` column when the plan is blocked."""
+        Requires the position column when the plan is blocked."""
         if not self.blocked:
             cols = build(self.window())
             return df.select("*", *[c.alias(n) for n, c in cols.items()])
         B = self.block_rows
-        if back >= B or fwd >= B:
-            raise ValueError(f"frame of {back}/{fwd} rows needs block_rows > {max(back, fwd)}")
         blk = F.floor(F.col(IDX) / F.lit(B)).cast("long")
         pos = F.col(IDX) - blk * F.lit(B)
         copies = [F.struct(blk.alias("b"), F.lit(True).alias("home"))]
-        if back > 0:
-            copies.append(F.when(pos >= F.lit(B - back), F.struct((blk + 1).alias("b"), F.lit(False).alias("home"))))
-        if fwd > 0:
+        for j in range(1, -(-back // B) + 1):  # a frame longer than a block reaches several
+            copies.append(F.when(pos >= F.lit(j * B - back), F.struct((blk + j).alias("b"), F.lit(False).alias("home"))))
+        for j in range(1, -(-fwd // B) + 1):
             copies.append(
-                F.when((pos < F.lit(fwd)) & (blk > 0), F.struct((blk - 1).alias("b"), F.lit(False).alias("home")))
+                F.when((pos + (j - 1) * B < F.lit(fwd)) & (blk >= j), F.struct((blk - j).alias("b"), F.lit(False).alias("home")))
             )
         arr = F.filter(F.array(*copies), lambda s: s.isNotNull())
         ex = df.withColumn("_c", F.explode(arr)).withColumn("_blk", F.col("_c.b")).withColumn("_home", F.col("_c.home"))
@@ -270,10 +306,10 @@ class SeriesPlan:
         return join_on_keys(df, stats, self.keys, "left")
 
 
-def colocate_series(df: DataFrame, keys: Sequence[str], block_rows: int | None = None, salts: int = 64) -> DataFrame:
+def colocate_series(df: DataFrame, keys: Sequence[str], block_rows: int | None = None) -> DataFrame:
     """Hash-partition rows by series so each task sees whole series — except hot series
-    (more than ``block_rows`` rows), whose rows are spread over ``salts`` sub-partitions by
-    a deterministic row hash. Used before per-task partial sums (Gram and pair statistics)
+    (more than ``block_rows`` rows), whose rows are spread over one sub-partition per
+    ``block_rows`` rows by a deterministic row hash. Used before per-task partial sums (Gram and pair statistics)
     so a task holds one partial per series it owns, while no hot series lands in one task.
     The hot-key list is at most rows / block_rows entries."""
     keys = list(keys)
@@ -281,13 +317,14 @@ def colocate_series(df: DataFrame, keys: Sequence[str], block_rows: int | None =
         return df
     if block_rows is None:
         block_rows = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(DEFAULT_BLOCK_ROWS)))
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).select(*keys).collect()
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).collect()
     if not hot:
         return df.repartition(*keys)
-    hot_df = df.sparkSession.createDataFrame([tuple(r) for r in hot], T.StructType([df.schema[k] for k in keys]))
-    flagged = join_on_keys(df, F.broadcast(hot_df.withColumn("_hot", F.lit(True))), keys, "left")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(F.lit(0))
-    return flagged.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_hot", "_salt")
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("_salts", T.LongType())])
+    hot_df = df.sparkSession.createDataFrame([(*(r[k] for k in keys), 2 * -(-r["_n"] // block_rows)) for r in hot], schema)
+    flagged = join_on_keys(df, F.broadcast(hot_df), keys, "left")
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*df.columns), F.col("_salts"))).otherwise(F.lit(0))
+    return flagged.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salts", "_salt")
 
 
 @contextmanager
@@ -339,7 +376,11 @@ def series_plan(
         block_rows = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(DEFAULT_BLOCK_ROWS)))
     if not keys:
         n = df.count()
-        return SeriesPlan(keys, order, block_rows, blocked=n > block_rows, hot_rows=n)
+        if n <= min(block_rows, UNKEYED_PLAIN_ROWS):
+            return SeriesPlan(keys, order, block_rows, blocked=False, hot_rows=n)
+        # at least as many blocks as shuffle partitions
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return SeriesPlan(keys, order, max(1, min(block_rows, -(-n // tasks))), blocked=True, hot_rows=n)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > block_rows).collect()  # at most rows / block_rows entries
     hot_keys = [tuple(r[k] for k in keys) for r in hot]

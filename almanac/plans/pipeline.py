@@ -9,16 +9,19 @@ import datetime as _dt
 import logging
 import os
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.functions.calendar import add_time_variables
 from almanac.operators.features import engineer_features
+from almanac.operators.forecast import AdditiveForecaster, ForecastConfig, forecast_with_actuals
 from almanac.operators.model import TrainResult, train_and_evaluate
 from almanac.operators.prepare import frequency_of, handle_missing_values, trim_to_common_date_range
 from almanac.operators.reduce import reduce_dimensions
+from almanac.operators.split import split_labels
+from almanac.operators.stats import regression_metrics
 from almanac.plans.ordered import series_hint, series_plan
 from almanac.session import scratch_path
 from almanac.sources.io import run_id, run_summary, write_table
@@ -49,6 +52,8 @@ class PipelineConfig:
     cv_splits: int = 5
     output_dir: str | None = None
     data_name: str = "input"
+    forecast: ForecastConfig | None = None  # for model_type "prophet"; regressors are added to it
+    forecast_periods: int = 12
 
 
 @dataclass
@@ -59,12 +64,19 @@ class RunResult:
     features: DataFrame
     reduced: DataFrame
     metadata: dict
-    train: TrainResult
+    train: TrainResult | None
     summary: DataFrame
+    forecast: DataFrame | None = None
 
 
-def _fill_groups(frequency: str) -> list[str]:
-    return ["year", "month"] if frequency == "monthly" else ["year", "quarter"]
+def _fill_groups(frequency: str) -> list[str] | None:
+    return {"monthly": ["year", "month"], "quarterly": ["year", "quarter"]}.get(frequency)
+
+
+#: Parameters of the job where the caller gives none; the model functions keep their own defaults.
+JOB_PARAMS = {"ridge": {"alpha": 1.0}, "lasso": {"alpha": 0.01}, "elasticnet": {"alpha": 0.01, "l1_ratio": 0.5},
+              "randomforest": {"n_estimators": 100, "max_depth": 10},
+              "gbm": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}}
 
 
 def load_and_prepare(df: DataFrame, cfg: PipelineConfig) -> tuple[DataFrame, str]:
@@ -74,10 +86,35 @@ def load_and_prepare(df: DataFrame, cfg: PipelineConfig) -> tuple[DataFrame, str
     freq = frequency_of(df, cfg.date_col)
     out = trim_to_common_date_range(df, cfg.date_col)
     out = handle_missing_values(out, cfg.fill_method, fill_groups=_fill_groups(freq), date_col=cfg.date_col)
-    out = add_time_variables(out, cfg.date_col)
+    if "year" not in out.columns or "month" not in out.columns:
+        out = add_time_variables(out, cfg.date_col)
     return out, freq
 
 
+def _forecast_run(spark: SparkSession, cfg: PipelineConfig, run_dir: str, freq: str, prepared: DataFrame, feats: DataFrame,
+                  reduced: DataFrame, meta: dict, chosen: Sequence[str]) -> RunResult:
+    """Fit the additive forecaster on the first part, score it on the rest, and forecast beyond the data."""
+    base = cfg.forecast or ForecastConfig(carry_target=True)
+    conf = replace(base, regressors=[*base.regressors, *(c for c in chosen if c not in base.regressors)])
+    data = reduced.select(F.col(cfg.date_col).alias("ds"), F.col(cfg.target_col).alias("y"), *conf.regressors)
+    data = handle_missing_values(data, "mean", date_col="ds", columns=conf.regressors) if conf.regressors else data
+    labelled = split_labels(data, [], ["ds"], "forecast", cfg.test_size)
+    model = AdditiveForecaster(conf).fit(labelled.where("part = 'train'").select(*data.columns))
+    scored = model.predict(labelled.where("part = 'test'").select(*data.columns))
+    m = regression_metrics(scored, "y", "yhat").first()
+    step = {"quarterly": "QS", "annual": "YS"}.get(freq, "MS")
+    future = model.make_future(data, cfg.forecast_periods, step, include_history=True)
+    forecast = forecast_with_actuals(model.predict(future), data, [], "ds", "y")
+    forecast = spark.read.parquet(write_table(forecast, os.path.join(run_dir, "forecast"), sort_by=["ds"]))
+    summary = run_summary(spark, {
+        "timestamp": _dt.datetime.now().isoformat(timespec="seconds"), "data": cfg.data_name, "target": cfg.target_col,
+        "model": cfg.model_type, "frequency": freq, "n_features": len(conf.regressors), "rmse": float(m["rmse"]),
+        "mae": float(m["mae"]), "mape": None if m["mape"] is None else float(m["mape"]), "r2": float(m["r2"]),
+        "features": list(conf.regressors)})
+    summary.coalesce(1).write.mode("overwrite").json(os.path.join(run_dir, "summary"))
+    return RunResult(run_dir, freq, prepared, feats, reduced, meta, None, summary, forecast)
+
+
 def run_pipeline(spark: SparkSession, df: DataFrame, cfg: PipelineConfig) -> RunResult:
     """Full run (PIP2). Returns the stage tables, the training result and a one-row summary."""
     rid = run_id(cfg.model_type)
@@ -98,8 +135,10 @@ def run_pipeline(spark: SparkSession, df: DataFrame, cfg: PipelineConfig) -> Run
                                       top_n_features=cfg.top_n_features)
     reduced = spark.read.parquet(write_table(reduced, os.path.join(run_dir, "reduced_data")))
     chosen = meta.get("pca_components") if meta.get("pca_applied") else meta["selected_features"]
-    train = train_and_evaluate(reduced, cfg.target_col, chosen, cfg.date_col, cfg.model_type, cfg.params,
-                               cfg.test_size, cfg.use_cv, cfg.cv_splits)
+    if cfg.model_type == "prophet":
+        return _forecast_run(spark, cfg, run_dir, freq, prepared, feats, reduced, meta, chosen)
+    train = train_and_evaluate(reduced, cfg.target_col, chosen, cfg.date_col, cfg.model_type,
+                               cfg.params or JOB_PARAMS.get(cfg.model_type, {}), cfg.test_size, cfg.use_cv, cfg.cv_splits)
     m = train.metrics.first()
     verdict = train.residual_tests.first()
     summary = run_summary(spark, {

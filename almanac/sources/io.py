@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as _dt
 import logging
 import os
+import uuid
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +60,11 @@ def load_data(spark: SparkSession, path: str | Sequence[str], date_col: str = "d
 def _as_date(v):
     if isinstance(v, (_dt.date, _dt.datetime)):
         return v
-    return _dt.date.fromisoformat(str(v)[:10])
+    text = str(v).strip()
+    try:
+        return _dt.date.fromisoformat(text)
+    except ValueError:  # a time of day is part of the bound
+        return _dt.datetime.fromisoformat(text)
 
 
 def read_datasets(spark: SparkSession, directory: str, pattern: str = "*.csv", fmt: str = "csv",
@@ -68,8 +74,11 @@ def read_datasets(spark: SparkSession, directory: str, pattern: str = "*.csv", f
     of part files). SRC3 re-aimed: one distributed read instead of a loop over files."""
     opts = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
     df = _reader(spark, fmt, schema, opts).load(directory)
-    base = os.path.basename(os.path.normpath(directory))
-    rel = F.regexp_extract(F.col("_metadata.file_path"), "/" + base.replace(".", "\\.") + r"/([^/]+)", 1)
+    # the whole normalised path, so a folder of the same name further down is not taken for it
+    root = re.sub(r"^[a-z0-9+.-]+:/+", "/", directory, flags=re.I) if "://" in directory or directory.startswith("file:") \
+        else os.path.abspath(directory)
+    at = re.escape("/" + os.path.normpath(root).strip("/") + "/")
+    rel = F.regexp_extract(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), at + r"([^/]+)", 1)
     return df.withColumn("dataset", F.regexp_replace(rel, r"\.[^.]*$", ""))
 
 
@@ -82,9 +91,18 @@ def list_available_datasets(spark: SparkSession, directory: str = "exports", pat
     return sorted(os.path.basename(f) for f in files)
 
 
+def ordered_output(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows in order of ``keys`` and ``order`` (ORD1): a range partition and a sort inside it, so files written
+    from it follow each other."""
+    return df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: Sequence[str] | None = None) -> str:
-    """Write a stage result (SNK1-SNK3). Parquet by default; CSV with a header on request."""
+                partition_by: Sequence[str] | None = None, sort_by: Sequence[str] | None = None) -> str:
+    """Write a stage result (SNK1-SNK3). Parquet by default; CSV with a header on request;
+    ``sort_by`` orders the rows over all files."""
+    if sort_by:
+        df = ordered_output(df, [], sort_by)
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
@@ -101,6 +119,6 @@ def run_summary(spark: SparkSession, summary: dict) -> DataFrame:
 
 
 def run_id(model: str, when: _dt.datetime | None = None) -> str:
-    """Run directory name ``{model}_{yyyyMMdd_HHmmss}``."""
+    """Run directory name ``{model}_{yyyyMMdd_HHmmss}_{suffix}``; the suffix keeps two runs of a second apart."""
     when = when or _dt.datetime.now()
-    return f"{model}_{when.strftime('%Y%m%d_%H%M%S')}"
+    return f"{model}_{when.strftime('%Y%m%d_%H%M%S')}_{uuid.uuid4().hex[:8]}"

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.plans.ordered import series_plan
+from almanac.plans.ordered import IDX, series_plan
 from almanac.sources import series as S
 from conftest import SF01
 
@@ -16,7 +16,7 @@ def _run(ev, keys, block_rows):
     d = p.bounded(d, lambda w: {"lag2": F.lag("value", 2).over(w), "r3": F.avg("value").over(w.rowsBetween(-2, 0)),
                                 "ld1": F.lead("value", 1).over(w)}, back=2, fwd=1)
     d = p.scan(d, [("ff", "last", F.col("value")), ("bf", "first", F.col("value")), ("cs", "sum", F.col("value"))])
-    return p, {r["event_id"]: r for r in d.select("event_id", "idx", "lag2", "r3", "ld1", "ff", "bf", "cs").collect()}
+    return p, {r["event_id"]: r for r in d.select("event_id", IDX, "lag2", "r3", "ld1", "ff", "bf", "cs").collect()}
 
 
 def _same(a, b):
@@ -33,7 +33,7 @@ def test_blocked_equals_plain(spark, keys):
     assert not p1.blocked and p2.blocked
     assert plain.keys() == blocked.keys()
     for k, r in plain.items():
-        for c in ("idx", "lag2", "r3", "ld1", "ff", "bf", "cs"):
+        for c in (IDX, "lag2", "r3", "ld1", "ff", "bf", "cs"):
             assert _same(r[c], blocked[k][c]), (k, c, r[c], blocked[k][c])
 
 
@@ -42,9 +42,9 @@ def test_hot_key_only_blocks_hot_series(spark):
                                                F.when(F.col("user_id") < 20, 0).otherwise(F.col("user_id")).alias("u"))
     p = series_plan(ev, ["u"], ["ts", "event_id"], block_rows=300)
     assert p.blocked and p.hot_keys == [(0,)]
-    got = {r["event_id"]: r["idx"] for r in p.index(ev).collect()}
+    got = {r["event_id"]: r[IDX] for r in p.index(ev).collect()}
     q = series_plan(ev, ["u"], ["ts", "event_id"], block_rows=10 ** 9)
-    want = {r["event_id"]: r["idx"] for r in q.index(ev).collect()}
+    want = {r["event_id"]: r[IDX] for r in q.index(ev).collect()}
     assert got == want
 
 
@@ -58,11 +58,14 @@ def test_blocked_plan_has_no_single_partition_exchange(spark):
     assert len(row_level) <= 1
 
 
-def test_bounded_rejects_frame_wider_than_block(spark):
+def test_frames_wider_than_a_block(spark):
     ev = S.events_with_gaps(spark, SF01)
-    p = series_plan(ev, [], ["ts", "event_id"], block_rows=5)
-    with pytest.raises(ValueError):
-        p.bounded(p.index(ev), lambda w: {"x": F.lag("value", 6).over(w)}, back=6)
+    build = lambda w: {"x": F.lag("value", 23).over(w), "z": F.lead("value", 12).over(w)}
+    got = []
+    for rows in (5, 10 ** 9):
+        p = series_plan(ev, ["user_id"], ["ts", "event_id"], block_rows=rows)
+        got.append({r["event_id"]: (r["x"], r["z"]) for r in p.bounded(p.index(ev), build, back=23, fwd=12).collect()})
+    assert got[0] == got[1]
 
 
 def test_series_hint_reuses_decision(spark):
