@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from almanac.functions.calendar import add_time_variables, create_date_features
 from almanac.operators import features as fe
 from almanac.operators import prepare as pr
+from almanac import oracle_sql as osql
+from almanac.functions import formulas as fx
 from almanac.operators.transforms import SeriesTransformer
 from almanac.sources import io
 from almanac.plans.ordered import join_on_keys
@@ -953,15 +955,22 @@ def _mllib_coefs(spark, sf, model_type, params=None):
     df = S.lineitem_wide(spark, sf)
     feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     m = md.train_model(df, feats, "target", model_type, params)
-    return rounded(md.importances(m, feats, spark), 6)
+    return rounded(md.importances(m, feats, spark), 4)
+
+
+def _coef_sql(penalty: float) -> str:
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    cols = ", ".join(f"{c} AS f{i}" for i, c in enumerate(feats))
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'w{i}', 4)} AS coefficient FROM lf" for i, c in enumerate(feats))
+    return f"WITH x AS (SELECT {cols}, target AS y FROM ({F7_SQL})),\n{osql.linear_fit('x', 4, [penalty] * 4)}\n{rows}"
 
 
-@query("q_linear_mllib")
+@query("q_linear_mllib", _coef_sql(0.0))
 def q_linear_mllib(spark, sf):
     return _mllib_coefs(spark, sf, "linear")
 
 
-@query("q_ridge")
+@query("q_ridge", _coef_sql(1.0))
 def q_ridge(spark, sf):
     return _mllib_coefs(spark, sf, "ridge", {"alpha": 1.0})
 
@@ -1033,12 +1042,18 @@ def q_metrics(spark, sf):
     return rounded(met.drop("mse"), _MET_DIG)
 
 
-def _cv_sql(keys: bool, splits: int = 5) -> str:
+def _cv_sql(keys: bool, splits: int = 5, summary: bool = False) -> str:
     src = F2_SQL if keys else F1_SQL
     part = "PARTITION BY o_orderpriority " if keys else ""
     kc = "o_orderpriority, " if keys else ""
     kj = "s.o_orderpriority = f.o_orderpriority" if keys else "TRUE"
     grp = "o_orderpriority, " if keys else ""
+    if summary:
+        m = osql.metrics("revenue")
+        stats = ", ".join(f"{r(f'AVG({c})', _MET_DIG[c])} AS mean_{c}, {r(f'stddev_pop({c})', _MET_DIG[c])} AS std_{c}" for c in m)
+        tail = (f"e AS (SELECT {grp}fold, {', '.join(f'{v} AS {c}' for c, v in m.items())} FROM p JOIN yb USING ({grp}fold) "
+                f"GROUP BY {grp}fold)\nSELECT {grp}{stats} FROM e GROUP BY {grp.strip(', ') or 'ALL'}")
+        return _cv_sql(keys, splits).rsplit("\nSELECT", 1)[0] + ",\n" + tail
     return f"""
 WITH s AS (SELECT {kc}date, revenue, n AS cnt, CAST(row_number() OVER ({part}ORDER BY date) - 1 AS BIGINT) AS idx
            FROM ({src})),
@@ -1074,23 +1089,46 @@ def q_cv_scores_panel(spark, sf):
     return rounded(per_fold.drop("mse"), _MET_DIG)
 
 
-@query("q_cv_summary")
+@query("q_cv_summary", _cv_sql(True, 3, summary=True))
 def q_cv_summary(spark, sf):
     _, summary, _ = md.cv_linear(f2(spark, sf), ["n"], "revenue", ["o_orderpriority"], 3, order=["date"])
-    return rounded(summary, 6)
+    return rounded(summary, {f"{s}_{m}": d for m, d in _MET_DIG.items() for s in ("mean", "std")})
 
 
-@query("q_cv_mllib")
+_TWO_SQL = f"""
+WITH s AS (SELECT date, CAST(n AS DOUBLE) AS f0, avg_price AS f1, revenue AS y,
+           row_number() OVER (ORDER BY date) - 1 AS idx, COUNT(*) OVER () AS n FROM ({F1_SQL})),
+"""
+_MET_SQL = ", ".join(f"{r(e, _MET_DIG[m])} AS {m}" for m, e in osql.metrics().items())
+
+
+@query("q_cv_mllib", _TWO_SQL + f"""
+f0 AS (SELECT n, n // 6 AS sz, unnest(generate_series(0, 4)) AS fold FROM (SELECT DISTINCT n FROM s)),
+f AS (SELECT fold, n - (5 - fold) * sz AS ts, n - (5 - fold) * sz + sz AS te FROM f0 WHERE n - (5 - fold) * sz >= floor(n * 0.7::DOUBLE)),
+x AS (SELECT fold, f0, f1, y FROM s JOIN f ON s.idx < f.ts),
+{osql.linear_fit('x', 2, keys=['fold'])},
+p AS (SELECT f.fold, f.ts, r.y, {osql.predicted(2)} AS prediction FROM s r JOIN f ON r.idx >= f.ts AND r.idx < f.te
+      JOIN lf c ON c.fold = f.fold),
+q AS (SELECT *, AVG(y) OVER (PARTITION BY fold) AS ybar FROM p)
+SELECT CAST(fold AS INTEGER) AS fold, CAST(ts AS BIGINT) AS train_size, CAST(COUNT(*) AS BIGINT) AS test_size, {_MET_SQL}
+FROM q GROUP BY fold, ts
+""")
 def q_cv_mllib(spark, sf):
     per_fold, summary = md.time_series_cv(f1(spark, sf), ["n", "avg_price"], "revenue", "linear", n_splits=5,
                                           order=["date"])
-    return rounded(per_fold, 6)
+    return rounded(per_fold, _MET_DIG)
 
 
-@query("q_train_and_evaluate")
+@query("q_train_and_evaluate", _TWO_SQL + f"""
+x AS (SELECT * FROM s WHERE idx < n - floor(n * 0.2::DOUBLE)),
+{osql.linear_fit('x', 2)},
+p AS (SELECT r.y, {osql.predicted(2)} AS prediction FROM s r, lf c WHERE r.idx >= r.n - floor(r.n * 0.2::DOUBLE)),
+q AS (SELECT *, AVG(y) OVER () AS ybar FROM p)
+SELECT CAST(COUNT(*) AS BIGINT) AS n, {_MET_SQL} FROM q
+""")
 def q_train_and_evaluate(spark, sf):
     res = md.train_and_evaluate(f1(spark, sf), "revenue", ["n", "avg_price"], "date", "linear", use_cv=True)
-    return rounded(res.metrics, 6)
+    return rounded(res.metrics.drop("mse"), _MET_DIG)
 
 
 # =============================================================== residual diagnostics (MDL12, WIN10-WIN15, AGG9-AGG14)
@@ -1131,29 +1169,49 @@ def q_ljung_box(spark, sf):
     return rounded(out.select("ljung_box_stat"), 6)
 
 
-@query("q_residual_tests_panel")
+_RES_DIG = {"mean": 4, "std": 4, "min": 4, "max": 4, "ljung_box_stat": 6, "ljung_box_pvalue": 6, "durbin_watson": 6}
+
+
+@query("q_residual_tests_panel", f"""
+WITH s AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY date) - 1 AS DOUBLE) AS idx FROM ({F2_SQL})),
+c AS (SELECT o_orderpriority, regr_intercept(revenue, idx) AS b, regr_slope(revenue, idx) AS w FROM s GROUP BY 1),
+e AS (SELECT s.o_orderpriority, s.idx, s.revenue - c.b - c.w * s.idx AS e FROM s JOIN c USING (o_orderpriority)),
+m AS (SELECT *, e - AVG(e) OVER (PARTITION BY o_orderpriority) AS c FROM e),
+l AS (SELECT *, lag(e) OVER (PARTITION BY o_orderpriority ORDER BY idx) AS e1,
+      lag(c) OVER (PARTITION BY o_orderpriority ORDER BY idx) AS c1 FROM m),
+t AS (SELECT o_orderpriority, COUNT(*) AS n, AVG(e) AS mean, stddev_pop(e) AS sd, MIN(e) AS lo, MAX(e) AS hi,
+      COUNT(*) * (COUNT(*) + 2.0) / (COUNT(*) - 1.0) * pow(SUM(c * c1) / SUM(c * c), 2) AS q,
+      SUM((e - e1) * (e - e1)) / SUM(e * e) AS dw FROM l GROUP BY 1),
+z AS (SELECT *, sqrt(q / 2) AS z FROM t)
+SELECT o_orderpriority, CAST(n AS BIGINT) AS n, {r('mean')} AS mean, {r('sd')} AS std, {r('lo')} AS min, {r('hi')} AS max,
+  {r('q', 6)} AS ljung_box_stat, {r(f'1 - {osql.erf("z")}', 6)} AS ljung_box_pvalue, {r('dw', 6)} AS durbin_watson,
+  CASE WHEN dw < 1.5 THEN 'Positive autocorrelation' WHEN dw > 2.5 THEN 'Negative autocorrelation'
+       ELSE 'No significant autocorrelation' END AS durbin_watson_interpretation
+FROM z
+""")
 def q_residual_tests_panel(spark, sf):
     d = fe.row_index(f2(spark, sf), ["o_orderpriority"], ["date"]).withColumn("idx", F.col("idx").cast("double"))
     coefs = md.fit_linear_per_series(d, ["o_orderpriority"], ["idx"], "revenue")
     pred = md.predict_linear(d, coefs, ["o_orderpriority"], ["idx"])
-    return rounded(dg.residual_tests(pred, "revenue", "prediction", ["o_orderpriority"], ["date"]), 6)
+    return rounded(dg.residual_tests(pred, "revenue", "prediction", ["o_orderpriority"], ["date"]), _RES_DIG)
 
 
-def _acf_sql(nlags: int = 20) -> str:
-    lags = ", ".join(f"lag(c, {k}) OVER (ORDER BY date) AS l{k}" for k in range(1, nlags + 1))
-    sums = ", ".join(f"SUM(c * l{k}) AS s{k}" for k in range(1, nlags + 1))
-    rows = " UNION ALL ".join(f"SELECT {k} AS lag, {'s0' if k == 0 else f's{k}'} / s0 AS acf, n FROM sm"
-                              for k in range(0, nlags + 1))
+def _acf_sql(nlags: int = 20, src: str = F1_SQL, col: str = "revenue", keys: str = "", order: str = "date") -> str:
+    k = f"{keys}, " if keys else ""
+    part = f"PARTITION BY {keys} " if keys else ""
+    lags = ", ".join(f"lag(c, {i}) OVER ({part}ORDER BY {order}) AS l{i}" for i in range(1, nlags + 1))
+    sums = ", ".join(f"SUM(c * l{i}) AS s{i}" for i in range(1, nlags + 1))
+    rows = " UNION ALL ".join(f"SELECT {k}{i} AS lag, COALESCE({f's{i}'}, 0) / s0 AS acf, n FROM sm" for i in range(0, nlags + 1))
     return f"""
-WITH s AS ({F1_SQL}), m AS (SELECT AVG(revenue) AS mu FROM s),
-c AS (SELECT date, revenue - mu AS c FROM s, m),
-l AS (SELECT c, {lags} FROM c),
-sm AS (SELECT COUNT(*) AS n, SUM(c * c) AS s0, {sums} FROM l),
+WITH s AS (SELECT * FROM ({src}) WHERE {col} IS NOT NULL),
+c AS (SELECT *, {col} - AVG({col}) OVER ({part.strip()}) AS c FROM s),
+l AS (SELECT {k}c, {lags} FROM c),
+sm AS (SELECT {k}COUNT(*) AS n, SUM(c * c) AS s0, {sums} FROM l {f'GROUP BY {keys}' if keys else ''}),
 a AS ({rows}),
-v AS (SELECT lag, acf, n, COALESCE(SUM(CASE WHEN lag >= 1 THEN acf * acf ELSE 0 END)
-        OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM a),
-se AS (SELECT lag, acf, sqrt(CASE WHEN lag = 0 THEN 0.0 WHEN lag = 1 THEN 1.0 / n ELSE (1.0 + 2.0 * cum) / n END) AS se FROM v)
-SELECT CAST(lag AS INTEGER) AS lag, {r('acf', 6)} AS acf, {r(f'acf - {dg.Z95!r} * se', 6)} AS conf_lo,
+v AS (SELECT {k}lag, acf, n, COALESCE(SUM(CASE WHEN lag >= 1 THEN acf * acf ELSE 0 END)
+        OVER ({part}ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM a),
+se AS (SELECT {k}lag, acf, sqrt(CASE WHEN lag = 0 THEN 0.0 WHEN lag = 1 THEN 1.0 / n ELSE (1.0 + 2.0 * cum) / n END) AS se FROM v)
+SELECT {k}CAST(lag AS INTEGER) AS lag, {r('acf', 6)} AS acf, {r(f'acf - {dg.Z95!r} * se', 6)} AS conf_lo,
        {r(f'acf + {dg.Z95!r} * se', 6)} AS conf_hi FROM se
 """
 
@@ -1163,18 +1221,36 @@ def q_acf(spark, sf):
     return rounded(dg.acf(f1(spark, sf), "revenue", 20, order=["date"]), 6)
 
 
-@query("q_acf_panel")
+@query("q_acf_panel", _acf_sql(10, F6_SQL, "value", "user_id", "ts, event_id"))
 def q_acf_panel(spark, sf):
     return rounded(dg.acf(S.events_with_gaps(spark, sf), "value", 10, keys=["user_id"], order=["ts", "event_id"]), 6)
 
 
-@query("q_qq")
+def _qq_sql(keys: str, rows: str) -> str:
+    """CTEs up to ``pts``: position, normal quantile and ordered value of ``v`` of ``rows``."""
+    k = f"{keys}, " if keys else ""
+    part = f"PARTITION BY {keys}" if keys else ""
+    return f"""
+o AS (SELECT {k}v, row_number() OVER ({part} ORDER BY v) AS i, CAST(COUNT(*) OVER ({part}) AS DOUBLE) AS n FROM {rows}),
+u AS (SELECT *, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n)
+      ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS pos FROM o),
+pts AS (SELECT {k}i - 1 AS i, {fx.normal_ppf_sql('pos')} AS theoretical, v AS ordered FROM u)
+"""
+
+
+_QQ_DIG = {"theoretical": 6, "ordered": 4}
+
+
+@query("q_qq", _TREND_SQL + f""", e AS (SELECT revenue - prediction AS v FROM p),{_qq_sql('', 'e')}
+SELECT CAST(i AS BIGINT) AS i, {r('theoretical', 6)} AS theoretical, {r('ordered', 4)} AS ordered FROM pts""")
 def q_qq(spark, sf):
     pts, line = dg.qq_table(_trend(spark, sf).withColumn("e", F.col("revenue") - F.col("prediction")), "e")
-    return rounded(pts, 6)
+    return rounded(pts, _QQ_DIG)
 
 
-@query("q_qq_line")
+@query("q_qq_line", f"""WITH e AS (SELECT event_type, value AS v FROM ({F6_SQL}) WHERE value IS NOT NULL),{_qq_sql('event_type', 'e')}
+SELECT event_type, {r('regr_slope(ordered, theoretical)', 6)} AS slope, {r('regr_intercept(ordered, theoretical)', 6)} AS intercept,
+       {r('corr(ordered, theoretical)', 6)} AS r FROM pts GROUP BY event_type""")
 def q_qq_line(spark, sf):
     pts, line = dg.qq_table(S.events_with_gaps(spark, sf), "value", keys=["event_type"])
     return rounded(line, 6)
@@ -1290,7 +1366,27 @@ def q_decompose_multiplicative(spark, sf):
     return _decomp(spark, sf, "multiplicative")
 
 
-@query("q_decompose_panel")
+def _decomp_panel_sql(p: int = 7) -> str:
+    w = "OVER (PARTITION BY user_id ORDER BY idx"
+    frame = f"{w} ROWS BETWEEN {p // 2} PRECEDING AND {p // 2} FOLLOWING)"
+    return f"""
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM ({F6_SQL})),
+i AS (SELECT user_id, event_id, idx, value, last_value(value IGNORE NULLS) {w}) AS pv,
+  last_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) {w}) AS pi,
+  first_value(value IGNORE NULLS) {w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv,
+  first_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) {w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni
+  FROM e),
+s AS (SELECT user_id, event_id, idx, CASE WHEN value IS NOT NULL THEN value WHEN pv IS NULL THEN NULL WHEN nv IS NULL THEN pv
+      ELSE pv + (nv - pv) * CAST(idx - pi AS DOUBLE) / CAST(ni - pi AS DOUBLE) END AS x FROM i),
+t AS (SELECT *, CASE WHEN COUNT(x) {frame} = {p} THEN SUM(x) {frame} / {p} END AS trend FROM s),
+ph AS (SELECT user_id, idx % {p} AS phase, AVG(x - trend) AS pm FROM t GROUP BY 1, 2),
+se AS (SELECT *, pm - AVG(pm) OVER (PARTITION BY user_id) AS seasonal FROM ph)
+SELECT t.user_id, t.event_id, {r('trend', 6)} AS trend, {r('seasonal', 6)} AS seasonal, {r('x - trend - seasonal', 6)} AS resid
+FROM t JOIN se ON t.user_id = se.user_id AND t.idx % {p} = se.phase
+"""
+
+
+@query("q_decompose_panel", _decomp_panel_sql())
 def q_decompose_panel(spark, sf):
     s = pr.interpolate_linear(S.events_with_gaps(spark, sf), ["value"], ["user_id"], ["ts", "event_id"])
     out = dg.decompose(s, "value", 7, "additive", keys=["user_id"], order=["ts", "event_id"])
@@ -1464,20 +1560,28 @@ def _mle(spark, sf, kind, keys):
     t.fit_transform(df, ["x"], [kind])
     st_ = t.steps[0].fitted
     tab = st_.as_table(spark)
-    return rounded(tab.select(*keys, F.col("x__lam").alias("lambda")), 4)
+    return rounded(tab.select(*keys, F.col("x__lam").alias("lambda")), 3)
 
 
-@query("q_box_cox_mle")
+def _mle_sql(kind: str, keys: list[str]) -> str:
+    k = "".join(f"{c}, " for c in keys)
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    x = (f"c_acctbal + CASE WHEN MIN(c_acctbal) OVER ({part}) <= 0 THEN abs(MIN(c_acctbal) OVER ({part})) + 1 ELSE 0 END"
+         if kind == "box_cox" else "c_acctbal")
+    return f"WITH d AS (SELECT {k}{x} AS x FROM customer),\n{osql.best_lambda('d', kind, keys)}\nSELECT {k}{r('lam', 3)} AS lambda FROM lam"
+
+
+@query("q_box_cox_mle", _mle_sql("box_cox", []))
 def q_box_cox_mle(spark, sf):
     return _mle(spark, sf, "box_cox", [])
 
 
-@query("q_yeo_johnson_mle")
+@query("q_yeo_johnson_mle", _mle_sql("yeo_johnson", []))
 def q_yeo_johnson_mle(spark, sf):
     return _mle(spark, sf, "yeo_johnson", [])
 
 
-@query("q_yeo_johnson_mle_panel")
+@query("q_yeo_johnson_mle_panel", _mle_sql("yeo_johnson", ["c_mktsegment"]))
 def q_yeo_johnson_mle_panel(spark, sf):
     return _mle(spark, sf, "yeo_johnson", ["c_mktsegment"])
 
@@ -1699,3 +1803,138 @@ def q_direct_preset(spark, sf):
     conf.carry_target = True
     model = AdditiveForecaster(conf).fit(d.withColumn("y", F.when(F.month("ds") != 5, F.col("y"))))
     return forecast_with_actuals(model.predict(model.make_future(d, 12)), d, [], "ds", "y").select("ds", "yhat", "actual")
+
+
+# =============================================================== narrow variants with closed forms
+def _one_feature_sql(shrunk: str) -> str:
+    return f"""
+WITH m AS (SELECT covar_pop(target, l_quantity) AS c, var_pop(l_quantity) AS v, stddev_pop(l_quantity) AS s FROM ({F7_SQL}))
+SELECT {shrunk} FROM m"""
+
+
+def _soft(c: str, a: str) -> str:
+    return f"(sign({c}) * greatest(abs({c}) - {a}, 0))"
+
+
+@query("q_lasso_one_feature", _one_feature_sql(f"'l_quantity' AS feature, {r(_soft('c', '50000.0') + ' / v', 3)} AS coefficient"))
+def q_lasso_one_feature(spark, sf):
+    m = md.train_model(S.lineitem_wide(spark, sf), ["l_quantity"], "target", "lasso", {"alpha": 50000.0})
+    return rounded(md.importances(m, ["l_quantity"], spark), 3)
+
+
+@query("q_elasticnet_one_feature", _one_feature_sql(
+    f"'l_quantity' AS feature, {r(_soft('c', '100.0 * 0.5') + ' / (v + 100.0 * 0.5)', 3)} AS coefficient"))
+def q_elasticnet_one_feature(spark, sf):
+    m = md.train_model(S.lineitem_wide(spark, sf), ["l_quantity"], "target", "elasticnet", {"alpha": 100.0, "l1_ratio": 0.5})
+    return rounded(md.importances(m, ["l_quantity"], spark), 3)
+
+
+@query("q_lasso_select_one_feature", _one_feature_sql(
+    f"'l_quantity' AS feature, {r(_soft('c / s', '1000.0'), 3)} AS coefficient, abs(c / s) > 1000.0 AS selected"))
+def q_lasso_select_one_feature(spark, sf):
+    return rounded(rd.lasso_selection(S.lineitem_wide(spark, sf), "target", ["l_quantity"], 1000.0), 3)
+
+
+@query("q_pca_two_columns", f"""
+WITH c AS (SELECT corr(l_extendedprice, net) AS r FROM ({F7_SQL}))
+SELECT CAST(1 AS INTEGER) AS component, {r('(1 + abs(r)) / 2', 6)} AS ratio FROM c
+UNION ALL SELECT CAST(2 AS INTEGER), {r('(1 - abs(r)) / 2', 6)} FROM c""")
+def q_pca_two_columns(spark, sf):
+    """The correlation matrix of two columns has the eigenvalues 1 + |r| and 1 - |r|."""
+    pca = rd.fit_pca(S.lineitem_wide(spark, sf), ["l_extendedprice", "net"])
+    out = [(i + 1, float(v)) for i, v in enumerate(pca.explained_ratio)]
+    return rounded(spark.createDataFrame(out, "component int, ratio double"), 6)
+
+
+@query("q_pca_two_columns_scores", f"""
+WITH m AS (SELECT AVG(l_extendedprice) AS ma, AVG(net) AS mb, stddev_pop(l_extendedprice) AS sa, stddev_pop(net) AS sb
+           FROM ({F7_SQL}))
+SELECT l_orderkey, l_linenumber, {r('((l_extendedprice - ma) / sa + (net - mb) / sb) / sqrt(2)', 6)} AS "PC1"
+FROM ({F7_SQL}), m""")
+def q_pca_two_columns_scores(spark, sf):
+    """Price and net price correlate positively, so the first component is their scaled sum."""
+    df = S.lineitem_wide(spark, sf)
+    pca = rd.fit_pca(df, ["l_extendedprice", "net"])
+    return rounded(pca.scores(df, 1).select("l_orderkey", "l_linenumber", "PC1"), 6)
+
+
+_STUMP_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_STUMP_SQL = f"""
+WITH s AS (SELECT target AS y, CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS f0, COUNT(*) OVER () AS n,
+             row_number() OVER (ORDER BY {', '.join(_STUMP_ORDER)}) - 1 AS idx FROM ({F7_SQL})),
+w AS (SELECT f0, AVG(y) AS prediction FROM s WHERE idx < n - floor(n * 0.2::DOUBLE) GROUP BY f0),
+q AS (SELECT s.y, w.prediction, AVG(s.y) OVER () AS ybar FROM s JOIN w USING (f0) WHERE s.idx >= s.n - floor(s.n * 0.2::DOUBLE))
+SELECT CAST(COUNT(*) AS BIGINT) AS n, {_MET_SQL} FROM q
+"""
+
+
+def _stump(spark, sf, model_type, params):
+    """One split on a two-valued feature: the prediction is the mean target of the side."""
+    df = S.lineitem_wide(spark, sf).withColumn("big", F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0))
+    lab = sp.split_labels(df, [], _STUMP_ORDER, "train_test", 0.2)
+    m = md.train_model(lab.where("part = 'train'"), ["big"], "target", model_type, params)
+    _, met = md.evaluate_model(m, lab.where("part = 'test'"), ["big"], "target")
+    return rounded(met.drop("mse"), _MET_DIG)
+
+
+@query("q_gbt_stump", _STUMP_SQL)
+def q_gbt_stump(spark, sf):
+    return _stump(spark, sf, "gbm", {"n_estimators": 1, "learning_rate": 1.0, "max_depth": 1})
+
+
+@query("q_forest_stump", _STUMP_SQL)
+def q_forest_stump(spark, sf):
+    """Without bootstrap every tree sees every row."""
+    return _stump(spark, sf, "randomforest", {"n_estimators": 3, "max_depth": 1, "bootstrap": False})
+
+
+def _forecast_small_sql(keys: list[str], src: str, changepoints: int) -> str:
+    """The additive model with a quarterly wave, one regressor and few changepoints: 1 + changepoints + 2 + 1 columns."""
+    k = "".join(f"{c}, " for c in keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    grp = f" GROUP BY {', '.join(keys)}" if keys else ""
+    join = f"JOIN {{}} USING ({', '.join(keys)})" if keys else "CROSS JOIN {}"
+    cps = "".join(f", MAX(CASE WHEN idx = CAST(round({j}::DOUBLE * (floor(n * 0.8::DOUBLE) - 1) / {changepoints}) AS BIGINT) "
+                  f"THEN day END) AS c{j}" for j in range(1, changepoints + 1))
+    t = "((day - t0) / span)"
+    ang = f"{2 * math.pi / 91.25!r}::DOUBLE * day"
+    cols = [t, *[f"greatest({t} - (c{j} - t0) / span, 0)" for j in range(1, changepoints + 1)], f"sin({ang})", f"cos({ang})",
+            "(reg - rm) / rs"]
+    pen = [0.0, *[0.05 ** 2 / 0.05 ** 2] * changepoints, 0.05 ** 2 / 10.0 ** 2, 0.05 ** 2 / 10.0 ** 2, 0.05 ** 2 / 10.0 ** 2]
+    p = len(cols)
+    on = " AND ".join(f"r.{c} = c.{c}" for c in keys) or "TRUE"
+    return f"""
+WITH s AS (SELECT {k}date, revenue, CAST(n AS DOUBLE) AS reg, CAST(date - DATE '1970-01-01' AS DOUBLE) AS day,
+           row_number() OVER ({part}ORDER BY date) - 1 AS idx, COUNT(*) OVER ({part.strip()}) AS n FROM ({src})),
+g AS (SELECT {k}MIN(day) AS t0, MAX(day) - MIN(day) AS span, MAX(abs(revenue)) AS ys, AVG(reg) AS rm, stddev_pop(reg) AS rs{cps}
+      FROM s{grp}),
+x AS MATERIALIZED (SELECT {k}date, revenue, ys, revenue / ys AS y, {', '.join(f'{c} AS f{i}' for i, c in enumerate(cols))}
+      FROM s {join.format('g')}),
+{osql.linear_fit('x', p, pen, keys)},
+f AS (SELECT r.*, {osql.predicted(p)} AS yh FROM x r JOIN lf c ON {on}),
+b AS (SELECT *, {fc.statistics.NormalDist().inv_cdf(0.9)!r}::DOUBLE * stddev_pop(y - yh) OVER ({part.strip()}) AS half FROM f)
+SELECT {k}date, {r('yh * ys', 2)} AS yhat, {r('(yh - half) * ys', 2)} AS yhat_lower, {r('(yh + half) * ys', 2)} AS yhat_upper FROM b
+"""
+
+
+def _forecast_small(spark, sf, keys, changepoints):
+    cfg = fc.ForecastConfig(yearly_seasonality=False, n_changepoints=changepoints, regressors=["n"],
+                            seasonalities=[{"name": "quarterly", "period": 91.25, "fourier_order": 1}])
+    src = f2(spark, sf) if keys else f1(spark, sf)
+    m = fc.AdditiveForecaster(cfg, keys=keys, ds="date", y="revenue").fit(src)
+    return rounded(m.predict(src).select(*keys, "date", "yhat", "yhat_lower", "yhat_upper"), 2)
+
+
+@query("q_forecast_small", _forecast_small_sql([], F1_SQL, 2))
+def q_forecast_small(spark, sf):
+    return _forecast_small(spark, sf, [], 2)
+
+
+@query("q_forecast_no_changepoints", _forecast_small_sql([], F1_SQL, 0))
+def q_forecast_no_changepoints(spark, sf):
+    return _forecast_small(spark, sf, [], 0)
+
+
+@query("q_forecast_small_panel", _forecast_small_sql(["o_orderpriority"], F2_SQL, 3))
+def q_forecast_small_panel(spark, sf):
+    return _forecast_small(spark, sf, ["o_orderpriority"], 3)

@@ -121,3 +121,38 @@ def inv_yeo_johnson(y: Column, lam) -> Column:
         F.lit(1.0) - F.pow(F.lit(1.0) - two * y, F.lit(1.0) / two)
     )
     return F.when(y.isNull(), F.lit(None)).when(y >= 0, pos).otherwise(neg)
+
+
+# ------------------------------------------------------------------ normal quantile (WIN14)
+# Coefficients of Wichura's algorithm AS241 (Applied Statistics 37, 1988), highest power first.
+AS241_CENTRE_NUM = (2.5090809287301226727e+3, 3.3430575583588128105e+4, 6.7265770927008700853e+4, 4.5921953931549871457e+4,
+                    1.3731693765509461125e+4, 1.9715909503065514427e+3, 1.3314166789178437745e+2, 3.3871328727963666080e+0)
+AS241_CENTRE_DEN = (5.2264952788528545610e+3, 2.8729085735721942674e+4, 3.9307895800092710610e+4, 2.1213794301586595867e+4,
+                    5.3941960214247511077e+3, 6.8718700749205790830e+2, 4.2313330701600911252e+1, 1.0)
+AS241_MIDDLE_NUM = (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e+0,
+                    3.64784832476320460504e+0, 5.76949722146069140550e+0, 4.63033784615654529590e+0, 1.42343711074968357734e+0)
+AS241_MIDDLE_DEN = (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1,
+                    6.89767334985100004550e-1, 1.67638483018380384940e+0, 2.05319162663775882187e+0, 1.0)
+AS241_TAIL_NUM = (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266093473807843860e-3, 2.65321895265761230930e-2,
+                  2.96560571828504891230e-1, 1.78482653991729133580e+0, 5.46378491116411436990e+0, 6.65790464350110377720e+0)
+AS241_TAIL_DEN = (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4,
+                  1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0)
+
+
+def _horner(coefs, x: str) -> str:
+    out = f"{coefs[0]:.17e}"
+    for c in coefs[1:]:
+        out = f"({out} * {x} + {c:.17e})"
+    return out
+
+
+def normal_ppf_sql(p: str) -> str:
+    """Standard normal quantile of the SQL expression ``p``; NULL outside (0, 1)."""
+    q = f"({p} - 5e-1)"
+    c = f"(1.80625e-1 - {q} * {q})"
+    t = f"sqrt(-ln(least({p}, 1e0 - {p})))"
+    m, f = f"({t} - 1.6e0)", f"({t} - 5e0)"
+    return (f"CASE WHEN {p} <= 0 OR {p} >= 1 THEN NULL "
+            f"WHEN abs({q}) <= 4.25e-1 THEN {q} * {_horner(AS241_CENTRE_NUM, c)} / {_horner(AS241_CENTRE_DEN, c)} "
+            f"ELSE sign({q}) * CASE WHEN {t} <= 5 THEN {_horner(AS241_MIDDLE_NUM, m)} / {_horner(AS241_MIDDLE_DEN, m)} "
+            f"ELSE {_horner(AS241_TAIL_NUM, f)} / {_horner(AS241_TAIL_DEN, f)} END END")

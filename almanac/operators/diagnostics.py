@@ -6,7 +6,6 @@ use the series plan (bounded frames with halos), every sum is a group aggregate.
 from __future__ import annotations
 
 import math
-import statistics
 from collections.abc import Sequence
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanac.functions import formulas as fx
 from almanac.operators.stats import pearson
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
@@ -27,13 +27,6 @@ def chi2_1_sf(q: pd.Series) -> pd.Series:
     return q.map(lambda v: math.erfc(math.sqrt(v / 2.0)) if v is not None and v == v and v >= 0 else float("nan"))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_ppf(p: pd.Series) -> pd.Series:
-    """Standard normal quantile, Arrow-batched."""
-    nd = statistics.NormalDist()
-    return p.map(lambda v: nd.inv_cdf(v) if v is not None and 0 < v < 1 else float("nan"))
-
-
 def _residuals(df: DataFrame, y: str, p: str | None, keys, order) -> DataFrame:
     e = (F.col(y) - F.col(p)) if p else F.col(y)
     return df.select(*keys, *[c for c in order if c not in keys], e.alias("__e")).where(F.col("__e").isNotNull())
@@ -110,7 +103,8 @@ def qq_table(df: DataFrame, col: str, keys: Sequence[str] = (), block_rows: int
     i = F.col(IDX).cast("double") + 1
     last = F.pow(F.lit(0.5), F.lit(1.0) / n)
     pos = F.when(i == n, last).when(i == 1, F.lit(1.0) - last).otherwise((i - 0.3175) / (n + 0.365))
-    pts = r.select(*keys, F.col(IDX).alias("i"), normal_ppf(pos).alias("theoretical"), "ordered")
+    pts = r.withColumn("__pos", pos).select(*keys, F.col(IDX).alias("i"), F.expr(fx.normal_ppf_sql("__pos")).alias("theoretical"),
+                                            "ordered")
     line = pts.groupBy(*keys).agg(F.regr_slope("ordered", "theoretical").alias("slope"),
                                   F.regr_intercept("ordered", "theoretical").alias("intercept"),
                                   pearson(F.col("ordered"), F.col("theoretical")).alias("r"))

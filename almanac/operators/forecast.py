@@ -221,8 +221,9 @@ class AdditiveForecaster:
         # changepoint positions: evenly spaced rows of the first changepoint_range of history
         ncp = cfg.n_changepoints
         hist = F.floor(F.col("__n").cast("double") * F.lit(cfg.changepoint_range)).cast("long")
-        pos = F.transform(F.sequence(F.lit(1), F.lit(ncp)),
-                          lambda j: F.round(j.cast("double") * (hist - 1).cast("double") / F.lit(float(ncp))).cast("long"))
+        # sequence(1, 0) counts down, so the positions are cut to ncp
+        pos = F.transform(F.slice(F.sequence(F.lit(1), F.lit(max(ncp, 1))), 1, ncp),
+                          lambda j: F.round(j.cast("double") * (hist - 1).cast("double") / F.lit(float(max(ncp, 1)))).cast("long"))
         stats = stats.withColumn("__pos", pos)
         at = join_on_keys(idx.select(*keys, IDX, day.alias("__day")), stats.select(*keys, "__pos", "t0", "__span"),
                           keys, "inner")

@@ -76,7 +76,8 @@ def make_estimator(model_type: str = "linear", params: dict | None = None, label
             log.info("no max_depth: MLlib's deepest trees, %d levels", MAX_DEPTH)
         return RandomForestRegressor(numTrees=int(params.get("n_estimators", 100)),
                                      maxDepth=MAX_DEPTH if depth is None else int(depth),
-                                     featureSubsetStrategy="all", seed=int(params.get("random_state", 42)), **common)
+                                     featureSubsetStrategy="all", bootstrap=bool(params.get("bootstrap", True)),
+                                     seed=int(params.get("random_state", 42)), **common)
     if model_type == "gbm":
         return GBTRegressor(maxIter=int(params.get("n_estimators", 100)), stepSize=float(params.get("learning_rate", 0.1)),
                             maxDepth=int(params.get("max_depth", 3)), seed=int(params.get("random_state", 42)), **common)

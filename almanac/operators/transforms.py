@@ -3,8 +3,8 @@
 State is kept per (series, column, step): offsets, means, scales and lambdas in a small
 per-series table (or literals for a single series) and the first ``k`` values of each
 series for the differences. Every step with data-dependent parameters costs one
-aggregate over all columns; maximum-likelihood lambdas cost five more (a 41-point grid,
-refined around the best point, all columns in the same aggregate)."""
+aggregate over all columns; maximum-likelihood lambdas cost five more (a grid of 41 steps,
+refined around the best one, all columns in the same aggregate)."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from almanac.functions import formulas as fx
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
+from almanac.session import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
 
@@ -32,60 +33,57 @@ def fit_lambda(df: DataFrame, keys: Sequence[str], xs: dict[str, Column], kind:
                passes: int = 5, points: int = 20, half_width: float = 5.0) -> Fitted:
     """Lambda maximising the Box-Cox or Yeo-Johnson profile log-likelihood per series and
     column. ``xs`` maps a column name to the (already offset) values. Returns a Fitted
-    holding ``{name}__lam``. The first grid is widened until no best value lies on its edge."""
+    holding ``{name}__lam``; values that do not vary have no best lambda and get 1. The
+    first grid is widened until no best value lies on its edge. With keys every pass is
+    checkpointed (one row per series), so no pass repeats the ones before."""
     keys = list(keys)
-    while half_width < MAX_HALF_WIDTH and _at_edge(_search(df, keys, xs, kind, 1, points, half_width), keys, xs, half_width):
+    if keys:
+        ensure_checkpoint_dir(df.sparkSession)
+    best = _refine(df, keys, xs, kind, None, half_width / points, points)
+    while half_width < MAX_HALF_WIDTH and _at_edge(best, keys, xs, half_width):
         half_width *= 2
-    return _search(df, keys, xs, kind, passes, points, half_width)
+        best = _refine(df, keys, xs, kind, None, half_width / points, points)
+    step = half_width / points
+    for _ in range(passes - 1):
+        step /= points
+        best = _refine(df, keys, xs, kind, best, step, points)
+    return best
 
 
 def _at_edge(found: Fitted, keys: list[str], xs: dict[str, Column], half_width: float) -> bool:
     if not keys:
-        return any(found.row[f"{n}__lam"] is not None and abs(found.row[f"{n}__lam"]) >= half_width * (1 - 1e-9) for n in xs)
+        return any(abs(found.row[f"{n}__lam"]) >= half_width * (1 - 1e-9) for n in xs)
     far = reduce(lambda a, b: a | b, [F.abs(f"{n}__lam") >= half_width * (1 - 1e-9) for n in xs])
     return found.table.where(far).limit(1).count() > 0
 
 
-def _search(df: DataFrame, keys: list[str], xs: dict[str, Column], kind: str, passes: int, points: int, half: float) -> Fitted:
-    centers: Fitted | None = None
-    for _ in range(passes):
-        step = half / points
-        if centers is None:
-            base, prm, drop = df, {n: F.lit(0.0) for n in xs}, []
-        else:
-            base, prm0, drop = centers.attach(df)
-            prm = {n: prm0[f"{n}__lam"] for n in xs}
-        grp = list(keys)
-        cen_cols = {}
-        if keys and centers is not None:
-            for n in xs:
-                cname = f"__c_{n}"
-                base = base.withColumn(cname, prm[n])
-                cen_cols[n] = cname
-            grp += list(cen_cols.values())
-        aggs = {}
-        for n, x in xs.items():
-            c0 = F.col(cen_cols[n]) if n in cen_cols else prm[n]
-            cnt = F.count(x)
-            if kind == "box_cox":
-                s = F.sum(F.log(x))
-            else:
-                s = F.sum(F.signum(x) * F.log1p(F.abs(x)))
-            cands = []
-            for j in range(-points, points + 1):
-                lam = c0 + F.lit(step * j)
-                y = fx.box_cox(x, lam) if kind == "box_cox" else fx.yeo_johnson(x, lam)
-                v = F.var_pop(y)
-                llf = F.when(v > 0, (lam - 1) * s - cnt / 2 * F.log(v))
-                cands.append(F.struct(llf.alias("l"), lam.alias("v")))
-            aggs[f"{n}__lam"] = F.array_max(F.array(*cands))["v"]
-        if keys:
-            table = base.groupBy(*grp).agg(*[c.alias(n) for n, c in aggs.items()]).select(*keys, *aggs)
-            centers = Fitted(keys, table=table)
-        else:
-            centers = Fitted(keys, row=base.agg(*[c.alias(n) for n, c in aggs.items()]).first().asDict())
-        half = step
-    return centers
+def _refine(df: DataFrame, keys: list[str], xs: dict[str, Column], kind: str, centers: Fitted | None, step: float,
+            points: int) -> Fitted:
+    """One pass: every row meets the ``2 * points + 1`` grid steps inside its task, (series, step) pairs are
+    summed before the shuffle, and the best step is taken per series."""
+    if centers is None:
+        base, prm, drop = df, {f"{n}__lam": F.lit(0.0) for n in xs}, []
+    else:
+        base, prm, drop = centers.attach(df)
+    long = base.select(*keys, *[x.cast("double").alias(f"__x_{n}") for n, x in xs.items()],
+                       *[prm[f"{n}__lam"].alias(f"__c_{n}") for n in xs],
+                       F.explode(F.sequence(F.lit(-points), F.lit(points))).alias("__j"))
+    aggs = []
+    for n in xs:
+        x, lam = F.col(f"__x_{n}"), F.col(f"__c_{n}") + F.lit(step) * F.col("__j")
+        y = fx.box_cox(x, lam) if kind == "box_cox" else fx.yeo_johnson(x, lam)
+        s = F.log(x) if kind == "box_cox" else F.signum(x) * F.log1p(F.abs(x))
+        aggs += [F.max(lam).alias(f"__l_{n}"), F.count(x).alias(f"__n_{n}"), F.sum(s).alias(f"__s_{n}"),
+                 F.var_pop(y).alias(f"__v_{n}")]
+    grid = long.groupBy(*keys, "__j").agg(*aggs)
+    tops = []
+    for n in xs:
+        lam, v = F.col(f"__l_{n}"), F.col(f"__v_{n}")
+        llf = F.when((v > 0) & ~F.isnan(v), (lam - 1) * F.col(f"__s_{n}") - F.col(f"__n_{n}") / 2 * F.log(v))
+        top = F.max(F.when(llf.isNotNull() & ~F.isnan(llf), F.struct(llf.alias("l"), lam.alias("v"))))
+        tops.append(F.coalesce(top["v"], F.lit(1.0)).alias(f"{n}__lam"))
+    out = grid.groupBy(*keys).agg(*tops)
+    return Fitted(keys, table=out).materialize() if keys else Fitted(keys, row=out.first().asDict())
 
 
 def merge_fitted(a: Fitted, b: Fitted) -> Fitted:
