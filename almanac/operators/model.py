@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.operators.split import cv_folds, split_labels
-from almanac.operators.stats import regression_metrics
+from almanac.operators.stats import PARTIAL_CELLS, regression_metrics
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, colocate_series, join_on_keys, series_plan
 
@@ -144,6 +144,12 @@ def gram_table(df: DataFrame, keys: Sequence[str], features: Sequence[str], labe
                 m = x.T @ x
                 kk = k if isinstance(k, tuple) else (k,)
                 acc[kk] = acc[kk] + m if kk in acc else m
+                if len(acc) * q * q > PARTIAL_CELLS:  # partials are added up later, so they may leave early
+                    yield from emit(acc)
+                    acc = {}
+        yield from emit(acc)
+
+    def emit(acc):
         for kk, m in acc.items():
             vals = m[iu]
             out = {k: [kk[j]] * len(vals) for j, k in enumerate(keys)}

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from almanac.functions.calendar import add_time_variables, spine
 from almanac.functions.schema import MERGE_CALENDAR_COLUMNS, TRIM_CALENDAR_COLUMNS, numeric_columns
+from almanac.operators.stats import value_ranks
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
 
@@ -216,17 +217,17 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None, keys: Se
 # ------------------------------------------------------------------ exact median
 def exact_median(df: DataFrame, group: Sequence[str], cols: Sequence[str], block_rows: int | None = None) -> DataFrame:
     """Exact (interpolated) median per group without holding a group in memory: the columns
-    are unpivoted, the non-null values of each (group, column) are ranked with the
-    distributed row index (one sort for all columns) and the one or two middle ranks are
-    averaged. A NULL group key is a group like any other. Returns (group..., {c})."""
+    are unpivoted, the distinct values of each (group, column) are counted and ranked (one
+    sort for all columns) and the values at the one or two middle ranks are averaged. A NULL
+    group key is a group like any other. Returns (group..., {c})."""
     group = list(group)
     body = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.select(*group, F.expr(f"stack({len(cols)}, {body}) as (__col, __v)")).where(F.col("__v").isNotNull())
-    plan = series_plan(long, [*group, "__col"], ["__v"], block_rows)
-    r = plan.with_count(plan.index(long))
+    long = df.select(*group, F.expr(f"stack({len(cols)}, {body}) as (__col, __v)"))
+    r = value_ranks(long, [*group, "__col"], "__v", block_rows=block_rows)
     lo = F.floor((F.col("__n") - 1) / 2)
     hi = F.ceil((F.col("__n") - 1) / 2)
-    m = r.where((F.col(IDX) == lo) | (F.col(IDX) == hi)).groupBy(*group, "__col").agg(F.avg("__v").alias("__med"))
+    first, end = F.col("__r0"), F.col("__r0") + F.col("__c")
+    m = r.where((first <= hi) & (lo < end)).groupBy(*group, "__col").agg(F.avg("__v").alias("__med"))
     return m.groupBy(*group).agg(*[F.max(F.when(F.col("__col") == c, F.col("__med"))).alias(c) for c in cols])
 
 

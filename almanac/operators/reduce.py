@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import formulas as fx
 from almanac.functions.schema import CALENDAR_COLUMNS, numeric_columns
-from almanac.operators.stats import corr_pairs, pearson
+from almanac.operators.stats import corr_pairs, pearson, value_ranks
 from almanac.plans.fitted import Fitted, sql_literal
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
 
@@ -98,16 +98,21 @@ def mutual_info_scores(df: DataFrame, target: str, features: Sequence[str], bins
     bins; ranked descending. Columns: feature, position, mi, rank. Re-aimed from a
     nearest-neighbour estimator: deterministic and a plain group aggregate.
 
-    The target's bin is computed on the row first and carried through the unpivot, so the
-    features' bins need no join back to the rows: two sorts and one aggregate in all."""
+    The target's bin is computed on the row first and carried through the unpivot. Each
+    distinct feature value then becomes one row with its count per target bin, so ranking
+    the values bins them without a join back to the rows."""
     feats = list(features)
     d = mean_impute(df, [*feats, target])
     d = d.select(*[F.col(c).cast("double").alias(c) for c in feats], F.col(target).cast("double").alias("__y"))
     d = equal_frequency_bin(d, [], "__y", bins, "ybin", block_rows)
     body = ", ".join(f"'{c}', `{c}`" for c in feats)
     long = d.select("ybin", F.expr(f"stack({len(feats)}, {body}) as (feature, v)"))
-    long = equal_frequency_bin(long, ["feature"], "v", bins, "bin", block_rows)
-    joint = long.groupBy("feature", "bin", "ybin").agg(F.count(F.lit(1)).alias("nxy"))
+    per_bin = {f"b{k}": F.count(F.when(F.col("ybin") == k, 1)) for k in range(bins)}
+    ranked = value_ranks(long, ["feature"], "v", per_bin, block_rows)
+    ranked = ranked.withColumn("bin", F.floor(F.col("__r0") * bins / F.col("__n")).cast("int"))
+    wide = ranked.groupBy("feature", "bin").agg(*[F.sum(b).alias(b) for b in per_bin])
+    body = ", ".join(f"{k}, b{k}" for k in range(bins))
+    joint = wide.select("feature", "bin", F.expr(f"stack({bins}, {body}) as (ybin, nxy)")).where("nxy > 0")
     wx = Window.partitionBy("feature", "bin")      # joint table: at most bins^2 rows per feature
     wy = Window.partitionBy("feature", "ybin")
     wt = Window.partitionBy("feature")

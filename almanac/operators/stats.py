@@ -13,14 +13,16 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, colocate_series, join_on_keys, series_plan
+from almanac.session import ensure_checkpoint_dir
 
-CORR_CHUNK = 500
+#: Matrix cells that a task holds at most (128 MB) before it hands its partial sums on.
+PARTIAL_CELLS = 16_000_000
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -33,21 +35,42 @@ def pearson(a: Column, b: Column) -> Column:
     return F.when(den > 0, F.covar_pop(x, y) / den)
 
 
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None,
+                block_rows: int | None = None) -> DataFrame:
+    """One row per distinct non-null value of each series: keys, ``value``, ``__c`` (its rows), ``__r0``
+    (rows with a smaller value), ``__n`` (rows of the series) and the given ``sums`` over its rows.
+
+    Equal values are counted before the shuffle, so ties cost nothing; the distinct values are checkpointed
+    once and everything after that (sizes, cuts, running sum) reads them instead of the input."""
+    keys = list(keys)
+    ensure_checkpoint_dir(df.sparkSession)
+    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("__c"), *[c.alias(n) for n, c in (sums or {}).items()]).checkpoint()
+    plan = series_plan(d, keys, [value], block_rows)
+    if plan.blocked:
+        d = plan.index(d)
+    d = plan.scan(d, [("__r0", "sum", F.col("__c"))]).withColumn("__r0", F.col("__r0") - F.col("__c")).drop(IDX)
+    if plan.blocked:
+        return plan.with_stats(d, {"__n": F.sum("__c")})
+    return d.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
+
+
 def exact_quantiles(df: DataFrame, group: Sequence[str], col: str, probs: Sequence[float],
                     names: Sequence[str] | None = None, block_rows: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group (numpy / pandas default), exact."""
     group = list(group)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    v = df.select(*group, F.col(col).alias("__v")).where(F.col("__v").isNotNull())
-    plan = series_plan(v, group, ["__v"], block_rows)
-    r = plan.with_count(plan.index(v))
+    r = value_ranks(df.select(*group, F.col(col).alias("__v")), group, "__v", block_rows=block_rows)
     pos = [F.lit(p) * (F.col("__n") - 1) for p in probs]
-    near = reduce(lambda a, b: a | b, [(F.col(IDX) == F.floor(x)) | (F.col(IDX) == F.ceil(x)) for x in pos])
-    r = r.where(near)
+
+    def holds(x: Column) -> Column:
+        return (F.col("__r0") <= x) & (x < F.col("__r0") + F.col("__c"))
+
+    r = r.where(reduce(lambda a, b: a | b, [holds(F.floor(x)) | holds(F.ceil(x)) for x in pos]))
     aggs = []
     for x, n in zip(pos, names):
-        lo_v = F.max(F.when(F.col(IDX) == F.floor(x), F.col("__v")))
-        hi_v = F.max(F.when(F.col(IDX) == F.ceil(x), F.col("__v")))
+        lo_v = F.max(F.when(holds(F.floor(x)), F.col("__v")))
+        hi_v = F.max(F.when(holds(F.ceil(x)), F.col("__v")))
         frac = F.max(x - F.floor(x))
         aggs.append((lo_v + (hi_v - lo_v) * frac).alias(n))
     return r.groupBy(*group).agg(*aggs)
@@ -100,6 +123,12 @@ def corr_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
                 mats = (m.T @ m, x0.T @ m, (x0 * x0).T @ m, x0.T @ x0)
                 kk = k if isinstance(k, tuple) else (k,)
                 acc[kk] = [a + b for a, b in zip(acc[kk], mats)] if kk in acc else list(mats)
+                if len(acc) * 4 * p * p > PARTIAL_CELLS:  # partials are added up later, so they may leave early
+                    yield from emit(acc)
+                    acc = {}
+        yield from emit(acc)
+
+    def emit(acc):
         for kk, (nn, sx, sq, sxy) in acc.items():
             out = {c: [kk[t]] * len(iu) for t, c in enumerate(keys)}
             out.update(i=iu.astype(np.int32), j=ju.astype(np.int32), n=nn[iu, ju], sa=sx[iu, ju], sb=sx[ju, iu],
