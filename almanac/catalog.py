@@ -1938,3 +1938,50 @@ def q_forecast_no_changepoints(spark, sf):
 @query("q_forecast_small_panel", _forecast_small_sql(["o_orderpriority"], F2_SQL, 3))
 def q_forecast_small_panel(spark, sf):
     return _forecast_small(spark, sf, ["o_orderpriority"], 3)
+
+
+# =============================================================== training per series, filling from training rows
+_PANEL_TRAIN_SQL = f"""
+WITH s AS (SELECT o_orderpriority, date, CAST(n AS DOUBLE) AS f0, avg_price AS f1, revenue AS y,
+           row_number() OVER (PARTITION BY o_orderpriority ORDER BY date) - 1 AS idx, COUNT(*) OVER (PARTITION BY o_orderpriority) AS n
+           FROM ({F2_SQL})),
+x AS (SELECT * FROM s WHERE idx < n - floor(n * 0.2::DOUBLE)),
+{osql.linear_fit('x', 2, [2.0, 2.0], ['o_orderpriority'])},
+p AS (SELECT r.o_orderpriority, r.y, {osql.predicted(2)} AS prediction FROM s r JOIN lf c ON r.o_orderpriority = c.o_orderpriority
+      WHERE r.idx >= r.n - floor(r.n * 0.2::DOUBLE)),
+q AS (SELECT *, AVG(y) OVER (PARTITION BY o_orderpriority) AS ybar FROM p)
+"""
+
+
+@query("q_train_and_evaluate_panel", _PANEL_TRAIN_SQL + f"""
+SELECT o_orderpriority, CAST(COUNT(*) AS BIGINT) AS n, {_MET_SQL} FROM q GROUP BY o_orderpriority""")
+def q_train_and_evaluate_panel(spark, sf):
+    res = md.train_and_evaluate(f2(spark, sf), "revenue", ["n", "avg_price"], "date", "ridge", {"alpha": 2.0}, use_cv=False,
+                                keys=["o_orderpriority"])
+    return rounded(res.metrics.drop("mse"), _MET_DIG)
+
+
+@query("q_train_panel_importances", _PANEL_TRAIN_SQL + f"""
+SELECT o_orderpriority, 'n' AS feature, {r('w0', 4)} AS coefficient FROM lf
+UNION ALL SELECT o_orderpriority, 'avg_price' AS feature, {r('w1', 4)} AS coefficient FROM lf""")
+def q_train_panel_importances(spark, sf):
+    res = md.train_and_evaluate(f2(spark, sf), "revenue", ["n", "avg_price"], "date", "ridge", {"alpha": 2.0}, use_cv=False,
+                                keys=["o_orderpriority"])
+    return rounded(res.importances, 4)
+
+
+@query("q_train_scope_panel", f"""
+WITH s AS (SELECT o_orderpriority, date, CASE WHEN month(date) <> 4 THEN CAST(n AS DOUBLE) END AS g, revenue AS y,
+           row_number() OVER (PARTITION BY o_orderpriority ORDER BY date) - 1 AS idx, COUNT(*) OVER (PARTITION BY o_orderpriority) AS n
+           FROM ({F2_SQL})),
+m AS (SELECT o_orderpriority, AVG(g) AS mg FROM s WHERE idx < n - floor(n * 0.2::DOUBLE) GROUP BY 1),
+d AS (SELECT s.*, COALESCE(g, mg) AS f0 FROM s JOIN m USING (o_orderpriority)),
+x AS (SELECT * FROM d WHERE idx < n - floor(n * 0.2::DOUBLE)),
+{osql.linear_fit('x', 1, None, ['o_orderpriority'])}
+SELECT r.o_orderpriority, r.date, CAST(r.idx AS BIGINT) AS idx, CASE WHEN r.idx < r.n - floor(r.n * 0.2::DOUBLE) THEN 'train' ELSE 'test' END
+       AS part, {r('r.y', 2)} AS actual, {r(osql.predicted(1), 3)} AS predicted
+FROM d r JOIN lf c ON r.o_orderpriority = c.o_orderpriority""")
+def q_train_scope_panel(spark, sf):
+    d = f2(spark, sf).withColumn("n", F.when(F.month("date") != 4, F.col("n").cast("double")))
+    res = md.train_and_evaluate(d, "revenue", ["n"], "date", "linear", use_cv=False, keys=["o_orderpriority"], fit_scope="train")
+    return rounded(res.predictions, {"actual": 2, "predicted": 3})

@@ -284,8 +284,13 @@ class TrainResult:
 
 def train_and_evaluate(df: DataFrame, target_col: str, feature_cols: Sequence[str], date_col: str = "date",
                        model_type: str = "linear", params: dict | None = None, test_size: float = 0.2,
-                       use_cv: bool = True, n_cv_splits: int = 5, fill_groups: Sequence[str] | None = None) -> TrainResult:
-    """Impute, split in time order, fit, evaluate, cross-validate and test residuals."""
+                       use_cv: bool = True, n_cv_splits: int = 5, fill_groups: Sequence[str] | None = None,
+                       keys: Sequence[str] = (), fit_scope: str = "all") -> TrainResult:
+    """Impute, split in time order, fit, evaluate, cross-validate and test residuals.
+
+    With ``keys`` every series is filled, split, fitted (linear or ridge, one coefficient row per series as
+    ``model``) and scored by itself, all in the same jobs. ``fit_scope='train'`` takes the filling means
+    from the training rows only; ``'all'`` from every row."""
     from almanac.operators.diagnostics import residual_tests
     from almanac.operators.prepare import handle_missing_values
     feats = [c for c in feature_cols if c in df.columns]
@@ -294,14 +299,25 @@ def train_and_evaluate(df: DataFrame, target_col: str, feature_cols: Sequence[st
             log.warning("feature %r not found", c)
     if model_type not in MODEL_TYPES:
         raise ValueError(f"unknown model type {model_type!r}")
-    feats = [c for c in feats if c != target_col]
-    groups = [g for g in fill_groups or [] if g in df.columns and g not in (date_col, target_col, *feats)]
-    d = df.select(date_col, target_col, *feats, *groups)
-    d = handle_missing_values(d, "mean", fill_groups=fill_groups, date_col=date_col, columns=[target_col, *feats]).drop(*groups)
-    d = series_plan(d, [], [date_col]).index(d)
-    lab = split_labels(d, [], [date_col], "train_test", test_size).cache()
+    if fit_scope not in ("all", "train"):
+        raise ValueError(f"unknown fit scope {fit_scope!r}")
+    keys = list(keys)
+    if keys and model_type not in ("linear", "ridge"):
+        raise ValueError(f"one {model_type} model per series is not offered; fit the series without keys")
+    feats = [c for c in feats if c != target_col and c not in keys]
+    groups = [g for g in fill_groups or [] if g in df.columns and g not in (*keys, date_col, target_col, *feats)]
+    d = df.select(*keys, date_col, target_col, *feats, *groups)
+    if fit_scope == "all":
+        d = handle_missing_values(d, "mean", fill_groups=fill_groups, date_col=date_col, keys=keys, columns=[target_col, *feats])
+    d = series_plan(d, keys, [date_col]).index(d)
+    lab = split_labels(d, keys, [date_col], "train_test", test_size)
+    if fit_scope == "train":
+        lab = _fill_from_train(lab, keys, list(fill_groups or []), [target_col, *feats])
+    lab = lab.drop(*groups).cache()
     train = lab.where(F.col("part") == "train")
     test = lab.where(F.col("part") == "test")
+    if keys:
+        return _train_panel(lab, train, test, target_col, feats, date_col, model_type, params, use_cv, n_cv_splits, keys)
     model = train_model(train, feats, target_col, model_type, params)
     pred, metrics = evaluate_model(model, test, feats, target_col)
     allpred = model.transform(assemble(lab, feats)).drop(FEATURES)
@@ -314,3 +330,33 @@ def train_and_evaluate(df: DataFrame, target_col: str, feature_cols: Sequence[st
     return TrainResult(model, metrics, allpred.select(date_col, F.col(IDX).alias("idx"), "part", F.col(target_col).alias("actual"),
                                                       F.col("prediction").alias("predicted")),
                        cv_f, cv_s, res, imp)
+
+
+def _fill_from_train(lab: DataFrame, keys: list[str], groups: list[str], cols: list[str]) -> DataFrame:
+    """Missing values take the mean of their group, then of their series, both of training rows only."""
+    if not all(g in lab.columns for g in groups):
+        groups = []
+    for by in [[*keys, *groups], keys] if groups else [keys]:
+        means = Fitted.fit(lab.where(F.col("part") == "train"), by, {f"__f_{c}": F.avg(c) for c in cols})
+        based, mean, drop = means.attach(lab)
+        lab = based.withColumns({c: F.coalesce(F.col(c), mean[f"__f_{c}"]) for c in cols}).drop(*drop)
+    return lab
+
+
+def _train_panel(lab: DataFrame, train: DataFrame, test: DataFrame, target: str, feats: list[str], date_col: str, model_type: str,
+                 params: dict | None, use_cv: bool, n_splits: int, keys: list[str]) -> TrainResult:
+    from almanac.operators.diagnostics import residual_tests
+    alpha = float((params or {}).get("alpha", 1.0)) if model_type == "ridge" else 0.0
+    coefs = fit_linear_per_series(train, keys, feats, target, alpha)
+    scored = predict_linear(lab, coefs, keys, feats)
+    pred = scored.where(F.col("part") == "test")
+    cv_f = cv_s = None
+    if use_cv:
+        cv_f, cv_s, _ = cv_linear(lab.drop("part"), feats, target, keys, n_splits, alpha, order=[date_col])
+    body = ", ".join(f"'{f}', `{f}`" for f in feats)
+    imp = coefs.select(*keys, F.expr(f"stack({len(feats)}, {body}) as (feature, coefficient)")).orderBy(
+        *keys, F.abs("coefficient").desc(), "feature")
+    return TrainResult(coefs, regression_metrics(pred, target, "prediction", keys),
+                       scored.select(*keys, date_col, F.col(IDX).alias("idx"), "part", F.col(target).alias("actual"),
+                                     F.col("prediction").alias("predicted")),
+                       cv_f, cv_s, residual_tests(pred, target, "prediction", keys, [IDX]), imp)
