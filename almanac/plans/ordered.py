@@ -348,10 +348,10 @@ _HINTS: ContextVar[dict] = ContextVar("almanac_series_hints", default={})
 @contextmanager
 def series_hint(plan: SeriesPlan):
     """Reuse a measured plan decision for every operator that works on series with the same
-    keys and order inside the block: steps that keep the rows of each series (features, fills,
+    keys and order column inside the block: steps that keep the rows of each series (features, fills,
     transforms) then skip the sizing action. The pipeline measures once per series set."""
     hints = dict(_HINTS.get())
-    hints[tuple(plan.keys), tuple(plan.order)] = plan
+    hints[tuple(plan.keys), plan.order[0]] = plan
     token = _HINTS.set(hints)
     try:
         yield plan
@@ -366,10 +366,10 @@ def series_plan(
     block_rows: int | None = None,
 ) -> SeriesPlan:
     """Look at the series sizes once and choose the plain or the blocked plan (or take the
-    decision from an enclosing :func:`series_hint` for the same keys and order)."""
+    decision from an enclosing :func:`series_hint` for the same keys and order column)."""
     keys = list(keys or [])
     order = [order] if isinstance(order, str) else list(order)
-    hint = _HINTS.get().get((tuple(keys), tuple(order)))
+    hint = _HINTS.get().get((tuple(keys), order[0]))
     if hint is not None and block_rows is None:
         return SeriesPlan(keys, order, hint.block_rows, hint.blocked, list(hint.hot_keys), hint.hot_rows)
     if block_rows is None:

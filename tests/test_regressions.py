@@ -109,3 +109,32 @@ def test_hourly_future(spark):
 def test_target_is_carried(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, d), v) for d, v in ((1, None), (2, 1.0), (3, None), (4, 2.0))], "ds date, y double")
     assert [r["y"] for r in forecast.carry_target(df, "y").orderBy("ds").collect()] == [1.0, 1.0, 1.0, 2.0]
+
+
+def test_training_scope_and_panel_models(spark):
+    rows = [(k, i, float(i), None if i % 3 == 0 else float(i % 7), 2.0 * (i % 7) + (10 if k == "b" else 0))
+            for k in "ab" for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, date int, t double, x double, y double")
+    for scope in ("all", "train"):
+        res = model.train_and_evaluate(df, "y", ["t", "x"], "date", "linear", use_cv=True, keys=["k"], fit_scope=scope)
+        assert {r["k"]: r["n"] for r in res.metrics.collect()} == {"a": 8, "b": 8}
+        assert res.cv_summary.count() == 2 and res.importances.count() == 4
+    with pytest.raises(ValueError):
+        model.train_and_evaluate(df, "y", ["t"], "date", "gbm", keys=["k"])
+    with pytest.raises(ValueError):
+        model.train_and_evaluate(df, "y", ["t"], "date", "linear", fit_scope="test")
+
+
+def test_lambda_of_constant_values(spark):
+    df = spark.createDataFrame([(4.0,)] * 5, "x double")
+    assert transforms.fit_lambda(df, [], {"x": F.col("x")}, "box_cox").row["x__lam"] == 1.0
+
+
+def test_normal_quantile_expression(spark):
+    from statistics import NormalDist
+
+    from almanac.functions.formulas import normal_ppf_sql
+    ps = [1e-300, 1e-12, 0.01, 0.074, 0.076, 0.3, 0.5, 0.8, 0.95, 1 - 1e-9]
+    got = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0]], "p double").select(F.expr(normal_ppf_sql("p"))).collect()
+    assert [r[0] for r in got[:-2]] == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-12, abs=1e-12)
+    assert got[-2][0] is None and got[-1][0] is None
