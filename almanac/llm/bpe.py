@@ -241,7 +241,7 @@ class Encoder:
         if not last:
             cut = max((m.end() for m in self.v.space.finditer(text, max(0, len(text) - LONG))), default=None)
             if cut is None:
-                cut = self._open(text, out)
+                cut = self._open(text)
             elif len(text) - cut < LONG:
                 self.tail = text[cut:]
             text = text[:cut]
@@ -249,11 +249,11 @@ class Encoder:
         # at four control characters that are no white space here
         chunks = v.pattern.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         words = b"".join(map(self.cache.__getitem__, chunks))
-        if self.run:  # the run comes after the words
-            return words + _pack(self.run.feed(self._opening))
+        if self.run:  # an earlier run's last tokens, the words, the new run
+            return _pack(out) + words + _pack(self.run.feed(self._opening))
         return _pack(out) + words if out else words
 
-    def _open(self, text: str, out: list[int]) -> int:
+    def _open(self, text: str) -> int:
         """No white space near the end: where the pre-tokens that can still change begin."""
         matches = [m.span() for m in self.v.pattern.finditer(text)][-2:]
         if not matches:

@@ -104,6 +104,21 @@ def test_bpe_equals_library_whole_and_in_pieces(vocab, library):
         assert d.feed(want[:2]) + d.feed(want[2:]) + d.finish() == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("make", [
+    lambda r: "a" * 70_000 + "!" * 70_000,
+    lambda r: "".join(c * r.randint(600, 90_000) for c in "ab!c?d.e-f"),
+    lambda r: " ".join("".join(r.choice("aeiotnhsr") for _ in range(r.randint(900, 1100))) for _ in range(300)),
+    lambda r: "".join("".join(r.choice(cs) for _ in range(r.randint(500, 700))) for _ in range(200) for cs in ("aeiotnhsr", "!?.-é'"))])
+def test_bpe_of_long_runs_side_by_side(vocab, library, make):
+    """One run ends and the next long one begins in the same block."""
+    text = make(random.Random(4))
+    want = library.encode(text, add_special_tokens=False).ids
+    assert ids_of(bpe.Encoder(vocab).encode(text)) == want
+    for n in (700, 5_000):
+        e = bpe.Encoder(vocab)
+        assert ids_of(b"".join(e.feed(text[i:i + n]) for i in range(0, len(text), n)) + e.finish()) == want
+
+
 def test_bpe_holds_back_a_bounded_part(vocab):
     e = bpe.Encoder(vocab)
     for _ in range(200):
