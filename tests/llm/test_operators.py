@@ -505,3 +505,16 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in graph.components(links).collect()}
     assert got == {i: 0 for i in range(301)} | {500: 500, 501: 500}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_chains_with_ids_in_any_order(spark, seed):
+    """Rounds don't grow with the diameter."""
+    r, links, want = random.Random(seed), [], {}
+    ids = r.sample(range(10_000), 1_300)
+    for chain in (ids[:1_000], ids[1_000:1_298], ids[1_298:]):
+        links += [(a, b) if r.random() < 0.5 else (b, a) for a, b in zip(chain, chain[1:])]
+        want |= dict.fromkeys(chain, min(chain))
+    r.shuffle(links)
+    got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(want) and {x.node: x.component for x in got} == want
