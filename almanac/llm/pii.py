@@ -8,7 +8,10 @@ and the parts of names and e-mail addresses are replaced part by part.
 
 Distinct originals must keep distinct surrogates, and no surrogate may be another original of the corpus.
 That is checked over all distinct originals: where it fails, all but the smallest of the originals that
-meet get another try, until none meet. Documents learn of the few second tries by a join.
+meet get another try, until none meet. From the fifth try on a surrogate grows by a character (a name by a
+syllable) a try, so short formats and crowded kinds settle too; keys, hex tokens and IP addresses have room
+for billions and keep their length. A form without letters and digits gets symbols (a secret) or letters (a
+part of an address). Documents learn of the few second tries by a join.
 
 Defined results: a null text stays null without entities; texts without entities are unchanged; repeated
 rows get equal results; a null id is kept (its second tries are looked up by text as well); an empty table
@@ -46,6 +49,9 @@ SYLLABLES = {"latin": "ba be bo da de di fa ga ka ke la le li lo ma me mi na ne
              "cyrillic": "ба бе бо да де ди ка ке ла ле ли ло ма ме ми на не но ра ре ри ро са се со та те то ва ви".split(),
              "greek": "βα βε δα δε δι κα κε λα λε λι λο μα με μι να νε νο ρα ρε ρι ρο σα σε σο τα τε το".split()}
 ENDS = {"latin": {"m": "n", "f": "na", "u": "l"}, "cyrillic": {"m": "н", "f": "на", "u": "л"}, "greek": {"m": "ς", "f": "να", "u": "λ"}}
+SYMBOLS = "!#$%&*+-=?@^_~"
+#: Tries that keep the original's length.
+SAME_LENGTH = 4
 ALPHABETS = {"cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 
@@ -91,21 +97,28 @@ class Maker:
             block += 1
 
     def normal(self, kind: str, normal: str, n: int | None = None) -> str:
-        """The surrogate's normal form, of the original's format."""
+        """The surrogate's normal form, of the original's format; longer after some tries."""
         n = self.tries.get((kind, normal), 0) if n is None else n
         bits = self._stream(kind, normal, n)
         number = lambda top: (next(bits) << 16 | next(bits) << 8 | next(bits)) % top
+        more = max(0, n - SAME_LENGTH + 1)
         if kind == "ip":
             return ".".join(str(1 + number(254)) for _ in range(4))
         if kind.startswith(("given", "family")):
             s = script(normal)
-            word = "".join(SYLLABLES[s][number(len(SYLLABLES[s]))] for _ in range(3 if kind != "family" else 4))
+            word = "".join(SYLLABLES[s][number(len(SYLLABLES[s]))] for _ in range((3 if kind != "family" else 4) + more))
             return word + ENDS[s][kind[-1] if kind != "family" else "u"]
         keep = {"key": 4, "card": 1}.get(kind, 0)
         if kind == "phone" and normal.startswith("+"):
             keep = max(2, len(normal) - 10)
-        out = list(normal[:keep])
-        for c in normal[keep:]:
+        out, form = list(normal[:keep]), normal[keep:]
+        varied = [c for c in form if c.isdigit() or c.isalpha()]
+        if not varied:
+            letters = SYMBOLS if kind == "secret" else "abcdefghijklmnopqrstuvwxyz"
+            return "".join(letters[number(len(letters))] for _ in range(len(form) + more))
+        if kind not in ("hex", "key"):
+            form += varied[-1] * more
+        for c in form:
             if kind == "hex":
                 out.append("0123456789abcdef"[number(16)])
             elif kind == "key":
@@ -127,7 +140,7 @@ class Maker:
         new = self.normal(kind, normal)
         if kind in ("card", "phone"):
             digits = iter(new.removeprefix("+"))
-            return "".join(next(digits) if c.isdigit() else c for c in spelling)
+            return "".join([next(digits) if c.isdigit() else c for c in spelling] + [*digits])
         if kind.startswith(("given", "family")):
             return new.upper() if spelling.isupper() and len(spelling) > 1 else new[:1].upper() + new[1:]
         if kind in ("user", "host") and len(new) == len(spelling):
@@ -172,7 +185,7 @@ def _originals(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, kind string, normal string")
 
 
-def tries(originals: DataFrame, key: bytes, rounds: int = 32, make: type[Maker] = Maker) -> DataFrame:
+def tries(originals: DataFrame, key: bytes, make: type[Maker] = Maker) -> DataFrame:
     """kind, normal, n for distinct originals: the try at which no two surrogates of a kind meet and none is
     an original. Kinds of names are compared without their gender."""
 
@@ -186,7 +199,7 @@ def tries(originals: DataFrame, key: bytes, rounds: int = 32, make: type[Maker]
     group = lambda c: F.when(F.col(c).startswith("given"), "given").otherwise(F.col(c))
     known = originals.select("kind", "normal", F.lit(0).alias("n"))
     taken = originals.select(group("kind").alias("g"), F.col("normal").alias("new")).distinct()
-    for _ in range(rounds):
+    while True:
         made = stored(known.mapInArrow(run, "kind string, normal string, n int, new string").withColumn("g", group("kind")), "pii-made")
         first = made.groupBy("g", "new").agg(F.min(F.struct("normal", "kind")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
         met = (made.join(first, ["g", "new"]).filter(F.struct("normal", "kind") != F.col("first")).select("kind", "normal")
@@ -196,7 +209,6 @@ def tries(originals: DataFrame, key: bytes, rounds: int = 32, make: type[Maker]
             return made.select("kind", "normal", "n")
         known = stored(made.select("kind", "normal", "n").join(met, ["kind", "normal"], "left")
                        .select("kind", "normal", (F.col("n") + F.coalesce("again", F.lit(0))).alias("n")), "pii-tries")
-    raise RuntimeError(f"surrogates still meet after {rounds} tries")
 
 
 def surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

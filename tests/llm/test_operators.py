@@ -316,6 +316,31 @@ def test_surrogates_that_meet_get_another_try(spark):
     assert len(set(out)) == 21 and "9.9.9.3" not in out
 
 
+def test_surrogates_of_short_and_letterless_forms_settle(spark):
+    users = [*"abcdefghijklmnopqrstuvwxyz0123456789_-"]
+    rows = [(i, f"{u}@h{i % 7}.com", "a") for i, u in enumerate(users)] + [(100, "password: ******** password: ########", "a"), (101, "x@-.com", "a")]
+    out = {r.doc_id: r for r in pii.surrogates(table(spark, rows), KEY).collect()}
+    new = [out[i].text.split("@")[0] for i in range(len(users))]
+    assert len(set(new)) == len(users) and not set(new) & set(users)
+    assert all(n.isdigit() == u.isdigit() for n, u in zip(new, users) if u not in "_-")
+    secrets = out[100].text.split()[1::2]
+    assert out[100].kinds == ["secret"] * 2 and len({*secrets, "********", "########"}) == 4
+    assert out[101].kinds == ["email"] and re.fullmatch(r"\w+@[a-z]+\.com", out[101].text)
+    assert all(re.fullmatch(r"[a-z0-9]+@h\d+\.com|[a-z0-9]+@[a-z]\d+\.com", out[i].text) for i in range(len(users)))
+
+
+def test_crowded_kinds_grow():
+    maker = pii.Maker(KEY)
+    for kind, normal, spelling in [("phone", "5551234", "555-1234"), ("card", "4111111111111111", "4111 1111 1111 1111"),
+                                   ("family", "smith", "Smith"), ("given f", "анна", "Анна")]:
+        sizes = [len(maker.normal(kind, normal, n)) for n in range(8)]
+        assert sizes[:4] == [sizes[0]] * 4 and sizes[4:] == sorted(set(sizes[4:])) and sizes[4] > sizes[0]
+        long = pii.Maker(KEY, {(kind, normal): 6})
+        assert re.sub(r"[ -]", "", long.spelled(kind, normal, spelling)).casefold() == long.normal(kind, normal)
+    digits = maker.normal("card", "4111111111111111", 6)
+    assert int(digits[-1]) == pii.luhn(digits[:-1])
+
+
 # ---- 7 substring dedup
 
 def brute_repeats(rows, window=13):
