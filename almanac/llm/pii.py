@@ -39,12 +39,12 @@ DETECT = regex.compile(
     rf"|(?<![\d.])(?P<ip>(?:{OCTET}\.){{3}}{OCTET})(?!\.?\d)"
     r"|\b(?P<key>AKIA[0-9A-Z]{16})\b"
     r"|\b(?P<hex>[0-9a-f]{32,64})\b"
-    r"|(?:password|passwd|pwd|secret|api_key)\s*[=:]\s*[\"']?(?P<secret>[^\s\"']{6,})"
+    r"|(?i:password|passwd|pwd|secret|api_key|token)\s*[=:]\s*[\"']?(?P<secret>[^\s\"']{6,})"
     r"|(?<![\d.])(?P<card>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?!\d)"
     r"|(?<![\w.])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4})(?!\d)"
     rf"|\b(?P<title>{'|'.join(sorted((t for ts in TITLES.values() for t in ts.split()), key=len, reverse=True))})\.?\s+(?P<name>\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}})")
 #: A text without any of these holds no entity.
-TRIGGER = regex.compile(rf"[0-9@]|password|passwd|pwd|secret|api_key|\b(?:{'|'.join(t for ts in TITLES.values() for t in ts.split())})\b")
+TRIGGER = regex.compile(rf"[0-9@]|(?i:password|passwd|pwd|secret|api_key|token)|\b(?:{'|'.join(t for ts in TITLES.values() for t in ts.split())})\b")
 SYLLABLES = {"latin": "ba be bo da de di fa ga ka ke la le li lo ma me mi na ne no ra re ri ro sa se so ta te to va vi".split(),
              "cyrillic": "ба бе бо да де ди ка ке ла ле ли ло ма ме ми на не но ра ре ри ро са се со та те то ва ви".split(),
              "greek": "βα βε δα δε δι κα κε λα λε λι λο μα με μι να νε νο ρα ρε ρι ρο σα σε σο τα τε το".split()}

@@ -329,6 +329,14 @@ def test_surrogates_of_short_and_letterless_forms_settle(spark):
     assert all(re.fullmatch(r"[a-z0-9]+@h\d+\.com|[a-z0-9]+@[a-z]\d+\.com", out[i].text) for i in range(len(users)))
 
 
+def test_secrets_behind_keywords_of_any_case():
+    for text in ("Password: hunterxx", "PASSWORD=hunterxx", "API_KEY='abcdefgh'", "token = AbCdEfGh", "Access_Token: AbCdEfGh", "Pwd=hunterxx"):
+        secret = text.strip("'").split()[-1].split("=")[-1].strip("'")
+        assert [(k, text[a:b]) for a, b, k, _ in pii.entities(text)] == [("secret", secret)]
+        assert secret not in pii.replaced(text, pii.Maker(KEY))[0]
+    assert not list(pii.entities("a Token of thanks, a secretary: nobody"))
+
+
 def test_crowded_kinds_grow():
     maker = pii.Maker(KEY)
     for kind, normal, spelling in [("phone", "5551234", "555-1234"), ("card", "4111111111111111", "4111 1111 1111 1111"),
