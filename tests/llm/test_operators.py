@@ -246,6 +246,23 @@ def test_sharding(spark, rows, docs, empty, shards):
     assert sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[2] * 4_000, [4] * 1_900 + [1] * 400, [300] * 8 + [180] * 10 + [2] * 1_900])
+def test_linked_documents_leave_no_slack(spark, sizes):
+    """Groups stay whole where every or nearly every document has a copy, and beside large groups."""
+    group = [g for g, n in enumerate(sizes) for _ in range(n)]
+    docs = spark.createDataFrame([(i, f"text {g}") for i, g in enumerate(group)], "doc_id long, text string")
+    out = sharding.shard(docs, shards=16).collect()
+    count, of, slots = defaultdict(int), defaultdict(set), set()
+    for r in out:
+        count[r.shard] += 1
+        of[group[r.doc_id]].add(r.shard)
+        slots.add((r.shard, r.slot))
+    assert len(out) == len(slots) == len(group) and len(count) == 16 and max(count.values()) - min(count.values()) <= 1
+    cut = sum(len(s) > 1 for s in of.values())
+    print("cut", cut, "of", sum(n > 1 for n in sizes))
+    assert cut <= 32 and all(len(of[g]) == 1 for g, n in enumerate(sizes) if n > 100)
+
+
 # ---- 5 top-k
 
 def test_topk(spark):
