@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, pii, sharding, simhash, substring_dedup, token_counts, topk, toxicity
+from . import bpe, conversations, exact_dedup, html_text, infill, mixing, pii, sharding, simhash, substring_dedup, token_counts, topk, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,37 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_pii")
 def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.surrogates(table(spark, sf, "documents"), key=b"almanac surrogate key")
+
+
+@query("op11_conversations")
+def op11_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repair(*conversations.damaged(table(spark, sf, "conversations")))
+
+
+@query("op12_html_text")
+def op12_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
+
+
+@query("op13_infill", r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok,
+         list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), i, 8))::UBIGINT) AS h
+  FROM documents),
+c AS (
+  SELECT *, len(tok)::BIGINT AS n, least(h[1] % (len(tok) + 1), h[2] % (len(tok) + 1)) AS a, greatest(h[1] % (len(tok) + 1), h[2] % (len(tok) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT doc_id, n, form, text, array_to_string(tok[1:a], '') AS prefix, array_to_string(tok[a + 1:b], '') AS middle,
+         array_to_string(tok[b + 1:n], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""")
+def op13_infill(spark: SparkSession, sf: str) -> DataFrame:
+    out = infill.restore(infill.transform(table(spark, sf, "documents"), seed=42, rate=50, spm=80), texts=False)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
