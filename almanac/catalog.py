@@ -1985,3 +1985,65 @@ def q_train_scope_panel(spark, sf):
     d = f2(spark, sf).withColumn("n", F.when(F.month("date") != 4, F.col("n").cast("double")))
     res = md.train_and_evaluate(d, "revenue", ["n"], "date", "linear", use_cv=False, keys=["o_orderpriority"], fit_scope="train")
     return rounded(res.predictions, {"actual": 2, "predicted": 3})
+
+
+# =============================================================== order engine: working names and text order
+#: Column names that a plan might take for its own, with what they hold.
+_OWN = {"_x": "l_partkey", "_c": "l_suppkey", "_off": "l_tax", "_bk": "l_linestatus", "__block": "l_discount", "__part": "l_returnflag"}
+_OWN_SQL = ", ".join(f"{e} AS {n}" for n, e in _OWN.items())
+_LINE_ORDER = ["ship", "l_orderkey", "l_linenumber", "_x", "_c"]
+_LINES_SQL = f"""SELECT l_orderkey, l_linenumber, {_OWN_SQL}, CAST(l_shipdate AS DATE) AS ship,
+  CASE WHEN l_quantity % 3 <> 0 THEN l_quantity END AS qty FROM lineitem"""
+
+
+def _lines(spark, sf):
+    own = [F.col(e).alias(n) for n, e in _OWN.items()]
+    return S.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *own, F.to_date("l_shipdate").alias("ship"),
+                                                 F.when(F.col("l_quantity") % 3 != 0, F.col("l_quantity")).alias("qty"))
+
+
+@query("q_split_clash_names", f"""
+WITH i AS (SELECT *, row_number() OVER (ORDER BY {', '.join(_LINE_ORDER)}) - 1 AS idx, count(*) OVER () AS n FROM ({_LINES_SQL}))
+SELECT * EXCLUDE (n), CASE WHEN idx < floor(n * (1.0::DOUBLE - 0.2::DOUBLE - 0.1::DOUBLE)) THEN 'train'
+                           WHEN idx < floor(n * (1.0::DOUBLE - 0.2::DOUBLE)) THEN 'validation' ELSE 'test' END AS part FROM i""")
+def q_split_clash_names(spark, sf):
+    return sp.split_labels(_lines(spark, sf), order=_LINE_ORDER)
+
+
+@query("q_ffill_clash_names", f"""
+SELECT * EXCLUDE (qty), COALESCE(qty, last_value(qty IGNORE NULLS) OVER (ORDER BY {', '.join(_LINE_ORDER)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         first_value(qty IGNORE NULLS) OVER (ORDER BY {', '.join(_LINE_ORDER)} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS qty
+FROM ({_LINES_SQL})""")
+def q_ffill_clash_names(spark, sf):
+    return pr.handle_missing_values(_lines(spark, sf), "forward", date_col="ship", order=_LINE_ORDER, columns=["qty"])
+
+
+# a key that is also hot: every row of one ship mode group, cut into ranges with the others
+@query("q_ffill_clash_names_panel", f"""
+SELECT * EXCLUDE (qty), COALESCE(qty, last_value(qty IGNORE NULLS) OVER (PARTITION BY _bk ORDER BY {', '.join(_LINE_ORDER)} ROWS BETWEEN UNBOUNDED PRECEDING
+  AND CURRENT ROW), first_value(qty IGNORE NULLS) OVER (PARTITION BY _bk ORDER BY {', '.join(_LINE_ORDER)} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS qty
+FROM ({_LINES_SQL})""")
+def q_ffill_clash_names_panel(spark, sf):
+    return pr.handle_missing_values(_lines(spark, sf), "forward", date_col="ship", keys=["_bk"], order=_LINE_ORDER, columns=["qty"], block_rows=5_000)
+
+
+_ISO_SQL = f"SELECT *, strftime(ship, '%Y-%m-%d') || 'T' || lpad(l_orderkey::VARCHAR, 9, '0') AS iso FROM ({_LINES_SQL})"
+_ISO_ORDER = ["iso", "l_linenumber", "_x", "_c"]
+
+
+@query("q_lags_iso_text_order", f"""
+SELECT iso, l_linenumber, _x, _c, _off, _bk, lag(qty, 1) OVER w AS qty_lag_1, lag(qty, 7) OVER w AS qty_lag_7, lead(qty, 2) OVER w AS "qty_lag_-2"
+FROM ({_ISO_SQL}) WINDOW w AS (ORDER BY {', '.join(_ISO_ORDER)})""")
+def q_lags_iso_text_order(spark, sf):
+    iso = F.concat(F.date_format("ship", "yyyy-MM-dd"), F.lit("T"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"))
+    out = fe.create_lagged_features(_lines(spark, sf).withColumn("iso", iso), ["qty"], [1, 7, -2], order=_ISO_ORDER)
+    return out.select("iso", "l_linenumber", "_x", "_c", "_off", "_bk", "qty_lag_1", "qty_lag_7", "qty_lag_-2")
+
+
+@query("q_row_index_decimal_order", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY amount NULLS FIRST, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS idx
+FROM (SELECT *, CASE WHEN l_quantity % 3 <> 0 THEN CAST(l_quantity AS DECIMAL(30, 10)) END AS amount FROM lineitem)""")
+def q_row_index_decimal_order(spark, sf):
+    d = S.table(spark, sf, "lineitem").withColumn("amount", F.when(F.col("l_quantity") % 3 != 0, F.col("l_quantity").cast("decimal(30,10)")))
+    out = fe.row_index(d, ["l_returnflag"], ["amount", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], block_rows=3_000)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "idx")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.plans.ordered import IDX, series_plan
+from almanac.plans.staged import fresh
 
 RULES = ("three_way", "train_test", "forecast")
 
@@ -30,8 +31,9 @@ def split_labels(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] =
     plan = series_plan(df, keys, list(order), block_rows)
     had = IDX in df.columns
     d = df if had else plan.index(df)
-    d = plan.with_count(d)
-    n = F.col("__n").cast("double")
+    (count,) = fresh([*d.columns, part_col, index_col], "__n")
+    d = plan.with_count(d, count)
+    n = F.col(count).cast("double")
     one, ts, vs = F.lit(1.0), F.lit(float(test_size)), F.lit(float(validation_size))
     i = F.col(IDX)
     if rule == "three_way":
@@ -39,11 +41,11 @@ def split_labels(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] =
         test_cut = F.floor(n * (one - ts))
         part = F.when(i < val_cut, "train").when(i < test_cut, "validation").otherwise("test")
     elif rule == "train_test":
-        train_n = F.col("__n") - F.floor(n * ts)
+        train_n = F.col(count) - F.floor(n * ts)
         part = F.when(i < train_n, "train").otherwise("test")
     else:
         part = F.when(i < F.floor(n * (one - ts)), "train").otherwise("test")
-    d = d.withColumn(part_col, part).drop("__n")
+    d = d.withColumn(part_col, part).drop(count)
     if had:
         return d
     return d.drop(IDX) if index_col in df.columns else d.withColumnRenamed(IDX, index_col)

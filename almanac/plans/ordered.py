@@ -7,24 +7,24 @@ tie-breakers; together unique within a series).
 The plain plan is ``Window.partitionBy(*keys).orderBy(*order)``. It puts a whole series in
 one task, which is wrong at scale in two cases: no keys at all (one global series ->
 ``Exchange SinglePartition``), and a hot key holding a large share of all rows. A
-:class:`SeriesPlan` therefore looks at the series sizes once (one aggregate, no data
-through the driver) and picks:
+:class:`SeriesPlan` therefore looks at the series sizes once (one aggregate, two numbers
+reach the driver) and picks:
 
 * **plain** — when every series has at most ``block_rows`` rows (a proven bound on what a
   single task sorts; a series without keys at most ``UNKEYED_PLAIN_ROWS``);
-* **blocked** — otherwise. Rows of the large series are cut into buckets of their order
-  value (approximate quantiles, applied with a binary-search ``Bucketizer``; a value that
-  fills a bucket is cut further by the tie-breaker or a hash), a dense
-  row index is built from per-bucket counts plus a running offset, and every
-  operator then runs on blocks of ``block_rows`` consecutive rows:
+* **blocked** — otherwise. Rows are range-partitioned on (keys, order) as they are: dates, numbers, decimals,
+  text, NULLs, and where all of that is equal on a hash of the row, so that a value that fills whole
+  ranges is cut too (only rows that agree in every column stay together). The sorted ranges are written once; a row's position is its
+  place in its range plus the rows of its series in earlier ranges, a table of at most one
+  row a range. Every operator then runs on blocks of ``block_rows`` consecutive rows:
 
   - bounded frames (lag, rolling, difference, centred averages) copy the last/first
     ``H`` rows of a block into the neighbouring block (a halo) and keep only home rows;
   - unbounded frames (forward/backward fill, running sums) aggregate one value per block,
     carry it over the (small) block table with a window and join it back.
 
-The bucket cuts are literals in the plan, so a recomputed stage after an executor loss
-gives the same index.
+As the ranges are a written table, a recomputed stage after an executor loss gives the same index. Working
+columns have names that the input does not own.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ import math
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from almanac.plans.staged import fresh, staged
 
 #: Private name of the row position: no input column is ever taken for it.
 IDX = "__row_position"
@@ -50,20 +50,9 @@ BLOCK_ROWS_CONF = "almanac.blockRows"
 UNB_PRE = Window.unboundedPreceding
 
 
-def order_as_double(df: DataFrame, name: str) -> Column:
-    """A double that sorts like column ``name`` (used only to cut buckets)."""
-    dt = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dt, (T.NumericType, T.BooleanType)):
-        return c.cast("double")
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        # the first six bytes as a number; longer common beginnings share a bucket
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    raise TypeError(f"order column {name!r} of type {dt.simpleString()} cannot be bucketed")
+def _hashed(df: DataFrame) -> list[str]:
+    """Columns that a row's hash can take in (maps and variants have none)."""
+    return [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
 
 
 def _literal(v) -> Column:
@@ -93,15 +82,13 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
                                                           for f in right.schema.fields])
         row = rows[0]
         return left.select("*", *[_literal(row[f.name]).cast(f.dataType).alias(f.name) for f in right.schema.fields])
-    renamed = right
-    for i, k in enumerate(keys):
-        renamed = renamed.withColumnRenamed(k, f"__rk{i}")
+    names = fresh([*left.columns, *right.columns], *[f"__rk{i}" for i in range(len(keys))])
+    renamed = right.withColumnsRenamed(dict(zip(keys, names)))
     cond = None
-    for i, k in enumerate(keys):
-        c = left[k].eqNullSafe(renamed[f"__rk{i}"])
+    for k, name in zip(keys, names):
+        c = left[k].eqNullSafe(renamed[name])
         cond = c if cond is None else cond & c
-    out = left.join(renamed, cond, how)
-    return out.drop(*[f"__rk{i}" for i in range(len(keys))])
+    return left.join(renamed, cond, how).drop(*names)
 
 
 @dataclass
@@ -110,8 +97,7 @@ class SeriesPlan:
     order: list[str]
     block_rows: int
     blocked: bool
-    hot_keys: list[tuple] = field(default_factory=list)
-    hot_rows: int = 0
+    rows: int = 0  # of all series
 
     # ------------------------------------------------------------------ windows
     def window(self) -> Window:
@@ -123,67 +109,35 @@ class SeriesPlan:
         """Add the 0-based position of each row inside its series as ``name`` (bigint).
 
         ``ties='min'`` gives equal order values the smallest position among them (the
-        minimum rank - 1). Buckets are cut on the order value, so equal values never span
-        two buckets and the bucket offset plus the in-bucket rank is the global rank."""
-        rank_fn = F.row_number if ties == "row" else F.rank
+        minimum rank - 1)."""
         if not self.blocked:
+            rank_fn = F.row_number if ties == "row" else F.rank
             return df.withColumn(name, (rank_fn().over(self.window()) - 1).cast("long"))
 
+        part, at, off, n = fresh([*df.columns, name], "__part", "__at", "__off", "__n")
+        rows = self._ranged(df, part, at)
+        counts = rows.groupBy(*self.keys, part).agg(F.count(F.lit(1)).alias(n))
+        before = F.sum(n).over(Window.partitionBy(*self.keys).orderBy(part).rowsBetween(UNB_PRE, -1))
+        # only ranges in which a series goes on: at most one row a range, so it may be broadcast
+        offsets = counts.select(*self.keys, part, before.alias(off)).where(F.col(off).isNotNull())
+        joined = join_on_keys(rows, F.broadcast(offsets), [*self.keys, part], "left")
+        place = F.row_number().over(Window.partitionBy(*self.keys, part).orderBy(at)) - 1 if self.keys else F.col(at)
+        out = joined.withColumn(name, (F.coalesce(F.col(off), F.lit(0)) + place).cast("long")).drop(part, at, off)
+        if ties == "row":
+            return out
+        (first,) = fresh(out.columns, "__first")
+        firsts = out.groupBy(*self.keys, *self.order).agg(F.min(name).alias(first))
+        return join_on_keys(out.drop(name), firsts.withColumnRenamed(first, name), [*self.keys, *self.order], "left")
+
+    def _ranged(self, df: DataFrame, part: str, at: str) -> DataFrame:
+        """Rows in sorted ranges, written: ``part`` numbers the range, ``at`` the row in it."""
         spark = df.sparkSession
-        base = df.withColumn("_x", F.coalesce(order_as_double(df, self.order[0]), F.lit(float("-inf"))))
-        if self.keys:
-            hot_schema = T.StructType([df.schema[k] for k in self.keys])
-            hot_df = spark.createDataFrame(self.hot_keys, hot_schema).withColumn("_hot", F.lit(True))
-            # bounded: at most rows / block_rows hot keys exist
-            base = join_on_keys(base, F.broadcast(hot_df), self.keys, "left")
-            hot_flag = F.col("_hot").isNotNull()
-        else:
-            hot_flag = F.lit(True)
-
-        nb = max(2, math.ceil(2 * self.hot_rows / self.block_rows))
-        probs = [i / nb for i in range(1, nb)]
-        cuts = base.where(hot_flag).approxQuantile("_x", probs, 1.0 / (4 * nb))
-        cuts = [c for c in cuts if math.isfinite(c)]
-        # a value that fills whole buckets gets one of its own, which is split further below
-        heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b and self._exact(df) and abs(a) < 2.0 ** 53})
-        splits = sorted({float("-inf"), *cuts, *(math.nextafter(v, math.inf) for v in heavy), float("inf")})
-        base = Bucketizer(splits=splits, inputCol="_x", outputCol="_bkd", handleInvalid="keep").transform(base)
-        base = base.withColumn("_bk", F.when(hot_flag, F.col("_bkd").cast("int")).otherwise(F.lit(0)))
-        base = base.withColumn("_sub", self._tied(base, hot_flag, heavy, nb, ties)).drop("_x", "_bkd", "_x2")
-
-        # offsets only for the buckets of hot series (every other series is one bucket at 0):
-        # at most (hot series) x (buckets) rows, counted before it is broadcast
-        hot_rows = base.where(F.col("_hot").isNotNull()) if self.keys else base
-        counts = hot_rows.groupBy(*self.keys, "_bk", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-        wo = Window.partitionBy(*self.keys).orderBy("_bk", "_sub").rowsBetween(UNB_PRE, -1)
-        offsets = counts.select(*self.keys, "_bk", "_sub", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-        if ties == "min":  # the parts of a tied value all rank where the value begins
-            first = Window.partitionBy(*self.keys, "_bk")
-            offsets = offsets.withColumn("_off", F.min("_off").over(first))
-        joined = join_on_keys(base.drop("_hot"), offsets, [*self.keys, "_bk", "_sub"], "left")
-        w = Window.partitionBy(*self.keys, "_bk", "_sub").orderBy(*self.order)
-        out = joined.withColumn(name, (F.coalesce(F.col("_off"), F.lit(0)) + rank_fn().over(w) - 1).cast("long"))
-        return out.drop("_bk", "_sub", "_off")
-
-    def _exact(self, df: DataFrame) -> bool:
-        """Whether equal doubles of the order column are equal values."""
-        return isinstance(df.schema[self.order[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.IntegerType, T.LongType,
-                                                              T.ShortType, T.ByteType, T.FloatType, T.DoubleType, T.BooleanType))
-
-    def _tied(self, base: DataFrame, hot_flag: Column, heavy: list[float], nb: int, ties: str) -> Column:
-        """Part of a row inside the bucket of a tied value: a range of the tie-breaker, or where nothing
-        orders the rows further a hash of them; 0 in all other buckets."""
-        if not heavy:
-            return F.lit(0)
-        tied = hot_flag & F.col("_x").isin(heavy)
-        if ties == "min" or len(self.order) == 1:
-            own = [c for c in base.columns if not c.startswith("_")]
-            return F.when(tied, F.pmod(F.xxhash64(*own), F.lit(nb)).cast("int")).otherwise(0)
-        second = F.coalesce(order_as_double(base, self.order[1]), F.lit(float("-inf")))
-        cuts = base.where(tied).select(second.alias("_x2")).approxQuantile("_x2", [i / nb for i in range(1, nb)], 1.0 / (4 * nb))
-        cuts = sorted({c for c in cuts if math.isfinite(c)})
-        part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= second)) if cuts else F.lit(0)
-        return F.when(tied, part).otherwise(0)
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(self.rows / self.block_rows))
+        (tie,) = fresh([*df.columns, part, at], "__tie")
+        by = [*self.keys, *self.order, tie]
+        cut = df.withColumn(tie, F.xxhash64(*_hashed(df))).repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        return staged(cut.select(*df.columns, F.spark_partition_id().alias(part), place.alias(at)), "ordered")
 
     # ------------------------------------------------------------------ bounded frames
     def bounded(
@@ -201,6 +155,7 @@ class SeriesPlan:
             cols = build(self.window())
             return df.select("*", *[c.alias(n) for n, c in cols.items()])
         B = self.block_rows
+        copy, block, home = fresh(df.columns, "__copy", "__block", "__home")
         blk = F.floor(F.col(IDX) / F.lit(B)).cast("long")
         pos = F.col(IDX) - blk * F.lit(B)
         copies = [F.struct(blk.alias("b"), F.lit(True).alias("home"))]
@@ -211,10 +166,9 @@ class SeriesPlan:
                 F.when((pos + (j - 1) * B < F.lit(fwd)) & (blk >= j), F.struct((blk - j).alias("b"), F.lit(False).alias("home")))
             )
         arr = F.filter(F.array(*copies), lambda s: s.isNotNull())
-        ex = df.withColumn("_c", F.explode(arr)).withColumn("_blk", F.col("_c.b")).withColumn("_home", F.col("_c.home"))
-        cols = build(Window.partitionBy(*self.keys, "_blk").orderBy(IDX))
-        out = ex.select("*", *[c.alias(n) for n, c in cols.items()]).where(F.col("_home"))
-        return out.drop("_c", "_blk", "_home")
+        ex = df.withColumn(copy, F.explode(arr)).withColumns({block: F.col(copy)["b"], home: F.col(copy)["home"]}).drop(copy)
+        cols = build(Window.partitionBy(*self.keys, block).orderBy(IDX))
+        return ex.select("*", *[c.alias(n) for n, c in cols.items()]).where(F.col(home)).drop(block, home)
 
     # ------------------------------------------------------------------ unbounded scans
     def scan(self, df: DataFrame, items: Sequence[tuple[str, str, Column]], extra: Sequence[str] = ()) -> DataFrame:
@@ -231,51 +185,31 @@ class SeriesPlan:
             cols = [self._scan_expr(kind, e, w, wr).alias(n) for n, kind, e in items]
             return df.select("*", *cols)
 
-        B = self.block_rows
-        part = [*self.keys, *extra, "_blk"]
-        base = df.withColumn("_blk", F.floor(F.col(IDX) / F.lit(B)).cast("long"))
+        names = [n for n, _, _ in items]
+        block, *more = fresh([*df.columns, *names], "__block", *[f"__{t}_{n}" for t in ("in", "all", "carry") for n in names])
+        inner, whole, carry = (dict(zip(names, more[i * len(names):])) for i in range(3))
+        part = [*self.keys, *extra, block]
+        base = df.withColumn(block, F.floor(F.col(IDX) / F.lit(self.block_rows)).cast("long"))
         w_in = Window.partitionBy(*part).orderBy(IDX)
         w_in_rev = Window.partitionBy(*part).orderBy(F.col(IDX).desc())
-        inner = [self._scan_expr(kind, e, w_in, w_in_rev).alias(f"_in_{n}") for n, kind, e in items]
-        base = base.select("*", *inner)
-
-        summaries = []
-        for n, kind, e in items:
-            if kind == "sum":
-                summaries.append(F.sum(e).alias(f"_bs_{n}"))
-            elif kind == "last":
-                summaries.append(F.max_by(e, F.when(e.isNotNull(), F.col(IDX))).alias(f"_bs_{n}"))
-            elif kind == "first":
-                summaries.append(F.min_by(e, F.when(e.isNotNull(), F.col(IDX))).alias(f"_bs_{n}"))
-            else:
-                raise ValueError(f"unknown scan kind {kind!r}")
-        blocks = df.withColumn("_blk", F.floor(F.col(IDX) / F.lit(B)).cast("long")).groupBy(*part).agg(*summaries)
-        wb = Window.partitionBy(*self.keys, *extra).orderBy("_blk")
-        wb_rev = Window.partitionBy(*self.keys, *extra).orderBy(F.col("_blk").desc())
-        carried = []
-        for n, kind, _ in items:
-            s = F.col(f"_bs_{n}")
-            if kind == "sum":
-                c = F.sum(s).over(wb.rowsBetween(UNB_PRE, -1))
-            elif kind == "last":
-                c = F.last(s, True).over(wb.rowsBetween(UNB_PRE, -1))
-            else:
-                c = F.last(s, True).over(wb_rev.rowsBetween(UNB_PRE, -1))
-            carried.append(c.alias(f"_cr_{n}"))
-        blocks = blocks.select(*part, *carried)
-        out = join_on_keys(base, blocks, part, "left")
+        rows = base.select("*", *[self._scan_expr(kind, e, w_in, w_in_rev).alias(inner[n]) for n, kind, e in items])
+
+        summary = {"sum": lambda e: F.sum(e), "last": lambda e: F.max_by(e, F.when(e.isNotNull(), F.col(IDX))),
+                   "first": lambda e: F.min_by(e, F.when(e.isNotNull(), F.col(IDX)))}
+        blocks = base.groupBy(*part).agg(*[summary[kind](e).alias(whole[n]) for n, kind, e in items])
+        wb = Window.partitionBy(*self.keys, *extra).orderBy(block).rowsBetween(UNB_PRE, -1)
+        wb_rev = Window.partitionBy(*self.keys, *extra).orderBy(F.col(block).desc()).rowsBetween(UNB_PRE, -1)
+        carried = {"sum": lambda c: F.sum(c).over(wb), "last": lambda c: F.last(c, True).over(wb), "first": lambda c: F.last(c, True).over(wb_rev)}
+        blocks = blocks.select(*part, *[carried[kind](F.col(whole[n])).alias(carry[n]) for n, kind, _ in items])
+        out = join_on_keys(rows, blocks, part, "left")
         final = []
         for n, kind, _ in items:
-            i, c = F.col(f"_in_{n}"), F.col(f"_cr_{n}")
+            i, c = F.col(inner[n]), F.col(carry[n])
+            v = F.coalesce(i, c)
             if kind == "sum":
-                v = F.when(i.isNull() & c.isNull(), F.lit(None)).otherwise(
-                    F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0))
-                )
-            else:
-                v = F.coalesce(i, c)
+                v = F.when(v.isNotNull(), F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0)))
             final.append(v.alias(n))
-        drop = ["_blk"] + [f"_in_{n}" for n, _, _ in items] + [f"_cr_{n}" for n, _, _ in items]
-        return out.select("*", *final).drop(*drop)
+        return out.select("*", *final).drop(block, *inner.values(), *carry.values())
 
     @staticmethod
     def _scan_expr(kind: str, e: Column, w: Window, w_rev: Window) -> Column:
@@ -306,25 +240,15 @@ class SeriesPlan:
         return join_on_keys(df, stats, self.keys, "left")
 
 
-def colocate_series(df: DataFrame, keys: Sequence[str], block_rows: int | None = None) -> DataFrame:
-    """Hash-partition rows by series so each task sees whole series — except hot series
-    (more than ``block_rows`` rows), whose rows are spread over one sub-partition per
-    ``block_rows`` rows by a deterministic row hash. Used before per-task partial sums (Gram and pair statistics)
-    so a task holds one partial per series it owns, while no hot series lands in one task.
-    The hot-key list is at most rows / block_rows entries."""
+def colocate_series(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows in ranges of (keys, hash of the row): a task sees few series and a series of any size reaches over as many
+    tasks as its share of the rows asks for. Used before per-task partial sums (Gram and pair statistics), so there are at most
+    as many partials as series and ranges. Nothing is counted first and no key reaches the driver
+    (Spark samples the keys to place the ranges)."""
     keys = list(keys)
     if not keys:
         return df
-    if block_rows is None:
-        block_rows = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(DEFAULT_BLOCK_ROWS)))
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).collect()
-    if not hot:
-        return df.repartition(*keys)
-    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("_salts", T.LongType())])
-    hot_df = df.sparkSession.createDataFrame([(*(r[k] for k in keys), 2 * -(-r["_n"] // block_rows)) for r in hot], schema)
-    flagged = join_on_keys(df, F.broadcast(hot_df), keys, "left")
-    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*df.columns), F.col("_salts"))).otherwise(F.lit(0))
-    return flagged.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salts", "_salt")
+    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, F.xxhash64(*_hashed(df)))
 
 
 @contextmanager
@@ -371,18 +295,16 @@ def series_plan(
     order = [order] if isinstance(order, str) else list(order)
     hint = _HINTS.get().get((tuple(keys), order[0]))
     if hint is not None and block_rows is None:
-        return SeriesPlan(keys, order, hint.block_rows, hint.blocked, list(hint.hot_keys), hint.hot_rows)
+        return SeriesPlan(keys, order, hint.block_rows, hint.blocked, hint.rows)
     if block_rows is None:
         block_rows = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(DEFAULT_BLOCK_ROWS)))
     if not keys:
         n = df.count()
         if n <= min(block_rows, UNKEYED_PLAIN_ROWS):
-            return SeriesPlan(keys, order, block_rows, blocked=False, hot_rows=n)
+            return SeriesPlan(keys, order, block_rows, blocked=False, rows=n)
         # at least as many blocks as shuffle partitions
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return SeriesPlan(keys, order, max(1, min(block_rows, -(-n // tasks))), blocked=True, hot_rows=n)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > block_rows).collect()  # at most rows / block_rows entries
-    hot_keys = [tuple(r[k] for k in keys) for r in hot]
-    hot_rows = sum(r["_n"] for r in hot)
-    return SeriesPlan(keys, order, block_rows, blocked=bool(hot), hot_keys=hot_keys, hot_rows=hot_rows)
+        return SeriesPlan(keys, order, max(1, min(block_rows, -(-n // tasks))), blocked=True, rows=n)
+    (n,) = fresh(keys, "n")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).agg(F.max(n).alias("most"), F.sum(n).alias("all")).first()
+    return SeriesPlan(keys, order, block_rows, blocked=(sizes["most"] or 0) > block_rows, rows=sizes["all"] or 0)
