@@ -45,6 +45,8 @@ IDX = "__row_position"
 DEFAULT_BLOCK_ROWS = 1_000_000
 #: One series without keys is one task in the plain plan, so it is cut much earlier than one of many.
 UNKEYED_PLAIN_ROWS = 10_000
+#: Fewer rows are not worth a range of their own, however small the blocks.
+RANGE_ROWS = 100_000
 BLOCK_ROWS_CONF = "almanac.blockRows"
 
 UNB_PRE = Window.unboundedPreceding
@@ -132,7 +134,7 @@ class SeriesPlan:
     def _ranged(self, df: DataFrame, part: str, at: str) -> DataFrame:
         """Rows in sorted ranges, written: ``part`` numbers the range, ``at`` the row in it."""
         spark = df.sparkSession
-        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(self.rows / self.block_rows))
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(self.rows / max(self.block_rows, RANGE_ROWS)))
         (tie,) = fresh([*df.columns, part, at], "__tie")
         by = [*self.keys, *self.order, tie]
         cut = df.withColumn(tie, F.xxhash64(*_hashed(df))).repartitionByRange(ranges, *by).sortWithinPartitions(*by)
