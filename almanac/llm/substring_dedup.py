@@ -12,11 +12,16 @@ same anchor, at the same place, in every document. Documents are joined on ancho
 
 Adjacent matches join to maximal repeats; their words go. Postings are columns of numbers packed per task
 and bucket. A task first settles what it can by itself: of equal postings only the one with the smallest
-id leaves it, so a passage in any share of the documents is one posting a task; an anchor that a task sees
-with more than ``reaches`` reaches goes to step 2 at once, behind a marker. Texts are shuffled to meet the
-verdicts, never compared in pairs.
+id leaves it, so a passage in any share of the documents is one posting for some 30 MB of text; an anchor that a task sees
+with more than ``reaches`` reaches goes to step 2 at once, behind a marker. A bucket is settled as it
+streams in: equal postings leave with their verdict, and an anchor of more than ``STREAM_REACHES`` reaches becomes a
+marker, so memory holds the different postings of a bucket and not their number. Texts are shuffled to meet
+the verdicts, never compared in pairs.
 
-Hashes are 64 bits, and two independent ones have to agree.
+A word has two 64-bit hashes, the halves of its seeded 128-bit XXH3; runs of words are hashed by mixing halves of doubling
+length, for each of the two apart (no polynomial, whose structure texts could meet). Anchors and windows meet by the first, and
+the second, over all words that count, has to agree too: two different runs are taken for equal with a
+chance of about 2**-128, in one and the same document 2**-64.
 
 Defined results: a null text has no words; a null id neither removes nor loses words; rows that repeat an
 id don't remove each other's words; verdicts belong to an id and its text; texts shorter than the window
@@ -25,66 +30,70 @@ keep all words; an empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-CHUNK = 2 << 20  # bytes of text that a task settles at once
+CHUNK = 2 << 20  # bytes of text that are hashed at once
+POSTINGS = 1 << 20  # postings that a task settles at once
+STREAM_REACHES = 4096
 BLOCK = 1 << 19
+SEED = 0x616C6D616E6163
 U = np.uint64
-ODD = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))  # odd multipliers, for bytes and for words
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
+FORWARD, TAKEN = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)  # odd multipliers
+SPACE = frozenset(b"\x20\x09\x0A\x0B\x0C\x0D")
 POSTED = "bucket int, key binary, reach binary, doc binary, text binary, pos binary"
 VERDICT = "doc_id bigint, th bigint, pos int, whole boolean"
 
 
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as asked for so far."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = int(base), pow(int(base), -1, 1 << 64)
-        self.up = self.down = np.ones(1, U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)])) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-
-BYTES, WORDS = Powers(ODD[0]), Powers(ODD[1])
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
     return x ^ (x >> U(31))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word, from prefix sums of bytes times powers."""
-    raw, at, hashes, starts = np.frombuffer(data, np.uint8), 0, [], []
-    while at < len(raw):
-        end = min(len(raw), at + BLOCK)
-        while end < len(raw) and not SPACE[raw[end]]:
+def word_hashes(text: bytes) -> np.ndarray:
+    """Two hashes of every word, in rows."""
+    at, digests = 0, []
+    while at < len(text):
+        end = min(len(text), at + BLOCK)
+        while end < len(text) and text[end] not in SPACE:
             end += 1  # a word is never cut
-        block = raw[at:end]
-        edge = np.diff(np.concatenate([[True], SPACE[block], [True]]).astype(np.int8))
-        s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = BYTES.upto(len(block) + 1)
-        run = np.concatenate([np.zeros(1, U), np.cumsum((block.astype(U) + U(1)) * up[:len(block)])])
-        hashes.append(mixed((run[e] - run[s]) * down[s] + (e - s).astype(U)))
-        starts.append(s + at)
+        digests.extend(map(xxhash.xxh3_128_digest, text[at:end].split(), repeat(SEED)))
         at = end
-    if not hashes:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+    return np.frombuffer(b"".join(digests), U).reshape(-1, 2)
+
+
+class Spans:
+    """Hashes of runs of words: of 1, 2, 4, ... words by mixing two halves, of any other length by its binary digits."""
+
+    def __init__(self, words: np.ndarray):
+        self.levels = [np.ascontiguousarray(words)]
+
+    def of(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n words from each place."""
+        while len(self.levels) < n.bit_length():
+            half, h = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(mixed(h[:max(0, len(h) - half)] * FORWARD + h[half:]))
+        out = np.full(len(at), U(n))
+        for bit in range(n.bit_length() - 1, -1, -1):
+            if n >> bit & 1:
+                out = mixed(out * TAKEN + self.levels[bit][at])
+                at = at + (1 << bit)
+        return out
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the words from a to b; lengths are few."""
+        out, sizes = np.zeros(len(a), U), b - a
+        for n in np.unique(sizes).tolist():
+            out[sizes == n] = self.of(a[sizes == n], n)
+        return out
 
 
 class Texts:
@@ -92,14 +101,14 @@ class Texts:
 
     def __init__(self, texts: list[bytes], window: int, k: int):
         self.window, self.k, self.wide = window, k, window - k + 1
-        self.words, starts = word_hashes(b"\n".join(texts))
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.doc = np.searchsorted(ends, starts, "right")  # of each word
-        self.first = np.searchsorted(self.doc, np.arange(len(texts)), "left")  # word of each document
-        self.last = np.searchsorted(self.doc, np.arange(len(texts)), "right")
+        hashes = [word_hashes(t) for t in texts]
+        sizes = np.array([len(h) for h in hashes], np.int64)
+        self.last = np.cumsum(sizes)
+        self.first = self.last - sizes  # word of each document
+        self.doc = np.repeat(np.arange(len(texts)), sizes)  # of each word
+        self.words = np.concatenate(hashes) if hashes else np.zeros((0, 2), U)
         n = len(self.words)
-        up, self._down = WORDS.upto(n + 1)
-        self._run = np.concatenate([np.zeros(1, U), np.cumsum(self.words * up[:n])])
+        self._keys, self._checks = Spans(self.words[:, 0]), Spans(self.words[:, 1])
         grams = self.span(np.arange(max(0, n - k + 1)), k)
         whole = np.zeros(n, bool)  # windows that lie in one document
         if n >= window:
@@ -121,14 +130,15 @@ class Texts:
         b = np.minimum(self.anchors + window, self.last[self.doc[self.anchors]])
         self.reach_from, self.reach_to = a, b
         cut = (self.anchors - a).astype(U) * U(64) + (b - self.anchors).astype(U)
-        self.reach = mixed(self._sum(a, b) ^ mixed(cut + U(1)))
-
-    def _sum(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self._run[b] - self._run[a]) * self._down[a]
+        self.reach = mixed(self._checks.between(a, b) ^ mixed(cut + U(1)))
 
     def span(self, at: np.ndarray, n: int) -> np.ndarray:
         """Hash of the n words from each place."""
-        return mixed(self._sum(at, at + n) + U(n))
+        return self._keys.of(at, n)
+
+    def check(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The other hash of the n words from each place."""
+        return self._checks.of(at, n)
 
 
 def _new(*cols: np.ndarray) -> np.ndarray:
@@ -192,20 +202,67 @@ def _outgoing(rows: Rows, buckets: int, reaches: int) -> Iterator[tuple]:
         yield int(bucket[a]), *(c[a:b].tobytes() for c in left.cols)
 
 
-def _met(rows: Rows, steps: bool) -> list[np.ndarray]:
-    """Verdicts of one bucket. steps: whether keys with several reaches need the second step."""
-    mark = rows.cols[4] < 0
-    marked = np.unique(rows.cols[0][mark])
-    r, later, number = rows.take(~mark).settled()
-    ends = np.zeros(len(later), bool)
-    if steps and len(number):
-        first = ~later
-        kinds = np.bincount(number[_new(*r.cols[:2])], minlength=number[-1] + 1)
-        low, high = np.full(number[-1] + 1, np.iinfo(np.int64).max), np.full(number[-1] + 1, np.iinfo(np.int64).min)
-        np.minimum.at(low, number[first], r.cols[2][first])
-        np.maximum.at(high, number[first], r.cols[2][first])
-        ends = first & (((kinds > 1) & (low < high))[number] | np.isin(r.cols[0], marked))
-    return _verdicts(r, later, ends)
+class Bucket:
+    """Postings of one bucket as they come in. ``steps``: whether keys with several reaches need the second step."""
+
+    def __init__(self, steps: bool):
+        self.steps, self.held, self.size, self.limit = steps, [], 0, POSTINGS
+
+    def add(self, rows: Rows) -> list[np.ndarray] | None:
+        """Verdicts, where enough postings came in to settle some."""
+        self.held.append(rows)
+        self.size += len(rows.cols[0])
+        if self.size < self.limit:
+            return None
+        out = self._settle(False)
+        self.limit = max(POSTINGS, 2 * self.size)
+        return out
+
+    def end(self) -> list[np.ndarray]:
+        return self._settle(True)
+
+    def _settle(self, last: bool) -> list[np.ndarray]:
+        rows = Rows(*(np.concatenate([h.cols[i] for h in self.held]) for i in range(len(Rows.COLS)))) if self.held else Rows(*(np.zeros(0, t) for _, t in Rows.COLS))
+        mark = rows.cols[4] < 0
+        marked = np.unique(rows.cols[0][mark])
+        r, later, number = rows.take(~mark).settled()
+        first, ends = ~later, np.zeros(len(later), bool)
+        if self.steps and len(number):
+            keys = number[-1] + 1
+            known = np.isin(r.cols[0], marked)
+            kinds = np.bincount(number[_new(*r.cols[:2])], minlength=keys)
+            if last:
+                low, high = np.full(keys, np.iinfo(np.int64).max), np.full(keys, np.iinfo(np.int64).min)
+                np.minimum.at(low, number[first], r.cols[2][first])
+                np.maximum.at(high, number[first], r.cols[2][first])
+                ends = first & (((kinds > 1) & (low < high))[number] | known)
+            else:
+                many = (kinds > STREAM_REACHES)[number] | known
+                ends = first & many
+                marked = np.unique(np.concatenate([marked, r.cols[0][many]]))
+        if not last:
+            left = r.take(first & ~ends)
+            none = np.zeros(len(marked), np.int64)
+            self.held = [left, Rows(marked, none.astype(U), none, none, np.full(len(marked), -1, np.int32))]
+            self.size = len(left.cols[0]) + len(marked)
+        return _verdicts(r, later, ends)
+
+
+def _posted(found: Iterator[Rows], buckets: int, reaches: int) -> Iterator[pa.RecordBatch]:
+    """Postings of a task, settled together as far as they fit."""
+    held, size = [], 0
+
+    def batches() -> Iterator[pa.RecordBatch]:
+        if size and (out := list(_outgoing(Rows(*(np.concatenate([h.cols[i] for h in held]) for i in range(len(Rows.COLS)))), buckets, reaches))):
+            yield _batch(out, P_SCHEMA)
+
+    for rows in found:
+        held.append(rows)
+        size += len(rows.cols[0])
+        if size >= POSTINGS:
+            yield from batches()
+            held, size = [], 0
+    yield from batches()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -236,26 +293,22 @@ def _meeting(posted: DataFrame, buckets: int, steps: bool) -> DataFrame:
     """Bring the postings of a bucket together and give the verdicts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-
-        def verdicts(out: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], schema=V_SCHEMA)
+        held, at = Bucket(steps), None
 
-        def settle() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = Rows(*(np.concatenate([np.frombuffer(h[i], t) for h in held]) for i, (_, t) in enumerate(Rows.COLS)))
-                yield verdicts(_met(rows, steps))
+        def verdicts(out: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+            if out is not None and len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], schema=V_SCHEMA)
 
         for batch in batches:
             for bucket, *cols in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket < 0:
-                    yield verdicts([*(np.frombuffer(c, t) for c, (_, t) in zip(cols[2:], Rows.COLS[2:])), np.frombuffer(cols[0], bool)])
+                    yield from verdicts([*(np.frombuffer(c, t) for c, (_, t) in zip(cols[2:], Rows.COLS[2:])), np.frombuffer(cols[0], bool)])
                     continue
                 if bucket != at:
-                    yield from settle()
-                    held, at = [], bucket
-                held.append(cols)
-        yield from settle()
+                    yield from verdicts(held.end())
+                    held, at = Bucket(steps), bucket
+                yield from verdicts(held.add(Rows(*(np.frombuffer(c, t) for c, (_, t) in zip(cols, Rows.COLS)))))
+        yield from verdicts(held.end())
 
     # a task's own verdicts (bucket -1) may go anywhere
     to = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
@@ -281,30 +334,30 @@ def remove_repeats(docs: DataFrame, window: int = 13, k: int = 5, bucket_rows: i
     buckets = max(8, int(size / 6 * 2 / (window - k + 2) / bucket_rows) + 1)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunks(batches):
-            t = Texts([r[1] for r in rows], window, k)
-            ids, hashes = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-            d = t.doc[t.anchors]
-            out = list(_outgoing(Rows(t.grams[t.anchors], t.reach, ids[d], hashes[d], (t.anchors - t.first[d]).astype(np.int32)), buckets, reaches))
-            if out:
-                yield _batch(out, P_SCHEMA)
+        def found() -> Iterator[Rows]:
+            for rows in _chunks(batches):
+                t = Texts([r[1] for r in rows], window, k)
+                ids, hashes = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+                d = t.doc[t.anchors]
+                yield Rows(t.grams[t.anchors], t.reach, ids[d], hashes[d], (t.anchors - t.first[d]).astype(np.int32))
+        yield from _posted(found(), buckets, reaches)
 
     known = keyed.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     v = stored(_meeting(known.mapInArrow(anchors, POSTED), buckets, True), "repeats-anchors")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunks(batches):
-            t = Texts([r[1] for r in rows], window, k)
-            ids, hashes = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-            at = np.concatenate([_places(r[3]) + t.first[i] for i, r in enumerate(rows)])
-            # every occurrence of the same anchor and reach in the document stands behind its first one
-            s = np.unique(np.concatenate([x[(x >= 0)] for x in (at - j for j in range(t.wide))]))
-            s = s[t.whole[s]]
-            s = np.unique(np.concatenate([s[(t.grams[s + j] == t.least[s]) & np.isin(s + j, at)] for j in range(t.wide)]))
-            d = t.doc[s]
-            out = list(_outgoing(Rows(t.span(s, window), t.least[s], ids[d], hashes[d], (s - t.first[d]).astype(np.int32)), buckets, 0))
-            if out:
-                yield _batch(out, P_SCHEMA)
+        def found() -> Iterator[Rows]:
+            for rows in _chunks(batches):
+                t = Texts([r[1] for r in rows], window, k)
+                ids, hashes = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+                at = np.concatenate([_places(r[3]) + t.first[i] for i, r in enumerate(rows)])
+                # every occurrence of the same anchor and reach in the document stands behind its first one
+                s = np.unique(np.concatenate([x[(x >= 0)] for x in (at - j for j in range(t.wide))]))
+                s = s[t.whole[s]]
+                s = np.unique(np.concatenate([s[(t.grams[s + j] == t.least[s]) & np.isin(s + j, at)] for j in range(t.wide)]))
+                d = t.doc[s]
+                yield Rows(t.span(s, window), t.check(s, window), ids[d], hashes[d], (s - t.first[d]).astype(np.int32))
+        yield from _posted(found(), buckets, 0)
 
     v = v.withColumn("kind", F.when(F.col("whole"), "whole").otherwise("ends"))
     ends = _gathered(v.filter("kind = 'ends'"), "ends")
