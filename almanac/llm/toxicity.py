@@ -1,20 +1,25 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Words map to classes (insult, threat, target, negation, reporting). Three small transducers read the
-classes of a clause: one remembers a negation for a few words, one a reporting verb for the rest of the
-clause, one whether somebody is addressed. Their composition is one table; for every insult or threat it
-puts out the clause pattern (asserted, negated or reported), and at the clause's end whether it was aimed
+Words and marks map to classes (insult, threat, target, negation, reporting verb, kinds of marks). Two phrase transducers read
+insults and threats of several words ("waste of space", "I will kill"): tries over words that put out the class and
+weight of the longest phrase. Three more read the classes: one remembers a negation for a few words; one follows reported speech,
+from a reporting verb to the clause's end, over a colon, a comma right behind the verb or an
+opening quotation mark to the end of the sentence or quotation, and from a closing mark back where a reporting
+verb follows it ("...", she said); one whether somebody is addressed. Their composition is one table; for every insult
+or threat it puts out the clause pattern (asserted, negated or reported), and at the clause's end whether it was aimed
 at a target. A document's evidence is, per pattern, the summed weight of its matches; a logistic model
 turns that into a score. So a word counts by the clause that it stands in.
 
 The insult lexicon and all weights are learned from labelled rows: stems (beginnings of words) that stand in
 many toxic and few other texts are taken greedily until each toxic text is explained, in addition to a fixed
 list of general insults, threats, targets, negations and reporting verbs. The fit uses at most ``max_rows`` labelled rows
-(those with the smallest hashes of their ids), a documented bound; scoring covers every whole text.
+(those with the smallest hashes of their ids) and of their stems the ``candidates`` that stand in most toxic texts, two documented
+bounds; scoring covers every whole text.
 
 Defined results: a null or empty text has no clause and gets the model's base score; without labelled
 rows of both classes the default weights are used; null ids are never training rows; of several labels of
-a document the largest counts; an empty table gives an empty result. Extra columns are ignored."""
+a document the largest counts; repeated rows get equal scores; a quotation that its line does not close is none; an empty table gives an
+empty result. Extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -38,37 +43,75 @@ TARGETS = "you your you're yourself they them their he him she her these those p
 NEGATIONS = "not no never isn't aren't wasn't don't won't nobody nicht kein keine nie pas jamais nunca ningún".split()
 REPORTS = "said says called calls wrote claimed reported quoted alleged told sagte schrieb dit dijo".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Phrases by rule: each word of the first list, then "of", then each of the second; each beginning with a verb of harm.
+HEADS, FILTH = "piece waste sack bunch load".split(), "trash garbage filth crap shit space air nothing idiots morons losers".split()
+RESOLVES = ("i will,i'll,i'm going to,i am going to,i'm gonna,i want to,we will,we'll,we're going to,we are going to,ich werde,je vais,voy a,"
+            "you should,you will,you'll,someone should").split(",")
+WARNINGS = ("watch your back", "know where you live", "you are dead", "you're dead", "hope you die", "drop dead", "kill yourself")
+PHRASE_WEIGHT = 2.0
+REPORT_WORDS = frozenset(REPORTS)
+
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, COMMA, COLON, STOP, OPEN, OPEN_REPORTED, CLOSE = range(12)
+MARKS = range(COMMA, CLOSE + 1)
 REACH = 3  # words that a negation reaches
-BOUNDARY = re.compile(r"[.,;:!?\n\r()\[\]{}\"“”„«»]+")
+NEAR = 2  # words after a reporting verb over which it reaches a comma
+AFTER = 4  # words after a quotation among which a verb reports it
+QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "”": "”"}
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W\d_]+)*")
+READ = re.compile(rf"({TOKEN.pattern})|([.;!?()\[\]{{}}]+)|(,)|(:)|([\"“”„«»])")
+FOLLOWING = re.compile(rf"[\s,]*({TOKEN.pattern})")
+LINE = re.compile(r"[\n\r]")
 PATTERNS = [(kind, mood, aimed) for kind in ("insult", "threat") for mood in ("asserted", "negated", "reported") for aimed in (0, 1)]
 DEFAULT = {("insult", "asserted"): 4.0, ("insult", "negated"): 0.5, ("insult", "reported"): 1.0,
            ("threat", "asserted"): 1.0, ("threat", "negated"): 0.0, ("threat", "reported"): 0.2}
 
+# States of reported speech: none, a verb earlier in the sentence, carried to the sentence's end, in a reported quotation, in
+# another quotation (without, with a verb in its clause), then a verb 0, 1, ... NEAR and more words ago.
+PLAIN, EARLIER, CARRIED, QUOTED, QUOTING, QUOTING_REPORT, VERB = range(7)
+REPORT_STATES = VERB + NEAR + 2
+REPORTING = frozenset((CARRIED, QUOTED, QUOTING_REPORT, *range(VERB, REPORT_STATES)))
+
 
 def negation(state: int, cls: int) -> int:
-    return REACH if cls == NEGATION else max(0, state - 1)
+    return 0 if cls in MARKS else REACH if cls == NEGATION else max(0, state - 1)
 
 
 def reported(state: int, cls: int) -> int:
-    return 1 if cls == REPORT else state
+    if state == QUOTED:
+        return PLAIN if cls == CLOSE else QUOTED
+    if state in (QUOTING, QUOTING_REPORT):
+        return PLAIN if cls == CLOSE else QUOTING_REPORT if cls == REPORT else QUOTING if cls in MARKS else state
+    if cls == REPORT:
+        return CARRIED if state == CARRIED else VERB
+    if cls == STOP:
+        return PLAIN
+    if cls == OPEN_REPORTED or cls == OPEN and state != PLAIN:
+        return QUOTED
+    if cls == OPEN:
+        return QUOTING
+    if state >= VERB:
+        if cls == COLON:
+            return CARRIED
+        if cls == COMMA:
+            return CARRIED if state <= VERB + NEAR else EARLIER
+        return min(state + 1, REPORT_STATES - 1)
+    return state
 
 
 def target(state: int, cls: int) -> int:
-    return 1 if cls == TARGET else state
+    return 0 if cls in MARKS else 1 if cls == TARGET else state
 
 
 def compose() -> list[list[tuple[int, int | None]]]:
     """The product of the three machines: table[state][class] = (next state, mood put out). A state is
     (negation, reported, target) as a number; its lowest bit is the target's."""
     table = []
-    for state in range((REACH + 1) * 4):
-        n, r, t = state >> 2, state >> 1 & 1, state & 1
+    for state in range((REACH + 1) * REPORT_STATES * 2):
+        n, r, t = state // 2 // REPORT_STATES, state // 2 % REPORT_STATES, state & 1
         row = []
-        for cls in range(6):
-            to = negation(n, cls) << 2 | reported(r, cls) << 1 | target(t, cls)
-            mood = (2 if r else 1 if n else 0) if cls in (INSULT, THREAT) else None
+        for cls in range(CLOSE + 1):
+            to = (negation(n, cls) * REPORT_STATES + reported(r, cls)) * 2 + target(t, cls)
+            mood = (2 if r in REPORTING else 1 if n else 0) if cls in (INSULT, THREAT) else None
             row.append((to, mood))
         table.append(row)
     return table
@@ -77,6 +120,24 @@ def compose() -> list[list[tuple[int, int | None]]]:
 TABLE = compose()
 
 
+def phrases() -> dict[str, dict]:
+    """The phrase transducers as one trie over words; key None holds what a phrase puts out."""
+    trie: dict = {}
+    found = [(f"{head} of {end}", INSULT) for head in HEADS for end in FILTH]
+    found += [(f"{start} {verb}", THREAT) for start in RESOLVES for verb in THREATS] + [(w, THREAT) for w in WARNINGS]
+    for phrase, cls in found:
+        at = trie
+        for word in phrase.split():
+            at = at.setdefault(word, {})
+        at[None] = (cls, PHRASE_WEIGHT)
+    return trie
+
+
+PHRASES = phrases()
+#: Phrases without a word of the lexicon at their end have to be looked for by themselves.
+TRIGGERS = [f"of {end}" for end in FILTH] + list(WARNINGS)
+
+
 @dataclass
 class Model:
     """lexicon: class and weight of each insult or threat; stems: weight of learned insult stems; weights:
@@ -100,36 +161,91 @@ class Model:
 
     def matcher(self):
         found = ahocorasick.Automaton()
+        for w in TRIGGERS:
+            found.add_word(w, (len(w), False))
         for w in [*self.lexicon, *self.stems]:
             found.add_word(w, (len(w), w in self.stems))
         found.make_automaton()
         return found
 
-
-def clause_evidence(clause: str, model: Model, out: list[float]) -> None:
-    state, puts = 0, []
-    for word in TOKEN.findall(clause):
-        cls, weight = model.read(word)
-        state, mood = TABLE[state][cls]
-        if mood is not None:
-            puts.append((cls, mood, weight))
-    for cls, mood, weight in puts:
-        out[(cls - INSULT) * 6 + mood * 2 + (state & 1)] += weight
+    def classes_of(self, words: list[str]) -> Iterator[tuple[int, float]]:
+        """Classes and weights of a clause's words, the longest phrase at a time. A phrase's targets count as well."""
+        i = 0
+        while i < len(words):
+            at, end, put = PHRASES, i, None
+            while end < len(words) and (at := at.get(words[end])) is not None:
+                end += 1
+                if None in at:
+                    put, upto = at[None], end
+            if put is None:
+                yield self.read(words[i])
+                i += 1
+            else:
+                for word in words[i:upto]:
+                    if self.classes.get(word) == TARGET:
+                        yield TARGET, 0.0
+                yield put
+                i = upto
+
+
+def _quotation(text: str, start: int, mark: str, end: int) -> tuple[int, int]:
+    """Where the quotation opened at ``start`` closes (-1: not in its line), and its class by what follows it."""
+    at = text.find(QUOTES[mark], start + 1, end)
+    if at < 0:
+        return -1, COMMA
+    pos = at + 1
+    for _ in range(AFTER):
+        m = FOLLOWING.match(text, pos, end)
+        if m is None:
+            break
+        if m[1] in REPORT_WORDS:
+            return at, OPEN_REPORTED
+        pos = m.end()
+    return at, OPEN
+
+
+def line_evidence(text: str, start: int, end: int, model: Model, out: list[float]) -> None:
+    """Adds the evidence of a line's clauses."""
+    state, closing, words = 0, -1, []
+
+    def clause(state: int) -> int:
+        puts = []
+        for cls, weight in model.classes_of(words):
+            state, mood = TABLE[state][cls]
+            if mood is not None:
+                puts.append((cls, mood, weight))
+        for cls, mood, weight in puts:
+            out[(cls - INSULT) * 6 + mood * 2 + (state & 1)] += weight
+        words.clear()
+        return state
+
+    for m in READ.finditer(text, start, end):
+        if m[1]:
+            words.append(m[1])
+            continue
+        state = clause(state)
+        if m[5] is None:
+            cls = STOP if m[2] else COMMA if m[3] else COLON
+        elif m.start() == closing:
+            cls, closing = CLOSE, -1
+        elif closing >= 0 or m[5] not in QUOTES:
+            cls = COMMA
+        else:
+            closing, cls = _quotation(text, m.start(), m[5], end)
+        state = TABLE[state][cls][0]
+    clause(state)
 
 
 def evidence(text: str, model: Model, matcher) -> list[float]:
-    """Summed weight per pattern. The matcher skips the clauses without any lexicon word."""
+    """Summed weight per pattern. The matcher skips the lines without any lexicon word."""
     out, text, done = [0.0] * len(PATTERNS), text.lower(), -1
     for last, (n, stem) in matcher.iter(text):
         start = last - n + 1
         if start < done or (start and text[start - 1].isalnum()) or (not stem and last + 1 < len(text) and text[last + 1].isalnum()):
             continue
-        end = m.start() if (m := BOUNDARY.search(text, last + 1)) else len(text)
-        at = max(done, start)
-        while at > max(done, 0) and not BOUNDARY.match(text[at - 1]):
-            at -= 1
-        clause_evidence(text[max(at, 0):end], model, out)
-        done = end
+        begin = max(text.rfind("\n", 0, start), text.rfind("\r", 0, start)) + 1
+        done = m.start() if (m := LINE.search(text, last + 1)) else len(text)
+        line_evidence(text, begin, done, model, out)
     return [math.log1p(x) for x in out]
 
 
@@ -184,8 +300,8 @@ def _learn_stems(sample: DataFrame, support: int, candidates: int) -> list[tuple
            .orderBy(F.desc("bad"), F.desc(F.length("stem")), "stem").limit(candidates))
     top = {r["stem"]: (r["bad"], r["n"] - r["bad"]) for r in per.collect()}  # at most ``candidates`` stems
     # of nested stems in the same texts the longest says most
-    top = {s: c for s, c in top.items() if not any(top.get(t) == c for t in top if len(t) > len(s) and t.startswith(s))} \
-        if len(top) < 3000 else top
+    nested = {t[:k] for t, c in top.items() for k in range(4, len(t)) if top.get(t[:k]) == c}
+    top = {s: c for s, c in top.items() if s not in nested}
     if not top:
         return []
 
