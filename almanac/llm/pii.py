@@ -13,6 +13,10 @@ syllable) a try, so short formats and crowded kinds settle too; keys, hex tokens
 for billions and keep their length. A form without letters and digits gets symbols (a secret) or letters (a
 part of an address). Documents learn of the few second tries by a join.
 
+What a document names once is looked for in the whole document again (an Aho-Corasick pass over its entities): words of a
+name wherever they stand as words with a capital, user names that look like handles or hold such a word, and secrets, keys and
+tokens. They get the surrogate of the entity, so no mention of it is left.
+
 Defined results: a null text stays null without entities; texts without entities are unchanged; repeated
 rows get equal results; a null id is kept (its second tries are looked up by text as well); an empty table
 gives an empty result. Extra columns are ignored."""
@@ -20,9 +24,11 @@ gives an empty result. Extra columns are ignored."""
 from __future__ import annotations
 
 import hashlib
+import heapq
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,18 +39,20 @@ from .common import stored
 ROWS = 256
 TITLES = {"m": "Mr Herr Señor Sr Monsieur господин κύριος", "f": "Mrs Ms Miss Frau Señora Sra Madame Mme госпожа κυρία", "u": "Dr Prof"}
 GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts.split()}
+END_MARKS = ".,;:!?)"
+HANDLE = regex.compile(r"[0-9._]")  # user names that are no plain words
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-DETECT = regex.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    rf"|(?<![\d.])(?P<ip>(?:{OCTET}\.){{3}}{OCTET})(?!\.?\d)"
-    r"|\b(?P<key>AKIA[0-9A-Z]{16})\b"
-    r"|\b(?P<hex>[0-9a-f]{32,64})\b"
-    r"|(?i:password|passwd|pwd|secret|api_key|token)\s*[=:]\s*[\"']?(?P<secret>[^\s\"']{6,})"
-    r"|(?<![\d.])(?P<card>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?!\d)"
-    r"|(?<![\w.])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4})(?!\d)"
-    rf"|\b(?P<title>{'|'.join(sorted((t for ts in TITLES.values() for t in ts.split()), key=len, reverse=True))})\.?\s+(?P<name>\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}})")
-#: A text without any of these holds no entity.
-TRIGGER = regex.compile(rf"[0-9@]|(?i:password|passwd|pwd|secret|api_key|token)|\b(?:{'|'.join(t for ts in TITLES.values() for t in ts.split())})\b")
+NAME = rf"\b(?P<title>{'|'.join(sorted((t for ts in TITLES.values() for t in ts.split()), key=len, reverse=True))})\.?\s+(?P<name>\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}})"
+#: Detectors in order of precedence: the pattern, and one without which a text holds none.
+DETECTORS = [(kind, regex.compile(pattern), regex.compile(needs)) for kind, pattern, needs in (
+    ("email", r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", "@"),
+    ("ip", rf"(?<![\d.])(?P<ip>(?:{OCTET}\.){{3}}{OCTET})(?!\.?\d)", r"\d\.\d"),
+    ("key", r"\b(?P<key>AKIA[0-9A-Z]{16})\b", "AKIA"),
+    ("hex", r"\b(?P<hex>[0-9a-f]{32,64})\b", "[0-9a-f]{32}"),
+    ("secret", r"(?i:password|passwd|pwd|secret|api_key|token)\s*[=:]\s*[\"']?(?P<secret>[^\s\"']{6,})", "[=:]"),
+    ("card", r"(?<![\d.])(?P<card>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?!\d)", r"\d{4}[ -]?\d{4}"),
+    ("phone", r"(?<![\w.])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4})(?!\d)", r"\d[) .-][ .-]?\d{3}"),
+    ("name", NAME, rf"\b(?:{'|'.join(t for ts in TITLES.values() for t in ts.split())})\b"))]
 SYLLABLES = {"latin": "ba be bo da de di fa ga ka ke la le li lo ma me mi na ne no ra re ri ro sa se so ta te to va vi".split(),
              "cyrillic": "ба бе бо да де ди ка ке ла ле ли ло ма ме ми на не но ра ре ри ро са се со та те то ва ви".split(),
              "greek": "βα βε δα δε δι κα κε λα λε λι λο μα με μι να νε νο ρα ρε ρι ρο σα σε σο τα τε το".split()}
@@ -143,18 +151,76 @@ class Maker:
             return "".join([next(digits) if c.isdigit() else c for c in spelling] + [*digits])
         if kind.startswith(("given", "family")):
             return new.upper() if spelling.isupper() and len(spelling) > 1 else new[:1].upper() + new[1:]
+        if kind == "secret" and len(spelling) < len(normal) == len(new):
+            return new[:len(spelling)]
         if kind in ("user", "host") and len(new) == len(spelling):
             return "".join(n.upper() if c.isupper() else n for n, c in zip(new, spelling))
         return new
 
 
-def entities(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str, str]]]]:
-    """(start, end, kind, parts) of every entity."""
-    if not TRIGGER.search(text):
+def found(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str, str]]]]:
+    """(start, end, kind, parts) of every entity that its form shows, from left to right; where several detectors match at
+    one place the first of them counts."""
+    ahead = [(m.start(), i, m) for i, (_, pattern, needs) in enumerate(DETECTORS) if needs.search(text) and (m := pattern.search(text))]
+    heapq.heapify(ahead)
+    at = 0
+    while ahead:
+        start, i, m = heapq.heappop(ahead)
+        kind, pattern, _ = DETECTORS[i]
+        if start >= at:
+            yield *m.span(kind), kind, parts(kind, m[kind], m["title"] if kind == "name" else None)
+            at = m.end()
+        if m := pattern.search(text, max(at, start)):
+            heapq.heappush(ahead, (m.start(), i, m))
+
+
+def lowered(text: str) -> str:
+    """Lower case, character by character, so places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def mentions(text: str, seen: list[tuple[int, int, str, list[tuple[str, str, str]]]]) -> Iterator[tuple[int, int, str, list[tuple[str, str, str]]]]:
+    """Further mentions of the entities in ``seen``, outside of them."""
+    wanted: dict[str, tuple[str, str, str]] = {}
+    names = {part[1] for _, _, kind, its in seen if kind == "name" for part in its}
+    for _, _, kind, its in seen:
+        for part, normal, spelling in its:
+            if kind == "name" or kind in ("secret", "key", "hex"):
+                wanted.setdefault(lowered(spelling), (kind, part, normal))
+            if kind == "secret" and len(bare := spelling.rstrip(END_MARKS)) >= 6:  # a sentence's end may have stood behind it
+                wanted.setdefault(lowered(bare), (kind, part, normal))
+            elif part == "user" and (HANDLE.search(normal) or normal in names):
+                wanted.setdefault(lowered(spelling), (kind, part, normal))
+    if not wanted:
         return
-    for m in DETECT.finditer(text):
-        kind = m.lastgroup
-        yield *m.span(kind), kind, parts(kind, m[kind], m["title"])
+    words = ahocorasick.Automaton()
+    for w in wanted:
+        words.add_word(w, w)
+    words.make_automaton()
+    taken, at, done = iter([*((s, e) for s, e, *_ in seen), (len(text) + 1, len(text) + 1)]), (0, 0), 0
+    hits = sorted((last - len(w) + 1, -last - 1, w) for last, w in words.iter(lowered(text)))
+    for start, end, w in hits:
+        end = -end
+        while at[1] <= start:
+            at = next(taken)
+        kind, part, normal = wanted[w]
+        whole = not (start and _joins(text[start - 1])) and not (end < len(text) and _joins(text[end]))
+        spelling = text[start:end]
+        if start < done or end > at[0] or not whole or (kind == "name" and not spelling[0].isupper()) or (kind in ("secret", "key", "hex") and spelling not in (normal, normal.rstrip(END_MARKS))):
+            continue
+        yield start, end, kind, [(part, normal, spelling)]
+        done = end
+
+
+def _joins(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def entities(text: str) -> list[tuple[int, int, str, list[tuple[str, str, str]]]]:
+    """(start, end, kind, parts) of every entity and every further mention of one, in order."""
+    seen = list(found(text))
+    return sorted([*seen, *mentions(text, seen)], key=lambda e: e[0]) if seen else seen
 
 
 def replaced(text: str, maker: Maker) -> tuple[str, list[str]]:
@@ -162,7 +228,7 @@ def replaced(text: str, maker: Maker) -> tuple[str, list[str]]:
     for start, end, kind, its in entities(text):
         out.append(text[at:start])
         new = [maker.spelled(*p) for p in its]
-        if kind == "email":
+        if kind == "email" and len(new) == 2:
             out.append(f"{new[0]}@{new[1]}.{text[start:end].rpartition('.')[2]}")
         else:
             out.append(" ".join(new))

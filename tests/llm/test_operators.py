@@ -1,6 +1,7 @@
 """Every operator against brute force on small tables, edge cases included."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -401,9 +402,9 @@ def test_substring_dedup_low_entropy(spark):
 
 def test_word_hashes_over_blocks(monkeypatch):
     text = (" ".join(f"w{i % 97}" for i in range(3000)) + "x" * 5000 + " end").encode()
-    whole = substring_dedup.word_hashes(text)[0]
+    whole = substring_dedup.word_hashes(text)
     monkeypatch.setattr(substring_dedup, "BLOCK", 1000)
-    assert (substring_dedup.word_hashes(text)[0] == whole).all() and len(whole) == len(text.split())
+    assert (substring_dedup.word_hashes(text) == whole).all() and len(whole) == len(text.split())
 
 
 # ---- 8 toxicity
@@ -568,3 +569,152 @@ def test_components_of_chains_with_ids_in_any_order(spark, seed):
     r.shuffle(links)
     got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(got) == len(want) and {x.node: x.component for x in got} == want
+
+
+# ---- coreference and quotations
+
+def test_no_original_of_a_documents_entities_is_left():
+    maker = pii.Maker(KEY)
+    text = ("Mr John Smith met Anna. Smith said hello. John Smith left; JOHN's blacksmith stayed. Write john.smith@example.com or ask john.smith, "
+            "password: hunter22! Use hunter22 again, not hunter221. Ms Will-Marie Rose will have a rose. ROSE!")
+    out, kinds = pii.replaced(text, maker)
+    for gone in ("John", "Smith", "JOHN", "john.smith", "hunter22!", "hunter22 again", "Rose", "ROSE", "Will-Marie"):
+        assert gone not in out, (gone, out)
+    for kept in ("Anna", "blacksmith", "hunter221", " will have a rose", "said hello"):
+        assert kept in out, (kept, out)
+    john, smith = maker.spelled("given m", "john", "John"), maker.spelled("family", "smith", "Smith")
+    assert out.startswith(f"Mr {john} {smith} met Anna. {smith} said hello. {john} {smith} left; {john.upper()}'s blacksmith")
+    assert kinds.count("name") == 7 and kinds.count("secret") == 2
+    assert pii.replaced("info@example.com has info", maker)[0].endswith(" has info")
+
+
+def test_detectors_agree_with_one_alternation():
+    import regex
+    one = regex.compile("|".join(f"(?:{p.pattern})" for _, p, _ in pii.DETECTORS))
+    r = random.Random(8)
+    bits = ["mail a.b@c.de", "10.0.0.1", "AKIA" + "A1" * 8, "deadbeef" * 4, "password: x1y2z3@q.de", "4111 1111 1111 1111", "+49 30 1234 5678", "Mr Li Wu",
+            "token=4111111111111111", "Dr Ann Bo-Lee", "030 1234 5678", "1.2.3.4.5", ".", " ", ", ", "x", "12", "(030) 123 4567", "-", "@", "Frau Ä Ö"]
+    for _ in range(3_000):
+        text = "".join(r.choice(bits) + r.choice(["", " ", " "]) for _ in range(r.randrange(1, 7)))
+        want = [(*m.span(m.lastgroup), m.lastgroup) for m in one.finditer(text)]
+        assert [e[:3] for e in pii.found(text)] == want, text
+
+
+def plain_mentions(text, seen):
+    """Entities of a document by trying every place of every wanted spelling."""
+    names = {p[1] for _, _, k, its in seen if k == "name" for p in its}
+    wanted, bare = {}, lambda x: x.rstrip(".,;:!?)")
+    for _, _, kind, its in seen:
+        for part, normal, spelling in its:
+            if kind in ("name", "secret", "key", "hex") or part == "user" and (any(c.isdigit() or c in "._" for c in normal) or normal in names):
+                wanted.setdefault(spelling.lower(), (kind, part, normal))
+            if kind == "secret" and len(bare(spelling)) >= 6:
+                wanted.setdefault(bare(spelling).lower(), (kind, part, normal))
+    out, at = [], 0
+    while at < len(text):
+        best = None
+        for w, (kind, part, normal) in wanted.items():
+            s = text[at:at + len(w)]
+            alone = not re.match(r"\w", text[at - 1:at]) and not re.match(r"\w", text[at + len(w):at + len(w) + 1])
+            if s.lower() == w and alone and not any(a < at + len(w) and at < b for a, b, *_ in seen) and (best is None or len(s) > len(best[3])) \
+                    and (kind != "name" or s[0].isupper()) and (kind not in ("secret", "key", "hex") or s in (normal, bare(normal))):
+                best = (kind, part, normal, s)
+        if best:
+            out.append((at, at + len(best[3]), best[0], [best[1:]]))
+            at += len(best[3])
+        else:
+            at += 1
+    return out
+
+
+def test_mentions_equal_a_plain_search():
+    r = random.Random(12)
+    words = ["Mr Ann Lee", "Ann", "Lee", "ann", "ANN LEE", "Annlee", "Lee-Ann", "secret=abc123", "token: abc123.", "abc123", "abc1234", "x.y@z.de", "x.y", "X.Y", "lee@z.de", "LEE", "Frau Lee Ann Wu", "Wu"]
+    for _ in range(2_000):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(1, 9)))
+        seen = list(pii.found(text))
+        assert list(pii.mentions(text, seen)) == plain_mentions(text, seen), text
+
+
+def hits(text):
+    model = toxicity.Model({"idiot": (toxicity.INSULT, 1.0), "kill": (toxicity.THREAT, 1.0)}, {"lowei": 2.0})
+    return {toxicity.PATTERNS[i] for i, x in enumerate(toxicity.evidence(text, model, model.matcher())) if x}
+
+
+def test_quoted_speech_is_reported():
+    for text in ('She said: "you idiot"', 'he said, "you are an idiot", and left', '"you idiot", she said', "„you idiot“, sagte er", "«you idiot» dit she",
+                 "She said: you idiot", "he told me, you idiot", '"Look. You idiot. Go!" somebody said', 'They told me it was late, "you idiot"'):
+        assert hits(text) == {("insult", "reported", 1)}, text
+    for text in ('"you idiot", and left', '"you idiot". She said no', 'He said no. "you idiot"', 'she said: "fine". you idiot', 'he said "fine" and you idiot',
+                 'they said it was late, you idiot', '"you idiot\nshe said', '"no" he said; you idiot'):
+        assert hits(text) == {("insult", "asserted", 1)}, text
+
+
+def test_phrases_of_several_words():
+    assert hits("you waste of space") == hits("you piece of trash") == {("insult", "asserted", 1)}
+    assert hits("a piece of cake, a waste of time") == set()
+    assert hits("we'll kill him") == hits("watch your back") | {("threat", "asserted", 1)}
+    model = toxicity.Model({"kill": (toxicity.THREAT, 1.0)})
+    weigh = lambda t: sum(toxicity.evidence(t, model, model.matcher()))
+    assert weigh("I will kill you") > weigh("kill you") and hits("I will not kill you") == {("threat", "negated", 1)}
+
+
+def plain_evidence(text, model):
+    """The grammar read by three separate machines over every line, without matcher and table."""
+    out = [0.0] * len(toxicity.PATTERNS)
+    for line in re.split(r"[\n\r]", text.lower()):
+        tokens, close = [], -1
+        for m in re.finditer(r"[^\W_]+(?:'[^\W\d_]+)*|[.;!?()\[\]{},:\"“”„«»]", line):
+            t = m[0]
+            if t[0].isalnum():
+                tokens.append((t, None))
+            elif t in ",:":
+                tokens.append((None, toxicity.COMMA if t == "," else toxicity.COLON))
+            elif t in ".;!?()[]{}":
+                tokens.append((None, toxicity.STOP))
+            elif m.start() == close:
+                tokens.append((None, toxicity.CLOSE))
+                close = -1
+            elif close >= 0 or t not in toxicity.QUOTES or line.find(toxicity.QUOTES[t], m.end()) < 0:
+                tokens.append((None, toxicity.COMMA))
+            else:
+                close = line.find(toxicity.QUOTES[t], m.end())
+                after = re.match(r"(?:[\s,]*[^\W_]+(?:'[^\W\d_]+)*){0,4}", line[close + 1:])[0]
+                says = set(re.findall(r"[^\W_]+(?:'[^\W\d_]+)*", after)) & set(toxicity.REPORTS)
+                tokens.append((None, toxicity.OPEN_REPORTED if says else toxicity.OPEN))
+        n = r = 0
+        clause, puts, aimed = [], [], 0
+        for word, mark in [*tokens, (None, toxicity.STOP)]:
+            if mark is None:
+                clause.append(word)
+                continue
+            for cls, weight in model.classes_of(clause):
+                if cls in (toxicity.INSULT, toxicity.THREAT):
+                    puts.append((cls, 2 if r in toxicity.REPORTING else 1 if n else 0, weight))
+                aimed |= cls == toxicity.TARGET
+                n, r = toxicity.negation(n, cls), toxicity.reported(r, cls)
+            for cls, mood, weight in puts:
+                out[(cls - toxicity.INSULT) * 6 + mood * 2 + aimed] += weight
+            n, r, clause, puts, aimed = 0, toxicity.reported(r, mark), [], [], 0
+    return out
+
+
+def test_evidence_equals_separate_machines():
+    model = toxicity.Model({"idiot": (toxicity.INSULT, 1.0), "kill": (toxicity.THREAT, 1.5)}, {"lowei": 2.0})
+    m, r = model.matcher(), random.Random(21)
+    words = ["you", "idiot", "not", "said", "kill", "loweia", "waste of space", "I will kill", "fine", "day", "she", ",", ":", ".", '"', "“", "”", "\n", "(", "!", "«", "»"]
+    for _ in range(4_000):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(1, 25)))
+        got = [math.expm1(x) for x in toxicity.evidence(text, model, m)]
+        assert got == pytest.approx(plain_evidence(text, model)), text
+
+
+def test_scores_of_repeated_rows_and_candidate_bound(spark):
+    docs = table(spark, [(1, "you idiot", "s"), (1, "you idiot", "s"), (2, "you idiot", "s"), (3, "x", "s")])
+    model = toxicity.Model({"idiot": (toxicity.INSULT, 1.0)})
+    scores = [(r.doc_id, r.score) for r in toxicity.score(docs, model).collect()]
+    assert len(scores) == 4 and len({s for i, s in scores if i < 3}) == 1
+    rows = [(i, f"zork{'abcde'[i % 5]} und mehr" if i % 2 else "und mehr", "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    assert len(toxicity.fit(table(spark, rows), labels, candidates=1).stems) == 1  # the stem that explains most
+    assert set(toxicity.fit(table(spark, rows), labels).stems) == {"zork"}
