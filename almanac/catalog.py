@@ -1888,8 +1888,9 @@ def q_forest_stump(spark, sf):
     return _stump(spark, sf, "randomforest", {"n_estimators": 3, "max_depth": 1, "bootstrap": False})
 
 
-def _forecast_small_sql(keys: list[str], src: str, changepoints: int) -> str:
-    """The additive model with a quarterly wave, one regressor and few changepoints: 1 + changepoints + 2 + 1 columns."""
+def _forecast_small_sql(keys: list[str], src: str, changepoints: int, ahead: int = 0) -> str:
+    """The additive model with a quarterly wave, one regressor and few changepoints: 1 + changepoints + 2 + 1 columns; with
+    ``ahead`` the months after the data instead of the data."""
     k = "".join(f"{c}, " for c in keys)
     part = f"PARTITION BY {', '.join(keys)} " if keys else ""
     grp = f" GROUP BY {', '.join(keys)}" if keys else ""
@@ -1902,27 +1903,48 @@ def _forecast_small_sql(keys: list[str], src: str, changepoints: int) -> str:
             "(reg - rm) / rs"]
     pen = [0.0, *[0.05 ** 2 / 0.05 ** 2] * changepoints, 0.05 ** 2 / 10.0 ** 2, 0.05 ** 2 / 10.0 ** 2, 0.05 ** 2 / 10.0 ** 2]
     p = len(cols)
+    feats = ', '.join(f'{c} AS f{i}' for i, c in enumerate(cols))
     on = " AND ".join(f"r.{c} = c.{c}" for c in keys) or "TRUE"
+    rows = "x" if not ahead else f"""(SELECT *, {feats} FROM (
+  SELECT {k}a.date, CAST(a.date - DATE '1970-01-01' AS DOUBLE) AS day, rm AS reg, t0, span, ys, rm, rs{''.join(f', c{j}' for j in range(1, changepoints + 1))}
+  FROM (SELECT {k}CAST(MAX(date) + to_months(i::INT) AS DATE) AS date FROM s, range(1, {ahead + 1}) r(i) GROUP BY {k}i) a {join.format('g')}))"""
+    offs = [f"(r.f{i} - c.m{i})" for i in range(p)]
+    of_fit = " + ".join(f"{offs[i]} * {offs[j]} * c.v{i}_{j}" for i in range(p) for j in range(p))
+    size = " + ".join(f"abs(c.w{j})" for j in range(1, changepoints + 1)) or "0"
+    drift = f"2.0 * {changepoints} * pow(({size}) / {max(changepoints, 1)}, 2) * pow(greatest(r.f0 - 1, 0), 3) / 3"
     return f"""
 WITH s AS (SELECT {k}date, revenue, CAST(n AS DOUBLE) AS reg, CAST(date - DATE '1970-01-01' AS DOUBLE) AS day,
            row_number() OVER ({part}ORDER BY date) - 1 AS idx, COUNT(*) OVER ({part.strip()}) AS n FROM ({src})),
 g AS (SELECT {k}MIN(day) AS t0, MAX(day) - MIN(day) AS span, MAX(abs(revenue)) AS ys, AVG(reg) AS rm, stddev_pop(reg) AS rs{cps}
       FROM s{grp}),
-x AS MATERIALIZED (SELECT {k}date, revenue, ys, revenue / ys AS y, {', '.join(f'{c} AS f{i}' for i, c in enumerate(cols))}
+x AS MATERIALIZED (SELECT {k}date, revenue, ys, revenue / ys AS y, {feats}
       FROM s {join.format('g')}),
-{osql.linear_fit('x', p, pen, keys)},
-f AS (SELECT r.*, {osql.predicted(p)} AS yh FROM x r JOIN lf c ON {on}),
-b AS (SELECT *, {fc.statistics.NormalDist().inv_cdf(0.9)!r}::DOUBLE * stddev_pop(y - yh) OVER ({part.strip()}) AS half FROM f)
+{osql.linear_fit('x', p, pen, keys, inverse=True)},
+e AS (SELECT {k.replace(keys[0], 'r.' + keys[0]) if keys else ''}stddev_pop(r.y - ({osql.predicted(p)})) AS sd, COUNT(*) AS rows FROM x r JOIN lf c ON {on}{grp.replace(keys[0], 'r.' + keys[0]) if keys else ''}),
+f AS (SELECT r.*, {osql.predicted(p)} AS yh, {of_fit} AS q, {drift} AS drift FROM {rows} r JOIN lf c ON {on}),
+b AS (SELECT f.*, {fc.statistics.NormalDist().inv_cdf(0.9)!r}::DOUBLE * sqrt(sd * sd * (1 + 1.0 / e.rows + q) + drift) AS half FROM f {join.format('e')})
 SELECT {k}date, {r('yh * ys', 2)} AS yhat, {r('(yh - half) * ys', 2)} AS yhat_lower, {r('(yh + half) * ys', 2)} AS yhat_upper FROM b
 """
 
 
-def _forecast_small(spark, sf, keys, changepoints):
+def _forecast_small(spark, sf, keys, changepoints, ahead=0):
     cfg = fc.ForecastConfig(yearly_seasonality=False, n_changepoints=changepoints, regressors=["n"],
                             seasonalities=[{"name": "quarterly", "period": 91.25, "fourier_order": 1}])
     src = f2(spark, sf) if keys else f1(spark, sf)
     m = fc.AdditiveForecaster(cfg, keys=keys, ds="date", y="revenue").fit(src)
-    return rounded(m.predict(src).select(*keys, "date", "yhat", "yhat_lower", "yhat_upper"), 2)
+    at = m.make_future(src, ahead, include_history=False) if ahead else src
+    return rounded(m.predict(at).select(*keys, "date", "yhat", "yhat_lower", "yhat_upper"), 2)
+
+
+@query("q_forecast_interval", _forecast_small_sql([], F1_SQL, 2, 24))
+def q_forecast_interval(spark, sf):
+    """Two years ahead: the interval widens month by month."""
+    return _forecast_small(spark, sf, [], 2, 24)
+
+
+@query("q_forecast_interval_panel", _forecast_small_sql(["o_orderpriority"], F2_SQL, 2, 12))
+def q_forecast_interval_panel(spark, sf):
+    return _forecast_small(spark, sf, ["o_orderpriority"], 2, 12)
 
 
 @query("q_forecast_small", _forecast_small_sql([], F1_SQL, 2))

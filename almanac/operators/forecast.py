@@ -6,7 +6,11 @@ days), extra regressors and holiday indicators, fitted per series as a penalised
 squares (MAP with Gaussian priors whose scales are the prior-scale parameters). The design
 matrix is a set of column expressions, its cross-products are one group aggregate per
 series (skew-safe), the small systems are solved per series, and predictions and
-components are again plain expressions."""
+components are again plain expressions.
+
+The interval of a prediction adds three variances: of the residuals; of the coefficients, from the inverse of the
+penalised cross-products; and of trend changes still to come, which arrive at the rate of the fitted
+changepoints with Laplace-distributed sizes of their mean size, so beyond the data it grows with the cube of the horizon."""
 
 from __future__ import annotations
 
@@ -20,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almanac.operators.model import fit_linear_per_series
+from almanac.operators import gram
 from almanac.operators.prepare import future_frame, handle_missing_values
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
+from almanac.plans.staged import staged
 
 log = logging.getLogger(__name__)
 
@@ -212,7 +217,8 @@ class AdditiveForecaster:
         dtype = d.schema[ds].dataType
         day = _days(F.col(ds), dtype)
         plan = series_plan(d, keys, [ds], self.block_rows)
-        idx = plan.index(d)
+        wanted = [c for c in d.columns if c in (*keys, ds, y, *cfg.regressors) or c.startswith("holiday_")]
+        idx = staged(plan.index(d.select(*wanted)), "forecast-rows")
         stats = idx.groupBy(*keys).agg(
             F.min(day).alias("t0"), (F.max(day) - F.min(day)).alias("__span"), F.max(F.abs(F.col(y))).alias("__ya"),
             F.count(F.lit(1)).alias("__n"),
@@ -243,18 +249,21 @@ class AdditiveForecaster:
         state = state.withColumn("cps", F.concat("cps", F.array_repeat(F.lit(float("inf")),
                                                                        F.lit(ncp) - F.size("cps"))))
         self.state = Fitted.from_table(keys, state) if keys else Fitted(keys, row=state.first().asDict())
-        des = self._design(d)
+        des = self._design(idx)
         self.columns = [n for names in self.groups.values() for n in names]
-        des = des.withColumn("__yy", F.col(y) / F.col("__ys"))
-        self.coefs = fit_linear_per_series(des, keys, self.columns, "__yy", self._penalties())
-        fitted = self._apply(des)
-        err = fitted.select(*keys, (F.col("__yy") - F.col("__fit")).alias("__e"))
-        sd = err.groupBy(*keys).agg(F.stddev_pop("__e").alias("__sd"))
-        self.resid = Fitted.from_table(keys, sd) if keys else Fitted(keys, row=sd.first().asDict())
+        mom = gram.moments(des, keys, [*[F.col(c) for c in self.columns], F.col(y) / F.col("__ys")])
+        found = gram.fits_with_spread(mom, self._penalties())
+        w = F.col("weights")
+        hinges = [i for i, c in enumerate(self.columns) if c.startswith("__cp")]
+        size = sum((F.abs(w[i]) for i in hinges), F.lit(0.0)) / F.lit(float(max(len(hinges), 1)))
+        coefs = found.select(*keys, "intercept", *[w[i].alias(c) for i, c in enumerate(self.columns)], F.col("rows").alias("__rows"),
+                             F.sqrt(F.col("sse") / F.col("rows")).alias("__sd"), (F.lit(2.0 * len(hinges)) * size * size).alias("__drift"),
+                             F.col("means").alias("__mu"), F.col("inverse").alias("__inv"))
+        self.coefs = staged(coefs, "forecast-fits") if keys else coefs
         return self
 
     def _apply(self, des: DataFrame) -> DataFrame:
-        """Fitted value and one column per component group, one SQL expression each."""
+        """Fitted value, its standard deviation and one column per component group, one SQL expression each."""
         keys = self.keys
         coef = Fitted.from_table(keys, self.coefs) if keys else Fitted(keys, row=self.coefs.first().asDict())
         j, w, drop = coef.attach_sql(des)
@@ -263,8 +272,15 @@ class AdditiveForecaster:
             comp[g] = " + ".join(f"coalesce({w[n]} * `{n}`, 0.0D)" for n in names)
         comp["trend"] = f"{comp['trend']} + {w['intercept']}"
         total = " + ".join(f"`__g_{g}`" for g in comp)
-        out = j.select("*", *[F.expr(e).alias(f"__g_{g}") for g, e in comp.items()])
-        return out.select("*", F.expr(total).alias("__fit")).drop(*drop)
+        off = ", ".join(f"coalesce(`{n}` - element_at({w['__mu']}, {i + 1}), 0.0D)" for i, n in enumerate(self.columns)) \
+            if keys else ", ".join(f"coalesce(`{n}` - {m!r}D, 0.0D)" for n, m in zip(self.columns, coef.row["__mu"]))
+        added = "0.0D, (s, v) -> s + v)"
+        of_fit = f"aggregate(zip_with({w['__inv']}, __off, (line, x) -> x * aggregate(zip_with(line, __off, (a, b) -> a * b), {added}), {added}"
+        ahead = "greatest(`__t` - 1.0D, 0.0D)"
+        var = (f"{w['__sd']} * {w['__sd']} * (1.0D + 1.0D / {w['__rows']} + {of_fit}) "
+               f"+ {w['__drift']} * {ahead} * {ahead} * {ahead} / 3.0D")
+        out = j.select("*", *[F.expr(e).alias(f"__g_{g}") for g, e in comp.items()], F.expr(f"array({off})").alias("__off"))
+        return out.select("*", F.expr(total).alias("__fit"), F.expr(f"sqrt({var})").alias("__spread")).drop("__off", *drop)
 
     # ------------------------------------------------------------ predict
     def make_future(self, df: DataFrame, periods: int, freq: str = "MS", include_history: bool = True,
@@ -273,7 +289,9 @@ class AdditiveForecaster:
         from history or the mean (JN4)."""
         fut = future_frame(df, self.ds, periods, self.keys, freq, include_history)
         if self.cfg.regressors:
-            hist = df.select(*self.keys, F.to_date(self.ds).alias(self.ds), *self.cfg.regressors)
+            # at the resolution of the frame, one row per series and time: rows of the same time count by their mean
+            at = F.col(self.ds).cast(fut.schema[self.ds].dataType)
+            hist = df.groupBy(*self.keys, at.alias(self.ds)).agg(*[F.avg(r).alias(r) for r in self.cfg.regressors])
             fut = regressor_future(fut, hist, self.cfg.regressors, self.keys, self.ds, regressor_mode)
         return fut
 
@@ -285,19 +303,22 @@ class AdditiveForecaster:
             d = holiday_features(d, self.holidays, self.ds, self.holiday_names)
         des = self._design(d)
         out = self._apply(des)
-        based, p, drop = self.resid.attach(out)
         z = statistics.NormalDist().inv_cdf(0.5 + self.cfg.interval_width / 2)
         ys = F.col("__ys")
         yhat = F.col("__fit") * ys
-        half = F.lit(z) * p["__sd"] * ys
+        half = F.lit(z) * F.col("__spread") * ys
         comps = {g: F.col(f"__g_{g}") * ys for g in self.groups}
         keep = [c for c in df.columns]
-        res = based.select(*keep, yhat.alias("yhat"), (yhat - half).alias("yhat_lower"), (yhat + half).alias("yhat_upper"),
+        res = out.select(*keep, yhat.alias("yhat"), (yhat - half).alias("yhat_lower"), (yhat + half).alias("yhat_upper"),
                            *[e.alias(f"{g}_effect" if g in keep else g) for g, e in comps.items()])
         return res
 
 
-def forecast_with_actuals(forecast: DataFrame, actual: DataFrame, keys: Sequence[str], ds: str, y: str) -> DataFrame:
-    """Forecast table joined to the actual values on (keys, ds) (FC5, FC7)."""
-    a = actual.select(*keys, ds, F.col(y).alias("actual"))
-    return join_on_keys(forecast, a, [*keys, ds], "left")
+def forecast_with_actuals(forecast: DataFrame, actual: DataFrame, keys: Sequence[str], ds: str, y: str,
+                          part: str | None = None) -> DataFrame:
+    """Forecast table joined to the actual values on (keys, ds) (FC5, FC7), with ``part``: of a row with an actual value that of
+    the column ``part`` (history, if none is given), of the others future. Actual values of the same time count by their mean."""
+    at = F.col(ds).cast(forecast.schema[ds].dataType)
+    own = F.lit("history") if part is None else F.col(part)
+    a = actual.groupBy(*keys, at.alias(ds)).agg(F.avg(y).alias("actual"), F.min(own).alias("part"))
+    return join_on_keys(forecast, a, [*keys, ds], "left").withColumn("part", F.coalesce("part", F.lit("future")))

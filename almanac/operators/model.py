@@ -4,10 +4,9 @@ Two fitting paths:
 
 * **MLlib** estimators for one model over all rows (linear, ridge, lasso, elastic net,
   random forest, gradient-boosted trees);
-* **normal equations by aggregation** for linear / ridge fits per series: the centred
-  cross-products X'X and X'y are sums, so they are built by a partial + final hash
-  aggregate (no series is ever held in one task, hot keys included), and only the
-  p x p systems, one row per series, are solved with NumPy in ``applyInPandas``."""
+* **cross-products by aggregation** (:mod:`almanac.operators.gram`) for linear, ridge, lasso and elastic-net fits per
+  series and for their cross-validation: no series is ever held in one task, hot keys included, and only p x p
+  systems, one row per series, are solved with NumPy in ``applyInPandas``."""
 
 from __future__ import annotations
 
@@ -15,23 +14,24 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanac.operators import gram
 from almanac.operators.split import cv_folds, split_labels
-from almanac.operators.stats import PARTIAL_CELLS, regression_metrics
+from almanac.operators.stats import regression_metrics
 from almanac.plans.fitted import Fitted
-from almanac.plans.ordered import IDX, colocate_series, join_on_keys, series_plan
+from almanac.plans.ordered import IDX, join_on_keys, series_plan
+from almanac.plans.staged import fresh, staged
 
 log = logging.getLogger(__name__)
 
 MODEL_TYPES = ("linear", "ridge", "lasso", "elasticnet", "randomforest", "gbm")
-FEATURES = "features"
+FEATURES, PREDICTION = "__features", "__prediction"  # MLlib's columns while a model runs
+PART = "__part_of"
 MAX_DEPTH = 30  # of MLlib's trees
 
 
@@ -47,7 +47,7 @@ def make_estimator(model_type: str = "linear", params: dict | None = None, label
     lasso: (1/2n) SSE + alpha*||w||_1 -> regParam = alpha;
     elastic net: lambda = alpha*l1 + alpha*(1-l1)*sd_pop(y), mixing = alpha*l1/lambda."""
     params = dict(params or {})
-    common = dict(featuresCol=FEATURES, labelCol=label, predictionCol="prediction")
+    common = dict(featuresCol=FEATURES, labelCol=label, predictionCol=PREDICTION)
     if model_type == "linear":
         return LinearRegression(solver="normal", regParam=0.0, **common)
     if model_type == "ridge":
@@ -95,9 +95,15 @@ def train_model(df: DataFrame, features: Sequence[str], label: str, model_type:
 
 
 def evaluate_model(model, df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = ()):
-    """Predictions and metrics (MDL8). Returns (predictions, metrics)."""
-    pred = model.transform(assemble(df, features)).drop(FEATURES)
-    return pred, regression_metrics(pred, label, "prediction", keys)
+    """Predictions and metrics (MDL8). Returns (predictions, metrics); the column of predictions is the last one, ``prediction``
+    or longer where the input has that name."""
+    pred = predictions(model, df, features)
+    return pred, regression_metrics(pred, label, pred.columns[-1], keys)
+
+
+def predictions(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    (out,) = fresh(df.columns, "prediction")
+    return model.transform(assemble(df, features)).drop(FEATURES).withColumnRenamed(PREDICTION, out)
 
 
 def importances(model, features: Sequence[str], spark) -> DataFrame:
@@ -112,109 +118,34 @@ def importances(model, features: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
-# ------------------------------------------------------------------ normal equations per series
-def gram_table(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str) -> tuple[DataFrame, Fitted]:
-    """Per-series centred cross-products of (features..., label), long: keys..., ``__i``
-    (index into the upper triangle of the (p+1) x (p+1) matrix) and ``__s`` (the sum).
-
-    Two passes: the means are one aggregate (literals for one series, a joined table for
-    many); the centred products are summed with NumPy inside each task (``mapInPandas``:
-    one partial matrix per partition and series, a BLAS product instead of (p+1)(p+2)/2
-    aggregate expressions), and the partials are added up by a Spark group aggregate. A hot
-    series is spread over every partition, only its small partial matrices meet."""
-    keys, feats = list(keys), list(features)
-    cols = feats + [label]
-    q = len(cols)
-    d = df.where(F.col(label).isNotNull())
-    means = Fitted.fit(d, keys, {**{f"m{i}": F.avg(c) for i, c in enumerate(cols)}, "__n": F.count(F.lit(1))})
-    based, p, drop = means.attach(d)
-    cen = based.select(*keys, *[(F.col(c).cast("double") - p[f"m{i}"]).alias(f"c{i}") for i, c in enumerate(cols)])
-    cen = colocate_series(cen, keys)
-    iu = np.triu_indices(q)
-    key_fields = [df.schema[k] for k in keys]
-    schema = T.StructType(key_fields + [T.StructField("__i", T.IntegerType()), T.StructField("__s", T.DoubleType())])
-    ccols = [f"c{i}" for i in range(q)]
-
-    def partial(batches):
-        acc: dict = {}
-        for pdf in batches:
-            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
-            for k, g in groups:
-                x = np.nan_to_num(g[ccols].to_numpy(dtype=float))
-                m = x.T @ x
-                kk = k if isinstance(k, tuple) else (k,)
-                acc[kk] = acc[kk] + m if kk in acc else m
-                if len(acc) * q * q > PARTIAL_CELLS:  # partials are added up later, so they may leave early
-                    yield from emit(acc)
-                    acc = {}
-        yield from emit(acc)
-
-    def emit(acc):
-        for kk, m in acc.items():
-            vals = m[iu]
-            out = {k: [kk[j]] * len(vals) for j, k in enumerate(keys)}
-            out["__i"] = np.arange(len(vals), dtype=np.int32)
-            out["__s"] = vals
-            yield pd.DataFrame(out)
-
-    sums = cen.mapInPandas(partial, schema).groupBy(*keys, "__i").agg(F.sum("__s").alias("__s"))
-    return sums, means
-
-
-def _solve(mat_upper: np.ndarray, q: int, means: np.ndarray, penalties: Sequence[float]) -> tuple[np.ndarray, float]:
-    full = np.zeros((q, q))
-    full[np.triu_indices(q)] = mat_upper
-    full = full + np.triu(full, 1).T
-    k = q - 1
-    a = full[:k, :k] + np.diag(np.asarray(penalties, dtype=float))
-    w = np.linalg.lstsq(a, full[:k, k], rcond=None)[0]
-    b = float(means[k] - means[:k] @ w)
-    return w, b
-
-
+# ------------------------------------------------------------------ fits from cross-products, per series
 def fit_linear_per_series(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str,
-                          alpha: float | Sequence[float] = 0.0) -> DataFrame:
-    """OLS (alpha = 0) or ridge (penalty alpha * ||w||^2 on the sum of squares, intercept not
-    penalised) per series. Returns keys..., intercept, one coefficient column per feature."""
+                          alpha: float | Sequence[float] = 0.0, model_type: str = "ridge", l1_ratio: float = 0.5) -> DataFrame:
+    """OLS (alpha = 0), ridge (penalty alpha * ||w||^2 on the sum of squares, intercept not penalised), lasso or elastic net per
+    series. Returns keys..., intercept, one coefficient column per feature; the intercept's column gets a longer
+    name where a key or feature has it."""
     keys, feats = list(keys), list(features)
-    k = len(feats)
-    q = k + 1
-    pen = [float(alpha)] * k if np.isscalar(alpha) else [float(a) for a in alpha]
-    sums, means = gram_table(df, keys, feats, label)
-    schema = T.StructType([df.schema[c] for c in keys] + [T.StructField("intercept", T.DoubleType())] +
-                          [T.StructField(f, T.DoubleType()) for f in feats])
-    if not keys:
-        vec = np.zeros(q * (q + 1) // 2)
-        for r in sums.collect():  # (p+1)(p+2)/2 numbers, independent of the row count
-            vec[r["__i"]] = r["__s"]
-        mu = np.array([means.row[f"m{i}"] for i in range(q)], dtype=float)
-        w, b = _solve(vec, q, mu, pen)
-        return df.sparkSession.createDataFrame([(b, *map(float, w))], schema)
-
-    mt = means.table.select(*keys, F.array(*[F.col(f"m{i}") for i in range(q)]).alias("__mu"))
-    joined = sums.join(mt, keys, "inner") if not any(df.schema[c].nullable for c in keys) else \
-        join_on_keys(sums, mt, keys, "inner")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        vec = np.zeros(q * (q + 1) // 2)
-        vec[pdf["__i"].to_numpy()] = pdf["__s"].to_numpy()
-        mu = np.asarray(pdf["__mu"].iloc[0], dtype=float)
-        w, b = _solve(vec, q, mu, pen)
-        return pd.DataFrame([[pdf[c].iloc[0] for c in keys] + [b, *w.tolist()]], columns=[*keys, "intercept", *feats])
-
-    # one group per series holding (p+1)(p+2)/2 sums: the grouped map never sees data rows
-    return joined.groupBy(*keys).applyInPandas(solve, schema)
+    d = df.where(F.col(label).isNotNull())
+    found = gram.fits(gram.moments(d, keys, [F.col(c) for c in [*feats, label]]), model_type, alpha, l1_ratio)
+    k = len(keys)
+    names = fresh([*keys, *feats], "intercept") + [f"c{i}" for i in range(len(found.columns))]
+    intercept, c = names[0], names[1:]
+    d = found.toDF(*c)  # by place: keys, segment, rows, intercept, weights
+    return d.select(*[F.col(c[i]).alias(key) for i, key in enumerate(keys)], F.col(c[k + 2]).alias(intercept),
+                    *[F.col(c[k + 3])[i].alias(f) for i, f in enumerate(feats)])
 
 
 def predict_linear(df: DataFrame, coefs: DataFrame, keys: Sequence[str], features: Sequence[str],
                    out: str = "prediction") -> DataFrame:
+    """``df`` with the prediction of the coefficients (columns: keys, intercept, one per feature, in this order)."""
     keys = list(keys)
-    c = coefs.select(*keys, F.col("intercept").alias("__b"), *[F.col(f).alias(f"__w_{f}") for f in features])
+    names = fresh([*df.columns, out], *[f"__w{i}" for i in range(len(features) + 1)])
+    c = coefs.toDF(*keys, *names)
     j = join_on_keys(df, c, keys, "left")
-    pred = F.col("__b")
-    for f in features:
-        pred = pred + F.col(f"__w_{f}") * F.col(f)
-    return j.withColumn(out, pred).drop("__b", *[f"__w_{f}" for f in features])
+    pred = F.col(names[0])
+    for f, w in zip(features, names[1:]):
+        pred = pred + F.col(w) * F.col(f)
+    return j.withColumn(out, pred).drop(*names)
 
 
 # ------------------------------------------------------------------ cross-validation (SPL4, AGG10)
@@ -224,9 +155,15 @@ def time_series_cv(df: DataFrame, features: Sequence[str], label: str, model_typ
     """Expanding-window CV of one model. Returns (per-fold metrics, mean/std summary).
     Folds are a small table; each kept fold is one fit on ``idx < train_end``."""
     spark = df.sparkSession
+    if model_type in gram.MODELS:  # all folds from running sums of cross-products
+        p = params or {}
+        per_fold, summary, folds = cv_linear(df, features, label, [], n_splits, _alpha(model_type, p), initial_train_size, order,
+                                             model_type=model_type, l1_ratio=float(p.get("l1_ratio", 0.5)))
+        sized = folds.select("fold", F.col("train_end").alias("train_size"), (F.col("test_end") - F.col("test_start")).alias("test_size"))
+        return per_fold.join(sized, "fold").select("fold", "train_size", "test_size", *METRICS), summary
     plan = series_plan(df, [], list(order))
     d = df if IDX in df.columns else plan.index(df)
-    d = d.cache()
+    d = staged(d.select(IDX, label, *[c for c in features if c != label]), "cv-rows")
     folds = cv_folds(d, [], n_splits, initial_train_size).where("kept").collect()  # at most n_splits rows
     rows = []
     for f in folds:
@@ -235,39 +172,55 @@ def time_series_cv(df: DataFrame, features: Sequence[str], label: str, model_typ
         m = train_model(train, features, label, model_type, params)
         _, met = evaluate_model(m, test, features, label)
         r = met.first()
-        rows.append((int(f["fold"]), int(f["train_end"]), int(f["test_end"] - f["test_start"]),
-                     r["rmse"], r["mae"], r["mape"], r["r2"]))
-    d.unpersist()
+        rows.append((int(f["fold"]), int(f["train_end"]), int(f["test_end"] - f["test_start"]), *[r[m] for m in METRICS]))
     per_fold = spark.createDataFrame(rows, "fold int, train_size long, test_size long, rmse double, mae double, "
                                            "mape double, r2 double")
-    summary = per_fold.agg(*[F.avg(m).alias(f"mean_{m}") for m in ("rmse", "mae", "mape", "r2")],
-                           *[F.stddev_pop(m).alias(f"std_{m}") for m in ("rmse", "mae", "mape", "r2")])
-    return per_fold, summary
+    return per_fold, _summary(per_fold, [])
+
+
+METRICS = ("rmse", "mae", "mape", "r2")
+
+
+def _summary(per_fold: DataFrame, keys: list[str]) -> DataFrame:
+    return per_fold.groupBy(*keys).agg(*[F.avg(m).alias(f"mean_{m}") for m in METRICS], *[F.stddev_pop(m).alias(f"std_{m}") for m in METRICS])
+
+
+def _alpha(model_type: str, params: dict) -> float:
+    return 0.0 if model_type == "linear" else float(params.get("alpha", 1.0))
 
 
 def cv_linear(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = (), n_splits: int = 5,
               alpha: float = 0.0, initial_train_size: int | None = None, order: Sequence[str] = ("date",),
-              block_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Expanding-window CV of a linear / ridge model with the folds as extra keys: every row
-    is copied into the train sets it belongs to (at most ``n_splits`` copies), all folds of
-    all series are fitted in one aggregate, test rows are scored with a join.
+              block_rows: int | None = None, model_type: str = "ridge", l1_ratio: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Expanding-window CV of a linear, ridge, lasso or elastic-net model. The test parts cut a series into segments, each row
+    lies in one; the cross-products of a fold's training rows are the running sum over the segments before its test part, so
+    all folds of all series come from one aggregate and no row is copied. Test rows are scored with a join.
     Returns (per-fold metrics, mean/std per series, fold table)."""
-    keys = list(keys)
+    keys, feats = list(keys), list(features)
     plan = series_plan(df, keys, list(order), block_rows)
     d = df if IDX in df.columns else plan.index(df)
-    folds = cv_folds(d, keys, n_splits, initial_train_size).where("kept")
-    fk = [*keys, "fold"]
-    # one row per series with its folds (at most n_splits), so a series without keys joins like any other
-    of = folds.groupBy(*keys).agg(F.collect_list(F.struct("fold", "train_end", "test_start", "test_end")).alias("__folds"))
-    member = join_on_keys(d, of, keys, "inner").withColumn("__f", F.explode("__folds")).select(*d.columns, "__f.*")
-    train = member.where(F.col(IDX) < F.col("train_end"))
-    test = member.where((F.col(IDX) >= F.col("test_start")) & (F.col(IDX) < F.col("test_end")))
-    coefs = fit_linear_per_series(train, fk, features, label, alpha)
-    pred = predict_linear(test, coefs, fk, features)
-    per_fold = regression_metrics(pred, label, "prediction", fk)
-    summary = per_fold.groupBy(*keys).agg(*[F.avg(m).alias(f"mean_{m}") for m in ("rmse", "mae", "mape", "r2")],
-                                          *[F.stddev_pop(m).alias(f"std_{m}") for m in ("rmse", "mae", "mape", "r2")])
-    return per_fold, summary, folds
+    ks, xs = [f"k{i}" for i in range(len(keys))], [f"x{i}" for i in range(len(feats))]
+    (n,) = fresh(d.columns, "__n")
+    size = F.floor(F.col(n) / F.lit(n_splits + 1))
+    after = F.col(IDX) - (F.col(n) - n_splits * size)  # rows since the first fold's test part began
+    segment = F.when((after < 0) | (size == 0), 0).otherwise(F.floor(after / size) + 1)
+    d = staged(plan.with_count(d, n).select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], *[F.col(c).alias(x) for c, x in zip(feats, xs)],
+                                            F.col(label).cast("double").alias("y"), segment.cast("int").alias("fold")), "cv-rows")
+    folds = cv_folds(d, ks, n_splits, initial_train_size).where("kept")
+    # a fold is trained on the segments up to its own number; the next one holds its test rows
+    known = d.where(F.col("y").isNotNull())
+    coefs = gram.fits(gram.moments(known, ks, [F.col(c) for c in [*xs, "y"]], F.col("fold"), colocate=False), model_type, alpha, l1_ratio, n_splits)
+    coefs = join_on_keys(coefs.withColumnRenamed("seg", "fold"), folds.select(*ks, "fold"), [*ks, "fold"], "inner")
+    test = d.where(F.col("fold") > 0).withColumn("fold", F.col("fold") - 1)
+    scored = join_on_keys(test, coefs.select(*ks, "fold", "intercept", "weights"), [*ks, "fold"], "inner")
+    pred = F.col("intercept")
+    for i, x in enumerate(xs):
+        pred = pred + F.col("weights")[i] * F.col(x)
+    (fold,) = fresh(keys, "fold")
+    back = [F.col(a).alias(k) for a, k in zip(ks, keys)]
+    per_fold = regression_metrics(scored.withColumn("prediction", pred), "y", "prediction", [*ks, "fold"])
+    per_fold = per_fold.select(*back, F.col("fold").alias(fold), *per_fold.columns[len(ks) + 1:])
+    return per_fold, _summary(per_fold, keys), folds.select(*back, F.col("fold").alias(fold), *folds.columns[len(ks) + 1:])
 
 
 # ------------------------------------------------------------------ train and evaluate (MDL9)
@@ -288,7 +241,7 @@ def train_and_evaluate(df: DataFrame, target_col: str, feature_cols: Sequence[st
                        keys: Sequence[str] = (), fit_scope: str = "all") -> TrainResult:
     """Impute, split in time order, fit, evaluate, cross-validate and test residuals.
 
-    With ``keys`` every series is filled, split, fitted (linear or ridge, one coefficient row per series as
+    With ``keys`` every series is filled, split, fitted (linear, ridge, lasso or elastic net, one coefficient row per series as
     ``model``) and scored by itself, all in the same jobs. ``fit_scope='train'`` takes the filling means
     from the training rows only; ``'all'`` from every row."""
     from almanac.operators.diagnostics import residual_tests
@@ -302,7 +255,7 @@ def train_and_evaluate(df: DataFrame, target_col: str, feature_cols: Sequence[st
     if fit_scope not in ("all", "train"):
         raise ValueError(f"unknown fit scope {fit_scope!r}")
     keys = list(keys)
-    if keys and model_type not in ("linear", "ridge"):
+    if keys and model_type not in gram.MODELS:
         raise ValueError(f"one {model_type} model per series is not offered; fit the series without keys")
     feats = [c for c in feats if c != target_col and c not in keys]
     groups = [g for g in fill_groups or [] if g in df.columns and g not in (*keys, date_col, target_col, *feats)]
@@ -310,25 +263,26 @@ def train_and_evaluate(df: DataFrame, target_col: str, feature_cols: Sequence[st
     if fit_scope == "all":
         d = handle_missing_values(d, "mean", fill_groups=fill_groups, date_col=date_col, keys=keys, columns=[target_col, *feats])
     d = series_plan(d, keys, [date_col]).index(d)
-    lab = split_labels(d, keys, [date_col], "train_test", test_size)
+    lab = split_labels(d, keys, [date_col], "train_test", test_size, part_col=PART)
     if fit_scope == "train":
         lab = _fill_from_train(lab, keys, list(fill_groups or []), [target_col, *feats])
-    lab = lab.drop(*groups).cache()
-    train = lab.where(F.col("part") == "train")
-    test = lab.where(F.col("part") == "test")
+    lab = staged(lab.drop(*groups), "train-rows")
+    train = lab.where(F.col(PART) == "train")
+    test = lab.where(F.col(PART) == "test")
     if keys:
         return _train_panel(lab, train, test, target_col, feats, date_col, model_type, params, use_cv, n_cv_splits, keys)
     model = train_model(train, feats, target_col, model_type, params)
     pred, metrics = evaluate_model(model, test, feats, target_col)
-    allpred = model.transform(assemble(lab, feats)).drop(FEATURES)
+    allpred = predictions(model, lab, feats)
+    out = allpred.columns[-1]
     cv_f = cv_s = None
     if use_cv:
-        cv_f, cv_s = time_series_cv(lab.drop("part"), feats, target_col, model_type, params, n_cv_splits,
+        cv_f, cv_s = time_series_cv(lab.drop(PART), feats, target_col, model_type, params, n_cv_splits,
                                     order=[date_col])
-    res = residual_tests(pred, target_col, "prediction", order=[IDX])
+    res = residual_tests(pred, target_col, out, order=[IDX])
     imp = importances(model, feats, df.sparkSession)
-    return TrainResult(model, metrics, allpred.select(date_col, F.col(IDX).alias("idx"), "part", F.col(target_col).alias("actual"),
-                                                      F.col("prediction").alias("predicted")),
+    return TrainResult(model, metrics, allpred.select(date_col, F.col(IDX).alias("idx"), F.col(PART).alias("part"), F.col(target_col).alias("actual"),
+                                                      F.col(out).alias("predicted")),
                        cv_f, cv_s, res, imp)
 
 
@@ -337,7 +291,7 @@ def _fill_from_train(lab: DataFrame, keys: list[str], groups: list[str], cols: l
     if not all(g in lab.columns for g in groups):
         groups = []
     for by in [[*keys, *groups], keys] if groups else [keys]:
-        means = Fitted.fit(lab.where(F.col("part") == "train"), by, {f"__f_{c}": F.avg(c) for c in cols})
+        means = Fitted.fit(lab.where(F.col(PART) == "train"), by, {f"__f_{c}": F.avg(c) for c in cols})
         based, mean, drop = means.attach(lab)
         lab = based.withColumns({c: F.coalesce(F.col(c), mean[f"__f_{c}"]) for c in cols}).drop(*drop)
     return lab
@@ -346,17 +300,18 @@ def _fill_from_train(lab: DataFrame, keys: list[str], groups: list[str], cols: l
 def _train_panel(lab: DataFrame, train: DataFrame, test: DataFrame, target: str, feats: list[str], date_col: str, model_type: str,
                  params: dict | None, use_cv: bool, n_splits: int, keys: list[str]) -> TrainResult:
     from almanac.operators.diagnostics import residual_tests
-    alpha = float((params or {}).get("alpha", 1.0)) if model_type == "ridge" else 0.0
-    coefs = fit_linear_per_series(train, keys, feats, target, alpha)
-    scored = predict_linear(lab, coefs, keys, feats)
-    pred = scored.where(F.col("part") == "test")
+    alpha, l1 = _alpha(model_type, params or {}), float((params or {}).get("l1_ratio", 0.5))
+    coefs = fit_linear_per_series(train, keys, feats, target, alpha, model_type, l1)
+    (out,) = fresh(lab.columns, "prediction")
+    scored = predict_linear(lab, coefs, keys, feats, out)
+    pred = scored.where(F.col(PART) == "test")
     cv_f = cv_s = None
     if use_cv:
-        cv_f, cv_s, _ = cv_linear(lab.drop("part"), feats, target, keys, n_splits, alpha, order=[date_col])
+        cv_f, cv_s, _ = cv_linear(lab.drop(PART), feats, target, keys, n_splits, alpha, order=[date_col], model_type=model_type, l1_ratio=l1)
     body = ", ".join(f"'{f}', `{f}`" for f in feats)
     imp = coefs.select(*keys, F.expr(f"stack({len(feats)}, {body}) as (feature, coefficient)")).orderBy(
         *keys, F.abs("coefficient").desc(), "feature")
-    return TrainResult(coefs, regression_metrics(pred, target, "prediction", keys),
-                       scored.select(*keys, date_col, F.col(IDX).alias("idx"), "part", F.col(target).alias("actual"),
-                                     F.col("prediction").alias("predicted")),
-                       cv_f, cv_s, residual_tests(pred, target, "prediction", keys, [IDX]), imp)
+    return TrainResult(coefs, regression_metrics(pred, target, out, keys),
+                       scored.select(*keys, date_col, F.col(IDX).alias("idx"), F.col(PART).alias("part"), F.col(target).alias("actual"),
+                                     F.col(out).alias("predicted")),
+                       cv_f, cv_s, residual_tests(pred, target, out, keys, [IDX]), imp)

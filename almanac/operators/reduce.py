@@ -13,15 +13,15 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from almanac.functions import formulas as fx
 from almanac.functions.schema import CALENDAR_COLUMNS, numeric_columns
+from almanac.operators import gram
 from almanac.operators.stats import corr_pairs, pearson
 from almanac.plans.fitted import Fitted, sql_literal
-from almanac.plans.ordered import IDX, join_on_keys, series_plan
+from almanac.plans.ordered import series_plan
 
 log = logging.getLogger(__name__)
 
@@ -127,20 +127,24 @@ def mutual_info_scores(df: DataFrame, target: str, features: Sequence[str], bins
 
 
 # ------------------------------------------------------------------ DIM7
-def lasso_selection(df: DataFrame, target: str, features: Sequence[str], alpha: float = 0.01) -> DataFrame:
-    """Non-zero lasso coefficients (|w| > 1e-8) on z-scored features (population sd).
-    Columns: feature, coefficient, selected."""
-    feats = list(features)
-    df = mean_impute(df, [*feats, target])
-    fit = Fitted.fit(df, [], {**{f"m_{c}": F.avg(c) for c in feats}, **{f"s_{c}": F.stddev_pop(c) for c in feats}})
-    z = df.select(F.col(target).cast("double").alias("__y"),
-                  *[fx.standardize(F.col(c), fit.row[f"m_{c}"], fit.row[f"s_{c}"]).alias(c) for c in feats])
-    z = VectorAssembler(inputCols=feats, outputCol="features").transform(z)
-    lr = LinearRegression(featuresCol="features", labelCol="__y", elasticNetParam=1.0, regParam=alpha,
-                          standardization=False, maxIter=1000, tol=1e-10)
-    coef = lr.fit(z).coefficients.toArray().tolist()
-    rows = [(c, float(w), abs(w) > 1e-8) for c, w in zip(feats, coef)]
-    return df.sparkSession.createDataFrame(rows, "feature string, coefficient double, selected boolean")
+def lasso_selection(df: DataFrame, target: str, features: Sequence[str], alpha: float = 0.01, keys: Sequence[str] = ()) -> DataFrame:
+    """Non-zero lasso coefficients (|w| > 1e-8) on z-scored features (population sd), per series, by coordinate descent on
+    one table of cross-products. Columns: keys..., feature, coefficient, selected."""
+    keys, feats = list(keys), list(features)
+    d = mean_impute(df, [*feats, target], keys)
+    mom = gram.moments(d, keys, [F.col(c) for c in [*feats, target]])
+    p = mom.p
+
+    def solve(pdf):
+        rows, _, g = gram.running_sums(pdf, p)[-1][1].centred()
+        n = max(float(rows.max()), 1.0)
+        sd = np.sqrt(np.maximum(np.diag(g)[:-1], 0.0) / n)
+        scale = np.where(sd > 0, sd, 1.0)
+        w = gram.descend(g[:-1, :-1] / n / np.outer(scale, scale), g[:-1, -1] / n / scale, alpha, 0.0)
+        return [(c, float(x), bool(abs(x) > 1e-8)) for c, x in zip(feats, w)]
+
+    return gram.per_series(mom, solve, [T.StructField("feature", T.StringType()), T.StructField("coefficient", T.DoubleType()),
+                                        T.StructField("selected", T.BooleanType())])
 
 
 # ------------------------------------------------------------------ DIM2-DIM4, DIM9
@@ -253,8 +257,8 @@ def reduce_dimensions(df: DataFrame, target_col: str, feature_cols: Sequence[str
     ranked = _selection(result, target_col, avail, feature_selection_method, top_n_features, lasso_alpha) if avail else []
     # nothing chosen: leading components, or without them the features as given
     selected = ranked or (meta.get("pca_components") or feats)[:top_n_features]
-    if missing := [c for c in selected if c not in result.columns]:
-        result = join_on_keys(result, df.select(*base_cols, *missing), base_cols, "left")
+    if missing := [c for c in selected if c not in result.columns]:  # the filter dropped them: one more projection of the same rows
+        result = df.select(*result.columns, *missing)
     meta["selected_features"] = selected
     return result, meta
 

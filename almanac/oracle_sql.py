@@ -7,9 +7,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 
-def linear_fit(rows: str, p: int, penalty: Sequence[float] | None = None, keys: Sequence[str] = (), tag: str = "lf") -> str:
+def linear_fit(rows: str, p: int, penalty: Sequence[float] | None = None, keys: Sequence[str] = (), tag: str = "lf",
+               inverse: bool = False) -> str:
     """CTEs that fit ``y`` on ``f0..f{p-1}`` of the CTE ``rows`` per key: centred cross-products, then
-    Gauss-Jordan elimination with one CTE per pivot. The last one, ``{tag}``, has keys, ``w0..``, ``b``."""
+    Gauss-Jordan elimination with one CTE per pivot. The last one, ``{tag}``, has keys, ``w0..``, ``b``, and with ``inverse`` the
+    means ``m0..`` and the inverse of the penalised cross-products ``v0_0..``."""
     pen = list(penalty or [0.0] * p)
     kc = "".join(f"{k}, " for k in keys)
     rk = "".join(f"r.{k}, " for k in keys)
@@ -23,6 +25,8 @@ def linear_fit(rows: str, p: int, penalty: Sequence[float] | None = None, keys:
         for j in range(p + 1):
             ridge = f" + {pen[i]!r}::DOUBLE" if i == j and pen[i] else ""
             prods.append(f"SUM((r.{cols[i]} - m.m{i}) * (r.{cols[j]} - m.m{j})){ridge} AS a{i}_{j}")
+        if inverse:
+            prods += [f"{float(i == m)!r}::DOUBLE AS a{i}_{p + 1 + m}" for m in range(p)]
     mk = ", ".join(f"ANY_VALUE(m.m{i}) AS m{i}" for i in range(p + 1))
     out = [f"{tag}_m AS (SELECT {kc}{means} FROM {rows}{grp})",
            f"{tag}_0 AS MATERIALIZED (SELECT {rk}{mk}, {', '.join(prods)} FROM {rows} r JOIN {tag}_m m ON {on}{rgrp})"]
@@ -30,13 +34,14 @@ def linear_fit(rows: str, p: int, penalty: Sequence[float] | None = None, keys:
     for k in range(p):
         cells = []
         for i in range(p):
-            for j in range(p + 1):
+            for j in range(2 * p + 1 if inverse else p + 1):
                 a = f"a{i}_{j}"
                 cells.append(a if i == k else f"{a} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS {a}")
         out.append(f"{tag}_{k + 1} AS MATERIALIZED (SELECT {kc}{mcols}, {', '.join(cells)} FROM {tag}_{k})")
     w = ", ".join(f"a{i}_{p} / a{i}_{i} AS w{i}" for i in range(p))
     b = f"m{p}" + "".join(f" - a{i}_{p} / a{i}_{i} * m{i}" for i in range(p))
-    out.append(f"{tag} AS (SELECT {kc}{w}, {b} AS b FROM {tag}_{p})")
+    more = ", " + mcols + "".join(f", a{i}_{p + 1 + j} / a{i}_{i} AS v{i}_{j}" for i in range(p) for j in range(p)) if inverse else ""
+    out.append(f"{tag} AS (SELECT {kc}{w}, {b} AS b{more} FROM {tag}_{p})")
     return ",\n".join(out)
 
 
