@@ -9,6 +9,7 @@ way in both engines even when their summation orders differ in the last bit."""
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -2069,3 +2070,252 @@ def q_row_index_decimal_order(spark, sf):
     d = S.table(spark, sf, "lineitem").withColumn("amount", F.when(F.col("l_quantity") % 3 != 0, F.col("l_quantity").cast("decimal(30,10)")))
     out = fe.row_index(d, ["l_returnflag"], ["amount", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], block_rows=3_000)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "idx")
+
+
+# =============================================================== rows that had no oracle: shortcuts, identity, listing, splits
+@query("q_shortcuts", f"""
+WITH s AS (SELECT date, revenue AS x, row_number() OVER (ORDER BY date) AS i FROM ({F1_SQL})),
+m AS (SELECT MIN(x) AS mn, MAX(x) AS mx, AVG(x) AS mu, stddev_pop(x) AS sd FROM s)
+SELECT date, {r(f'ln(x + {_LOG_OFF})', 6)} AS logged, {r('x - lag(x, 2) OVER (ORDER BY date)', 2)} AS step,
+       {r('x - lag(x, 12) OVER (ORDER BY date)', 2)} AS season, {r(f'(x - mn) / {_RNG}', 6)} AS unit, {r(f'(x - mu) / {_SD}', 6)} AS score
+FROM s, m""")
+def q_shortcuts(spark, sf):
+    """The five shortcuts (TRF4), each on the same series."""
+    from almanac.operators import transforms as tr
+    base = f1(spark, sf).select("date", F.col("revenue").alias("x"))
+    made = {"logged": tr.log_scale_transform(base, ["x"]), "step": tr.difference_transform(base, ["x"], 2, order=["date"]),
+            "season": tr.seasonal_difference_transform(base, ["x"], order=["date"]), "unit": tr.normalize_columns(base, ["x"]),
+            "score": tr.standardize_columns(base, ["x"])}
+    out = base.select("date")
+    for name, (df, _) in made.items():
+        out = out.join(df.withColumnRenamed("x", name), "date")
+    return rounded(out, {"logged": 6, "step": 2, "season": 2, "unit": 6, "score": 6})
+
+
+@query("q_align_identity", f"SELECT date, {r('revenue', 2)} AS revenue, 2::BIGINT AS times FROM ({F1_SQL})")
+def q_align_identity(spark, sf):
+    """Monthly data, and a frequency that cannot be aligned, stay as they are (FRQ4)."""
+    src = f1(spark, sf).select("date", "revenue")
+    both = pr.align_to_monthly(src, "monthly").unionByName(pr.align_to_monthly(src, "weekly"))
+    return rounded(both.groupBy("date", "revenue").agg(F.count(F.lit(1)).alias("times")), 2)
+
+
+@query("q_list_datasets", "SELECT unnest(['nation.csv', 'region.csv']) AS name, (SELECT COUNT(*) FROM nation) + (SELECT COUNT(*) FROM region) AS rows")
+def q_list_datasets(spark, sf):
+    """Files of a folder by pattern, their rows read in one scan (SRC3)."""
+    from almanac.session import scratch_path
+    root = scratch_path(spark, f"exports-{uuid.uuid4().hex}")
+    for t in ("nation", "region"):
+        S.table(spark, sf, t).select(F.lit(t).alias("t")).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/{t}.csv")
+    found = io.read_datasets(spark, root)
+    names = [n for n in ("nation.csv", "region.csv") if io.list_available_datasets(spark, f"{root}/{n}", "*.csv")]
+    names += io.list_available_datasets(spark, f"{root}/none", "*.csv")
+    return spark.createDataFrame([(n, found.count()) for n in names], "name string, rows long")
+
+
+@query("q_split_data", f"""
+WITH i AS (SELECT row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM ({F1_SQL}))
+SELECT CASE WHEN idx < floor(n * (1.0::DOUBLE - 0.2::DOUBLE - 0.1::DOUBLE)) THEN 'train'
+            WHEN idx < floor(n * (1.0::DOUBLE - 0.2::DOUBLE)) THEN 'validation' ELSE 'test' END AS part, COUNT(*) AS rows FROM i GROUP BY 1""")
+def q_split_data(spark, sf):
+    parts = zip(("train", "validation", "test"), sp.split_data(f1(spark, sf), order=["date"]))
+    tables = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(p).alias("part"), "rows") for p, df in parts]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
+@query("q_run_summary", f"SELECT 'f1' AS data, 'revenue' AS target, COUNT(*) AS n, {r('AVG(revenue)', 2)} AS mean, 2::BIGINT AS features FROM ({F1_SQL})")
+def q_run_summary(spark, sf):
+    """A summary row with fixed columns, its list counted (SNK4)."""
+    st_ = f1(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.avg("revenue").alias("mean")).first()
+    out = io.run_summary(spark, {"data": "f1", "target": "revenue", "n": st_["n"], "mean": st_["mean"], "features": ["n", "avg_price"]})
+    return rounded(out.withColumn("features", F.size("features").cast("long")), 2)
+
+
+# =============================================================== principal components and reduction per series
+@query("q_pca_panel_two_columns", f"""
+WITH c AS (SELECT o_orderpriority, corr(revenue, n) AS r FROM ({F2_SQL}) GROUP BY 1)
+SELECT o_orderpriority, 1 AS component, {r('(1 + abs(r)) / 2', 6)} AS ratio, {r('(1 + abs(r)) / 2', 6)} AS cumulative,
+       {r('1 / sqrt(2)', 6)} AS first, {r('sign(r) / sqrt(2)', 6)} AS second FROM c
+UNION ALL SELECT o_orderpriority, 2, {r('(1 - abs(r)) / 2', 6)}, 1.0, {r('1 / sqrt(2)', 6)}, {r('-sign(r) / sqrt(2)', 6)} FROM c""")
+def q_pca_panel_two_columns(spark, sf):
+    """Per series: the eigenvalues 1 + |r| and 1 - |r|, loadings of 1 / sqrt(2) (DIM2-DIM4, DIM9). Loadings tie in size up to
+    the last digit, so their sign is taken from the first here."""
+    from almanac.operators import gram
+    out = gram.components(gram.moments(f2(spark, sf), ["o_orderpriority"], [F.col("revenue"), F.col("n")]))
+    sign = F.signum(F.col("loadings")[0])
+    return rounded(out.select("o_orderpriority", "component", F.col("explained_variance_ratio").alias("ratio"), "cumulative",
+                              (sign * F.col("loadings")[0]).alias("first"), (sign * F.col("loadings")[1]).alias("second")), 6)
+
+
+@query("q_pca_tables_two_columns", f"""
+WITH c AS (SELECT corr(l_extendedprice, net) AS r FROM ({F7_SQL})),
+v AS (SELECT 'PC1' AS component, (1 + abs(r)) / 2 AS ratio, (1 + abs(r)) / 2 AS upto FROM c
+      UNION ALL SELECT 'PC2', (1 - abs(r)) / 2, 1.0 FROM c)
+SELECT component, {r('ratio', 6)} AS ratio, {r('upto', 6)} AS upto, 2::BIGINT AS loadings, {r('sqrt(2)', 6)} AS size, 1::BIGINT AS enough FROM v""")
+def q_pca_tables_two_columns(spark, sf):
+    """Variance table, loading table and the number of components for half the variance (DIM3, DIM4, DIM9, ORD3)."""
+    pca = rd.fit_pca(S.lineitem_wide(spark, sf), ["l_extendedprice", "net"])
+    loads = rd.loading_table(spark, pca).groupBy("component").agg(F.count(F.lit(1)).alias("loadings"), F.sum(F.abs("loading")).alias("size"))
+    var = rd.variance_table(spark, pca).select("component", F.col("explained_variance_ratio").alias("ratio"), F.col("cumulative").alias("upto"))
+    enough = rd.components_for_threshold(pca.explained_ratio, 0.5)
+    return rounded(var.join(loads, "component").withColumn("enough", F.lit(enough).cast("long")), 6)
+
+
+_PANEL3_SQL = f"SELECT *, n * n AS n2 FROM (SELECT o_orderpriority, date, revenue, CAST(n AS DOUBLE) AS n, avg_price FROM ({F2_SQL}))"
+
+
+def _panel3(spark, sf):
+    return f2(spark, sf).select("o_orderpriority", "date", "revenue", F.col("n").cast("double").alias("n"), "avg_price").withColumn("n2", F.col("n") * F.col("n"))
+
+
+@query("q_corr_filter_panel", f"""
+WITH c AS (SELECT o_orderpriority, corr(n, avg_price) AS ab, corr(n, n2) AS ac, corr(avg_price, n2) AS bc FROM ({_PANEL3_SQL}) GROUP BY 1),
+u AS (SELECT o_orderpriority, 'n' AS feature, 0 AS position, NULL::DOUBLE AS m FROM c
+      UNION ALL SELECT o_orderpriority, 'avg_price', 1, abs(ab) FROM c UNION ALL SELECT o_orderpriority, 'n2', 2, greatest(abs(ac), abs(bc)) FROM c)
+SELECT o_orderpriority, feature, position, {r('m', 6)} AS max_abs_corr, coalesce(m <= 0.95, true) AS kept FROM u""")
+def q_corr_filter_panel(spark, sf):
+    return rounded(rd.correlation_filter(_panel3(spark, sf), ["n", "avg_price", "n2"], keys=["o_orderpriority"]), 6)
+
+
+@query("q_reduce_panel", f"""
+WITH s AS ({_PANEL3_SQL}),
+c AS (SELECT o_orderpriority, abs(corr(n, avg_price)) AS ab, abs(corr(n, n2)) AS ac, abs(corr(avg_price, n2)) AS bc FROM s GROUP BY 1)
+SELECT o_orderpriority, date, {r('revenue', 2)} AS revenue, {r('n')} AS n, {r('CASE WHEN ab <= 0.95 THEN avg_price ELSE 0 END')} AS avg_price
+FROM s JOIN c USING (o_orderpriority)""")
+def q_reduce_panel(spark, sf):
+    """Per series: the square of a column goes, as it follows the column; the others stay (DIM8 with keys)."""
+    out, meta = rd.reduce_dimensions(_panel3(spark, sf), "revenue", ["n", "avg_price", "n2"], use_pca=False, feature_selection_method="f_regression",
+                                     top_n_features=1, keys=["o_orderpriority"])
+    return rounded(out.select("o_orderpriority", "date", "revenue", "n", "avg_price"), {"revenue": 2})
+
+
+@query("q_reduce_panel_selection", f"""
+WITH c AS (SELECT o_orderpriority, corr(n, revenue) AS a, corr(avg_price, revenue) AS b, abs(corr(n, avg_price)) AS ab FROM ({_PANEL3_SQL}) GROUP BY 1)
+SELECT o_orderpriority, CASE WHEN a * a >= b * b OR ab > 0.95 THEN 'n' ELSE 'avg_price' END AS feature, 1 AS rank FROM c""")
+def q_reduce_panel_selection(spark, sf):
+    _, meta = rd.reduce_dimensions(_panel3(spark, sf), "revenue", ["n", "avg_price", "n2"], use_pca=False, feature_selection_method="f_regression",
+                                   top_n_features=1, keys=["o_orderpriority"])
+    return meta["selection"].select("o_orderpriority", "feature", "rank")
+
+
+@query("q_reduce_panel_pca", f"""
+WITH s AS (SELECT o_orderpriority, date, revenue, CAST(n AS DOUBLE) AS n, avg_price FROM ({F2_SQL})),
+m AS (SELECT o_orderpriority, AVG(n) AS ma, AVG(avg_price) AS mb, stddev_pop(n) AS sa, stddev_pop(avg_price) AS sb, corr(n, avg_price) AS r FROM s GROUP BY 1)
+SELECT o_orderpriority, date, {r('abs((n - ma) / sa + sign(r) * (avg_price - mb) / sb) / sqrt(2)', 6)} AS size FROM s JOIN m USING (o_orderpriority)""")
+def q_reduce_panel_pca(spark, sf):
+    """The first component of two columns per series; its sign is open where loadings tie, so sizes are compared."""
+    out, _ = rd.reduce_dimensions(f2(spark, sf), "revenue", ["n", "avg_price"], pca_variance_threshold=0.5, keys=["o_orderpriority"])
+    return rounded(out.select("o_orderpriority", "date", F.abs("PC1").alias("size")), 6)
+
+
+@query("q_mutual_info_panel", f"""
+WITH s AS (SELECT o_orderpriority AS k, CAST(n AS DOUBLE) AS x, revenue AS y FROM ({F2_SQL})),
+b AS (SELECT k, floor((rank() OVER (PARTITION BY k ORDER BY x) - 1) * 4 / COUNT(*) OVER (PARTITION BY k)) AS xb,
+             floor((rank() OVER (PARTITION BY k ORDER BY y) - 1) * 4 / COUNT(*) OVER (PARTITION BY k)) AS yb FROM s),
+j AS (SELECT k, xb, yb, COUNT(*)::DOUBLE AS nxy FROM b GROUP BY ALL),
+t AS (SELECT *, SUM(nxy) OVER (PARTITION BY k, xb) AS nx, SUM(nxy) OVER (PARTITION BY k, yb) AS ny, SUM(nxy) OVER (PARTITION BY k) AS nt FROM j)
+SELECT k AS o_orderpriority, 'n' AS feature, 0 AS position, {r('SUM(nxy / nt * ln(nxy * nt / (nx * ny)))', 6)} AS mi, 1 AS rank FROM t GROUP BY k""")
+def q_mutual_info_panel(spark, sf):
+    return rounded(rd.mutual_info_scores(f2(spark, sf), "revenue", ["n"], bins=4, keys=["o_orderpriority"]), 6)
+
+
+@query("q_lasso_panel_one_feature", f"""
+WITH s AS (SELECT o_orderpriority, CAST(n AS DOUBLE) AS x, revenue AS y FROM ({F2_SQL})),
+c AS (SELECT o_orderpriority, covar_pop(x, y) AS c, var_pop(x) AS v, AVG(x) AS mx, AVG(y) AS my FROM s GROUP BY 1),
+w AS (SELECT *, sign(c) * greatest(abs(c) - 1000.0, 0) / v AS w FROM c)
+SELECT o_orderpriority, {r('w', 4)} AS n, {r('my - w * mx', 2)} AS intercept FROM w""")
+def q_lasso_panel_one_feature(spark, sf):
+    out = md.fit_linear_per_series(f2(spark, sf), ["o_orderpriority"], ["n"], "revenue", 1000.0, "lasso")
+    return rounded(out, {"n": 4, "intercept": 2})
+
+
+@query("q_elasticnet_panel_two_features", f"""
+WITH s AS (SELECT o_orderpriority, CAST(n AS DOUBLE) AS x1, CAST(month(date) AS DOUBLE) AS x2, revenue AS y FROM ({F2_SQL})),
+c AS (SELECT o_orderpriority, var_pop(x1) + 0.5 AS a, covar_pop(x1, x2) AS b, var_pop(x2) + 0.5 AS d, covar_pop(x1, y) AS e, covar_pop(x2, y) AS f
+      FROM s GROUP BY 1),
+g AS (SELECT *, s1.s AS s1, s2.s AS s2 FROM c, (VALUES (-1.0), (0.0), (1.0)) s1(s), (VALUES (-1.0), (0.0), (1.0)) s2(s)),
+-- for each pair of signs the minimum with these signs; the one whose signs come out is the solution
+w AS (SELECT *, CASE WHEN s1 = 0 THEN 0 WHEN s2 = 0 THEN (e - 0.5 * s1) / a ELSE ((e - 0.5 * s1) * d - (f - 0.5 * s2) * b) / (a * d - b * b) END AS w1,
+                CASE WHEN s2 = 0 THEN 0 WHEN s1 = 0 THEN (f - 0.5 * s2) / d ELSE ((f - 0.5 * s2) * a - (e - 0.5 * s1) * b) / (a * d - b * b) END AS w2 FROM g),
+v AS (SELECT *, a * w1 * w1 / 2 + d * w2 * w2 / 2 + b * w1 * w2 - e * w1 - f * w2 + 0.5 * (abs(w1) + abs(w2)) AS loss FROM w WHERE sign(w1) = s1 AND sign(w2) = s2)
+SELECT o_orderpriority, {r('arg_min(w1, loss)', 4)} AS n, {r('arg_min(w2, loss)', 4)} AS m FROM v GROUP BY 1""")
+def q_elasticnet_panel_two_features(spark, sf):
+    d = f2(spark, sf).withColumn("m", F.month("date").cast("double"))
+    out = md.fit_linear_per_series(d, ["o_orderpriority"], ["n", "m"], "revenue", 1.0, "elasticnet", 0.5)
+    return rounded(out.select("o_orderpriority", "n", "m"), 4)
+
+
+# =============================================================== forecast tables, future frames, the direct job
+@query("q_future_hourly_regressor", """
+WITH h AS (SELECT date_trunc('hour', ts) AS ds, COUNT(*)::DOUBLE AS r FROM events GROUP BY 1),
+f AS (SELECT ds FROM h UNION ALL SELECT (SELECT MAX(ds) FROM h) + to_hours(i::INT) FROM range(1, 6) t(i))
+SELECT f.ds, floor(coalesce(h.r, (SELECT AVG(r) FROM h)) * 10000 + 0.5001::DOUBLE) / 10000 AS r FROM f LEFT JOIN h USING (ds)""")
+def q_future_hourly_regressor(spark, sf):
+    """Hours of the data and five more, each with the regressor of its hour."""
+    d = (S.table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("ds")).agg(F.count(F.lit(1)).cast("double").alias("r"))
+         .withColumn("y", F.col("r")))
+    cfg = fc.ForecastConfig(yearly_seasonality=False, n_changepoints=0, regressors=["r"])
+    return rounded(fc.AdditiveForecaster(cfg).make_future(d, 5, "h"))
+
+
+@query("q_reduce_repeated_dates", f"SELECT l_shipdate, {r('target', 2)} AS target, {r('l_quantity')} AS l_quantity, COUNT(*) AS times FROM ({F7_SQL}) GROUP BY ALL")
+def q_reduce_repeated_dates(spark, sf):
+    """A dropped feature comes back by the fallback; dates and targets repeat, rows don't multiply."""
+    df = S.lineitem_wide(spark, sf).select("l_shipdate", "target", "l_quantity", F.col("l_quantity").alias("copy"))
+    out, meta = rd.reduce_dimensions(df, "target", ["l_quantity", "copy"], "l_shipdate", use_pca=False, feature_selection_method="none")
+    assert meta["selected_features"] == ["l_quantity", "copy"]
+    out = out.where(F.col("copy") == F.col("l_quantity"))
+    return rounded(out.select("l_shipdate", "target", "l_quantity"), {"target": 2}).groupBy("l_shipdate", "target", "l_quantity").agg(
+        F.count(F.lit(1)).alias("times"))
+
+
+def _direct_small_sql(metrics: bool) -> str:
+    base = _forecast_small_sql([], "SELECT * FROM train", 2)
+    body = base[base.index("WITH s AS") + 5:base.index("\ne AS (SELECT")].rstrip().rstrip(",")
+    feats = base[base.index("revenue / ys AS y, ") + len("revenue / ys AS y, "):base.index("\n      FROM s CROSS JOIN g")]
+    own = f"""
+WITH d AS (SELECT date, COALESCE(CASE WHEN month(date) <> 5 THEN revenue END, AVG(CASE WHEN month(date) <> 5 THEN revenue END) OVER ()) AS revenue, n,
+           row_number() OVER (ORDER BY date) - 1 AS place, COUNT(*) OVER () AS size FROM ({F1_SQL})),
+train AS (SELECT date, revenue, n FROM d WHERE place < floor(size * (1.0::DOUBLE - 0.2::DOUBLE))),
+{body},
+q AS (SELECT date, revenue AS y, place, size, {feats}, ys FROM (SELECT *, CAST(date - DATE '1970-01-01' AS DOUBLE) AS day, CAST(n AS DOUBLE) AS reg FROM d) CROSS JOIN g),
+p AS (SELECT r.date, r.y, ({osql.predicted(6)}) * r.ys AS prediction, r.place >= floor(r.size * (1.0::DOUBLE - 0.2::DOUBLE)) AS late FROM q r CROSS JOIN lf c)"""
+    if metrics:
+        return own + f""",
+t AS (SELECT *, AVG(y) OVER () AS ybar FROM p WHERE late)
+SELECT CAST(COUNT(*) AS BIGINT) AS n, {_MET_SQL} FROM t"""
+    return own + f"""
+SELECT date AS ds, {r('prediction', 1)} AS yhat, {r('y', 2)} AS actual, CASE WHEN late THEN 'test' ELSE 'train' END AS part FROM p"""
+
+
+def _direct_small(spark, sf):
+    from almanac.plans.pipeline import run_direct
+    cfg = fc.ForecastConfig(yearly_seasonality=False, n_changepoints=2, regressors=["n"],
+                            seasonalities=[{"name": "quarterly", "period": 91.25, "fourier_order": 1}])
+    src = f1(spark, sf).withColumn("revenue", F.when(F.month("date") != 5, F.col("revenue")))
+    return run_direct(src, "revenue", "date", ["n", "missing"], config=cfg)
+
+
+@query("q_direct_job", _direct_small_sql(True))
+def q_direct_job(spark, sf):
+    """The direct job: mean-filled target, fit on four fifths, metrics of the rest (FC6, SNK5), with a narrow model."""
+    return rounded(_direct_small(spark, sf).metrics.drop("mse"), _MET_DIG)
+
+
+@query("q_direct_job_forecast", _direct_small_sql(False))
+def q_direct_job_forecast(spark, sf):
+    """Its forecast table with the part of every date (FC5, FC7)."""
+    return rounded(_direct_small(spark, sf).forecast.select("ds", "yhat", "actual", "part"), {"yhat": 1, "actual": 2})
+
+
+@query("q_load_and_prepare", f"""
+WITH s AS (SELECT date, CASE WHEN month(date) = 5 THEN NULL ELSE revenue END AS revenue, n, year(date) AS y, month(date) AS m FROM ({F1_SQL})),
+t AS (SELECT * FROM s WHERE date >= (SELECT MIN(date) FROM s WHERE revenue IS NOT NULL) AND date <= (SELECT MAX(date) FROM s WHERE revenue IS NOT NULL))
+SELECT date, {r('COALESCE(revenue, AVG(revenue) OVER ())', 2)} AS revenue, n, 'monthly' AS frequency FROM t""")
+def q_load_and_prepare(spark, sf):
+    """Frequency, trim, two-stage fill (a month of a year is its own group, so the series mean fills), calendar columns (PIP1)."""
+    from almanac.plans.pipeline import PipelineConfig, load_and_prepare
+    src = f1(spark, sf).select("date", F.when(F.month("date") != 5, F.col("revenue")).alias("revenue"), "n")
+    out, freq = load_and_prepare(src, PipelineConfig(target_col="revenue"))
+    assert {"year", "month"} <= set(out.columns)
+    return rounded(out.select("date", "revenue", F.col("n").cast("long").alias("n")), 2).withColumn("frequency", F.lit(freq))

@@ -69,11 +69,6 @@ def create_date_features(df: DataFrame, date_col: str = "date") -> DataFrame:
     return out.withColumns({n: e for n, e in cyc.items() if n not in have})
 
 
-def period_start(d: Column, freq: str) -> Column:
-    unit = {"MS": "month", "QS": "quarter", "YS": "year", "monthly": "month", "quarterly": "quarter", "annual": "year"}[freq]
-    return F.trunc(d, unit)
-
-
 def spine(spark: SparkSession, start, end, freq: str = "MS", name: str = "date") -> DataFrame:
     """Calendar of period starts from the first start on/after ``start`` to ``end`` (FRQ5).
 

@@ -73,6 +73,13 @@ def box_cox(x: Column, lam) -> Column:
     return F.when(F.abs(lam) < LAMBDA_EPS, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
+def box_cox_by_lambda(x: Column, lam: Column) -> Column:
+    """Derivative of Box-Cox by lambda; near 0 by its series in ln x."""
+    ln = F.log(x)
+    near = ln * ln * (F.lit(0.5) + lam * ln * (F.lit(1 / 3) + lam * ln / 8))
+    return F.when(F.abs(lam) < 1e-4, near).otherwise((F.pow(x, lam) * (lam * ln - 1) + 1) / (lam * lam))
+
+
 def yeo_johnson(x: Column, lam) -> Column:
     """Yeo-Johnson of any real x (MTH9)."""
     lam = _c(lam)

@@ -41,17 +41,6 @@ def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip]
 
 
-def measure_columns(df: DataFrame, date_col: str | None = None, target: str | None = None,
-                    calendar: Sequence[str] = CALENDAR_COLUMNS, keys: Sequence[str] = ()) -> list[str]:
-    """Numeric columns that are measures: not the date, target, series keys or calendar columns."""
-    skip = set(calendar) | set(keys)
-    if date_col:
-        skip.add(date_col)
-    if target:
-        skip.add(target)
-    return numeric_columns(df, skip)
-
-
 def name_matches(columns: Iterable[str], words: Sequence[str]) -> list[str]:
     """Columns whose name contains any of ``words`` (PRJ2)."""
     return [c for c in columns if any(w in c for w in words)]
@@ -79,8 +68,3 @@ def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
         F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)).alias(c) if c in cols else F.col(c)
         for c in df.columns
     ])
-
-
-def to_double(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    cols = set(columns)
-    return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])

@@ -27,12 +27,14 @@ from almanac.plans.ordered import colocate_series
 PARTIAL_CELLS = 16_000_000
 MODELS = ("linear", "ridge", "lasso", "elasticnet")
 SWEEPS = 20_000
+#: Segments that hold something else of a series: the shifts of its columns (in si), which of them are kept (n: 1 or 0).
+SHIFTS, KEPT = -1, -2
 
 
 @dataclass
 class Moments:
     """``table``: k0.., seg, i, j (i <= j) and over the rows that have both columns n, si, sj, q (product); columns are
-    shifted by ``shift`` (a number per series and column, NaN where a series has none)."""
+    shifted by a number per series and column, which segment SHIFTS holds."""
 
     table: DataFrame
     keys: list[str]
@@ -83,7 +85,7 @@ def moments(df: DataFrame, keys: Sequence[str], columns: Sequence[Column], segme
     shifts = means.as_table(df.sparkSession) if keys else df.sparkSession.createDataFrame([means.row], ", ".join(f"m{i} double" for i in range(p)))
     body = ", ".join(f"{i}, m{i}" for i in range(p))
     long = shifts.select(*ks, F.expr(f"stack({p}, {body}) as (i, si)"))
-    table = table.unionByName(long.select(*ks, F.lit(-1).alias("seg"), "i", F.col("i").alias("j"), F.lit(0.0).alias("n"), "si",
+    table = table.unionByName(long.select(*ks, F.lit(SHIFTS).alias("seg"), "i", F.col("i").alias("j"), F.lit(0.0).alias("n"), "si",
                                           F.lit(0.0).alias("sj"), F.lit(0.0).alias("q")))
     return Moments(table, keys, [df.schema[k].dataType for k in keys], p)
 
@@ -110,7 +112,7 @@ def running_sums(pdf: pd.DataFrame, p: int, segments: int | None = None) -> list
     segments from the first that does."""
     n, s, q = np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p))
     seg = pdf["seg"].to_numpy()
-    of = pdf[seg < 0]
+    of = pdf[seg == SHIFTS]
     shift = np.zeros(p)
     shift[of["i"].to_numpy()] = np.nan_to_num(of["si"].to_numpy(dtype=float))
     out = []
@@ -240,14 +242,31 @@ COMPONENT = [T.StructField("component", T.IntegerType()), T.StructField("explain
              T.StructField("means", T.ArrayType(T.DoubleType())), T.StructField("scales", T.ArrayType(T.DoubleType()))]
 
 
-def components(mom: Moments, standardize: bool = True) -> DataFrame:
+def components(mom: Moments, standardize: bool = True, kept: DataFrame | None = None) -> DataFrame:
     """Principal components per series: keys, component (from 1), explained_variance_ratio, cumulative, loadings (the largest
-    positive), means and scales. Missing values count as the mean. Columns that do not vary have loading 0."""
+    positive), means and scales. Missing values count as the mean; columns that do not vary, and where ``kept`` (keys, position,
+    kept) is given those not kept, have loading 0."""
     p = mom.p  # not the table: solve runs in the workers
+    if kept is not None:
+        flags = kept.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(mom.keys)], F.lit(KEPT).alias("seg"), F.col("position").cast("int").alias("i"),
+                            F.col("position").cast("int").alias("j"), F.col("kept").cast("double").alias("n"), *[F.lit(0.0).alias(c) for c in ("si", "sj", "q")])
+        mom = Moments(mom.table.unionByName(flags), mom.keys, mom.key_types, p)
 
     def solve(pdf: pd.DataFrame) -> list[tuple]:
-        sums = running_sums(pdf, p)[-1][1]
-        return principal(*sums.centred(), standardize)
+        sums = running_sums(pdf, p)
+        if not sums:
+            return []
+        rows, means, g = sums[-1][1].centred()
+        flags = pdf[pdf["seg"] == KEPT]
+        use = np.sort(flags["i"].to_numpy()[flags["n"].to_numpy() > 0]) if len(flags) else np.arange(p)
+        if not len(use):
+            return []
+        out = []
+        for c, ratio, upto, v, _, scales in principal(rows[use], means[use], g[np.ix_(use, use)], standardize):
+            full, scaled = np.zeros(p), np.ones(p)
+            full[use], scaled[use] = v, scales
+            out.append((c, ratio, upto, full.tolist(), np.nan_to_num(means).tolist(), scaled.tolist()))
+        return out
 
     return per_series(mom, solve, COMPONENT)
 

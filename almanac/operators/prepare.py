@@ -76,6 +76,23 @@ def frequency_of(df: DataFrame, date_col: str = "date") -> str:
     return row["frequency"] if row else "unknown"
 
 
+#: Period starts by detected frequency, and other steps by the greatest median gap in days they stand for.
+STEPS = {"monthly": "MS", "quarterly": "QS", "annual": "YS"}
+GAPS = ((3.0, "D"), (24.0, "W"), (60.0, "MS"), (200.0, "QS"))
+
+
+def step_of(df: DataFrame, date_col: str = "date", keys: Sequence[str] = ()) -> str:
+    """The step of :func:`future_frame` that continues the dates: of the frequency, else of the median spacing (of the most common
+    frequency, where series differ); hours for time stamps less than a day apart."""
+    found = (detect_frequency(df, date_col, keys).groupBy("frequency").agg(F.count(F.lit(1)).alias("m"), F.avg("median_days").alias("days"))
+             .orderBy(F.desc("m"), "frequency").first())
+    if found is None or found["frequency"] in STEPS or found["days"] is None:
+        return STEPS.get(found["frequency"], "MS") if found else "MS"
+    if found["days"] < 0.5 and isinstance(df.schema[date_col].dataType, (T.TimestampType, T.TimestampNTZType)):
+        return "h"
+    return next((step for most, step in GAPS if found["days"] <= most), "YS")
+
+
 # ------------------------------------------------------------------ FRQ2-FRQ4
 def align_to_monthly(df: DataFrame, frequency: str, date_col: str = "date", check_empty: bool = True) -> DataFrame:
     """Repeat quarterly / annual values over the months they stand for (values are not

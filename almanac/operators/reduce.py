@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 
 from almanac.functions.schema import CALENDAR_COLUMNS, numeric_columns
 from almanac.operators import gram
-from almanac.operators.stats import corr_pairs, pearson
+from almanac.operators.stats import corr_pairs, exact_cuts, pearson
 from almanac.plans.fitted import Fitted, sql_literal
-from almanac.plans.ordered import series_plan
+from almanac.plans.ordered import join_on_keys, series_plan
+from almanac.plans.staged import staged
 
 log = logging.getLogger(__name__)
 
@@ -34,21 +35,25 @@ def mean_impute(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ())
 
 
 # ------------------------------------------------------------------ DIM1
-def correlation_filter(df: DataFrame, columns: Sequence[str], threshold: float = 0.95, impute: bool = True) -> DataFrame:
-    """Per column in the given order: dropped if its absolute correlation with any earlier
+def correlation_filter(df: DataFrame, columns: Sequence[str], threshold: float = 0.95, impute: bool = True,
+                       keys: Sequence[str] = ()) -> DataFrame:
+    """Per series and column in the given order: dropped if its absolute correlation with any earlier
     column exceeds the threshold (earlier columns count even when dropped themselves);
-    NaN correlations never drop. Returns (feature, position, max_abs_corr, kept)."""
-    cols = list(columns)
-    data = mean_impute(df, cols) if impute else df
-    pairs = corr_pairs(data, cols, absolute=True)
-    pos = {c: i for i, c in enumerate(cols)}
+    NaN correlations never drop. Returns (keys..., feature, position, max_abs_corr, kept)."""
+    keys, cols = list(keys), list(columns)
+    ks = [f"k{i}" for i in range(len(keys))]
+    data = mean_impute(df, cols, keys) if impute else df
+    data = data.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], *cols) if keys else data
+    pairs = corr_pairs(data, cols, ks, absolute=True)
     spark = df.sparkSession
-    order = spark.createDataFrame([(c, i) for c, i in pos.items()], "feature string, position int")
+    names = spark.createDataFrame([(c, i) for i, c in enumerate(cols)], "feature string, position int")
     r = F.nanvl(F.col("r"), F.lit(None).cast("double"))
-    worst = pairs.groupBy(F.col("b").alias("feature")).agg(F.max(r).alias("max_abs_corr"))
-    out = order.join(worst, "feature", "left")
+    worst = pairs.groupBy(*ks, F.col("b").alias("feature")).agg(F.max(r).alias("max_abs_corr"))
+    every = names if not keys else data.select(*ks).distinct().withColumn(
+        "f", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position")) for i, c in enumerate(cols)]))).select(*ks, "f.*")
+    out = join_on_keys(every, worst, [*ks, "feature"], "left")
     kept = F.coalesce(~(F.col("max_abs_corr") > threshold), F.lit(True))
-    return out.select("feature", "position", "max_abs_corr", kept.alias("kept"))
+    return out.select(*[F.col(a).alias(k) for a, k in zip(ks, keys)], "feature", "position", "max_abs_corr", kept.alias("kept"))
 
 
 def kept_features(filter_table: DataFrame) -> list[str]:
@@ -56,27 +61,26 @@ def kept_features(filter_table: DataFrame) -> list[str]:
 
 
 # ------------------------------------------------------------------ DIM6
-def f_regression_scores(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    """F = r^2 / (1 - r^2) * (n - 2) per feature, ranked descending (NaN last, r = +-1 first).
-    Columns: feature, position, r, f_score, rank."""
-    feats = list(features)
-    both = [F.col(target).isNotNull() & F.col(c).isNotNull() for c in feats]
+def f_regression_scores(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """F = r^2 / (1 - r^2) * (n - 2) per feature and series, ranked descending (NaN last, r = +-1 first).
+    Columns: keys..., feature, position, r, f_score, rank."""
+    keys, feats = list(keys), list(features)
+    ks = [f"k{i}" for i in range(len(keys))]
     aggs = []
-    for c, ok in zip(feats, both):
-        aggs += [pearson(F.col(c), F.col(target)).alias(f"r{feats.index(c)}"),
-                 F.count(F.when(ok, 1)).alias(f"n{feats.index(c)}")]
-    wide = df.agg(*aggs)
-    body = ", ".join(f"'{c}', {i}, r{i}, n{i}" for i, c in enumerate(feats))
-    long = wide.select(F.expr(f"stack({len(feats)}, {body}) as (feature, position, r, n)"))
+    for i, c in enumerate(feats):
+        aggs += [pearson(F.col(c), F.col(target)).alias(f"r{i}"),
+                 F.count(F.when(F.col(target).isNotNull() & F.col(c).isNotNull(), 1)).alias(f"n{i}")]
+    wide = df.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, ks)]).agg(*aggs)
+    body = ", ".join(f"{i}, r{i}, n{i}" for i in range(len(feats)))
+    long = wide.select(*ks, F.expr(f"stack({len(feats)}, {body}) as (position, r, n)"))
     r = F.nanvl(F.col("r"), F.lit(None).cast("double"))
     f = F.when(F.abs(r) == 1, F.lit(float("inf"))).otherwise(r * r / (F.lit(1.0) - r * r) * (F.col("n") - 2))
-    long = long.select("feature", F.col("position").cast("int").alias("position"), r.alias("r"), f.alias("f_score"))
+    long = long.select(*ks, "position", r.alias("r"), f.alias("f_score"))
     # rank on F rounded to 1e-6 (monotone copies of a feature tie exactly in theory and only
     # differ by summation order); very large or infinite scores rank as they are
     fs = F.col("f_score")
     key = F.when(fs > 1e12, fs).otherwise(F.floor(fs * 1e6 + 0.5).cast("double"))
-    w = Window.orderBy(F.desc_nulls_last(key), "position")  # p rows, not data rows
-    return long.withColumn("rank", F.row_number().over(w))
+    return _ranked(long, df, keys, feats, key, ["r", "f_score"])
 
 
 # ------------------------------------------------------------------ DIM5
@@ -93,37 +97,60 @@ def equal_frequency_bin(df: DataFrame, keys: Sequence[str], value: str, bins: in
 
 
 def mutual_info_scores(df: DataFrame, target: str, features: Sequence[str], bins: int = 10,
-                       block_rows: int | None = None) -> DataFrame:
+                       block_rows: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Binned mutual information (nats) between each feature and the target, equal-frequency
-    bins; ranked descending. Columns: feature, position, mi, rank. Re-aimed from a
+    bins, per series; ranked descending. Columns: keys..., feature, position, mi, rank. Re-aimed from a
     nearest-neighbour estimator: deterministic and a plain group aggregate.
 
-    The target's bin is computed on the row first and carried through the unpivot, so the
-    features' bins need no join back to the rows: two sorts and one aggregate in all."""
-    feats = list(features)
-    d = mean_impute(df, [*feats, target])
-    d = d.select(*[F.col(c).cast("double").alias(c) for c in feats], F.col(target).cast("double").alias("__y"))
-    d = equal_frequency_bin(d, [], "__y", bins, "ybin", block_rows)
-    body = ", ".join(f"'{c}', `{c}`" for c in feats)
-    long = d.select("ybin", F.expr(f"stack({len(feats)}, {body}) as (feature, v)"))
-    long = equal_frequency_bin(long, ["feature"], "v", bins, "bin", block_rows)
-    joint = long.groupBy("feature", "bin", "ybin").agg(F.count(F.lit(1)).alias("nxy"))
-    wx = Window.partitionBy("feature", "bin")      # joint table: at most bins^2 rows per feature
-    wy = Window.partitionBy("feature", "ybin")
-    wt = Window.partitionBy("feature")
-    t = joint.select("feature", "nxy", F.sum("nxy").over(wx).alias("nx"), F.sum("nxy").over(wy).alias("ny"),
+    Without keys the bins' exact cuts are found first (:func:`~almanac.operators.stats.exact_cuts`), a row's bins are comparisons with
+    them, and one aggregate counts (feature, bin, target's bin); no value is sorted. With keys the rows are ranked per series."""
+    keys, feats = list(keys), list(features)
+    ks = [f"k{i}" for i in range(len(keys))]
+    d = mean_impute(df, [*feats, target], keys)
+    xs = [f"x{i}" for i in range(len(feats))]
+    d = d.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], *[F.col(c).cast("double").alias(x) for c, x in zip(feats, xs)],
+                 F.col(target).cast("double").alias("y"))
+    if keys:
+        d = equal_frequency_bin(d, ks, "y", bins, "ybin", block_rows)
+        body = ", ".join(f"{i}, {x}" for i, x in enumerate(xs))
+        long = d.select(*ks, "ybin", F.expr(f"stack({len(xs)}, {body}) as (position, v)"))
+        long = equal_frequency_bin(long, [*ks, "position"], "v", bins, "bin", block_rows)
+    else:
+        cuts = exact_cuts(d, [*xs, "y"], bins)
+        place = {c: sum(((F.col(c) > v).cast("int") for v in at), F.lit(0)) for c, at in cuts.items()}
+        body = ", ".join(f"{i}, {x}" for i, x in enumerate(xs))
+        long = (d.where("y IS NOT NULL").select(place["y"].alias("ybin"), *[F.when(F.col(x).isNotNull(), place[x]).alias(x) for x in xs])
+                .select("ybin", F.expr(f"stack({len(xs)}, {body}) as (position, bin)")).where("bin IS NOT NULL"))
+    at = [*ks, "position"]
+    joint = long.groupBy(*at, "bin", "ybin").agg(F.count(F.lit(1)).alias("nxy"))
+    wx = Window.partitionBy(*at, "bin")      # joint table: at most bins^2 rows per feature
+    wy = Window.partitionBy(*at, "ybin")
+    wt = Window.partitionBy(*at)
+    t = joint.select(*at, "nxy", F.sum("nxy").over(wx).alias("nx"), F.sum("nxy").over(wy).alias("ny"),
                      F.sum("nxy").over(wt).alias("nt"))
     pxy = F.col("nxy") / F.col("nt")
     term = pxy * F.log(F.col("nxy") * F.col("nt") / (F.col("nx") * F.col("ny")))
-    mi = t.groupBy("feature").agg(F.sum(term).alias("mi"))
-    spark = df.sparkSession
-    pos = spark.createDataFrame([(c, i) for i, c in enumerate(feats)], "feature string, position int")
-    out = pos.join(mi, "feature", "left")
+    mi = t.groupBy(*at).agg(F.sum(term).alias("mi"))
     # rank on mi rounded to 1e-10: equal scores (e.g. monotone copies of a feature) differ
     # only in summation order, and then the earlier feature wins
     key = F.floor(F.col("mi") * 1e10 + 0.5)
-    w = Window.orderBy(F.desc_nulls_last(key), "position")  # p rows
-    return out.withColumn("rank", F.row_number().over(w))
+    return _ranked(mi, df, keys, feats, key, ["mi"])
+
+
+def _ranked(scores: DataFrame, df: DataFrame, keys: list[str], feats: list[str], by, values: list[str]) -> DataFrame:
+    """Scores (k0.., position, values) with feature names and a rank per series, every feature of every series."""
+    ks = [f"k{i}" for i in range(len(keys))]
+    spark = df.sparkSession
+    names = spark.createDataFrame([(c, i) for i, c in enumerate(feats)], "feature string, position int")
+    if not keys:
+        every = names
+    else:  # one row per series and feature
+        body = ", ".join(str(i) for i in range(len(feats)))
+        every = df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)]).distinct().withColumn("position", F.expr(f"explode(array({body}))"))
+        every = every.join(F.broadcast(names), "position")  # p names
+    out = join_on_keys(every, scores, [*ks, "position"], "left")
+    w = Window.partitionBy(*ks).orderBy(F.desc_nulls_last(by), "position")  # p rows a series
+    return out.select(*[F.col(a).alias(k) for a, k in zip(ks, keys)], "feature", "position", *values, F.row_number().over(w).alias("rank"))
 
 
 # ------------------------------------------------------------------ DIM7
@@ -234,10 +261,17 @@ def reduce_dimensions(df: DataFrame, target_col: str, feature_cols: Sequence[str
                       feature_selection_method: str = "mutual_info", top_n_features: int = 10,
                       lasso_alpha: float = 0.01, keys: Sequence[str] = ()) -> tuple[DataFrame, dict]:
     """Correlation filter, optional PCA, feature selection with the reference's fallbacks.
-    The result keeps date and target plus the PCA scores or the filtered features."""
+    The result keeps date and target plus the PCA scores or the filtered features.
+
+    With ``keys`` every series has its own filter, components and selection; they are tables in the metadata (``filter``, ``pca``,
+    ``selection``), and ``selected_features`` is what any series selects. A feature that a series does not keep, and a
+    component beyond its own, is 0 there, so it has no part in a model of that series."""
     if feature_cols is None:
         feature_cols = numeric_columns(df, [date_col, target_col, *CALENDAR_COLUMNS, *keys])
     feats = [c for c in feature_cols if c in df.columns]
+    if keys:
+        return _reduce_panel(df, target_col, feats, date_col, list(keys), use_pca, pca_variance_threshold, feature_selection_method,
+                             top_n_features, lasso_alpha)
     data = mean_impute(df, feats)
     filt = correlation_filter(data, feats, impute=False)
     kept = kept_features(filt)
@@ -263,11 +297,49 @@ def reduce_dimensions(df: DataFrame, target_col: str, feature_cols: Sequence[str
     return result, meta
 
 
-#: Score table and the condition on it that selects, by method.
+def _reduce_panel(df: DataFrame, target: str, feats: list[str], date_col: str, keys: list[str], use_pca: bool, threshold: float,
+                  method: str, top: int, alpha: float) -> tuple[DataFrame, dict]:
+    data = staged(mean_impute(df, feats, keys), "reduce-rows")
+    filt = staged(correlation_filter(data, feats, impute=False, keys=keys), "reduce-filter")  # p rows a series
+    meta: dict = {"original_features": feats, "pca_applied": False, "feature_selection_method": method, "filter": filt}
+    base = [c for c in (*keys, date_col, target) if c in df.columns]
+    if use_pca:
+        comps = gram.components(gram.moments(data, keys, [F.col(c) for c in feats]), kept=filt)
+        enough = F.coalesce(F.lag("cumulative").over(Window.partitionBy(*keys).orderBy("component")), F.lit(0.0)) < threshold
+        comps = staged(comps.withColumn("used", enough), "reduce-components")  # at most p rows a series
+        most = comps.where("used").agg(F.max("component")).first()[0] or 0
+        lines = (comps.where("used").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("component", "loadings"))).alias("__lines"),
+                                                        F.first("means").alias("__means"), F.first("scales").alias("__scales")))
+        based = join_on_keys(data, lines, keys, "left")
+        z = F.array(*[(F.col(c).cast("double") - F.col("__means")[i]) / F.col("__scales")[i] for i, c in enumerate(feats)])
+        dot = "aggregate(zip_with(get(__lines, {j}).loadings, __z, (a, b) -> a * b), 0.0D, (s, v) -> s + v)"
+        names = [f"PC{j + 1}" for j in range(most)]
+        result = based.withColumn("__z", z).select(*base, *[F.coalesce(F.expr(dot.format(j=j)), F.lit(0.0)).alias(n) for j, n in enumerate(names)])
+        meta.update(pca_applied=True, pca=comps, pca_components=names, n_components_used=most)
+        avail = names
+    else:
+        wide = filt.groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == c, F.col("kept"))).alias(f"__k{i}") for i, c in enumerate(feats)])
+        based = join_on_keys(df, wide, keys, "left")
+        some = {r["feature"] for r in filt.where("kept").select("feature").distinct().collect()}  # names of columns
+        avail = [c for c in feats if c in some]
+        result = based.select(*[c for c in base if c not in avail],
+                              *[F.when(F.col(f"__k{feats.index(c)}"), F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in avail])
+    result = staged(result, "reduced")
+    if method not in SELECTORS:
+        log.warning("unknown feature selection method %r", method)
+        meta.update(selection=None, selected_features=avail[:top])
+        return result, meta
+    chosen = staged(SELECTORS[method](result, target, avail, top, alpha, keys), "reduce-selection")
+    some = {r["feature"] for r in chosen.select("feature").distinct().collect()}
+    meta.update(selection=chosen, selected_features=[c for c in avail if c in some] or avail[:top])
+    return result, meta
+
+
+#: Rows of the score table that are selected, by method.
 SELECTORS = {
-    "mutual_info": lambda df, y, x, top, alpha: mutual_info_scores(df, y, x).where(F.col("rank") <= top).orderBy("rank"),
-    "f_regression": lambda df, y, x, top, alpha: f_regression_scores(df, y, x).where(F.col("rank") <= top).orderBy("rank"),
-    "lasso": lambda df, y, x, top, alpha: lasso_selection(df, y, x, alpha).where("selected"),
+    "mutual_info": lambda df, y, x, top, alpha, keys=(): mutual_info_scores(df, y, x, keys=keys).where(F.col("rank") <= top).orderBy("rank"),
+    "f_regression": lambda df, y, x, top, alpha, keys=(): f_regression_scores(df, y, x, keys).where(F.col("rank") <= top).orderBy("rank"),
+    "lasso": lambda df, y, x, top, alpha, keys=(): lasso_selection(df, y, x, alpha, keys).where("selected"),
 }
 
 

@@ -6,6 +6,7 @@ a hot group is never held in one task's memory."""
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, colocate_series, join_on_keys, series_plan
+from almanac.plans.staged import staged
 from almanac.session import ensure_checkpoint_dir
 
 #: Matrix cells that a task holds at most (128 MB) before it hands its partial sums on.
@@ -55,6 +57,80 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
     return d.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
 
 
+#: Relative rank error of the sketches that bracket a cut, rows between two brackets that are ranked at once.
+CUT_ACCURACY, CUT_ROWS = 10_000, 100_000
+
+
+def exact_cuts(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Upper ends of all but the last of ``bins`` equal-frequency bins of each column, exactly: the values at 0-based ranks
+    ceil(j n / bins) - 1 of its n values, NULLs left out and NaN taken for infinity. No column is sorted: a sketch brackets every cut, one pass counts
+    the values at and between the brackets, and only values that lie in the gap with the cut are ranked; a gap
+    of more than ``CUT_ROWS`` values is bracketed again. What reaches the driver are counts of columns x cuts."""
+    cols = list(columns)
+    value = lambda c: F.col(c).cast("double")
+    d = staged(df.select(*[F.when(F.isnan(value(c)), float("inf")).otherwise(value(c)).alias(f"c{i}") for i, c in enumerate(cols)]), "cuts")
+    probs = sorted({min(1.0, max(0.0, j / bins + e / CUT_ACCURACY)) for j in range(1, bins) for e in (-3, 3)})
+    first = d.agg(*[F.percentile_approx(f"c{i}", probs, CUT_ACCURACY).alias(f"b{i}") for i in range(len(cols))]).first()
+    bounds = [sorted(set(first[f"b{i}"] or [])) for i in range(len(cols))]
+    cuts: list[list] = [[] for _ in cols]
+    while True:
+        held = _counted(d, bounds)
+        gaps: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (column, gap): (cut, rank in the gap)
+        for i, counts in enumerate(held):
+            n, at = sum(counts), 0
+            cuts[i] = [None] * (bins - 1 if n else 0)
+            upto = list(itertools.accumulate(counts))
+            for j in range(len(cuts[i])):
+                rank = -(-(j + 1) * n // bins) - 1
+                while upto[at] <= rank:
+                    at += 1
+                if at % 2:  # values that equal a bound
+                    cuts[i][j] = bounds[i][at // 2]
+                else:
+                    gaps.setdefault((i, at // 2), []).append((j, rank - (upto[at] - counts[at])))
+        wide = [g for g in gaps if held[g[0]][2 * g[1]] > CUT_ROWS]
+        if not wide:
+            break
+        probs = [k / 200 for k in range(1, 200)]
+        inner = d.agg(*[F.percentile_approx(F.when(_in_gap(i, g, bounds[i]), F.col(f"c{i}")), probs, CUT_ACCURACY).alias(f"g{t}")
+                        for t, (i, g) in enumerate(wide)]).first()
+        for t, (i, _) in enumerate(wide):
+            bounds[i] = sorted({*bounds[i], *inner[f"g{t}"]})
+    if gaps:
+        values = d.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.when(_in_gap(i, g, bounds[i]), F.col(f"c{i}")).alias("v"))
+                                              for t, (i, g) in enumerate(gaps)])).alias("s")).select("s.*").where("v IS NOT NULL")
+        ranked = values.groupBy("t", "v").count().withColumn("upto", F.sum("count").over(Window.partitionBy("t").orderBy("v")))
+        wanted = {t: ranks for t, ranks in enumerate(gaps.values())}
+        hit = reduce(lambda a, b: a | b, [(F.col("t") == t) & (F.col("upto") - F.col("count") <= r) & (F.col("upto") > r)
+                                          for t, ranks in wanted.items() for _, r in ranks])
+        found = ranked.where(hit).collect()  # at most one row a cut
+        for t, (i, _) in enumerate(gaps):
+            for j, r in wanted[t]:
+                cuts[i][j] = next(x["v"] for x in found if x["t"] == t and x["upto"] - x["count"] <= r < x["upto"])
+    return dict(zip(cols, cuts))
+
+
+def _in_gap(i: int, gap: int, bounds: list[float]) -> Column:
+    """Whether a value of column ``i`` lies between the bounds around ``gap``."""
+    low = F.col(f"c{i}") > bounds[gap - 1] if gap else F.lit(True)
+    return low & (F.col(f"c{i}") < bounds[gap]) if gap < len(bounds) else low & F.col(f"c{i}").isNotNull()
+
+
+def _counted(d: DataFrame, bounds: list[list[float]]) -> list[list[int]]:
+    """Values per column in the gaps (even places) and at the bounds (odd places)."""
+    places = []
+    for i, b in enumerate(bounds):
+        arr = F.array(*[F.lit(float(x)) for x in b]).cast("array<double>")
+        v = F.col(f"c{i}")
+        place = F.size(F.filter(arr, lambda x: x < v)) + F.size(F.filter(arr, lambda x: x <= v))  # noqa: B023
+        places.append(F.struct(F.lit(i).alias("i"), F.when(v.isNotNull(), place).alias("place")))
+    counts = d.select(F.explode(F.array(*places)).alias("s")).select("s.*").where("place IS NOT NULL").groupBy("i", "place").count().collect()
+    out = [[0] * (2 * len(b) + 1) for b in bounds]
+    for r in counts:
+        out[r["i"]][r["place"]] = r["count"]
+    return out
+
+
 def exact_quantiles(df: DataFrame, group: Sequence[str], col: str, probs: Sequence[float],
                     names: Sequence[str] | None = None, block_rows: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group (numpy / pandas default), exact."""

@@ -3,8 +3,8 @@
 State is kept per (series, column, step): offsets, means, scales and lambdas in a small
 per-series table (or literals for a single series) and the first ``k`` values of each
 series for the differences. Every step with data-dependent parameters costs one
-aggregate over all columns; maximum-likelihood lambdas cost five more (a grid of 41 steps,
-refined around the best one, all columns in the same aggregate)."""
+aggregate over all columns; maximum-likelihood lambdas cost about a dozen more over the columns alone, written
+once: each pass narrows the root of the likelihood's derivative with two sums a column and reads a row once."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from almanac.functions import formulas as fx
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
+from almanac.plans.staged import staged
 from almanac.session import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
@@ -30,60 +31,111 @@ KINDS = ("log", "sqrt", "diff", "seasonal_diff", "standardize", "normalize", "bo
 
 # ------------------------------------------------------------------ lambda by maximum likelihood
 def fit_lambda(df: DataFrame, keys: Sequence[str], xs: dict[str, Column], kind: str,
-               passes: int = 5, points: int = 20, half_width: float = 5.0) -> Fitted:
+               passes: int = 40, half_width: float = 5.0, tolerance: float = 1e-8) -> Fitted:
     """Lambda maximising the Box-Cox or Yeo-Johnson profile log-likelihood per series and
     column. ``xs`` maps a column name to the (already offset) values. Returns a Fitted
-    holding ``{name}__lam``; values that do not vary have no best lambda and get 1. The
-    first grid is widened until no best value lies on its edge. With keys every pass is
-    checkpointed (one row per series), so no pass repeats the ones before."""
-    keys = list(keys)
+    holding ``{name}__lam``; values that do not vary have no best lambda and get 1.
+
+    The derivative of the likelihood is ``S - n cov(y, y') / var(y)`` (y the transformed values, y' their derivative by lambda, S
+    the sum of the log scale): a bracket is widened until the derivative changes sign in it, then narrowed by
+    regula falsi (halving the value of an end that stays, as Illinois does). A pass is one aggregate over all columns; with
+    keys its result, one row a series, is checkpointed."""
+    keys, names = list(keys), list(xs)
     if keys:
         ensure_checkpoint_dir(df.sparkSession)
-    best = _refine(df, keys, xs, kind, None, half_width / points, points)
-    while half_width < MAX_HALF_WIDTH and _at_edge(best, keys, xs, half_width):
+    ks = [f"k{i}" for i in range(len(keys))]
+    d = staged(df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)],
+                         *[x.cast("double").alias(f"x{i}") for i, x in enumerate(xs.values())]), "lambda-rows")
+    search = _Search(d, ks, len(names), kind)
+    state = search.start(half_width)
+    while half_width < MAX_HALF_WIDTH and search.most(state, "open") > 0:
         half_width *= 2
-        best = _refine(df, keys, xs, kind, None, half_width / points, points)
-    step = half_width / points
-    for _ in range(passes - 1):
-        step /= points
-        best = _refine(df, keys, xs, kind, best, step, points)
-    return best
-
-
-def _at_edge(found: Fitted, keys: list[str], xs: dict[str, Column], half_width: float) -> bool:
+        state = search.start(half_width)
+    for _ in range(passes):
+        state = search.narrow(state)
+        if search.most(state, "step") < tolerance:
+            break
+    lams = {f"{n}__lam": f"at{i}" for i, n in enumerate(names)}
     if not keys:
-        return any(abs(found.row[f"{n}__lam"]) >= half_width * (1 - 1e-9) for n in xs)
-    far = reduce(lambda a, b: a | b, [F.abs(f"{n}__lam") >= half_width * (1 - 1e-9) for n in xs])
-    return found.table.where(far).limit(1).count() > 0
-
-
-def _refine(df: DataFrame, keys: list[str], xs: dict[str, Column], kind: str, centers: Fitted | None, step: float,
-            points: int) -> Fitted:
-    """One pass: every row meets the ``2 * points + 1`` grid steps inside its task, (series, step) pairs are
-    summed before the shuffle, and the best step is taken per series."""
-    if centers is None:
-        base, prm, drop = df, {f"{n}__lam": F.lit(0.0) for n in xs}, []
-    else:
-        base, prm, drop = centers.attach(df)
-    long = base.select(*keys, *[x.cast("double").alias(f"__x_{n}") for n, x in xs.items()],
-                       *[prm[f"{n}__lam"].alias(f"__c_{n}") for n in xs],
-                       F.explode(F.sequence(F.lit(-points), F.lit(points))).alias("__j"))
-    aggs = []
-    for n in xs:
-        x, lam = F.col(f"__x_{n}"), F.col(f"__c_{n}") + F.lit(step) * F.col("__j")
-        y = fx.box_cox(x, lam) if kind == "box_cox" else fx.yeo_johnson(x, lam)
-        s = F.log(x) if kind == "box_cox" else F.signum(x) * F.log1p(F.abs(x))
-        aggs += [F.max(lam).alias(f"__l_{n}"), F.count(x).alias(f"__n_{n}"), F.sum(s).alias(f"__s_{n}"),
-                 F.var_pop(y).alias(f"__v_{n}")]
-    grid = long.groupBy(*keys, "__j").agg(*aggs)
-    tops = []
-    for n in xs:
-        lam, v = F.col(f"__l_{n}"), F.col(f"__v_{n}")
-        llf = F.when((v > 0) & ~F.isnan(v), (lam - 1) * F.col(f"__s_{n}") - F.col(f"__n_{n}") / 2 * F.log(v))
-        top = F.max(F.when(llf.isNotNull() & ~F.isnan(llf), F.struct(llf.alias("l"), lam.alias("v"))))
-        tops.append(F.coalesce(top["v"], F.lit(1.0)).alias(f"{n}__lam"))
-    out = grid.groupBy(*keys).agg(*tops)
-    return Fitted(keys, table=out).materialize() if keys else Fitted(keys, row=out.first().asDict())
+        return Fitted(keys, row={n: state.row[c] for n, c in lams.items()})
+    return Fitted(keys, table=state.table.select(*[F.col(a).alias(k) for a, k in zip(ks, keys)], *[F.col(c).alias(n) for n, c in lams.items()]))
+
+
+class _Search:
+    """Brackets of the best lambdas, one row a series: per column i lo, hi, the derivative glo, ghi there, the end that moved
+    last, at (the last lambda tried), step (how far the next one lies), open (1: no change of sign yet), n and s."""
+
+    FAR = 1e300  # stands for a derivative that cannot be told: it points back to lambda 1
+
+    def __init__(self, d: DataFrame, ks: list[str], columns: int, kind: str):
+        self.d, self.ks, self.columns, self.kind = d, ks, columns, kind
+
+    def shape(self, x: Column, lam: Column) -> tuple[Column, Column]:
+        """The transformed value and its derivative by lambda."""
+        if self.kind == "box_cox":
+            return fx.box_cox(x, lam), fx.box_cox_by_lambda(x, lam)
+        low, rest = F.greatest(x, F.lit(0.0)) + 1, F.lit(1.0) - F.least(x, F.lit(0.0))
+        return fx.yeo_johnson(x, lam), F.when(x >= 0, fx.box_cox_by_lambda(low, lam)).otherwise(fx.box_cox_by_lambda(rest, F.lit(2.0) - lam))
+
+    def derivative(self, lam: Column, n: Column, s: Column, v: Column, c: Column) -> Column:
+        g = F.when(v > 0, s - n * c / v)
+        return F.when(g.isNotNull() & ~F.isnan(g) & (F.abs(g) < self.FAR), g).otherwise(F.when(lam > 1, -self.FAR).otherwise(self.FAR))
+
+    def taken(self, out: DataFrame) -> Fitted:
+        return Fitted(self.ks, table=out).materialize() if self.ks else Fitted(self.ks, row=out.first().asDict())
+
+    def most(self, state: Fitted, what: str) -> float:
+        cols = [f"{what}{i}" for i in range(self.columns)]
+        if state.row is not None:
+            return max(state.row[c] for c in cols)
+        return state.table.agg(*[F.max(c) for c in cols]).select(F.greatest(F.lit(0.0), *[F.col(f"max({c})").cast("double") for c in cols])).first()[0]
+
+    def start(self, half: float) -> Fitted:
+        aggs = []
+        for i in range(self.columns):
+            x = F.col(f"x{i}")
+            s = F.log(x) if self.kind == "box_cox" else F.signum(x) * F.log1p(F.abs(x))
+            aggs += [F.count(x).alias(f"n{i}"), F.sum(s).alias(f"s{i}"), F.var_pop(x).alias(f"w{i}")]
+            for end, lam in (("lo", -half), ("hi", half)):
+                y, by = self.shape(x, F.lit(lam))
+                aggs += [F.var_pop(y).alias(f"v{end}{i}"), F.covar_pop(y, by).alias(f"c{end}{i}")]
+        sums = self.d.groupBy(*self.ks).agg(*aggs)
+        out = []
+        for i in range(self.columns):
+            n, s = F.col(f"n{i}").cast("double"), F.col(f"s{i}")
+            glo, ghi = (self.derivative(F.lit(lam), n, s, F.col(f"v{end}{i}"), F.col(f"c{end}{i}")) for end, lam in (("lo", -half), ("hi", half)))
+            flat = ~F.coalesce(F.col(f"w{i}") > 0, F.lit(False))
+            out += [n.alias(f"n{i}"), s.alias(f"s{i}"), F.when(flat, 1.0).otherwise(-half).alias(f"lo{i}"), F.when(flat, 1.0).otherwise(half).alias(f"hi{i}"),
+                    glo.alias(f"glo{i}"), ghi.alias(f"ghi{i}"), F.lit(0).alias(f"side{i}"), F.lit(1.0).alias(f"at{i}"), F.lit(1.0).alias(f"step{i}"),
+                    (~flat & ((glo < 0) | (ghi > 0))).cast("int").alias(f"open{i}")]
+        return self.taken(sums.select(*self.ks, *out))
+
+    def narrow(self, state: Fitted) -> Fitted:
+        base, p, _ = state.attach(self.d)
+        aggs, names = [], ("n", "s", "lo", "hi", "glo", "ghi", "side", "at")
+        for i in range(self.columns):
+            q = {c: p[f"{c}{i}"] for c in names}
+            width = q["hi"] - q["lo"]
+            cut = (q["lo"] * q["ghi"] - q["hi"] * q["glo"]) / (q["ghi"] - q["glo"])
+            far = (F.abs(q["glo"]) >= self.FAR / 2) | (F.abs(q["ghi"]) >= self.FAR / 2)
+            inside = ~far & (cut > q["lo"]) & (cut < q["hi"])
+            lam = F.when(inside, cut).otherwise(q["lo"] + width / 2)
+            y, by = self.shape(F.col(f"x{i}"), lam)
+            aggs += [F.max(F.when(F.lit(True), e)).alias(f"{c}{i}") for c, e in q.items()]
+            aggs += [F.max(lam).alias(f"lam{i}"), F.var_pop(y).alias(f"v{i}"), F.covar_pop(y, by).alias(f"c{i}")]
+        sums = base.groupBy(*self.ks).agg(*aggs)
+        out = []
+        for i in range(self.columns):
+            q = {c: F.col(f"{c}{i}") for c in (*names, "lam")}
+            g = self.derivative(q["lam"], q["n"], q["s"], F.col(f"v{i}"), F.col(f"c{i}"))
+            up = g > 0
+            done = q["lo"] == q["hi"]
+            out += [q["n"], q["s"], F.when(up, q["lam"]).otherwise(q["lo"]).alias(f"lo{i}"), F.when(up, q["hi"]).otherwise(q["lam"]).alias(f"hi{i}"),
+                    F.when(up, g).otherwise(F.when(q["side"] == -1, q["glo"] / 2).otherwise(q["glo"])).alias(f"glo{i}"),
+                    F.when(up, F.when(q["side"] == 1, q["ghi"] / 2).otherwise(q["ghi"])).otherwise(g).alias(f"ghi{i}"),
+                    F.when(up, 1).otherwise(-1).alias(f"side{i}"), F.when(done, 1.0).otherwise(q["lam"]).alias(f"at{i}"),
+                    F.when(done, 0.0).otherwise(F.least(F.abs(q["lam"] - q["at"]), q["hi"] - q["lo"])).alias(f"step{i}"), F.lit(0).alias(f"open{i}")]
+        return self.taken(sums.select(*self.ks, *out))
 
 
 def merge_fitted(a: Fitted, b: Fitted) -> Fitted:

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from almanac.functions.calendar import add_time_variables
 from almanac.operators.features import engineer_features
-from almanac.operators.forecast import AdditiveForecaster, ForecastConfig, forecast_with_actuals
+from almanac.operators.forecast import (AdditiveForecaster, ForecastConfig, direct_preset, forecast_with_actuals,
+                                         to_forecast_frame)
 from almanac.operators.model import TrainResult, train_and_evaluate
-from almanac.operators.prepare import frequency_of, handle_missing_values, trim_to_common_date_range
+from almanac.operators.prepare import detect_frequency, handle_missing_values, step_of, trim_to_common_date_range
 from almanac.operators.reduce import reduce_dimensions
 from almanac.operators.split import split_labels
 from almanac.operators.stats import regression_metrics
 from almanac.plans.ordered import series_hint, series_plan
+from almanac.plans.staged import staged
 from almanac.session import scratch_path
 from almanac.sources.io import run_id, run_summary, write_table
 
@@ -69,6 +71,48 @@ class RunResult:
     forecast: DataFrame | None = None
 
 
+@dataclass
+class DirectResult:
+    metrics: DataFrame
+    forecast: DataFrame
+    model: AdditiveForecaster
+    run_dir: str
+
+
+def run_direct(df: DataFrame, target_col: str, date_col: str = "date", regressors: Sequence[str] = (), keys: Sequence[str] = (),
+               config: ForecastConfig | None = None, test_size: float = 0.2, future_periods: int = 0, output_dir: str | None = None) -> DirectResult:
+    """The direct job (FC6, SNK5), per series: missing target and regressor values take the mean of all rows, the model (by default
+    the direct preset) is fitted on the first ``1 - test_size`` of the rows and scored on the rest. The run folder gets ``metrics``
+    (lines of text) and ``forecast`` (the fitted, scored and ``future_periods`` coming dates, with part and components)."""
+    keys = list(keys)
+    regs = [c for c in regressors if c in df.columns]
+    for c in regressors:
+        if c not in df.columns:
+            log.warning("regressor %r not found", c)
+    for c in (target_col, date_col):
+        if c not in df.columns:
+            raise ValueError(f"column {c!r} not found")
+    rid = run_id("direct")
+    run_dir = os.path.join(output_dir, rid) if output_dir else scratch_path(df.sparkSession, os.path.join("runs", rid))
+    data = to_forecast_frame(df, date_col, target_col, regs, keys)
+    data = handle_missing_values(data, "mean", date_col="ds", keys=keys, columns=["y", *regs])
+    rows = staged(split_labels(data, keys, ["ds"], "forecast", test_size), "direct-rows")
+    model = AdditiveForecaster(config or direct_preset(regs), keys=keys).fit(rows.where("part = 'train'").select(*data.columns))
+    metrics = regression_metrics(model.predict(rows.where("part = 'test'").select(*data.columns)), "y", "yhat", keys)
+    metrics = staged(metrics, "direct-metrics")  # one row a series
+    named = [F.concat(F.lit(f"{k}: "), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys]
+    lines = [F.concat(F.lit(f"{name}: "), F.format_string("%.4f" + more, m)) for name, m, more in
+             (("RMSE", "rmse", ""), ("MAE", "mae", ""), ("MAPE", "mape", "%%"), ("R2", "r2", ""))]
+    metrics.select(F.explode(F.array(*named, *lines)).alias("value")).coalesce(1).write.text(os.path.join(run_dir, "metrics"))
+    frame = rows.select(*data.columns).drop("y")
+    if future_periods:
+        step = step_of(rows, "ds")
+        frame = frame.unionByName(model.make_future(rows, future_periods, step, include_history=False), allowMissingColumns=True)
+    forecast = forecast_with_actuals(model.predict(frame), rows, keys, "ds", "y", "part")
+    path = write_table(forecast, os.path.join(run_dir, "forecast"), sort_by=[*keys, "ds"])
+    return DirectResult(metrics, df.sparkSession.read.parquet(path), model, run_dir)
+
+
 def _fill_groups(frequency: str) -> list[str] | None:
     return {"monthly": ["year", "month"], "quarterly": ["year", "quarter"]}.get(frequency)
 
@@ -83,7 +127,8 @@ def load_and_prepare(df: DataFrame, cfg: PipelineConfig) -> tuple[DataFrame, str
     """Frequency, trim to the common range, two-stage imputation, calendar columns (PIP1)."""
     if cfg.target_col not in df.columns:
         raise ValueError(f"target column {cfg.target_col!r} not found")
-    freq = frequency_of(df, cfg.date_col)
+    freq = detect_frequency(df, cfg.date_col).first()
+    freq = freq["frequency"] if freq else "unknown"
     out = trim_to_common_date_range(df, cfg.date_col)
     out = handle_missing_values(out, cfg.fill_method, fill_groups=_fill_groups(freq), date_col=cfg.date_col)
     if "year" not in out.columns or "month" not in out.columns:
@@ -102,9 +147,8 @@ def _forecast_run(spark: SparkSession, cfg: PipelineConfig, run_dir: str, freq:
     model = AdditiveForecaster(conf).fit(labelled.where("part = 'train'").select(*data.columns))
     scored = model.predict(labelled.where("part = 'test'").select(*data.columns))
     m = regression_metrics(scored, "y", "yhat").first()
-    step = {"quarterly": "QS", "annual": "YS"}.get(freq, "MS")
-    future = model.make_future(data, cfg.forecast_periods, step, include_history=True)
-    forecast = forecast_with_actuals(model.predict(future), data, [], "ds", "y")
+    future = model.make_future(data, cfg.forecast_periods, step_of(data, "ds"), include_history=True)
+    forecast = forecast_with_actuals(model.predict(future), labelled, [], "ds", "y", "part")
     forecast = spark.read.parquet(write_table(forecast, os.path.join(run_dir, "forecast"), sort_by=["ds"]))
     summary = run_summary(spark, {
         "timestamp": _dt.datetime.now().isoformat(timespec="seconds"), "data": cfg.data_name, "target": cfg.target_col,
