@@ -6,6 +6,7 @@ a hot group is never held in one task's memory."""
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 from collections.abc import Sequence
@@ -14,6 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,22 +59,25 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
     return d.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
 
 
-#: Relative rank error of the sketches that bracket a cut, rows between two brackets that are ranked at once.
-CUT_ACCURACY, CUT_ROWS = 10_000, 100_000
+#: Rows of the sample that brackets the cuts at first, relative rank error of its sketch, values between two brackets that are ranked at once.
+CUT_SAMPLE, CUT_ACCURACY, CUT_ROWS = 100_000, 2_000, 100_000
 
 
 def exact_cuts(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
     """Upper ends of all but the last of ``bins`` equal-frequency bins of each column, exactly: the values at 0-based ranks
-    ceil(j n / bins) - 1 of its n values, NULLs left out and NaN taken for infinity. No column is sorted: a sketch brackets every cut, one pass counts
-    the values at and between the brackets, and only values that lie in the gap with the cut are ranked; a gap
-    of more than ``CUT_ROWS`` values is bracketed again. What reaches the driver are counts of columns x cuts."""
+    ceil(j n / bins) - 1 of its n values, NULLs left out and NaN taken for infinity. No column is sorted: quantiles of a sample bracket every cut, one pass counts
+    all values at and between the brackets, and only values that lie in the gap with the cut are ranked; a gap
+    of more than ``CUT_ROWS`` values is bracketed again, by a sketch of its values. Where a bracket lies changes the work only. What reaches the driver are counts of columns x cuts."""
     cols = list(columns)
     value = lambda c: F.col(c).cast("double")
-    d = staged(df.select(*[F.when(F.isnan(value(c)), float("inf")).otherwise(value(c)).alias(f"c{i}") for i, c in enumerate(cols)]), "cuts")
-    probs = sorted({min(1.0, max(0.0, j / bins + e / CUT_ACCURACY)) for j in range(1, bins) for e in (-3, 3)})
-    first = d.agg(*[F.percentile_approx(f"c{i}", probs, CUT_ACCURACY).alias(f"b{i}") for i in range(len(cols))]).first()
-    bounds = [sorted(set(first[f"b{i}"] or [])) for i in range(len(cols))]
+    d = staged(df.select(*[F.when(F.isnan(value(c)), float("inf")).otherwise(value(c) + 0.0).alias(f"c{i}") for i, c in enumerate(cols)]), "cuts")
+    probs = sorted({min(1.0, max(0.0, j / bins + e)) for j in range(1, bins) for e in (-0.006, 0.006)})
+    rows = d.count()
+    some = d.sample(CUT_SAMPLE / rows, seed=7) if rows > 2 * CUT_SAMPLE else d
+    first = some.agg(*[F.percentile_approx(f"c{i}", probs, CUT_ACCURACY).alias(f"b{i}") for i in range(len(cols))]).first()
+    bounds = [_finite(first[f"b{i}"] or []) for i in range(len(cols))]
     cuts: list[list] = [[] for _ in cols]
+    stuck: set[tuple[int, int]] = set()  # gaps of infinite or equal values, which no bound divides
     while True:
         held = _counted(d, bounds)
         gaps: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (column, gap): (cut, rank in the gap)
@@ -88,17 +93,23 @@ def exact_cuts(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, li
                     cuts[i][j] = bounds[i][at // 2]
                 else:
                     gaps.setdefault((i, at // 2), []).append((j, rank - (upto[at] - counts[at])))
-        wide = [g for g in gaps if held[g[0]][2 * g[1]] > CUT_ROWS]
+        wide = [g for g in gaps if held[g[0]][2 * g[1]] > CUT_ROWS and (g[0], bounds[g[0]][g[1] - 1] if g[1] else None) not in stuck]
         if not wide:
             break
         probs = [k / 200 for k in range(1, 200)]
         inner = d.agg(*[F.percentile_approx(F.when(_in_gap(i, g, bounds[i]), F.col(f"c{i}")), probs, CUT_ACCURACY).alias(f"g{t}")
                         for t, (i, g) in enumerate(wide)]).first()
-        for t, (i, _) in enumerate(wide):
-            bounds[i] = sorted({*bounds[i], *inner[f"g{t}"]})
+        found = [(i, bounds[i][g - 1] if g else None, _finite(inner[f"g{t}"])) for t, (i, g) in enumerate(wide)]
+        for i, low, more in found:
+            if set(more) <= set(bounds[i]):
+                stuck.add((i, low))
+            bounds[i] = _finite([*bounds[i], *more])
     if gaps:
-        values = d.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.when(_in_gap(i, g, bounds[i]), F.col(f"c{i}")).alias("v"))
-                                              for t, (i, g) in enumerate(gaps)])).alias("s")).select("s.*").where("v IS NOT NULL")
+        places, placed = _placed(d, bounds)
+        of = {(i, p): t for t, (i, g) in enumerate(gaps) for p, place in enumerate(places[i]) if place == 2 * g}
+        t = F.coalesce(*[F.when((F.col("i") == i) & (F.col("p") == p), t) for (i, p), t in of.items()])
+        wanted = reduce(lambda a, b: a | b, [(F.col("i") == i) & F.col("p").isin([p for j, p in of if j == i]) for i in {j for j, _ in of}])
+        values = placed.where(wanted).select(t.alias("t"), "v")
         ranked = values.groupBy("t", "v").count().withColumn("upto", F.sum("count").over(Window.partitionBy("t").orderBy("v")))
         wanted = {t: ranks for t, ranks in enumerate(gaps.values())}
         hit = reduce(lambda a, b: a | b, [(F.col("t") == t) & (F.col("upto") - F.col("count") <= r) & (F.col("upto") > r)
@@ -116,18 +127,27 @@ def _in_gap(i: int, gap: int, bounds: list[float]) -> Column:
     return low & (F.col(f"c{i}") < bounds[gap]) if gap < len(bounds) else low & F.col(f"c{i}").isNotNull()
 
 
+def _finite(values: Sequence[float]) -> list[float]:
+    return sorted({x for x in values if math.isfinite(x)})
+
+
+def _placed(d: DataFrame, bounds: list[list[float]]) -> tuple[list[list[int]], DataFrame]:
+    """Rows i (column), p (bucket) and v of all values, and the place of each bucket: twice the bounds below it, one more for
+    the bucket that a bound and the next double make, which holds this bound alone."""
+    splits = [sorted({-math.inf, math.inf, *([] if b else [0.0]), *b, *(math.nextafter(x, math.inf) for x in b)}) for b in bounds]
+    n = range(len(bounds))
+    bucketed = Bucketizer(splitsArray=splits, inputCols=[f"c{i}" for i in n], outputCols=[f"p{i}" for i in n], handleInvalid="keep").transform(d)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"p{i}").cast("int").alias("p"), F.col(f"c{i}").alias("v")) for i in n])
+    places = [[2 * bisect.bisect_left(b, low) + (low in b) for low in of[:-1]] for b, of in zip(bounds, splits)]
+    return places, bucketed.select(F.explode(pairs).alias("s")).select("s.*").where("v IS NOT NULL")
+
+
 def _counted(d: DataFrame, bounds: list[list[float]]) -> list[list[int]]:
     """Values per column in the gaps (even places) and at the bounds (odd places)."""
-    places = []
-    for i, b in enumerate(bounds):
-        arr = F.array(*[F.lit(float(x)) for x in b]).cast("array<double>")
-        v = F.col(f"c{i}")
-        place = F.size(F.filter(arr, lambda x: x < v)) + F.size(F.filter(arr, lambda x: x <= v))  # noqa: B023
-        places.append(F.struct(F.lit(i).alias("i"), F.when(v.isNotNull(), place).alias("place")))
-    counts = d.select(F.explode(F.array(*places)).alias("s")).select("s.*").where("place IS NOT NULL").groupBy("i", "place").count().collect()
+    places, placed = _placed(d, bounds)
     out = [[0] * (2 * len(b) + 1) for b in bounds]
-    for r in counts:
-        out[r["i"]][r["place"]] = r["count"]
+    for r in placed.groupBy("i", "p").count().collect():
+        out[r["i"]][places[r["i"]][r["p"]]] += r["count"]
     return out
 
 
