@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import partitions, stored, text_or_empty
 
 PARTS = 256
 
@@ -30,6 +30,7 @@ def described(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: st
     text = text_or_empty(text_col).cast("binary")
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
                     F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("link"))
+    d = d.withColumn("salt", F.coalesce("doc_id", F.monotonically_increasing_id()))  # parts equal rows without an id
     return d.withColumn("first", F.pmod(F.xxhash64("doc_id", "link"), F.lit(shards)).cast("int"))
 
 
@@ -117,7 +118,7 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 40, bucket_rows: int
     cells = d.filter(F.col("total").isNotNull()).groupBy("link", "first", "part", "total").agg(F.count(F.lit(1)).alias("n"))
     cells = _propagate(cells, shards, cap, rounds).select("link", "first", "part", "shard")
     d = d.join(cells, ["link", "first", "part"], "left").select(
-        "doc_id", "size", "text_crc32", "link", F.coalesce("shard", "first").alias("shard"),
+        "doc_id", "salt", "size", "text_crc32", "link", F.coalesce("shard", "first").alias("shard"),
         F.coalesce("total", F.lit(1)).alias("total"))
     return _balanced(stored(d, "shard-placed"), total, shards, bucket_rows)
 
@@ -125,15 +126,16 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 40, bucket_rows: int
 def _balanced(d: DataFrame, total: int, shards: int, bucket_rows: int) -> DataFrame:
     """Exact counts and gapless slots. Rows of a shard are numbered by group, the largest first and rows
     without a group last; those beyond its quota go to the shards below theirs. Groups too large for one
-    bucket are numbered on their own, over buckets by their rows."""
-    buckets = max(4, -(-total // (shards * bucket_rows)))
+    bucket are numbered on their own, over buckets by their rows. There are some four buckets a shuffle partition,
+    more where they would exceed ``bucket_rows``."""
+    buckets = max(4, -(-4 * partitions(d.sparkSession) // shards), -(-total // (shards * bucket_rows)))
     rows = max(64, total // (shards * buckets))
     wide = F.col("total") > max(64, rows // 4)
     key = F.when(F.col("total") == 1, F.xxhash64("link", "doc_id")).otherwise(F.xxhash64("link"))
     spread = F.ceil(F.col("total") / rows)
     d = (d.withColumn("level", -F.floor(F.log2("total")).cast("int"))
          .withColumn("wide", F.when(wide, F.xxhash64("link")).otherwise(0))
-         .withColumn("bucket", F.when(wide, F.pmod(F.xxhash64("link", "doc_id"), spread)).otherwise(F.pmod(key, F.lit(buckets))).cast("int")))
+         .withColumn("bucket", F.when(wide, F.pmod(F.xxhash64("link", "salt"), spread)).otherwise(F.pmod(key, F.lit(buckets))).cast("int")))
     place = ["shard", "level", "wide", "bucket"]
     counts = stored(d.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), "shard-counts")
     count = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
