@@ -31,6 +31,11 @@ SWEEPS = 20_000
 SHIFTS, KEPT = -1, -2
 
 
+def null(value):
+    """A key as pandas hands it over, its missing value as None."""
+    return None if value is None or value is pd.NaT or value is pd.NA or value != value else value
+
+
 @dataclass
 class Moments:
     """``table``: k0.., seg, i, j (i <= j) and over the rows that have both columns n, si, sj, q (product); columns are
@@ -77,7 +82,7 @@ def moments(df: DataFrame, keys: Sequence[str], columns: Sequence[Column], segme
 
     def emit(acc):
         for k, mats in acc.items():
-            out = {c: [v] * len(iu) for c, v in zip(by, k)}
+            out = {c: [null(v)] * len(iu) for c, v in zip(by, k)}
             out.update(i=iu.astype(np.int32), j=ju.astype(np.int32), **{c: mats[t][iu, ju] for t, c in enumerate(sums)})
             yield pd.DataFrame(out)
 
@@ -142,7 +147,7 @@ def per_series(mom: Moments, solve: Callable[[pd.DataFrame], list[tuple]], field
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(solve(pdf), columns=names)
         for at, k in enumerate(ks):
-            out.insert(at, k, [pdf[k].iloc[0]] * len(out))
+            out.insert(at, k, pd.Series([null(pdf[k].iloc[0])] * len(out), dtype=object))
         return out
 
     out = mom.table.groupBy(*ks).applyInPandas(run, schema)

@@ -21,6 +21,7 @@ from almanac.functions.schema import MERGE_CALENDAR_COLUMNS, TRIM_CALENDAR_COLUM
 from almanac.operators.stats import value_ranks
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
+from almanac.plans.staged import staged
 
 log = logging.getLogger(__name__)
 
@@ -71,9 +72,10 @@ def detect_frequency(df: DataFrame, date_col: str = "date", keys: Sequence[str]
                         freq.alias("frequency"))
 
 
-def frequency_of(df: DataFrame, date_col: str = "date") -> str:
-    row = detect_frequency(df, date_col).first()
-    return row["frequency"] if row else "unknown"
+def frequency_of(df: DataFrame, date_col: str = "date", keys: Sequence[str] = ()) -> str:
+    """The frequency; with keys the one that most series have."""
+    found = detect_frequency(df, date_col, keys).groupBy("frequency").count().orderBy(F.desc("count"), "frequency").first()
+    return found["frequency"] if found else "unknown"
 
 
 #: Period starts by detected frequency, and other steps by the greatest median gap in days they stand for.
@@ -86,11 +88,12 @@ def step_of(df: DataFrame, date_col: str = "date", keys: Sequence[str] = ()) ->
     frequency, where series differ); hours for time stamps less than a day apart."""
     found = (detect_frequency(df, date_col, keys).groupBy("frequency").agg(F.count(F.lit(1)).alias("m"), F.avg("median_days").alias("days"))
              .orderBy(F.desc("m"), "frequency").first())
-    if found is None or found["frequency"] in STEPS or found["days"] is None:
+    if found is None or found["days"] is None:
         return STEPS.get(found["frequency"], "MS") if found else "MS"
     if found["days"] < 0.5 and isinstance(df.schema[date_col].dataType, (T.TimestampType, T.TimestampNTZType)):
         return "h"
-    return next((step for most, step in GAPS if found["days"] <= most), "YS")
+    near = next((step for most, step in GAPS if found["days"] <= most), "YS")
+    return near if near in ("D", "W") else STEPS.get(found["frequency"], near)  # days of one month count as annual there
 
 
 # ------------------------------------------------------------------ FRQ2-FRQ4
@@ -125,14 +128,15 @@ def merge_datasets(datasets: dict[str, DataFrame], date_col: str = "date", align
                    prefix: bool = True) -> DataFrame:
     """Align every dataset to months, build the month-start (or quarter-start) spine over the
     overall date range, add calendar columns and left-join each dataset on the date.
-    Value columns are named ``{dataset}_{column}``."""
+    Value columns are named ``{dataset}_{column}``. Every dataset is computed once and written; frequencies, date range
+    and join read the written tables."""
     aligned: dict[str, DataFrame] = {}
     dated = {}
     for name, df in datasets.items():
         if date_col not in df.columns:
             log.warning("dataset %r has no date column, skipped", name)
             continue
-        dated[name] = df
+        dated[name] = staged(df, f"merge-{name}")
     # frequency of every dataset in one keyed job over the union of (dataset, date)
     freqs: dict[str, str] = {}
     if dated:

@@ -226,7 +226,7 @@ def corr_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
 
     def emit(acc):
         for kk, (nn, sx, sq, sxy) in acc.items():
-            out = {c: [kk[t]] * len(iu) for t, c in enumerate(keys)}
+            out = {c: [None if kk[t] != kk[t] else kk[t]] * len(iu) for t, c in enumerate(keys)}  # NaN: a NULL key
             out.update(i=iu.astype(np.int32), j=ju.astype(np.int32), n=nn[iu, ju], sa=sx[iu, ju], sb=sx[ju, iu],
                        qa=sq[iu, ju], qb=sq[ju, iu], sab=sxy[iu, ju])
             yield pd.DataFrame(out)

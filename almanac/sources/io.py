@@ -113,9 +113,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def run_summary(spark: SparkSession, summary: dict) -> DataFrame:
-    """One-row summary table (SNK4, SNK5): scalars as columns, lists as array<string>."""
+    """One-row summary table (SNK4, SNK5): scalars as columns, lists as array<string>; a number that is missing is a NULL double."""
     row = {k: ([str(x) for x in v] if isinstance(v, (list, tuple)) else v) for k, v in summary.items()}
-    return spark.createDataFrame([row])
+    types = {bool: T.BooleanType(), int: T.LongType(), str: T.StringType(), list: T.ArrayType(T.StringType())}
+    return spark.createDataFrame([tuple(row.values())], T.StructType([T.StructField(k, types.get(type(v), T.DoubleType())) for k, v in row.items()]))
 
 
 def run_id(model: str, when: _dt.datetime | None = None) -> str:
