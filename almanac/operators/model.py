@@ -3,7 +3,7 @@
 Two fitting paths:
 
 * **MLlib** estimators for one model over all rows (linear, ridge, lasso, elastic net,
-  random forest, gradient-boosted trees);
+  random forest, gradient-boosted trees; long tables reach the trees as weighted cells, :mod:`almanac.operators.trees`);
 * **cross-products by aggregation** (:mod:`almanac.operators.gram`) for linear, ridge, lasso and elastic-net fits per
   series and for their cross-validation: no series is ever held in one task, hot keys included, and only p x p
   systems, one row per series, are solved with NumPy in ``applyInPandas``."""
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from almanac.operators import gram
 from almanac.operators.split import cv_folds, split_labels
 from almanac.operators.stats import regression_metrics
+from almanac.operators.trees import fit_binned
 from almanac.plans.fitted import Fitted
 from almanac.plans.ordered import IDX, join_on_keys, series_plan
 from almanac.plans.staged import fresh, staged
@@ -85,13 +86,14 @@ def make_estimator(model_type: str = "linear", params: dict | None = None, label
 
 
 def train_model(df: DataFrame, features: Sequence[str], label: str, model_type: str = "linear", params: dict | None = None):
-    """Fit one MLlib model on all rows of ``df`` (MDL1-MDL6)."""
+    """Fit one MLlib model on all rows of ``df`` (MDL1-MDL6); trees of a long table are fitted to its cells."""
     sd = n = None
     if model_type in ("ridge", "elasticnet"):
         st = df.agg(F.stddev_pop(label).alias("sd"), F.count(F.lit(1)).alias("n")).first()
         sd, n = float(st["sd"] or 0.0), int(st["n"])
     est = make_estimator(model_type, params, label, sd, n)
-    return est.fit(assemble(df, features))
+    binned = fit_binned(df, features, label, est) if model_type in ("randomforest", "gbm") else None
+    return binned or est.fit(assemble(df, features))
 
 
 def evaluate_model(model, df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = ()):
