@@ -15,3 +15,14 @@ def spark():
 
 SF = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module", autouse=True)
+def nothing_left(spark):
+    """The session is shared: what a file's tests leave in it (tables kept for later calls, cached rows) ends with them."""
+    yield
+    spark.catalog.clearCache()
+    for rdd in dict(spark.sparkContext._jsc.getPersistentRDDs()).values():
+        rdd.unpersist()
+    for t in spark.catalog.listTables():
+        spark.sql(f"DROP VIEW {t.name}" if t.isTemporary else f"DROP TABLE {t.name}")
